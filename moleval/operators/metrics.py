@@ -115,7 +115,8 @@ def histogram(df: DataFrame, column: str, bins: int = 20, by=None) -> DataFrame:
     rng = (vals.groupBy(*by).agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
            .select(*by,
                    F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
-                   F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi")))
+                   F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
+           .where(F.col("_lo").isNotNull()))          # F10: no values -> no histogram
     joined = vals.crossJoin(F.broadcast(rng)) if not by else vals.join(rng, by)
     counted = (joined.select(*by, _numpy_bin(F.col("_x"), F.col("_lo"), F.col("_hi"), bins).alias("bin"))
                .groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("count")))
