@@ -18,14 +18,10 @@ given in two exact forms:
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moleval.functions.scalars import clean_patterns
 from moleval.operators.common import BROADCAST_MAX_ROWS, col
 
 # --- fixed values ---
@@ -41,17 +37,11 @@ MATCH_STRUCT = T.StructType([
 ])
 
 
-@F.pandas_udf(T.BooleanType())
-def _regex_valid(patterns: pd.Series) -> pd.Series:
-    def ok(p):
-        if p is None:
-            return False
-        try:
-            re.compile(p)
-            return True
-        except re.error:
-            return False
-    return patterns.map(ok)
+def regex_valid(pattern) -> Column:
+    """V1: True when ``pattern`` compiles as a Java regular expression (the
+    engine ``rlike`` uses); evaluated natively, a failed compile gives NULL."""
+    compiled = F.call_function("try_reflect", F.lit("java.util.regex.Pattern"), F.lit("compile"), col(pattern))
+    return F.coalesce(compiled.isNotNull(), F.lit(False))
 
 
 def rules_to_long(rules: DataFrame, group: str = "group", index: str = "rule_index",
@@ -70,7 +60,7 @@ def rules_to_long(rules: DataFrame, group: str = "group", index: str = "rule_ind
                          F.posexplode(arr).alias("slot", "pattern"))
                  .withColumn("pattern", F.trim("pattern"))
                  .where(F.col("pattern").isNotNull() & (F.col("pattern") != "")))
-    long = long.withColumn("is_valid", _regex_valid("pattern") if validate else F.lit(True))
+    long = long.withColumn("is_valid", regex_valid("pattern") if validate else F.lit(True))
     first_seen = long.groupBy("group").agg(F.min("rule_index").alias("_first"))
     ranked_groups = first_seen.where(F.col("group").isNotNull()).select(
         "group", (F.dense_rank().over(Window.orderBy("_first", "group")) - 1).cast("int").alias("group_rank"))
@@ -121,26 +111,66 @@ def _small_rules(rules: DataFrame, max_rows: int):
     return rows
 
 
+def _has_top_level_bar(p: str) -> bool:
+    """True when ``p`` has an alternation bar outside groups and classes."""
+    depth, in_class, esc = 0, False, False
+    for ch in p:
+        if esc:
+            esc = False
+        elif ch == "\\":
+            esc = True
+        elif in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+        elif ch == "(":
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+        elif ch == "|" and depth == 0:
+            return True
+    return False
+
+
+def any_of(patterns: list[str]) -> str:
+    """One regex matching where any of ``patterns`` matches.  When all are
+    anchored at the start (and have no top-level ``|``) the anchor is hoisted
+    (``^(?:a|b)``), so a search fails after one check at every later offset."""
+    if all(p.startswith("^") and not _has_top_level_bar(p) for p in patterns):
+        return "^(?:" + "|".join(f"(?:{p[1:]})" for p in patterns) + ")"
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
 def match_rules(tokens: DataFrame, rules: DataFrame, row_id: str, token: str = "token",
                 pos: str = "pos", max_rules: int = 10_000) -> DataFrame:
     """Every usable rule pattern against every token.
 
     Output ``(row_id, group_rank, group, pattern_rank, match_no, pos)`` where
     ``match_no`` orders a pattern's matches inside a row (the position).
-    A single alternation of all patterns pre-filters tokens in the scan
-    stage, so only candidate tokens meet the broadcast rule table.
+
+    The rule table is a program: it is size-checked and turned into one
+    literal ``rlike`` per pattern (each compiled once, inside generated
+    code), preceded by one alternation of all patterns that drops tokens no
+    rule can match.  A join on ``token RLIKE pattern`` would instead
+    recompile the pattern for every (token, rule) pair.
     """
     usable = usable_rules(rules).select("group_rank", "group", "pattern_rank", "pattern")
-    rows = _small_rules(usable, max_rules)
+    rows = sorted(_small_rules(usable, max_rules), key=lambda r: (r["group_rank"], r["pattern_rank"]))
+    out_schema = (f"`{row_id}` {tokens.schema[row_id].dataType.simpleString()}, group_rank int, "
+                  "group string, pattern_rank int, match_no bigint, pos int")
     if not rows:
-        return tokens.sparkSession.createDataFrame(
-            [], f"{row_id} {tokens.schema[row_id].dataType.simpleString()}, group_rank int, group string, "
-                "pattern_rank int, match_no bigint, pos int")
-    combined = "|".join(f"(?:{r['pattern']})" for r in rows)
-    cand = tokens.where(col(token).rlike(combined))
-    joined = cand.join(F.broadcast(usable), F.expr(f"`{token}` RLIKE pattern"))
-    return joined.select(col(row_id).alias(row_id), "group_rank", "group", "pattern_rank",
-                         col(pos).cast("bigint").alias("match_no"), col(pos).cast("int").alias("pos"))
+        return tokens.sparkSession.createDataFrame([], out_schema)
+    t = col(token)
+    combined = any_of([r["pattern"] for r in rows])
+    hits = F.array_compact(F.array(*[
+        F.when(t.rlike(r["pattern"]), F.struct(F.lit(r["group_rank"]).cast("int").alias("group_rank"),
+                                              F.lit(r["group"]).alias("group"),
+                                              F.lit(r["pattern_rank"]).cast("int").alias("pattern_rank")))
+        for r in rows]))
+    cand = tokens.where(t.rlike(combined)).select(col(row_id).alias(row_id), col(pos).alias("_pos"),
+                                                 F.explode(hits).alias("_m"))
+    return cand.select(row_id, "_m.group_rank", "_m.group", "_m.pattern_rank",
+                       F.col("_pos").cast("bigint").alias("match_no"), F.col("_pos").cast("int").alias("pos"))
 
 
 def assign_groups(matches: DataFrame, row_id: str, rows: DataFrame | None = None,

@@ -91,3 +91,10 @@ def test_study_rule_table_loads(spark):
     names = pd.read_csv(fixture_path("tpsa_smarts.csv"))["Functional_Group_Name"].nunique()
     assert lr.select("group").distinct().count() == names
     assert lr.where("pattern_rank = 0").count() == names
+
+
+def test_any_of_hoists_anchor_only_when_safe():
+    assert R.any_of(["^a$", "^(1|2)b$"]) == "^(?:(?:a$)|(?:(1|2)b$))"
+    assert R.any_of(["^a|b", "^c"]) == "(?:^a|b)|(?:^c)"
+    assert R.any_of(["a", "^c"]) == "(?:a)|(?:^c)"
+    assert not R._has_top_level_bar(r"^[|]\|x")
