@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moleval.session import cut_lineage
+
 # Lookup tables (rules, value tables, dimensions) are broadcast only after
 # their row count has been checked against this bound.
 BROADCAST_MAX_ROWS = 200_000
@@ -37,7 +39,7 @@ def shuffle_partitions(spark) -> int:
 
 
 def with_sequence_index(df: DataFrame, order: list, name: str = "seq",
-                        num_partitions: int | None = None) -> DataFrame:
+                        num_partitions: int | None = None, materialize: bool = True) -> DataFrame:
     """Global 0-based position of every row in ``order`` (ties broken arbitrarily).
 
     Works without moving all rows to one partition: rows are range
@@ -46,8 +48,13 @@ def with_sequence_index(df: DataFrame, order: list, name: str = "seq",
     by the row count of all earlier partitions.  The offset table has one row
     per partition, so its broadcast is bounded by ``num_partitions``.
 
-    ``repartitionByRange`` with an explicit count is never coalesced by AQE,
-    so the partition ids seen by the count and by the numbering agree.
+    ``repartitionByRange`` with an explicit count is never coalesced by AQE.
+    The range bounds come from sampling the input, so when the input order
+    is not deterministic (rows coming out of a shuffle) two evaluations could
+    cut the ranges differently; the numbered rows are therefore written once
+    with a reliable checkpoint (``materialize=True``) and both the partition
+    counts and the final rows read that copy, which also survives the loss
+    of an executor.
     """
     spark = df.sparkSession
     n = num_partitions or shuffle_partitions(spark)
@@ -56,6 +63,8 @@ def with_sequence_index(df: DataFrame, order: list, name: str = "seq",
            .withColumn("_pid", F.spark_partition_id())
            .withColumn("_local", F.monotonically_increasing_id()
                        - F.shiftleft(F.col("_pid").cast("bigint"), 33)))
+    if materialize:
+        srt = cut_lineage(srt)
     counts = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))

@@ -67,16 +67,52 @@ def sample_n(df: DataFrame, n: int, key, seed: int = 42) -> DataFrame:
 
 
 def longest_connected_run(edges: DataFrame, id_col: str, order, begin: str, end: str,
-                          flag) -> DataFrame:
+                          flag, method: str = "global") -> DataFrame:
     """Per id, the longest run of flagged edges (in ``order``) in which
     each edge shares an endpoint with the previous flagged edge; 0 when no
     edge is flagged.  Order-dependent; not a graph longest path.
 
-    One window pass partitioned by id: the previous flagged edge is
-    ``last(..., ignorenulls)`` over the rows before; a break starts a new
-    island; island sizes and their maximum are aggregates on the same
-    partitioning (no further shuffle).
+    ``method='global'`` (default, skew-safe): flagged edges get a global
+    position from the range-partitioned sequence index (a hot id is spread
+    over many partitions); the previous edge is found by an equi-join on
+    ``seq - 1`` (a unique key, so the shuffle is balanced); a run starts where
+    the previous edge belongs to another id or shares no endpoint; a run's
+    length is the distance to the next start (a second sequence index over
+    the starts); the maximum per id is a partial aggregate.
+
+    ``method='window'``: one window partitioned by id (fewer shuffles; one
+    id's edges go through one task).
     """
+    if method == "window":
+        return _longest_run_window(edges, id_col, order, begin, end, flag)
+    if method != "global":
+        raise ValueError("method must be 'global' or 'window'")
+    order = [col(c) for c in as_list(order)]
+    f = F.col(flag) if isinstance(flag, str) else flag
+    keys = [o.alias(f"_o{i}") for i, o in enumerate(order)]
+    flagged = edges.where(F.coalesce(f, F.lit(False))).select(
+        col(id_col).alias("_id"), *keys, col(begin).alias("_b"), col(end).alias("_e"))
+    s = with_sequence_index(flagged, ["_id"] + [f"_o{i}" for i in range(len(order))], name="_seq")
+    prev = s.select((F.col("_seq") + 1).alias("_seq"), F.col("_id").alias("_pid"),
+                    F.col("_b").alias("_pb"), F.col("_e").alias("_pe"))
+    j = s.select("_seq", "_id", "_b", "_e").join(prev, "_seq", "left")
+    shares = F.col("_b").isin(F.col("_pb"), F.col("_pe")) | F.col("_e").isin(F.col("_pb"), F.col("_pe"))
+    cont = F.coalesce((F.col("_pid") == F.col("_id")) & shares, F.lit(False))
+    starts = with_sequence_index(j.where(~cont).select("_id", "_seq"), ["_seq"], name="_k")
+    nxt = starts.select((F.col("_k") - 1).alias("_k"), F.col("_seq").alias("_next"))
+    total = s.agg(F.count(F.lit(1)).alias("_n"))
+    runs = (starts.join(nxt, "_k", "left").crossJoin(F.broadcast(total))
+                  .select("_id", (F.coalesce(F.col("_next"), F.col("_n")) - F.col("_seq")).alias("_len")))
+    best = runs.groupBy("_id").agg(F.max("_len").alias("_best"))
+    ids = edges.select(col(id_col).alias("_id")).distinct()
+    return ids.join(best, "_id", "left").select(
+        F.col("_id").alias(id_col), F.coalesce(F.col("_best"), F.lit(0)).cast("bigint").alias("longest_run"))
+
+
+def _longest_run_window(edges: DataFrame, id_col: str, order, begin: str, end: str, flag) -> DataFrame:
+    """Window form of W1: the previous flagged edge is ``last(...,
+    ignorenulls)`` over the rows before; a break starts a new island; island
+    sizes and their maximum are aggregates on the same partitioning."""
     order = [col(c) for c in as_list(order)]
     f = F.col(flag) if isinstance(flag, str) else flag
     w = Window.partitionBy("_id").orderBy(*order)

@@ -97,3 +97,19 @@ def test_sample_n(spark):
     assert len(a) == 40 and a == b and a != c
     with pytest.raises(ValueError):
         O.sample_n(df, 501, "id")
+
+
+def test_longest_run_methods_agree(spark):
+    import random
+    rnd = random.Random(3)
+    rows = []
+    for mid in range(60):
+        n = 400 if mid == 0 else rnd.randint(0, 12)      # one hot id
+        for i in range(n):
+            rows.append((f"m{mid}", i, rnd.randint(0, 4), rnd.randint(0, 4), rnd.random() < 0.8))
+    df = spark.createDataFrame(rows, "mol_id string, bond_idx int, begin int, end int, flag boolean")
+    a = {r["mol_id"]: r["longest_run"] for r in O.longest_connected_run(
+        df, "mol_id", ["bond_idx"], "begin", "end", "flag").collect()}
+    b = {r["mol_id"]: r["longest_run"] for r in O.longest_connected_run(
+        df, "mol_id", ["bond_idx"], "begin", "end", "flag", method="window").collect()}
+    assert a == b and len(a) == len({r[0] for r in rows})
