@@ -34,6 +34,23 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     return F.broadcast(df) if n <= max_rows else df
 
 
+def spread_small_input(df: DataFrame, min_tasks: int | None = None) -> DataFrame:
+    """Round-robin spread of a table stored in fewer files than task slots,
+    before CPU-heavy per-row work (tokenising long texts, user functions).
+
+    Large tables come in many files and are left untouched (no shuffle);
+    a table in one or a few files would otherwise be processed by as many
+    tasks as it has row groups.
+    """
+    spark = df.sparkSession
+    min_tasks = min_tasks or spark.sparkContext.defaultParallelism
+    try:
+        n_files = len(df.inputFiles())
+    except Exception:  # noqa: BLE001 - not a file-based plan
+        return df
+    return df.repartition(min_tasks) if 0 < n_files < min_tasks else df
+
+
 def shuffle_partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -72,24 +89,30 @@ def with_sequence_index(df: DataFrame, order: list, name: str = "seq",
             .select(*[F.col(c) for c in df.columns], (F.col("_off") + F.col("_local")).alias(name)))
 
 
-def exact_median(df: DataFrame, by: list, value: str, name: str = "median") -> DataFrame:
+def exact_median(df: DataFrame, by: list, value: str, name: str = "median", aggs=()) -> DataFrame:
     """Exact median per group (midpoint of the two middle values for even n).
 
     Skew-safe: nothing holds a group's values.  Rows are globally ranked by
     (group, value) with :func:`with_sequence_index`; per-group start and size
     come from a partial aggregate; the one or two middle rows are selected by
     rank.  The per-group table is small and joined by AQE's size check.
+    ``aggs`` are further aggregate Columns computed in the same pass over the
+    materialised rows (so the source is read once).
     """
     by = as_list(by)
     base = df.select(*by, value).where(F.col(value).isNotNull())
     s = with_sequence_index(base, by + [value], name="_seq")
-    stats = s.groupBy(*by).agg(F.min("_seq").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    stats = s.groupBy(*by).agg(F.min("_seq").alias("_start"), F.count(F.lit(1)).alias("_n"), *aggs)
     joined = s.join(stats, by) if by else s.crossJoin(F.broadcast(stats))
     r = F.col("_seq") - F.col("_start")
     lo = F.floor((F.col("_n") - 1) / 2)
     hi = F.floor(F.col("_n") / 2)
     pick = joined.where((r == lo) | (r == hi))
-    return pick.groupBy(*by).agg(F.avg(value).alias(name))
+    med = pick.groupBy(*by).agg(F.avg(value).alias(name))
+    if not aggs:
+        return med
+    extra = stats.drop("_start", "_n")
+    return med.join(extra, by) if by else med.crossJoin(extra)
 
 
 def normalize_zero(c) -> Column:

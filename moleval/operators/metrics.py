@@ -43,11 +43,11 @@ def error_metrics(df: DataFrame, by, calculated: str, pred: str,
         aggs.append(F.median("_e").alias("median_error"))
     elif median != "exact":
         raise ValueError("median must be 'exact', 'approx' or 'inline'")
-    out = base.groupBy(*by).agg(*aggs)
     if median == "exact":
-        med = exact_median(base, by, "_e", name="median_error")
-        out = out.join(med, by, "left") if by else out.crossJoin(med)
-    return out
+        # one pass: the moments are aggregated from the rows materialised for the rank selection
+        out = exact_median(base, by, "_e", name="median_error", aggs=aggs)
+        return out.select(*by, "n", "rmse", "mae", "median_error")
+    return base.groupBy(*by).agg(*aggs)
 
 
 def outcome_counts(df: DataFrame, by, outcome: str = "outcome") -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from moleval.operators.common import spread_small_input
+
 
 def with_predictions(df: DataFrame, predict_fn: Callable[[pd.Series], pd.Series], input_col: str,
                      model: str, out: str = "pred", keep=None) -> DataFrame:
@@ -22,7 +24,7 @@ def with_predictions(df: DataFrame, predict_fn: Callable[[pd.Series], pd.Series]
     every partition with ``mapInPandas`` and label the rows with ``model``.
     ``keep`` are the columns carried through (default: all)."""
     keep = list(keep) if keep is not None else list(df.columns)
-    src = df.select(*dict.fromkeys(keep + [input_col]))
+    src = spread_small_input(df.select(*dict.fromkeys(keep + [input_col])))
     fields = [src.schema[c] for c in keep]
     schema = T.StructType([T.StructField("model", T.StringType(), False)] + fields
                           + [T.StructField(out, T.DoubleType(), True)])

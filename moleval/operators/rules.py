@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moleval.operators.common import BROADCAST_MAX_ROWS, col
+from moleval.operators.common import BROADCAST_MAX_ROWS, col, spread_small_input
 
 # --- fixed values ---
 NO_GROUPS = "No functional groups assigned."
@@ -99,6 +99,7 @@ def unmatched_names(left: DataFrame, right: DataFrame, left_name: str, right_nam
 
 def tokenize(df: DataFrame, row_id: str, text: str, pattern: str = r"\s+") -> DataFrame:
     """Whole text -> ``(row_id, pos, token)``, positions 0-based."""
+    df = spread_small_input(df.select(row_id, text))
     return df.select(col(row_id).alias(row_id),
                      F.posexplode(F.split(col(text), pattern)).alias("pos", "token"))
 
