@@ -103,7 +103,11 @@ def exact_median(df: DataFrame, by: list, value: str, name: str = "median", aggs
     base = df.select(*by, value).where(F.col(value).isNotNull())
     s = with_sequence_index(base, by + [value], name="_seq")
     stats = s.groupBy(*by).agg(F.min("_seq").alias("_start"), F.count(F.lit(1)).alias("_n"), *aggs)
-    joined = s.join(stats, by) if by else s.crossJoin(F.broadcast(stats))
+    if by:
+        joined = s.join(stats, by)
+    else:                                   # one group: start and size are a scalar subquery
+        one = stats.select(F.struct(*stats.columns).alias("_st")).scalar()
+        joined = s.withColumn("_start", one["_start"]).withColumn("_n", one["_n"])
     r = F.col("_seq") - F.col("_start")
     lo = F.floor((F.col("_n") - 1) / 2)
     hi = F.floor(F.col("_n") / 2)
@@ -112,7 +116,10 @@ def exact_median(df: DataFrame, by: list, value: str, name: str = "median", aggs
     if not aggs:
         return med
     extra = stats.drop("_start", "_n")
-    return med.join(extra, by) if by else med.crossJoin(extra)
+    if by:
+        return med.join(extra, by)
+    one = extra.select(F.struct(*extra.columns).alias("_st")).scalar()
+    return med.select(name, *[one[c].alias(c) for c in extra.columns])
 
 
 def normalize_zero(c) -> Column:

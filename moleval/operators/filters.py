@@ -65,10 +65,8 @@ def until_first_failure(chunks: DataFrame, chunk: str = "chunk", ok=None) -> Dat
     strictly before the first not-ok chunk.
     """
     ok = F.coalesce(ok if ok is not None else (F.col("status") == 200), F.lit(False))
-    first_bad = chunks.where(~ok).agg(F.min(col(chunk)).alias("_first_bad"))
-    return (chunks.crossJoin(F.broadcast(first_bad))
-            .where(F.col("_first_bad").isNull() | (col(chunk) < F.col("_first_bad")))
-            .drop("_first_bad"))
+    first_bad = chunks.where(~ok).agg(F.min(col(chunk))).scalar()     # scalar subquery
+    return chunks.where(first_bad.isNull() | (col(chunk) < first_bad))
 
 
 def exclude_values(df: DataFrame, column: str, values) -> DataFrame:

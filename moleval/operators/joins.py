@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from moleval.functions.prompt import NO_TABLE_TEXT, table_entry
 from moleval.operators.common import BROADCAST_MAX_ROWS, as_list, checked_broadcast, col
+from moleval.session import cut_lineage
 
 
 def pair_with_base(long: DataFrame, base_model: str, key, model: str = "model",
@@ -51,13 +52,16 @@ def attach_value_table(df: DataFrame, groups: str, values: DataFrame, name: str
     entries = values.select(col(rank).alias("r"), col(name).alias("n"), col(value).alias("v"))
     g = col(groups)
     if n <= max_rows:
-        packed = entries.agg(F.array_sort(F.collect_list(F.struct("r", "n", "v"))).alias("_vt"))
+        # scalar subquery: the whole (checked) table as one sorted array, filtered per row
+        packed = entries.agg(F.array_sort(F.collect_list(F.struct("r", "n", "v")))).scalar()
         hit = F.filter(F.col("_vt"), lambda e: F.array_contains(g, e["n"]))
         table = F.transform(hit, lambda e: table_entry(e["n"], e["v"]))
-        return (df.crossJoin(F.broadcast(packed))
+        return (df.withColumn("_vt", packed)
                   .withColumn(out, F.when(g.isNull(), F.array(F.lit(NO_TABLE_TEXT))).otherwise(table))
                   .drop("_vt"))
-    rid = df.withColumn("_rid", F.monotonically_increasing_id())
+    # large table: explode the distinct names, equi-join, re-collect per row; the row id
+    # is written once so both uses of it agree
+    rid = cut_lineage(df.withColumn("_rid", F.monotonically_increasing_id()))
     ex = rid.select("_rid", F.explode(F.array_distinct(g)).alias("n"))
     hits = (ex.join(entries, "n").groupBy("_rid")
               .agg(F.array_sort(F.collect_list(F.struct("r", "n", "v"))).alias("_hits")))

@@ -117,10 +117,17 @@ def histogram(df: DataFrame, column: str, bins: int = 20, by=None) -> DataFrame:
                    F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
                    F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
            .where(F.col("_lo").isNotNull()))          # F10: no values -> no histogram
-    joined = vals.crossJoin(F.broadcast(rng)) if not by else vals.join(rng, by)
+    if by:
+        joined = vals.join(rng, by)
+        all_bins = rng.select(*by, "_lo", "_hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    else:                                   # one range: a scalar subquery, no join
+        one = rng.select(F.struct("_lo", "_hi").alias("_r")).scalar()
+        joined = vals.withColumn("_lo", one["_lo"]).withColumn("_hi", one["_hi"])
+        all_bins = (df.sparkSession.range(1, bins + 1)
+                    .select(one["_lo"].alias("_lo"), one["_hi"].alias("_hi"), F.col("id").cast("int").alias("bin"))
+                    .where(F.col("_lo").isNotNull()))
     counted = (joined.select(*by, _numpy_bin(F.col("_x"), F.col("_lo"), F.col("_hi"), bins).alias("bin"))
                .groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("count")))
-    all_bins = rng.select(*by, "_lo", "_hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     step = (F.col("_hi") - F.col("_lo")) / bins
     return (all_bins.join(counted, by + ["bin"], "left")
             .select(*by, "bin",

@@ -46,8 +46,8 @@ def positional_split(df: DataFrame, order, cut, gap: int = 0, name: str = "part"
     fraction of the rows."""
     s = with_sequence_index(df, as_list(order), name="seq")
     if isinstance(cut, float) and 0 < cut < 1:
-        total = s.agg(F.count(F.lit(1)).alias("_total"))
-        s = s.crossJoin(F.broadcast(total)).withColumn("_cut", F.floor(F.col("_total") * cut)).drop("_total")
+        total = s.agg(F.count(F.lit(1))).scalar()
+        s = s.withColumn("_cut", F.floor(total * cut))
     else:
         s = s.withColumn("_cut", F.lit(int(cut)))
     part = (F.when(F.col("seq") < F.col("_cut"), F.lit(first))
@@ -100,9 +100,9 @@ def longest_connected_run(edges: DataFrame, id_col: str, order, begin: str, end:
     cont = F.coalesce((F.col("_pid") == F.col("_id")) & shares, F.lit(False))
     starts = with_sequence_index(j.where(~cont).select("_id", "_seq"), ["_seq"], name="_k")
     nxt = starts.select((F.col("_k") - 1).alias("_k"), F.col("_seq").alias("_next"))
-    total = s.agg(F.count(F.lit(1)).alias("_n"))
-    runs = (starts.join(nxt, "_k", "left").crossJoin(F.broadcast(total))
-                  .select("_id", (F.coalesce(F.col("_next"), F.col("_n")) - F.col("_seq")).alias("_len")))
+    total = s.agg(F.count(F.lit(1))).scalar()
+    runs = (starts.join(nxt, "_k", "left")
+                  .select("_id", (F.coalesce(F.col("_next"), total) - F.col("_seq")).alias("_len")))
     best = runs.groupBy("_id").agg(F.max("_len").alias("_best"))
     ids = edges.select(col(id_col).alias("_id")).distinct()
     return ids.join(best, "_id", "left").select(

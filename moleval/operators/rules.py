@@ -299,8 +299,8 @@ def additive_score(assigned: DataFrame, values: DataFrame, groups: str = "groups
     if n > max_rows:
         raise ValueError(f"value table exceeds {max_rows} rows")
     vmap = values.agg(F.map_from_entries(F.collect_list(F.struct(col(name), col(value).cast("double"))))
-                      .alias("_vm"))
+                      ).scalar()           # scalar subquery: the whole (checked) table as one map
     g = col(groups)
     score = F.aggregate(g, F.lit(0.0),
                         lambda acc, x: acc + F.coalesce(F.try_element_at(F.col("_vm"), x), F.lit(0.0)))
-    return assigned.crossJoin(F.broadcast(vmap)).withColumn(out, score).drop("_vm")
+    return assigned.withColumn("_vm", vmap).withColumn(out, score).drop("_vm")

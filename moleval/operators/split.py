@@ -39,9 +39,9 @@ def group_assignment(df: DataFrame, key, frac: float = 0.8) -> DataFrame:
     key = as_list(key)
     sizes = df.groupBy(*[col(k) for k in key]).agg(F.count(F.lit(1)).alias("size"))
     total = sizes.agg(F.sum("size").alias("_n"))
-    cap = total.select(F.floor(F.col("_n") * frac + 1e-9).cast("bigint").alias("cap"))
+    cap = total.select(F.floor(F.col("_n") * frac + 1e-9).cast("bigint")).scalar()
     runs_in = (sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n_groups"))
-               .crossJoin(F.broadcast(cap)).withColumn("_one", F.lit(0)))
+               .withColumn("cap", cap).withColumn("_one", F.lit(0)))
     runs = runs_in.groupBy("_one").applyInPandas(
         lambda pdf: _runs(pdf), "size bigint, taken bigint")
     ranked = with_sequence_index(sizes, [F.col("size").desc(), *[F.col(k) for k in key]], name="_seq")
