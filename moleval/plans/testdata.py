@@ -23,6 +23,7 @@ from moleval.operators import joins as J
 from moleval.operators import metrics as M
 from moleval.operators import ordered as O
 from moleval.operators import stats as ST
+from moleval.operators.common import spread_small_input
 
 OUTLIER_T = 10000.0        # error threshold of the lineitem analogue
 R6 = 6                     # decimals kept for doubles in compared outputs
@@ -32,6 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, spread over all task slots when it is stored in
+    fewer files than slots (per-row regex work over whole texts)."""
+    return spread_small_input(table(spark, sf_dir, name))
+
+
 def r(c, d: int = R6):
     """Round for comparison and turn -0.0 into 0.0."""
     c = F.col(c) if isinstance(c, str) else c
@@ -248,7 +255,7 @@ FROM tt"""
 
 # ---------------------------------------------------------------- scalars
 def q_first_number(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", S.first_number("text").alias("first_num"))
+    d = text_table(spark, sf_dir, "documents").select("doc_id", S.first_number("text").alias("first_num"))
     return d
 
 
@@ -260,7 +267,7 @@ FROM documents"""
 def q_comparison_metrics(spark, sf_dir):
     """P2 -> F1 -> F2 -> A1 (the comparison flow): known value = n_chars/100,
     prediction = first number written in the text."""
-    d = table(spark, sf_dir, "documents").select(
+    d = text_table(spark, sf_dir, "documents").select(
         (F.col("n_chars") / 100.0).alias("known"), S.first_number("text").alias("predicted"))
     d = FL.drop_extreme(FL.drop_missing(d, ["known", "predicted"]), "predicted", 1000.0)
     m = M.error_metrics(d, [], "known", "predicted")
@@ -289,7 +296,7 @@ SELECT o_orderkey, TRY_CAST(NULLIF(regexp_extract(o_orderpriority, '[-+]?\d*\.\d
 
 
 def q_letter_counts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = text_table(spark, sf_dir, "documents")
     n = S.count_letter("text", "n")
     o = S.count_letter("text", "o")
     return d.select("doc_id", n.alias("num_n"), o.alias("num_o"), (n + o).alias("total_hits"))
@@ -317,7 +324,7 @@ FROM {CLASSIFIED_SQL} WHERE outcome = 'outlier'"""
 
 
 def q_token_alphabet(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
+    c = text_table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", S.only_tokens("text").alias("only_cno"),
                     F.size(S.element_symbols("text")).cast("bigint").alias("n_atoms"))
 
