@@ -67,7 +67,7 @@ def q_property_records(spark, sf_dir):
 SQL_PROPERTY_RECORDS = """
 WITH rec AS (SELECT p_partkey AS CID, CASE WHEN p_brand <> 'Brand#1' THEN p_type END AS CanonicalSMILES,
                     p_retailprice / 100.0 AS XLogP, CAST(p_retailprice / 2.0 AS VARCHAR) AS ExactMass,
-                    p_size * 2.0 AS TPSA, CAST(floor(p_size / 8) AS BIGINT) AS HBondDonorCount,
+                    CAST(p_size AS DOUBLE) * 2.0 AS TPSA, CAST(floor(p_size / 8) AS BIGINT) AS HBondDonorCount,
                     CAST(floor(p_size / 4) AS BIGINT) AS HBondAcceptorCount, floor(p_partkey / 10) AS chunk,
                     p_size FROM part),
 bad AS (SELECT chunk FROM rec GROUP BY chunk HAVING max(p_size) = 50)
