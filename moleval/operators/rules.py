@@ -90,11 +90,17 @@ def invalid_report(long_rules: DataFrame) -> DataFrame:
 
 
 def unmatched_names(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
-    """V2: names that occur on one side only (exact, case-sensitive)."""
-    a = left.select(col(left_name).alias("name")).where(F.col("name").isNotNull()).distinct()
-    b = right.select(col(right_name).alias("name")).where(F.col("name").isNotNull()).distinct()
-    return (a.join(b, "name", "left_anti").withColumn("side", F.lit("left_only"))
-            .unionByName(b.join(a, "name", "left_anti").withColumn("side", F.lit("right_only"))))
+    """V2: names that occur on one side only (exact, case-sensitive).
+
+    One full outer join of the two distinct name sets, so each input plan is
+    evaluated once (two anti-joins would evaluate each side twice)."""
+    a = (left.select(col(left_name).alias("name")).where(F.col("name").isNotNull()).distinct()
+         .withColumn("_l", F.lit(True)))
+    b = (right.select(col(right_name).alias("name")).where(F.col("name").isNotNull()).distinct()
+         .withColumn("_r", F.lit(True)))
+    j = a.join(b, "name", "full_outer").where(F.col("_l").isNull() | F.col("_r").isNull())
+    return j.select("name", F.when(F.col("_r").isNull(), F.lit("left_only"))
+                    .otherwise(F.lit("right_only")).alias("side"))
 
 
 def tokenize(df: DataFrame, row_id: str, text: str, pattern: str = r"\s+") -> DataFrame:
