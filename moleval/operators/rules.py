@@ -149,7 +149,8 @@ def any_of(patterns: list[str]) -> str:
 
 
 def match_rules(tokens: DataFrame, rules: DataFrame, row_id: str, token: str = "token",
-                pos: str = "pos", max_rules: int = 10_000) -> DataFrame:
+                pos: str = "pos", max_rules: int = 10_000, flag=None,
+                flag_name: str = "is_target") -> DataFrame:
     """Every usable rule pattern against every token.
 
     Output ``(row_id, group_rank, group, pattern_rank, match_no, pos)`` where
@@ -160,6 +161,10 @@ def match_rules(tokens: DataFrame, rules: DataFrame, row_id: str, token: str = "
     code), preceded by one alternation of all patterns that drops tokens no
     rule can match.  A join on ``token RLIKE pattern`` would instead
     recompile the pattern for every (token, rule) pair.
+
+    ``flag`` (a boolean Column over the token) keeps flagged tokens even
+    without a rule hit (rule columns NULL) and adds it as ``flag_name``, so
+    target tokens (A16) come from the same scan as the matches.
     """
     usable = usable_rules(rules).select("group_rank", "group", "pattern_rank", "pattern")
     rows = sorted(_small_rules(usable, max_rules), key=lambda r: (r["group_rank"], r["pattern_rank"]))
@@ -174,14 +179,21 @@ def match_rules(tokens: DataFrame, rules: DataFrame, row_id: str, token: str = "
                                               F.lit(r["group"]).alias("group"),
                                               F.lit(r["pattern_rank"]).cast("int").alias("pattern_rank")))
         for r in rows]))
-    cand = tokens.where(t.rlike(combined)).select(col(row_id).alias(row_id), col(pos).alias("_pos"),
-                                                 F.explode(hits).alias("_m"))
-    return cand.select(row_id, "_m.group_rank", "_m.group", "_m.pattern_rank",
-                       F.col("_pos").cast("bigint").alias("match_no"), F.col("_pos").cast("int").alias("pos"))
+    out = [row_id, "_m.group_rank", "_m.group", "_m.pattern_rank",
+           F.col("_pos").cast("bigint").alias("match_no"), F.col("_pos").cast("int").alias("pos")]
+    if flag is None:
+        cand = tokens.where(t.rlike(combined)).select(col(row_id).alias(row_id), col(pos).alias("_pos"),
+                                                     F.explode(hits).alias("_m"))
+        return cand.select(*out)
+    cand = tokens.where(t.rlike(combined) | flag).select(
+        col(row_id).alias(row_id), col(pos).alias("_pos"), F.coalesce(flag, F.lit(False)).alias(flag_name),
+        F.explode_outer(hits).alias("_m"))
+    return cand.select(*out, flag_name)
 
 
 def assign_groups(matches: DataFrame, row_id: str, rows: DataFrame | None = None,
-                  targets: DataFrame | None = None, pos: str = "pos") -> DataFrame:
+                  targets: DataFrame | None = None, pos: str = "pos",
+                  target_flag: str | None = None) -> DataFrame:
     """W3 (+A16) for single-position matches.
 
     For a position, the first match (rule order) is assigned.  A later group
@@ -194,10 +206,15 @@ def assign_groups(matches: DataFrame, row_id: str, rows: DataFrame | None = None
     conflict, ``['No functional groups assigned.']`` when empty),
     ``n_assigned``; with ``targets`` (row_id, pos) also ``n_targets`` and
     ``unassigned`` (target positions not covered, A16).
-    ``rows`` adds rows without any match.
+    ``rows`` adds rows without any match.  Instead of ``targets``,
+    ``target_flag`` names a boolean column of ``matches`` (see the ``flag``
+    of :func:`match_rules`); rows with NULL rule columns are then target
+    tokens without a match.
     """
+    is_match = F.col("group_rank").isNotNull() if target_flag else F.lit(True)
+    extra = [F.col(target_flag).alias("_is_target")] if target_flag else []
     m = matches.select(col(row_id).alias("_r"), col(pos).alias("_p"), "group_rank", "group",
-                       "pattern_rank", "match_no", F.lit(True).alias("_is_match"))
+                       "pattern_rank", "match_no", is_match.alias("_is_match"), *extra)
     parts = [m]
     if rows is not None:
         parts.append(rows.select(col(row_id).alias("_r")).withColumn("_is_match", F.lit(False)))
@@ -223,10 +240,13 @@ def assign_groups(matches: DataFrame, row_id: str, rows: DataFrame | None = None
            F.sort_array(F.collect_list(F.when(F.col("_assigned"),
                                               F.struct("group_rank", "pattern_rank", "match_no", "group"))))
            .alias("_hits")]
+    tgt = F.coalesce(F.col("_is_target"), F.lit(False))
+    uncovered = tgt & ~F.coalesce(F.col("_covered"), F.lit(False))
     if targets is not None:
-        tgt = F.coalesce(F.col("_is_target"), F.lit(False))
-        agg += [F.count_if(tgt).alias("n_targets"),
-                F.count_if(tgt & ~F.coalesce(F.col("_covered"), F.lit(False))).alias("unassigned")]
+        agg += [F.count_if(tgt).alias("n_targets"), F.count_if(uncovered).alias("unassigned")]
+    elif target_flag:        # a target token may sit on several match rows: count positions
+        agg += [F.size(F.collect_set(F.when(tgt, F.col("_p")))).alias("n_targets"),
+                F.size(F.collect_set(F.when(uncovered, F.col("_p")))).alias("unassigned")]
     out = d.groupBy("_r").agg(*agg)
     names = F.transform(F.col("_hits"), lambda h: h["group"])
     groups = (F.when(F.coalesce(F.col("_failed"), F.lit(0)) == 1, F.lit(None))
@@ -234,7 +254,7 @@ def assign_groups(matches: DataFrame, row_id: str, rows: DataFrame | None = None
     cols = [F.col("_r").alias(row_id), groups.alias("groups"),
             F.when(F.coalesce(F.col("_failed"), F.lit(0)) == 1, F.lit(None))
              .otherwise(F.size(names)).cast("bigint").alias("n_assigned")]
-    if targets is not None:
+    if targets is not None or target_flag:
         cols += [F.col("n_targets").cast("bigint").alias("n_targets"),
                  F.col("unassigned").cast("bigint").alias("unassigned")]
     return out.select(*cols)

@@ -66,11 +66,10 @@ def doc_matches(spark, sf_dir):
 
 
 def doc_groups(spark, sf_dir):
-    toks = doc_tokens(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    targets = toks.where(F.col("token").rlike(TARGET_PATTERN)).select("doc_id", "pos")
-    m = R.match_rules(toks, long_rules(spark), "doc_id")
-    return R.assign_groups(m, "doc_id", rows=docs, targets=targets)
+    m = R.match_rules(doc_tokens(spark, sf_dir), long_rules(spark), "doc_id",
+                      flag=F.col("token").rlike(TARGET_PATTERN))     # matches and targets in one scan
+    return R.assign_groups(m, "doc_id", rows=docs, target_flag="is_target")
 
 
 def q_rule_matches(spark, sf_dir):

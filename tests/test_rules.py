@@ -98,3 +98,21 @@ def test_any_of_hoists_anchor_only_when_safe():
     assert R.any_of(["^a|b", "^c"]) == "(?:^a|b)|(?:^c)"
     assert R.any_of(["a", "^c"]) == "(?:a)|(?:^c)"
     assert not R._has_top_level_bar(r"^[|]\|x")
+
+
+def test_target_flag_equals_target_table(spark):
+    rules = spark.createDataFrame([(1, r"^\d+$", "Number", r"^\d+\.\d+$", None, None),
+                                   (2, r"^[A-Z]\w*$", "Word", None, None, None)],
+                                  "rule_index int, original string, group string, new_1 string, new_2 string, new_3 string")
+    lr = R.rules_to_long(rules)
+    docs = spark.createDataFrame([(1, "A 12 b3 1.5 x"), (2, "no match here"), (3, "B7 7")], "id int, text string")
+    toks = R.tokenize(docs, "id", "text")
+    tflag = F.col("token").rlike(r"\d")
+    a = R.assign_groups(R.match_rules(toks, lr, "id", flag=tflag), "id", rows=docs.select("id"),
+                        target_flag="is_target")
+    b = R.assign_groups(R.match_rules(toks, lr, "id"), "id", rows=docs.select("id"),
+                        targets=toks.where(tflag).select("id", "pos"))
+    rows_a = {r["id"]: tuple(r) for r in a.collect()}
+    rows_b = {r["id"]: tuple(r) for r in b.collect()}
+    assert rows_a == rows_b
+    assert rows_a[1][3:] == (3, 1)          # targets 12, b3, 1.5; b3 is not covered
