@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from moleval.functions import prompt as PR
 from moleval.functions import scalars as S
 from moleval.operators import curate as C
+from moleval.operators import ordered as O
 from moleval.plans.testdata import table
 from moleval.sources import tables as SRC
 
@@ -122,6 +123,20 @@ WHERE len(syms) > 0 AND len(list_filter(syms, lambda x: x NOT IN ('C', 'N', 'O')
   AND NOT coalesce(ExactMass > 500, false)"""
 
 
+def q_random_probe(spark, sf_dir):
+    """P18 + A12 + J2: as many seeded random ids as ``part`` has rows, drawn
+    from ``[1, max(p_partkey)]``, cut into request chunks of 10 in draw order,
+    with the number of drawn ids that exist.  Rows-only check (the seeded
+    hash is Spark's)."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"))
+    stats = p.agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("mx")).first()   # two numbers
+    draws = S.random_keys(spark, int(stats["n"]), int(stats["mx"]), seed=42)
+    hits = draws.join(p.withColumn("_found", F.lit(1)), "key", "left")
+    found = hits.groupBy(F.floor(F.col("draw") / REQ_SIZE).cast("bigint").alias("chunk")).agg(
+        F.sum(F.coalesce("_found", F.lit(0))).cast("bigint").alias("n_found"))
+    return O.batch_ids(draws, "key", ["draw"], k=REQ_SIZE).join(found, "chunk")
+
+
 # ---------------------------------------------------------------- prompts
 PROMPT_MODELS = ["tpsa_model_abcdef", "tpsa_model_acf", "direct_model"]
 
@@ -201,6 +216,7 @@ QUERIES = {
     "prompt_text": q_prompt_text,
     "examples": q_examples,
     "parse_answers": q_parse_answers,
+    "random_probe": q_random_probe,
 }
 
 ORACLE_SQL = {
