@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from moleval.operators.common import BROADCAST_MAX_ROWS, col, spread_small_input
 
@@ -28,14 +27,6 @@ from moleval.operators.common import BROADCAST_MAX_ROWS, col, spread_small_input
 NO_GROUPS = "No functional groups assigned."
 # --- end of fixed values ---
 
-MATCH_STRUCT = T.StructType([
-    T.StructField("group_rank", T.IntegerType()),
-    T.StructField("pattern_rank", T.IntegerType()),
-    T.StructField("match_no", T.LongType()),
-    T.StructField("group", T.StringType()),
-    T.StructField("positions", T.ArrayType(T.IntegerType())),
-])
-
 
 def regex_valid(pattern) -> Column:
     """V1: True when ``pattern`` compiles as a Java regular expression (the

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from moleval.operators import predict as P
@@ -104,4 +103,3 @@ ORACLE_SQL = {
     "udf_descriptor": SQL_UDF_DESCRIPTOR,
 }
 
-__all__ = ["QUERIES", "ORACLE_SQL", "Window"]
