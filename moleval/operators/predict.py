@@ -50,3 +50,21 @@ def with_descriptor(df: DataFrame, fn: Callable[[pd.Series], pd.Series], input_c
             res = pd.Series(fn(s.fillna("")), index=s.index)
             yield res.where(s.notna(), null_value)
     return df.withColumn(out, udf(F.col(input_col)))
+
+
+def with_model_predictions(df: DataFrame, predictors: dict, input_col, keep=None,
+                           out: str = "pred") -> DataFrame:
+    """U1 with dispatch by model name: one long table ``(model, keep..., pred)``
+    for every ``{model: predict_fn}`` entry.  ``input_col`` is a column name,
+    or a ``{model: column}`` mapping when the models read different inputs
+    (a direct prompt for one, an augmented prompt for another).  The result
+    is a single plan (a union of per-model ``mapInPandas`` stages over the
+    same scan), written or aggregated once."""
+    parts = []
+    for model, fn in predictors.items():
+        col_name = input_col[model] if isinstance(input_col, dict) else input_col
+        parts.append(with_predictions(df, fn, col_name, model, out=out, keep=keep))
+    result = parts[0]
+    for p in parts[1:]:
+        result = result.unionByName(p)
+    return result

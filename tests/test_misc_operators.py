@@ -63,3 +63,15 @@ def test_error_class_null_is_neither(spark):
     df = spark.createDataFrame([(1.0,), (1.0001,), (None,)], "e double")
     got = [r["c"] for r in df.select(FL.error_class("e", 1.0).alias("c")).collect()]
     assert got == ["good", "outlier", None]
+
+
+def test_with_model_predictions_dispatch(spark):
+    from moleval.operators import predict as P
+    df = spark.createDataFrame([(1, "CCO", "long prompt CCO"), (2, "CN", "long prompt CN")],
+                               "id int, smiles string, prompt string")
+    long = P.with_model_predictions(
+        df, {"direct_model": lambda s: s.str.len(), "tpsa_model_acf": lambda s: s.str.len() * 10},
+        {"direct_model": "smiles", "tpsa_model_acf": "prompt"}, keep=["id"])
+    got = sorted((r["model"], r["id"], r["pred"]) for r in long.collect())
+    assert got == [("direct_model", 1, 3.0), ("direct_model", 2, 2.0),
+                   ("tpsa_model_acf", 1, 150.0), ("tpsa_model_acf", 2, 140.0)]
