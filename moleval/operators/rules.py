@@ -182,6 +182,69 @@ def match_rules(tokens: DataFrame, rules: DataFrame, row_id: str, token: str = "
     return cand.select(*out, flag_name)
 
 
+def phrase_length(pattern: str) -> int:
+    """Tokens a pattern spans: one more than its literal spaces outside
+    character classes (``^[A-Z]\\w+ \\d{4}$`` spans two tokens)."""
+    n, in_class, esc = 1, False, False
+    for ch in pattern:
+        if esc:
+            esc = False
+        elif ch == "\\":
+            esc = True
+        elif in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+        elif ch == " ":
+            n += 1
+    return n
+
+
+def match_phrases(df: DataFrame, row_id: str, text: str, rules: DataFrame, split: str = r"\s+",
+                  max_rules: int = 10_000) -> DataFrame:
+    """J6 for phrase rules: a pattern with ``k`` literal spaces is matched
+    against every run of ``k + 1`` consecutive tokens joined by one space.
+
+    Output ``(row_id, group_rank, group, pattern_rank, match_no, positions)``
+    with ``positions`` the token positions covered (input of
+    :func:`assign_groups_fold`).  The runs are built inside each row with
+    array functions (bounded by the row's length), one literal ``rlike`` per
+    pattern, and exploded once per phrase length.
+    """
+    usable = usable_rules(rules).select("group_rank", "group", "pattern_rank", "pattern")
+    rows = sorted(_small_rules(usable, max_rules), key=lambda r: (r["group_rank"], r["pattern_rank"]))
+    by_len: dict[int, list] = {}
+    for r in rows:
+        by_len.setdefault(phrase_length(r["pattern"]), []).append(r)
+    base = spread_small_input(df.select(row_id, text)).select(
+        col(row_id).alias(row_id), F.split(col(text), split).alias("_toks"))
+    parts = []
+    for n, rs in sorted(by_len.items()):
+        grams = F.transform(F.sequence(F.lit(0), F.size("_toks") - n),
+                            lambda i: F.struct(i.alias("p"), F.array_join(F.slice("_toks", i + 1, n), " ").alias("g")))
+        ex = (base.where(F.size("_toks") >= n)
+                  .select(row_id, F.explode(grams).alias("_g")))
+        g = F.col("_g.g")
+        hits = F.array_compact(F.array(*[
+            F.when(g.rlike(r["pattern"]), F.struct(F.lit(r["group_rank"]).cast("int").alias("group_rank"),
+                                                  F.lit(r["group"]).alias("group"),
+                                                  F.lit(r["pattern_rank"]).cast("int").alias("pattern_rank")))
+            for r in rs]))
+        m = ex.where(g.rlike(any_of([r["pattern"] for r in rs]))).select(
+            row_id, F.col("_g.p").alias("_p"), F.explode(hits).alias("_m"))
+        parts.append(m.select(row_id, "_m.group_rank", "_m.group", "_m.pattern_rank",
+                              F.col("_p").cast("bigint").alias("match_no"),
+                              F.sequence(F.col("_p"), F.col("_p") + (n - 1)).cast("array<int>").alias("positions")))
+    if not parts:
+        return df.sparkSession.createDataFrame(
+            [], f"`{row_id}` {df.schema[row_id].dataType.simpleString()}, group_rank int, group string, "
+                "pattern_rank int, match_no bigint, positions array<int>")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def assign_groups(matches: DataFrame, row_id: str, rows: DataFrame | None = None,
                   targets: DataFrame | None = None, pos: str = "pos",
                   target_flag: str | None = None) -> DataFrame:
@@ -254,7 +317,7 @@ def assign_groups(matches: DataFrame, row_id: str, rows: DataFrame | None = None
 _ACC = "struct<assigned: array<struct<g: int, name: string, pos: array<int>>>, failed: boolean>"
 
 
-def assign_groups_fold(matches: DataFrame, row_id: str, targets: str | None = None) -> DataFrame:
+def assign_groups_fold(matches: DataFrame, row_id: str, rows: DataFrame | None = None) -> DataFrame:
     """W3 (+A16) for matches covering several positions, as an ordered fold.
 
     ``matches``: ``(row_id, group_rank, group, pattern_rank, match_no,
@@ -262,7 +325,9 @@ def assign_groups_fold(matches: DataFrame, row_id: str, targets: str | None = No
     (group_rank, pattern_rank, match_no) order.  A match without overlap is
     assigned; an overlap including its own group is skipped; an overlap with
     other groups only fails the row for an original pattern and is assigned
-    for an additional one.  Per-row state is bounded by the row's matches.
+    for an additional one.  Per-row state is bounded by the row's matches
+    (the fold is quadratic in them: use :func:`assign_groups` for token
+    matches).  ``rows`` adds rows without any match (no-groups sentinel).
     """
     per_row = matches.groupBy(col(row_id).alias(row_id)).agg(F.sort_array(F.collect_list(
         F.struct(F.col("group_rank").cast("int").alias("group_rank"),
@@ -287,6 +352,9 @@ def assign_groups_fold(matches: DataFrame, row_id: str, targets: str | None = No
                  .otherwise(added))
 
     res = per_row.select(row_id, F.aggregate("_m", zero, step).alias("_acc"))
+    if rows is not None:
+        res = rows.select(col(row_id).alias(row_id)).join(res, row_id, "left").withColumn(
+            "_acc", F.coalesce(F.col("_acc"), zero))
     names = F.transform(F.col("_acc.assigned"), lambda e: e["name"])
     groups = (F.when(F.col("_acc.failed"), F.lit(None))
                .when(F.size(names) == 0, F.array(F.lit(NO_GROUPS))).otherwise(names))

@@ -38,6 +38,13 @@ TEXT_VALUES = [
     ("Number", 0.5), ("Junk", -1.0), ("Capitalized", 0.25), ("Symbol", 0.1),
 ]
 TARGET_PATTERN = r"\d"
+# ordered phrase rule table: a literal space separates consecutive tokens
+PHRASE_RULES = [
+    (1, r"^[A-Z][a-z]+ [A-Z][a-z]+\W*$", "Name pair", None, None, None),
+    (2, r"^\d+ \d+\W*$", "Number pair", r"^\d+[.,]\d+ \d+\W*$", None, None),
+    (3, r"^\S*### \S*###$", "Junk pair", None, None, None),
+    (4, r"^[A-Z][a-z]+ [a-z]+ [A-Z][a-z]+\W*$", "Name triple", None, None, None),
+]
 # --- end of fixed values ---
 
 RULE_SCHEMA = "rule_index int, original string, group string, new_1 string, new_2 string, new_3 string"
@@ -114,6 +121,25 @@ def q_unmatched_names(spark, sf_dir):
     return R.unmatched_names(g, value_table(spark), "name", "group")
 
 
+def phrase_rules(spark):
+    return R.rules_to_long(spark.createDataFrame(PHRASE_RULES, RULE_SCHEMA))
+
+
+def q_phrase_matches(spark, sf_dir):
+    m = R.match_phrases(table(spark, sf_dir, "documents"), "doc_id", "text", phrase_rules(spark))
+    return m.select("doc_id", "group_rank", "group", "pattern_rank", F.col("match_no").alias("pos"),
+                    F.size("positions").cast("int").alias("n_tokens"))
+
+
+def q_phrase_groups(spark, sf_dir):
+    """W3 over multi-position (phrase) matches: the ordered fold per document."""
+    docs = table(spark, sf_dir, "documents")
+    m = R.match_phrases(docs, "doc_id", "text", phrase_rules(spark))
+    g = R.assign_groups_fold(m, "doc_id", rows=docs.select("doc_id"))
+    return g.select("doc_id", F.array_join("groups", "|").alias("groups_text"),
+                    F.size("assigned_positions").cast("bigint").alias("n_positions"))
+
+
 # ---------------------------------------------------------------- oracle SQL
 def _lit(v):
     if v is None:
@@ -228,6 +254,31 @@ b AS (SELECT DISTINCT grp AS name FROM vt)
 SELECT name, 'left_only' AS side FROM a WHERE name NOT IN (SELECT name FROM b)
 UNION ALL SELECT name, 'right_only' AS side FROM b WHERE name NOT IN (SELECT name FROM a)"""
 
+def _phrase_sql():
+    vals = ",\n    ".join("(" + ", ".join(_lit(v) for v in r) + ")" for r in PHRASE_RULES)
+    lens = sorted({R.phrase_length(p) for r in PHRASE_RULES for p in (r[1], r[3], r[4], r[5]) if p})
+    per_len = "\n  UNION ALL ".join(
+        f"SELECT s.doc_id, i AS pos, {n} AS n, array_to_string(list_slice(s.toks, i + 1, i + {n}), ' ') AS g "
+        f"FROM s, range(0, greatest(len(s.toks) - {n} + 1, 0)) t(i)" for n in lens)
+    return f"""WITH wide(rule_index, original, grp, new_1, new_2, new_3) AS (VALUES
+    {vals}),
+lw AS (SELECT rule_index, grp, trim(p) AS pattern, slot
+       FROM (SELECT rule_index, grp, unnest([original, new_1, new_2, new_3]) AS p,
+                    unnest(range(4)) AS slot FROM wide)
+       WHERE p IS NOT NULL AND trim(p) <> ''),
+gr AS (SELECT grp, dense_rank() OVER (ORDER BY min(rule_index), grp) - 1 AS group_rank FROM lw GROUP BY grp),
+lr AS (SELECT lw.grp, lw.pattern, gr.group_rank, length(lw.pattern) - length(replace(lw.pattern, ' ', '')) + 1 AS n,
+              row_number() OVER (PARTITION BY lw.grp ORDER BY lw.rule_index, lw.slot) - 1 AS pattern_rank
+       FROM lw JOIN gr USING (grp)),
+s AS (SELECT doc_id, string_split_regex(text, '\\s+') AS toks FROM documents),
+ng AS ({per_len})
+SELECT ng.doc_id, CAST(lr.group_rank AS INTEGER) AS group_rank, lr.grp AS "group",
+       CAST(lr.pattern_rank AS INTEGER) AS pattern_rank, CAST(ng.pos AS BIGINT) AS pos, CAST(ng.n AS INTEGER) AS n_tokens
+FROM ng JOIN lr ON ng.n = lr.n AND regexp_matches(ng.g, lr.pattern)"""
+
+
+SQL_PHRASE_MATCHES = _phrase_sql()
+
 QUERIES = {
     "rule_matches": q_rule_matches,
     "assign_groups": q_assign_groups,
@@ -236,6 +287,8 @@ QUERIES = {
     "additive_score": q_additive_score,
     "value_table_join": q_value_table_join,
     "unmatched_names": q_unmatched_names,
+    "phrase_matches": q_phrase_matches,
+    "phrase_groups": q_phrase_groups,
 }
 
 ORACLE_SQL = {
@@ -246,4 +299,5 @@ ORACLE_SQL = {
     "additive_score": SQL_ADDITIVE_SCORE,
     "value_table_join": SQL_VALUE_TABLE_JOIN,
     "unmatched_names": SQL_UNMATCHED_NAMES,
+    "phrase_matches": SQL_PHRASE_MATCHES,
 }

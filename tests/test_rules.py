@@ -116,3 +116,20 @@ def test_target_flag_equals_target_table(spark):
     rows_b = {r["id"]: tuple(r) for r in b.collect()}
     assert rows_a == rows_b
     assert rows_a[1][3:] == (3, 1)          # targets 12, b3, 1.5; b3 is not covered
+
+
+def test_phrase_matches_and_fold(spark):
+    rules_df = spark.createDataFrame([(1, r"^\d+ \d+$", "Number pair", None, None, None),
+                                      (2, r"^[A-Z][a-z]+$", "Capitalized", None, None, None)],
+                                     "rule_index int, original string, group string, new_1 string, new_2 string, new_3 string")
+    lr = R.rules_to_long(rules_df)
+    docs = spark.createDataFrame([(1, "Acme makes 12 34 56"), (2, "x")], "id int, text string")
+    ph = R.match_phrases(docs, "id", "text", lr.where("group = 'Number pair'"))
+    got = sorted((r["id"], r["group"], r["positions"]) for r in ph.collect())
+    assert got == [(1, "Number pair", [2, 3]), (1, "Number pair", [3, 4])]
+    toks = R.match_rules(R.tokenize(docs, "id", "text"), lr.where("group = 'Capitalized'"), "id")
+    single = toks.select("id", "group_rank", "group", "pattern_rank", "match_no",
+                         F.array("pos").alias("positions"))
+    res = {r["id"]: r["groups"] for r in R.assign_groups_fold(ph.unionByName(single), "id").collect()}
+    assert res == {1: ["Number pair", "Capitalized"]}
+    assert R.phrase_length(r"^[A-Z]\w+ \d{4}$") == 2 and R.phrase_length("^a[ ]b$") == 1
