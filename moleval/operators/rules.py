@@ -204,45 +204,50 @@ def match_phrases(df: DataFrame, row_id: str, text: str, rules: DataFrame, split
                   max_rules: int = 10_000) -> DataFrame:
     """J6 for phrase rules: a pattern with ``k`` literal spaces is matched
     against every run of ``k + 1`` consecutive tokens joined by one space.
+    All phrase lengths are built in one pass over each row.
 
     Output ``(row_id, group_rank, group, pattern_rank, match_no, positions)``
     with ``positions`` the token positions covered (input of
     :func:`assign_groups_fold`).  The runs are built inside each row with
-    array functions (bounded by the row's length), one literal ``rlike`` per
-    pattern, and exploded once per phrase length.
+    array functions (bounded by the row's length), exploded once, and tested
+    with one literal ``rlike`` per pattern after a per-length prefilter.
     """
     usable = usable_rules(rules).select("group_rank", "group", "pattern_rank", "pattern")
     rows = sorted(_small_rules(usable, max_rules), key=lambda r: (r["group_rank"], r["pattern_rank"]))
     by_len: dict[int, list] = {}
     for r in rows:
         by_len.setdefault(phrase_length(r["pattern"]), []).append(r)
-    base = spread_small_input(df.select(row_id, text)).select(
-        col(row_id).alias(row_id), F.split(col(text), split).alias("_toks"))
-    parts = []
-    for n, rs in sorted(by_len.items()):
-        grams = F.transform(F.sequence(F.lit(0), F.size("_toks") - n),
-                            lambda i: F.struct(i.alias("p"), F.array_join(F.slice("_toks", i + 1, n), " ").alias("g")))
-        ex = (base.where(F.size("_toks") >= n)
-                  .select(row_id, F.explode(grams).alias("_g")))
-        g = F.col("_g.g")
-        hits = F.array_compact(F.array(*[
-            F.when(g.rlike(r["pattern"]), F.struct(F.lit(r["group_rank"]).cast("int").alias("group_rank"),
-                                                  F.lit(r["group"]).alias("group"),
-                                                  F.lit(r["pattern_rank"]).cast("int").alias("pattern_rank")))
-            for r in rs]))
-        m = ex.where(g.rlike(any_of([r["pattern"] for r in rs]))).select(
-            row_id, F.col("_g.p").alias("_p"), F.explode(hits).alias("_m"))
-        parts.append(m.select(row_id, "_m.group_rank", "_m.group", "_m.pattern_rank",
-                              F.col("_p").cast("bigint").alias("match_no"),
-                              F.sequence(F.col("_p"), F.col("_p") + (n - 1)).cast("array<int>").alias("positions")))
-    if not parts:
+    if not by_len:
         return df.sparkSession.createDataFrame(
             [], f"`{row_id}` {df.schema[row_id].dataType.simpleString()}, group_rank int, group string, "
                 "pattern_rank int, match_no bigint, positions array<int>")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    lens = sorted(by_len)
+    base = spread_small_input(df.select(row_id, text)).select(
+        col(row_id).alias(row_id), F.split(col(text), split).alias("_toks"))
+    # one pass for every phrase length: per start position the joined run of each length
+    grams = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("_toks") - min(lens), F.lit(-1))),
+        lambda i: F.struct(i.alias("p"), *[
+            F.when(i + n <= F.size("_toks"), F.array_join(F.slice("_toks", i + 1, n), " ")).alias(f"g{n}")
+            for n in lens]))
+    ex = base.where(F.size("_toks") >= min(lens)).select(row_id, F.explode(grams).alias("_g"))
+    cond = None
+    hits = []
+    for n in lens:
+        g = F.col(f"_g.g{n}")
+        c = g.rlike(any_of([r["pattern"] for r in by_len[n]]))
+        cond = c if cond is None else (cond | c)
+        hits += [F.when(g.rlike(r["pattern"]),
+                        F.struct(F.lit(r["group_rank"]).cast("int").alias("group_rank"),
+                                 F.lit(r["group"]).alias("group"),
+                                 F.lit(r["pattern_rank"]).cast("int").alias("pattern_rank"),
+                                 F.lit(n).alias("n")))
+                 for r in by_len[n]]
+    m = ex.where(cond).select(row_id, F.col("_g.p").alias("_p"),
+                              F.explode(F.array_compact(F.array(*hits))).alias("_m"))
+    return m.select(row_id, "_m.group_rank", "_m.group", "_m.pattern_rank",
+                    F.col("_p").cast("bigint").alias("match_no"),
+                    F.sequence(F.col("_p"), F.col("_p") + F.col("_m.n") - 1).cast("array<int>").alias("positions"))
 
 
 def assign_groups(matches: DataFrame, row_id: str, rows: DataFrame | None = None,
