@@ -133,3 +133,13 @@ def test_phrase_matches_and_fold(spark):
     res = {r["id"]: r["groups"] for r in R.assign_groups_fold(ph.unionByName(single), "id").collect()}
     assert res == {1: ["Number pair", "Capitalized"]}
     assert R.phrase_length(r"^[A-Z]\w+ \d{4}$") == 2 and R.phrase_length("^a[ ]b$") == 1
+
+
+def test_phrase_matches_short_and_empty_rows(spark):
+    rules_df = spark.createDataFrame([(1, r"^a b c$", "Triple", None, None, None),
+                                      (2, r"^a b$", "Pair", None, None, None)],
+                                     "rule_index int, original string, group string, new_1 string, new_2 string, new_3 string")
+    docs = spark.createDataFrame([(1, "a"), (2, ""), (3, "a b"), (4, "a b c")], "id int, text string")
+    got = sorted((r["id"], r["group"], r["positions"]) for r in
+                 R.match_phrases(docs, "id", "text", R.rules_to_long(rules_df)).collect())
+    assert got == [(3, "Pair", [0, 1]), (4, "Pair", [0, 1]), (4, "Triple", [0, 1, 2])]
