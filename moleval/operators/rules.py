@@ -228,7 +228,8 @@ def match_phrases(df: DataFrame, row_id: str, text: str, rules: DataFrame, split
     grams = F.transform(
         F.sequence(F.lit(0), F.greatest(F.size("_toks") - min(lens), F.lit(-1))),
         lambda i: F.struct(i.alias("p"), *[
-            F.when(i + n <= F.size("_toks"), F.array_join(F.slice("_toks", i + 1, n), " ")).alias(f"g{n}")
+            F.when(i + n <= F.size("_toks"),
+                   F.concat_ws(" ", *[F.get("_toks", i + k) for k in range(n)])).alias(f"g{n}")
             for n in lens]))
     ex = base.where(F.size("_toks") >= min(lens)).select(row_id, F.explode(grams).alias("_g"))
     cond = None
