@@ -113,3 +113,15 @@ def test_longest_run_methods_agree(spark):
     b = {r["mol_id"]: r["longest_run"] for r in O.longest_connected_run(
         df, "mol_id", ["bond_idx"], "begin", "end", "flag", method="window").collect()}
     assert a == b and len(a) == len({r[0] for r in rows})
+
+
+def test_sequence_index_after_a_shuffle(spark):
+    """Input rows come out of a shuffle (no fixed order inside partitions);
+    the materialised index must still be exactly 0..n-1 in key order."""
+    base = spark.range(0, 20000).select((F.col("id") % 997).alias("k"), F.col("id"))
+    shuffled = base.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.max("id").alias("m"))
+    s = with_sequence_index(shuffled, ["c", "k"], num_partitions=6)
+    rows = s.orderBy("seq").collect()
+    assert [r["seq"] for r in rows] == list(range(997))
+    keys = [(r["c"], r["k"]) for r in rows]
+    assert keys == sorted(keys)
