@@ -121,3 +121,12 @@ def test_unmatched_names_golden(spark):
     u = {(r["name"], r["side"]) for r in R.unmatched_names(lr, vals, "group", "group").collect()}
     assert u == {("Charged Imine", "left_only"), ("Aromatic Pyridine-like nitrogen", "left_only"),
                  ("Charged imine", "right_only"), ("Aromatic pyridine-like nitrogen", "right_only")}
+
+
+def test_median_modes_agree(long):
+    exact = {r["model"]: r["median_error"] for r in EV.model_metrics(long, median="exact").collect()}
+    inline = {r["model"]: r["median_error"] for r in EV.model_metrics(long, median="inline").collect()}
+    approx = {r["model"]: r["median_error"] for r in EV.model_metrics(long, median="approx").collect()}
+    assert exact == pytest.approx(inline, abs=1e-12)
+    for m, v in exact.items():        # percentile_approx returns a member value next to the midpoint
+        assert abs(approx[m] - v) <= 5.0
