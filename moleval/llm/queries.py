@@ -9,13 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moleval.llm import adaptive_rules, mix_systematic
+from moleval.llm import adaptive_rules, edit_decontam, mix_systematic, simhash_trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = simhash_trie.near_classes(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return d.select(F.col("row.doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = adaptive_rules.judge(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     return d.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -28,9 +33,17 @@ def op7_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_edit_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = edit_decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return d.select(F.col("row.doc_id").alias("doc_id"), "item_id", "distance", F.col("start").alias("match_start"),
+                    F.col("end").alias("match_end"))
+
+
 QUERIES = {
+    "op3_simhash_trie": op3_simhash_trie,
     "op4_adaptive_rules": op4_adaptive_rules,
     "op7_systematic_mix": op7_systematic_mix,
+    "op10_edit_decontam": op10_edit_decontam,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
