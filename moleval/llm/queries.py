@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moleval.llm import adaptive_rules, edit_decontam, mix_systematic, simhash_trie
+from moleval.llm import adaptive_rules, edit_decontam, knn_quality, langid_nb, mix_systematic, simhash_trie
+from moleval.llm.words import remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,20 @@ def op4_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "n_repeat_words", "base_failed", "kept")
 
 
+def op5_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 4) == 2)
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = knn_quality.fit(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    return (docs.select("doc_id", "held_out", knn_quality.quality(F.col("text"), spark, model).alias("score"))
+            .withColumn("predicted", (F.col("score") >= 0.7).cast("int")))
+
+
+def op6_langid_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 3) == 1)
+    model = langid_nb.fit(docs.where(~F.col("held_out")))
+    return docs.select("doc_id", "held_out", langid_nb.language(F.col("text"), spark, model).alias("x")).select("doc_id", "held_out", "x.*")
+
+
 def op7_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mix_systematic.systematic_copies(_table(spark, sf_dir, "documents"), payload=["doc_id"])
     return d.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target",
@@ -42,6 +57,8 @@ def op10_edit_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_simhash_trie": op3_simhash_trie,
     "op4_adaptive_rules": op4_adaptive_rules,
+    "op5_knn_quality": op5_knn_quality,
+    "op6_langid_nb": op6_langid_nb,
     "op7_systematic_mix": op7_systematic_mix,
     "op10_edit_decontam": op10_edit_decontam,
 }
