@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moleval.llm import adaptive_rules, edit_decontam, knn_quality, langid_nb, mix_systematic, simhash_trie
+from moleval.llm import adaptive_rules, crf_toxicity, edit_decontam, knn_quality, langid_nb, mix_systematic, simhash_trie
 from moleval.llm.words import remainder
 
 
@@ -48,6 +48,14 @@ def op7_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 3) == 1)
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = crf_toxicity.fit(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    return (docs.select("doc_id", "held_out", crf_toxicity.toxicity(F.col("text"), spark, model).alias("x"))
+            .select("doc_id", "held_out", "x.score", (F.col("x.score") >= 0.7).cast("int").alias("predicted"), "x.spans"))
+
+
 def op10_edit_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = edit_decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return d.select(F.col("row.doc_id").alias("doc_id"), "item_id", "distance", F.col("start").alias("match_start"),
@@ -60,6 +68,7 @@ QUERIES = {
     "op5_knn_quality": op5_knn_quality,
     "op6_langid_nb": op6_langid_nb,
     "op7_systematic_mix": op7_systematic_mix,
+    "op9_crf_toxicity": op9_crf_toxicity,
     "op10_edit_decontam": op10_edit_decontam,
 }
 
