@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moleval.llm import adaptive_rules, crf_toxicity, edit_decontam, knn_quality, langid_nb, mix_systematic, simhash_trie
+from moleval.llm import adaptive_rules, crf_toxicity, edit_decontam, knn_quality, langid_nb, mix_systematic, simhash_trie, url_filter
 from moleval.llm.words import remainder
 
 
@@ -17,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = url_filter.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"), keep=["page_id"])
+    return d.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict", "odds")
+
+
 def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = simhash_trie.near_classes(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     return d.select(F.col("row.doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -63,6 +68,7 @@ def op10_edit_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op3_simhash_trie": op3_simhash_trie,
     "op4_adaptive_rules": op4_adaptive_rules,
     "op5_knn_quality": op5_knn_quality,
