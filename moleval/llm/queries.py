@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moleval.llm import adaptive_rules, crf_toxicity, edit_decontam, knn_quality, langid_nb, mix_systematic, simhash_trie, url_filter
+from moleval.llm import adaptive_rules, crf_toxicity, edit_decontam, kn_lm, knn_quality, langid_nb, mix_systematic, simhash_trie, url_filter
 from moleval.llm.words import remainder
 
 
@@ -22,6 +22,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict", "odds")
 
 
+def op2_kn_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 5) == 1)
+    model = kn_lm.fit(docs.where(~F.col("held_out")))
+    return (docs.select("doc_id", "held_out", kn_lm.scores(F.col("text"), spark, model).alias("x"))
+            .select("doc_id", "held_out", "x.n_tokens", "x.n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"),
+                    "x.base_score", "x.score"))
+
+
 def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = simhash_trie.near_classes(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     return d.select(F.col("row.doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -69,6 +77,7 @@ def op10_edit_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_kn_lm": op2_kn_lm,
     "op3_simhash_trie": op3_simhash_trie,
     "op4_adaptive_rules": op4_adaptive_rules,
     "op5_knn_quality": op5_knn_quality,
