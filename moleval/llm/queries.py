@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moleval.llm import adaptive_rules, crf_toxicity, edit_decontam, kn_lm, knn_quality, langid_nb, mix_systematic, simhash_trie, url_filter
-from moleval.llm.words import remainder
+from moleval.llm import adaptive_rules, crf_toxicity, edit_decontam, kn_lm, knn_quality, langid_nb, mix_systematic, recompress, simhash_trie, url_filter
+from moleval.llm.words import SPACES, remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,12 @@ def op7_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = recompress.dedup_substrings(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), f"[{SPACES}]+", " "))
+    return d.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 3) == 1)
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
@@ -83,6 +89,7 @@ QUERIES = {
     "op5_knn_quality": op5_knn_quality,
     "op6_langid_nb": op6_langid_nb,
     "op7_systematic_mix": op7_systematic_mix,
+    "op8_recompress": op8_recompress,
     "op9_crf_toxicity": op9_crf_toxicity,
     "op10_edit_decontam": op10_edit_decontam,
 }
