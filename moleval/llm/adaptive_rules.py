@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moleval.llm.words import SPACES, WORD_RE
+from moleval.llm.words import SPACES, WORD_RE, fields
 from moleval.session import cut_lineage
 
 SUB_BITS = 6
@@ -85,7 +85,7 @@ def text_measures(docs: DataFrame, keep: list, text: str = "text", lang: str = "
     t = F.coalesce(F.col(text), F.lit(""))
     big = lambda c: c.cast("bigint")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD_RE))
-    d = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(lang).alias("_lang"), F.col(source).alias("_source"),
+    d = docs.select(fields(keep), F.col(lang).alias("_lang"), F.col(source).alias("_source"),
                     words_of(F.col(text)).alias("_w"), lines.alias("_l"),
                     big(F.regexp_count(t, F.lit(f"[{SYMBOLS}]"))).alias("n_symbols"))
     d = d.withColumn("_h", window_hashes(F.col("_w")))

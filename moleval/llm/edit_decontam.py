@@ -33,6 +33,8 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 
+from moleval.llm.words import fields
+
 RATE = 0.08
 SLICE_CHARS = 16_000_000
 NAMES = ("item_id", "distance", "start", "end")
@@ -189,12 +191,12 @@ def _finder(sent, rate: float, kind: T.DataType):
 def matches(docs: DataFrame, items: DataFrame, keep: list | None = None, **options) -> DataFrame:
     """One row per item found in a document: ``row`` (struct of ``keep``), ``item_id``, ``distance``, ``start``, ``end``."""
     found = F.flatten(F.array(*match_columns(docs, items, **options)))
-    d = docs.select(F.struct(*[F.col(c) for c in keep or docs.columns]).alias("row"), found.alias("found"))
+    d = docs.select(fields(keep or docs.columns), found.alias("found"))
     return d.select("row", F.explode("found").alias("m")).select("row", "m.*")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that hold no item."""
     found = F.flatten(F.array(*match_columns(docs, items, **options)))
-    d = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.size(found).alias("n"))
+    d = docs.select(fields(docs.columns), F.size(found).alias("n"))
     return d.where("n = 0").select("row.*")

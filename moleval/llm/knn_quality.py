@@ -104,6 +104,10 @@ class Model:
         self.idf = np.concatenate((np.log((n + 1) / (df + 1)) + 0.1, np.ones(EXTRA))).astype(np.float32)
         self.bits = grams_.bit_length() - 1
         x = rows * self.idf
+        if not n:
+            self.axes, self.references, self.labels = np.zeros((size, 1), np.float32), np.zeros((0, 1), np.float32), labels
+            self.prior, self.neighbours, self.power = 0.5, 0, power
+            return
         # randomised subspace iteration; the seed is fixed, so reruns agree
         k = max(1, min(rank, n, size))
         q = np.random.default_rng(0).standard_normal((size, min(k + 16, size))).astype(np.float32)
@@ -113,7 +117,7 @@ class Model:
         self.axes = (q @ vt.T)[:, :k].astype(np.float32)
         self.references = self.unit(x @ self.axes)
         self.labels = labels.astype(np.float32)
-        self.prior = float(labels.mean()) if n else 0.5
+        self.prior = float(labels.mean())
         self.neighbours, self.power = min(neighbours, n), power
 
     @staticmethod

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moleval.llm.words import WORD_RE
+from moleval.llm.words import WORD_RE, fields
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -55,7 +55,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPI
          .withColumn("_w0", F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
          .withColumn("_level", (F.sum("_words").over(everything) - F.col("_cap0"))
                      / (F.sum("_w").over(everything) - F.col("_w0"))))
-    s = s.withColumn("_final", F.min(F.when(F.col("_level") <= F.col("_cap") / F.col("_w"), F.col("_level"))).over(everything))
+    # levels only fall once one fits, so the first that fits is the largest of those
+    s = s.withColumn("_final", F.max(F.when(F.col("_level") <= F.col("_cap") / F.col("_w"), F.col("_level"))).over(everything))
     full = F.col("_final").isNull() | (F.col("_cap") / F.col("_w") < F.col("_final"))
     return s.select("_k", "_words", F.when(full, F.col("_cap")).otherwise(F.col("_final") * F.col("_w")).alias("_target"))
 
@@ -67,7 +68,7 @@ def systematic_copies(docs: DataFrame, payload: list | None = None, doc_id: str
     ``source_size``, ``target``, ``copies``."""
     payload = payload or docs.columns
     base = docs.select(
-        F.struct(*[F.col(c) for c in payload]).alias("row"), F.col(doc_id).alias("_id"),
+        fields(payload), F.col(doc_id).alias("_id"),
         F.coalesce(F.concat(F.lit("a"), F.col(source)), F.lit("b")).alias("_k"),
         word_count(F.col(text)).alias("size"),
         F.coalesce(F.pmod(F.col(doc_id).cast("bigint"), F.lit(splits)), F.lit(0)).cast("bigint").alias("_split"),

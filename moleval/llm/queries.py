@@ -17,13 +17,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str, n: int, held_out: int) -> DataFrame:
+    """Documents with the fold that no model learns from."""
+    return _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (remainder("doc_id", n) == held_out).alias("held_out"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label"))
+    return docs.where(~F.col("held_out")).select("doc_id", "text").join(labels, "doc_id")
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = url_filter.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"), keep=["page_id"])
     return d.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict", "odds")
 
 
 def op2_kn_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 5) == 1)
+    docs = _documents(spark, sf_dir, 5, 1)
     model = kn_lm.fit(docs.where(~F.col("held_out")))
     return (docs.select("doc_id", "held_out", kn_lm.scores(F.col("text"), spark, model).alias("x"))
             .select("doc_id", "held_out", "x.n_tokens", "x.n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"),
@@ -42,15 +52,14 @@ def op4_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 4) == 2)
-    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    model = knn_quality.fit(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    docs = _documents(spark, sf_dir, 4, 2)
+    model = knn_quality.fit(_labelled(spark, sf_dir, docs, "quality"))
     return (docs.select("doc_id", "held_out", knn_quality.quality(F.col("text"), spark, model).alias("score"))
             .withColumn("predicted", (F.col("score") >= 0.7).cast("int")))
 
 
 def op6_langid_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 3) == 1)
+    docs = _documents(spark, sf_dir, 3, 1)
     model = langid_nb.fit(docs.where(~F.col("held_out")))
     return docs.select("doc_id", "held_out", langid_nb.language(F.col("text"), spark, model).alias("x")).select("doc_id", "held_out", "x.*")
 
@@ -68,9 +77,8 @@ def op8_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 3) == 1)
-    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    model = crf_toxicity.fit(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    docs = _documents(spark, sf_dir, 3, 1)
+    model = crf_toxicity.fit(_labelled(spark, sf_dir, docs, "toxic"))
     return (docs.select("doc_id", "held_out", crf_toxicity.toxicity(F.col("text"), spark, model).alias("x"))
             .select("doc_id", "held_out", "x.score", (F.col("x.score") >= 0.7).cast("int").alias("predicted"), "x.spans"))
 
@@ -145,7 +153,7 @@ w AS (SELECT k, words, words * 3.0::DOUBLE AS cap, [5.0, 2.0, 1.0][(row_number()
 p AS (SELECT *, coalesce(sum(cap) OVER b, 0) AS cap0, coalesce(sum(w) OVER b, 0) AS w0, sum(words) OVER ()::DOUBLE AS t, sum(w) OVER () AS wt
       FROM w WINDOW b AS (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 lv AS (SELECT *, (t - cap0) / (wt - w0) AS level FROM p),
-fin AS (SELECT *, min(CASE WHEN level <= cap / w THEN level END) OVER () AS final FROM lv),
+fin AS (SELECT *, max(CASE WHEN level <= cap / w THEN level END) OVER () AS final FROM lv),
 tg AS (SELECT k, words, CASE WHEN final IS NULL OR cap / w < final THEN cap ELSE final * w END AS target,
               ('0x' || substr(md5('7:' || k), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM fin),
 n AS (SELECT d.*, row_number() OVER (PARTITION BY k ORDER BY size, ((doc_id % 64) + 64) % 64, doc_id) AS i FROM d),

@@ -30,10 +30,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from moleval.llm.words import Words, mix
+from moleval.llm.words import Words, fields, mix
 
 WINDOW = 20
 ROUNDS = 3
@@ -260,7 +261,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     key = F.coalesce(F.xxhash64(doc_id), F.lit(0))
     key = F.when(F.col(doc_id).isNull(), F.xxhash64(text)).otherwise(key)
     d = docs.select(F.pmod(key, F.lit(chunks)).alias("chunk"), F.col(doc_id).cast("bigint").alias("_id"), F.col(text).cast("string").alias("text"),
-                    F.struct(*[F.col(c) for c in keep]).alias("row"))
+                    fields(keep))
 
     def parse(table: pa.Table) -> tuple[int, Chunk]:
         number = table.column("chunk")[0].as_py()
@@ -280,7 +281,8 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         c.candidates(answers(right, 0))
         return _answer([(number, 1, s, x) for s, x in c.windows()])
 
-    row_type = d.schema["row"].dataType.simpleString()
+    result = T.StructType([T.StructField("row", d.schema["row"].dataType), T.StructField("text", T.StringType()),
+                           T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def cut(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         _, c = parse(left)
@@ -292,13 +294,20 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     found = d.groupBy("chunk").cogroup(seen.groupBy("chunk")).applyInArrow(send_windows, _ANSWER)
     earlier = found.groupBy("shard").applyInArrow(_starts_earlier, _ANSWER)
     told = seen.unionByName(earlier)
-    return d.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(cut, f"row {row_type}, text string, n_words bigint, n_removed bigint")
+    return d.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(cut, result)
 
 
 def dedup(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
     """The documents with the removed words cut out (all columns; a length column follows the text)."""
     others = [c for c in docs.columns if c != text]
     out = dedup_substrings(docs, text=text, keep=others, **options)
-    return out.select(*[F.col("text").alias(text) if c == text
-                        else (F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col(f"row.{c}")).cast(docs.schema[c].dataType).alias(c)
-                              if c == n_chars else F.col(f"row.{c}").alias(c)) for c in docs.columns])
+
+    def column(c: str) -> Column:
+        if c == text:
+            return F.col("text").alias(c)
+        old = F.col("row").getField(c)
+        if c == n_chars:
+            old = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(old).cast(docs.schema[c].dataType)
+        return old.alias(c)
+
+    return out.select(*[column(c) for c in docs.columns])

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from moleval.llm.components import connected_components, union
-from moleval.llm.words import Words, blocks
+from moleval.llm.words import Words, blocks, fields
 from moleval.session import cut_lineage
 
 SHINGLE = 3
@@ -174,7 +174,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     Fingerprints are written once to the checkpoint folder and used for the
     classes and for the result.
     """
-    rows = cut_lineage(docs.select(F.struct(*[F.col(c) for c in keep or docs.columns]).alias("row"),
+    rows = cut_lineage(docs.select(fields(keep or docs.columns),
                                    F.col(doc_id).alias("_id"), fingerprint(F.col(text), shingle).alias("fp")))
     ids = cut_lineage(rows.groupBy("fp").agg(F.min("_id").alias("_id")))
     comp = connected_components(links(ids.select("fp"), max_bits, node_size))

@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from moleval.llm.words import fields
+
 MAX_WORDS = 50_000
 MAX_LETTERS = 20
 BITS = 18
@@ -173,7 +175,7 @@ def judge(pages: DataFrame, docs: DataFrame | None = None, keep: list | None = N
     """``row`` (struct of ``keep``), ``host``, ``path``, ``words``, ``rule``, ``odds`` and ``verdict`` of every page."""
     spark = pages.sparkSession
     lex = lexicon(pages, docs, url, text)
-    p = pages.select(F.struct(*[F.col(c) for c in keep or pages.columns]).alias("row"), host_of(F.col(url)).alias("host"),
+    p = pages.select(fields(keep or pages.columns), host_of(F.col(url)).alias("host"),
                      path_of(F.col(url)).alias("path"))
     p = p.withColumn("words", segmented(F.col("host"), F.col("path"), spark, lex))
     model = fit(p.select("words"), seeds)

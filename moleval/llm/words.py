@@ -26,6 +26,11 @@ _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
+def fields(names) -> Column:
+    """Columns of the input as one struct: they travel along under any names."""
+    return F.struct(*[F.col("`" + n.replace("`", "``") + "`") for n in names]).alias("row")
+
+
 def remainder(doc_id: str | Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
