@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moleval.llm import crf_toxicity, edit_decontam, mix_systematic, recompress, simhash_trie
+from moleval.llm.words import fields
 
 TOXIC = 0.7                     # documents with a score from here on are rejected
 
@@ -21,11 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below ``TOXIC``; the field is fitted on the labelled ones among ``docs``."""
-    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_label"))
-    labelled = docs.join(labels, F.col("doc_id") == F.col("_id"))
-    model = crf_toxicity.fit(labelled, label="_label")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = crf_toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
     score = crf_toxicity.toxicity(F.col("text"), spark, model)["score"]
-    marked = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), score.alias("score"))
+    marked = docs.select(fields(docs.columns), score.alias("score"))
     return marked.where(F.col("score") < TOXIC).select("row.*")
 
 
