@@ -30,16 +30,15 @@ PART_F = "Respond with a single JSON object. You MUST use this format: "
 DIRECT_PROMPT = ("Predict the numerical value of the topological surface area, TPSA, for a molecule "
                  "described by the SMILES code, {question}. ")
 NO_TABLE_TEXT = "No data required. "
-MODEL_PREFIX_LEN = 12      # component letters follow 'tpsa_model_a' in a model name
-MAX_COMPONENTS = 5
+MODEL_PREFIX = "tpsa_model_a"   # component letters follow it in a model name
+DIRECT_MODEL = "direct_model"
 # --- end of fixed values ---
 
-KNOWN_COMPONENTS = "bcdef"
-
 
 def components_of(model_name: str) -> str:
-    """Component letters encoded in a model name ('tpsa_model_acf' -> 'cf')."""
-    return model_name[MODEL_PREFIX_LEN:]
+    """Component letters encoded in a model name ('tpsa_model_acf' -> 'cf'):
+    everything after the prefix up to the next underscore."""
+    return model_name.removeprefix(MODEL_PREFIX).partition("_")[0] if model_name.startswith(MODEL_PREFIX) else ""
 
 
 def _fill(template: str, values: dict[str, Column]) -> Column:
@@ -63,8 +62,8 @@ def assemble_prompt(question, components: str | None, groups=None, num_n=None,
                     num_o=None, table=None) -> Column:
     """Part a, then the parts named by ``components`` in order.
 
-    ``components`` is cut to the first five letters; ``None``/'' gives
-    part a only; an unknown letter raises ``KeyError`` before any job runs.
+    ``None``/'' gives part a only; every letter is used, and an unknown one
+    raises ``KeyError`` before any job runs.
     """
     col = lambda c: F.col(c) if isinstance(c, str) else c
     q = col(question)
@@ -79,7 +78,7 @@ def assemble_prompt(question, components: str | None, groups=None, num_n=None,
         values["table"] = col(table)
     templates = {"b": PART_B, "c": PART_C, "d": PART_D, "e": PART_E, "f": PART_F}
     pieces = [_fill(PART_A, values)]
-    for letter in (components or "")[:MAX_COMPONENTS]:
+    for letter in components or "":
         if letter not in templates:
             raise KeyError(f"unknown prompt component {letter!r}")
         pieces.append(_fill(templates[letter], values))
@@ -91,6 +90,14 @@ def direct_prompt(question) -> Column:
     return _fill(DIRECT_PROMPT, {"question": q})
 
 
+def model_prompt(model: str, question, **parts) -> Column:
+    """The prompt a model is sent: the direct one for the direct model, else
+    the parts that its name asks for."""
+    if model == DIRECT_MODEL:
+        return direct_prompt(question)
+    return assemble_prompt(question, components_of(model), **parts)
+
+
 def table_entry(name, value) -> Column:
     """One value-table row rendered as a two-column text table
     (header line, then the row, columns right-aligned)."""

@@ -18,6 +18,8 @@ NUMBER_PATTERN = r"[-+]?\d*\.\d+|\d+"
 LIST_ITEM_PATTERN = r"'([^']*)'"
 # atom tokens of a SMILES string (bracket atom, two-letter halogens, organic subset)
 SMILES_TOKEN_PATTERN = r"\[[^\]]*\]|Br|Cl|[BCNOPSFI]|[bcnops]"
+# a whole text of atom tokens, bonds, ring closures, branches and dots
+SMILES_TEXT_PATTERN = r"^(?:\[\d*(?:[A-Z][a-z]?|[a-z]{1,2})[^\[\]]*\]|Br|Cl|[BCNOPSFI]|[bcnops]|[-=#$:/\\~.()]|\d|%\d\d)+$"
 # element symbol inside a bracket atom, after an optional isotope number
 BRACKET_SYMBOL_PATTERN = r"^\[\d*([A-Z][a-z]?|[a-z]{1,2})"
 OUTLIER_LABEL_PREFIX = "TPSA difference: "
@@ -143,17 +145,22 @@ def element_symbols(c) -> Column:
 
 
 def only_tokens(c, allowed=("C", "N", "O")) -> Column:
-    """True when every atom token is in ``allowed``; NULL, empty or
-    token-free text -> False.  Lexical check only (no valence rules)."""
+    """True when the whole text is atom tokens, bonds, ring closures,
+    branches and dots, and every atom token is in ``allowed``; NULL, empty,
+    token-free text or any leftover -> False.  Brackets and parentheses must
+    pair up; valence is not checked."""
+    c = _c(c)
     syms = element_symbols(c)
     allowed_arr = F.array(*[F.lit(a) for a in allowed])
-    ok = (F.size(syms) > 0) & F.forall(syms, lambda s: F.array_contains(allowed_arr, s))
+    branches = (F.regexp_count(c, F.lit(r"\(")) == F.regexp_count(c, F.lit(r"\)"))) & ~c.rlike(r"^[^(]*\)")
+    ok = (c.rlike(SMILES_TEXT_PATTERN) & branches & (F.size(syms) > 0)
+          & F.forall(syms, lambda s: F.array_contains(allowed_arr, s)))
     return F.coalesce(ok, F.lit(False))
 
 
 def random_keys(spark, n: int, max_key: int, seed: int = 42):
     """``n`` ids drawn with replacement from ``[1, max_key]``,
-    reproducible for a seed (hash of the draw number, not ``rand``)."""
-    return spark.range(n).select(
-        F.col("id").alias("draw"),
-        (F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(max_key)) + 1).alias("key"))
+    reproducible for a seed (md5 of draw number and seed, not ``rand``)."""
+    text = F.concat(F.col("id").cast("string"), F.lit(f":{seed}"))
+    number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+    return spark.range(n).select(F.col("id").alias("draw"), (number % F.lit(max_key) + 1).alias("key"))

@@ -7,11 +7,6 @@ from pyspark.sql import functions as F
 
 from moleval.session import cut_lineage
 
-# Lookup tables (rules, value tables, dimensions) are broadcast only after
-# their row count has been checked against this bound.
-BROADCAST_MAX_ROWS = 200_000
-
-
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -24,31 +19,14 @@ def as_list(x) -> list:
     return [x]
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only when the table is proven small.
-
-    Counting a lookup table is one cheap job; above the bound the table is
-    returned unchanged so the planner picks a shuffle join instead.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def spread_small_input(df: DataFrame, min_tasks: int | None = None) -> DataFrame:
-    """Round-robin spread of a table stored in fewer files than task slots,
-    before CPU-heavy per-row work (tokenising long texts, user functions).
-
-    Large tables come in many files and are left untouched (no shuffle);
-    a table in one or a few files would otherwise be processed by as many
-    tasks as it has row groups.
-    """
-    spark = df.sparkSession
-    min_tasks = min_tasks or spark.sparkContext.defaultParallelism
-    try:
-        n_files = len(df.inputFiles())
-    except Exception:  # noqa: BLE001 - not a file-based plan
-        return df
-    return df.repartition(min_tasks) if 0 < n_files < min_tasks else df
+def null_safe_join(left: DataFrame, right: DataFrame, on: list, how: str = "inner") -> DataFrame:
+    """Join on columns of the same names where NULL equals NULL; the columns
+    appear once (from ``left``)."""
+    renamed = right.select(*[F.col(c).alias(f"_on_{i}") for i, c in enumerate(on)], *[c for c in right.columns if c not in on])
+    cond = F.lit(True)
+    for i, c in enumerate(on):
+        cond = cond & left[c].eqNullSafe(renamed[f"_on_{i}"])
+    return left.join(renamed, cond, how).drop(*[f"_on_{i}" for i in range(len(on))])
 
 
 def shuffle_partitions(spark) -> int:
@@ -89,37 +67,47 @@ def with_sequence_index(df: DataFrame, order: list, name: str = "seq",
             .select(*[F.col(c) for c in df.columns], (F.col("_off") + F.col("_local")).alias(name)))
 
 
-def exact_median(df: DataFrame, by: list, value: str, name: str = "median", aggs=()) -> DataFrame:
-    """Exact median per group (midpoint of the two middle values for even n).
+PARTS_PER_OCTAVE = 1024
+
+
+def value_bucket(v) -> Column:
+    """Whole number that never falls as ``v`` grows: sign, then the octave of
+    |v| cut into ``PARTS_PER_OCTAVE`` parts (0 for 0)."""
+    v = col(v)
+    octave = F.least(F.greatest(F.log2(F.abs(v)), F.lit(-1100.0)), F.lit(1100.0))
+    size = F.floor((octave + 1101) * PARTS_PER_OCTAVE).cast("bigint")
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("bigint"))
+
+
+def exact_median(df: DataFrame, by: list, value: str, name: str = "median", sums: dict | None = None) -> DataFrame:
+    """Exact median per group (midpoint of the two middle values for even n),
+    with the row count ``_n`` and further ``sums`` (name -> Column) per group.
 
-    Skew-safe: nothing holds a group's values.  Rows are globally ranked by
-    (group, value) with :func:`with_sequence_index`; per-group start and size
-    come from a partial aggregate; the one or two middle rows are selected by
-    rank.  The per-group table is small and joined by AQE's size check.
-    ``aggs`` are further aggregate Columns computed in the same pass over the
-    materialised rows (so the source is read once).
+    Two looks at the rows, both combined before the shuffle: counts (and sums)
+    per (group, :func:`value_bucket`), which tell the one or two buckets that
+    hold the middle ranks; then counts per distinct value inside those buckets.
+    Ties are one distinct value, so a hot value costs one row per task; no raw
+    row is sorted or shuffled.  NULL groups are groups; NULL and NaN values
+    are left out.
     """
     by = as_list(by)
-    base = df.select(*by, value).where(F.col(value).isNotNull())
-    s = with_sequence_index(base, by + [value], name="_seq")
-    stats = s.groupBy(*by).agg(F.min("_seq").alias("_start"), F.count(F.lit(1)).alias("_n"), *aggs)
-    if by:
-        joined = s.join(stats, by)
-    else:                                   # one group: start and size are a scalar subquery
-        one = stats.select(F.struct(*stats.columns).alias("_st")).scalar()
-        joined = s.withColumn("_start", one["_start"]).withColumn("_n", one["_n"])
-    r = F.col("_seq") - F.col("_start")
-    lo = F.floor((F.col("_n") - 1) / 2)
-    hi = F.floor(F.col("_n") / 2)
-    pick = joined.where((r == lo) | (r == hi))
-    med = pick.groupBy(*by).agg(F.avg(value).alias(name))
-    if not aggs:
-        return med
-    extra = stats.drop("_start", "_n")
-    if by:
-        return med.join(extra, by)
-    one = extra.select(F.struct(*extra.columns).alias("_st")).scalar()
-    return med.select(name, *[one[c].alias(c) for c in extra.columns])
+    base = df.where(col(value).isNotNull() & ~F.isnan(value)).withColumn("_b", value_bucket(value))
+    counts = base.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"), *[F.sum(c).alias(n) for n, c in (sums or {}).items()])
+    group = Window.partitionBy(*by)
+    upto = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumns({"_n": F.sum("_c").over(group), "_upto": F.sum("_c").over(upto)})
+    first, last = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    # ranks are 0-based; a bucket holds [_upto - _c, _upto)
+    middle = (ranked.withColumn("_before", F.col("_upto") - F.col("_c"))
+              .where((F.col("_before") <= last) & (F.col("_upto") > first)).select(*by, "_b", "_n", "_before"))
+    values = (null_safe_join(base.select(*by, "_b", value), middle, by + ["_b"])
+              .groupBy(*by, "_b", "_n", "_before", value).agg(F.count(F.lit(1)).alias("_c")))
+    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    at = values.withColumn("_upto", F.col("_before") + F.sum("_c").over(inside)).withColumn("_from", F.col("_upto") - F.col("_c"))
+    holds = lambda r: (F.col("_from") <= r) & (F.col("_upto") > r)
+    med = at.groupBy(*by).agg(((F.max(F.when(holds(first), F.col(value))) + F.max(F.when(holds(last), F.col(value)))) / 2).alias(name))
+    total = counts.groupBy(*by).agg(F.sum("_c").alias("_n"), *[F.sum(n).alias(n) for n in sums or {}])
+    return null_safe_join(total, med, by) if by else total.crossJoin(med)
 
 
 def normalize_zero(c) -> Column:

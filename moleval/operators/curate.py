@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moleval.functions.scalars import only_tokens, to_number
-from moleval.operators.filters import cap_rows, exclude_above, until_first_failure
+from moleval.operators.filters import accept_tagged, exclude_above, until_first_failure
 from moleval.sources.tables import parse_id_scan, parse_property_responses
 
 # --- fixed values: drug-likeness limits of the curation step ---
@@ -35,21 +35,17 @@ def max_id_scan(responses: DataFrame, start: int = DEFAULT_START_ID) -> DataFram
                    F.count(F.lit(1)).alias("n_checked"))
 
 
-def curate(responses: DataFrame, arrival: list | None = None, target: int | None = None,
-           allowed=("C", "N", "O"), tagger=None, limits: dict | None = None) -> DataFrame:
+def curate(responses: DataFrame, allowed=("C", "N", "O"), tagger=None, limits: dict | None = None) -> DataFrame:
     """Curation plan: parse landed property responses (S5) -> keep records
     with a SMILES (F5) -> element alphabet check (P17) -> optional group
     tagging with conflicts rejected (``tagger``: DataFrame -> DataFrame
-    with a ``groups`` column, F6) -> cap at ``target`` rows in arrival order
-    (F7) -> range exclusions keeping missing values (F4, after the cap as in
-    the studied job, so the result may hold fewer than ``target`` rows).
+    with a ``groups`` column, F6) -> range exclusions keeping missing values
+    (F4).  No row cap: all records that pass are kept.
     """
     recs = parse_property_responses(responses)
     recs = recs.where(F.col("CanonicalSMILES").isNotNull())
     recs = recs.where(only_tokens("CanonicalSMILES", allowed))
     if tagger is not None:
-        recs = tagger(recs).where(F.col("groups").isNotNull())
-    if target is not None:
-        recs = cap_rows(recs, arrival or ["CID"], target)
+        recs = accept_tagged(tagger(recs))
     recs = recs.withColumn("ExactMass", to_number("ExactMass"))
     return exclude_above(recs, limits or LIPINSKI_LIMITS)

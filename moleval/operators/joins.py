@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moleval.functions.prompt import NO_TABLE_TEXT, table_entry
-from moleval.operators.common import BROADCAST_MAX_ROWS, as_list, checked_broadcast, col
+from moleval.operators.common import as_list, col
 from moleval.session import cut_lineage
 
 
@@ -37,44 +37,39 @@ def first_match_lookup(probe: DataFrame, build: DataFrame, key: str, value: str,
     return probe.join(first, key, "left")
 
 
-def attach_value_table(df: DataFrame, groups: str, values: DataFrame, name: str = "group",
-                       value: str = "tpsa_contribution", rank: str = "rank",
-                       out: str = "data_table", max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """The value-table rows whose name is in the row's group list, once
-    each, in value-table order, rendered as text entries; NULL groups give
-    the literal 'No data required. '.
+def matched_values(df: DataFrame, groups: str, values: DataFrame, name: str, fields: list[str]) -> DataFrame:
+    """``df`` with ``_rid`` and ``_hits``: for each row the sorted entries of the
+    value table whose name is in its group list, with ``times``, how often the
+    list has the name.
 
-    The value table is a bounded lookup: its rows are packed into one array
-    (size checked) and broadcast, and each row filters that array -- no
-    shuffle of ``df``.  Above the bound, the list is exploded and equi-joined.
+    Works at any size of either side: the lists are reduced to (row, name,
+    times), joined on the name and collected per row (bounded by the row's own
+    list).  Row numbers are written once, so both uses of them agree.
     """
-    n = values.limit(max_rows + 1).count()
-    entries = values.select(col(rank).alias("r"), col(name).alias("n"), col(value).alias("v"))
-    g = col(groups)
-    if n <= max_rows:
-        # scalar subquery: the whole (checked) table as one sorted array, filtered per row
-        packed = entries.agg(F.array_sort(F.collect_list(F.struct("r", "n", "v")))).scalar()
-        hit = F.filter(F.col("_vt"), lambda e: F.array_contains(g, e["n"]))
-        table = F.transform(hit, lambda e: table_entry(e["n"], e["v"]))
-        return (df.withColumn("_vt", packed)
-                  .withColumn(out, F.when(g.isNull(), F.array(F.lit(NO_TABLE_TEXT))).otherwise(table))
-                  .drop("_vt"))
-    # large table: explode the distinct names, equi-join, re-collect per row; the row id
-    # is written once so both uses of it agree
     rid = cut_lineage(df.withColumn("_rid", F.monotonically_increasing_id()))
-    ex = rid.select("_rid", F.explode(F.array_distinct(g)).alias("n"))
-    hits = (ex.join(entries, "n").groupBy("_rid")
-              .agg(F.array_sort(F.collect_list(F.struct("r", "n", "v"))).alias("_hits")))
-    return (rid.join(hits, "_rid", "left")
-               .withColumn(out, F.when(g.isNull(), F.array(F.lit(NO_TABLE_TEXT)))
-                           .otherwise(F.transform(F.coalesce(F.col("_hits"), F.array()),
-                                                  lambda e: table_entry(e["n"], e["v"]))))
-               .drop("_rid", "_hits"))
+    names = rid.select("_rid", F.explode(col(groups)).alias("_name")).groupBy("_rid", "_name").agg(F.count(F.lit(1)).alias("times"))
+    entries = values.select(col(name).alias("_name"), *fields)
+    hits = (names.join(entries, "_name").groupBy("_rid")
+            .agg(F.array_sort(F.collect_list(F.struct(*fields, F.col("_name").alias("n"), "times"))).alias("_hits")))
+    return rid.join(hits, "_rid", "left")
+
+
+def attach_value_table(df: DataFrame, groups: str, values: DataFrame, name: str = "group",
+                       value: str = "tpsa_contribution", rank: str = "rank", out: str = "data_table") -> DataFrame:
+    """The value-table rows whose name is in the row's group list, once
+    each, in value-table order, rendered as text entries; NULL groups give
+    the literal 'No data required. '.  A name with several value rows keeps
+    them all."""
+    v = values.select(col(name).alias(name), col(rank).alias("r"), col(value).alias("v"))
+    hit = matched_values(df, groups, v, name, ["r", "v"])
+    table = F.transform(F.coalesce(F.col("_hits"), F.array()), lambda e: table_entry(e["n"], e["v"]))
+    return (hit.withColumn(out, F.when(col(groups).isNull(), F.array(F.lit(NO_TABLE_TEXT))).otherwise(table))
+            .drop("_rid", "_hits"))
 
 
 def remap_codes(df: DataFrame, dim: DataFrame, code: str, name: str, out: str | None = None) -> DataFrame:
     """Replace a code by its name; an unknown code fails the job."""
     out = out or name
-    joined = df.join(checked_broadcast(dim.select(col(code).alias(code), col(name).alias("_name"))), code, "left")
+    joined = df.join(dim.select(col(code).alias(code), col(name).alias("_name")), code, "left")
     return joined.withColumn(out, F.when(F.col("_name").isNull(), F.raise_error(
         F.concat(F.lit("unknown code: "), col(code).cast("string")))).otherwise(F.col("_name"))).drop("_name")

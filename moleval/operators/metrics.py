@@ -3,7 +3,7 @@
 All aggregates are algebraic (count/sum/sum of squares) and therefore
 partially aggregated before the shuffle; a hot model holding a third of the
 rows costs one partial row per map task.  The only holistic statistic, the
-median, uses the rank-selection in :func:`moleval.operators.common.exact_median`.
+median, uses the bucket counts of :func:`moleval.operators.common.exact_median`.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moleval.operators.common import as_list, col, exact_median
+from moleval.operators.common import as_list, col, exact_median, null_safe_join
 from moleval.operators.filters import GOOD, OUTLIER
 
 
@@ -26,14 +26,15 @@ def error_metrics(df: DataFrame, by, calculated: str, pred: str,
                   median: str = "exact", accuracy: int = 10000) -> DataFrame:
     """A1: n, RMSE, MAE and median of the signed error per group.
 
-    Rows missing either value are dropped first (the reference drops NaN).
+    Rows where either value is NULL or NaN are dropped first; a NULL group is
+    a group of its own.
     ``median='exact'`` (default) is the midpoint median computed by rank
     selection; ``'approx'`` uses ``percentile_approx``; ``'inline'`` uses
     Spark's ``median`` aggregate (holds each group's values: small data only).
     """
     by = as_list(by)
     e = (col(pred) - col(calculated)).alias("_e")
-    base = df.select(*by, e).where(F.col("_e").isNotNull())
+    base = df.select(*by, e).where(F.col("_e").isNotNull() & ~F.isnan("_e"))
     aggs = [F.count(F.lit(1)).alias("n"),
             F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"),
             F.avg(F.abs(F.col("_e"))).alias("mae")]
@@ -44,9 +45,11 @@ def error_metrics(df: DataFrame, by, calculated: str, pred: str,
     elif median != "exact":
         raise ValueError("median must be 'exact', 'approx' or 'inline'")
     if median == "exact":
-        # one pass: the moments are aggregated from the rows materialised for the rank selection
-        out = exact_median(base, by, "_e", name="median_error", aggs=aggs)
-        return out.select(*by, "n", "rmse", "mae", "median_error")
+        # the moments come from the bucket sums of the first look
+        out = exact_median(base, by, "_e", name="median_error",
+                           sums={"_sq": F.col("_e") * F.col("_e"), "_abs": F.abs(F.col("_e"))})
+        n = F.col("_n")
+        return out.select(*by, n.alias("n"), F.sqrt(F.col("_sq") / n).alias("rmse"), (F.col("_abs") / n).alias("mae"), "median_error")
     return base.groupBy(*by).agg(*aggs)
 
 
@@ -118,7 +121,7 @@ def histogram(df: DataFrame, column: str, bins: int = 20, by=None) -> DataFrame:
                    F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
            .where(F.col("_lo").isNotNull()))          # F10: no values -> no histogram
     if by:
-        joined = vals.join(rng, by)
+        joined = null_safe_join(vals, rng, by)
         all_bins = rng.select(*by, "_lo", "_hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     else:                                   # one range: a scalar subquery, no join
         one = rng.select(F.struct("_lo", "_hi").alias("_r")).scalar()
@@ -129,7 +132,7 @@ def histogram(df: DataFrame, column: str, bins: int = 20, by=None) -> DataFrame:
     counted = (joined.select(*by, _numpy_bin(F.col("_x"), F.col("_lo"), F.col("_hi"), bins).alias("bin"))
                .groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("count")))
     step = (F.col("_hi") - F.col("_lo")) / bins
-    return (all_bins.join(counted, by + ["bin"], "left")
+    return (null_safe_join(all_bins, counted, by + ["bin"], "left")
             .select(*by, "bin",
                     (F.col("_lo") + (F.col("bin") - 1).cast("double") * step).alias("bin_lo"),
                     F.when(F.col("bin") == bins, F.col("_hi"))

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moleval.operators.common import as_list, col, with_sequence_index
+from moleval.operators.common import as_list, col, null_safe_join, with_sequence_index
 
 ACCEPTED = "accepted"
 REJECTED = "rejected"
@@ -55,15 +55,38 @@ def positional_split(df: DataFrame, order, cut, gap: int = 0, name: str = "part"
     return s.withColumn(name, part).where(F.col(name).isNotNull()).drop("_cut")
 
 
+SAMPLE_DIGITS = 4               # hex digits of the hash that are counted: 65,536 counts at most
+
+
+def sample_hash(key, seed: int = 42):
+    """md5 of the key's text and the seed (any engine computes the same)."""
+    text = [F.coalesce(col(c).cast("string"), F.lit("")) for c in as_list(key)]
+    return F.md5(F.concat_ws(":", *text, F.lit(str(seed))))
+
+
 def sample_n(df: DataFrame, n: int, key, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows without replacement, reproducible for a seed
-    (smallest hash of the key).  Raises when the table has fewer rows."""
-    total = df.count()
-    if n > total:
-        raise ValueError(f"cannot take {n} rows from {total} without replacement")
+    (smallest hash of the key).  Raises when the table has fewer rows.
+
+    One grouped count over the hash's first digits (a bounded table) finds the
+    digits up to which all rows are taken; only rows with the next digits, a
+    small part of the table, are ranked.
+    """
     key = as_list(key)
-    h = F.xxhash64(*[col(c) for c in key], F.lit(seed))
-    return df.withColumn("_h", h).orderBy("_h", *key).limit(n).drop("_h")
+    h = df.withColumn("_h", sample_hash(key, seed)).withColumn("_d", F.substring("_h", 1, SAMPLE_DIGITS))
+    counts = sorted((r["_d"], r["count"]) for r in h.groupBy("_d").count().collect())
+    if n > sum(c for _, c in counts):
+        raise ValueError(f"cannot take {n} rows from {sum(c for _, c in counts)} without replacement")
+    edge, left = "", n
+    for digits, c in counts:
+        edge = digits
+        if left <= c:
+            break
+        left -= c
+    rank = F.row_number().over(Window.partitionBy("_d").orderBy("_h", *key))
+    whole = h.where(F.col("_d") < edge)
+    part = h.where(F.col("_d") == edge).withColumn("_r", rank).where(F.col("_r") <= left).drop("_r")
+    return whole.unionByName(part).drop("_h", "_d")
 
 
 def longest_connected_run(edges: DataFrame, id_col: str, order, begin: str, end: str,
@@ -97,7 +120,7 @@ def longest_connected_run(edges: DataFrame, id_col: str, order, begin: str, end:
                     F.col("_b").alias("_pb"), F.col("_e").alias("_pe"))
     j = s.select("_seq", "_id", "_b", "_e").join(prev, "_seq", "left")
     shares = F.col("_b").isin(F.col("_pb"), F.col("_pe")) | F.col("_e").isin(F.col("_pb"), F.col("_pe"))
-    cont = F.coalesce((F.col("_pid") == F.col("_id")) & shares, F.lit(False))
+    cont = F.coalesce(F.col("_pid").eqNullSafe(F.col("_id")) & F.col("_pb").isNotNull() & shares, F.lit(False))
     starts = with_sequence_index(j.where(~cont).select("_id", "_seq"), ["_seq"], name="_k")
     nxt = starts.select((F.col("_k") - 1).alias("_k"), F.col("_seq").alias("_next"))
     total = s.agg(F.count(F.lit(1))).scalar()
@@ -105,7 +128,7 @@ def longest_connected_run(edges: DataFrame, id_col: str, order, begin: str, end:
                   .select("_id", (F.coalesce(F.col("_next"), total) - F.col("_seq")).alias("_len")))
     best = runs.groupBy("_id").agg(F.max("_len").alias("_best"))
     ids = edges.select(col(id_col).alias("_id")).distinct()
-    return ids.join(best, "_id", "left").select(
+    return null_safe_join(ids, best, ["_id"], "left").select(
         F.col("_id").alias(id_col), F.coalesce(F.col("_best"), F.lit(0)).cast("bigint").alias("longest_run"))
 
 
@@ -129,33 +152,60 @@ def _longest_run_window(edges: DataFrame, id_col: str, order, begin: str, end: s
         F.coalesce(F.max("_len"), F.lit(0)).cast("bigint").alias("longest_run"))
 
 
-def _dedup_partition(key_cols, order_cols, value, error, window, max_err, out_cols):
+def identity_text(df: DataFrame, columns) -> Column:
+    """Text that is equal for equal column values: NULL equals NULL, NaN equals
+    NaN, -0.0 equals 0.0, and whole numbers keep all their digits."""
+    def plain(c):
+        v = col(c)
+        return (v + F.lit(0.0) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else v).alias(c)
+
+    return F.to_json(F.struct(*[plain(c) for c in columns]))
+
+
+def recency_walk(state: deque, values, rejected) -> list:
+    """Outcome of each row in order; ``state`` holds the last accepted values."""
+    out = []
+    for v, bad in zip(values, rejected, strict=True):
+        if bad:
+            out.append(REJECTED)
+        elif v in state:
+            out.append(DUPLICATE)
+        else:
+            state.append(v)
+            out.append(ACCEPTED)
+    return out
+
+
+def rejected_flag(df: DataFrame, error: str | None, max_err: float) -> Column:
+    """|error| >= max_err, or no error value."""
+    if error is None:
+        return F.lit(False)
+    e = col(error).cast("double")
+    return F.coalesce(F.isnan(e) | (F.abs(e) >= max_err), F.lit(True))
+
+
+def _dedup_partition(out_cols: list, window: int):
     """Per-partition scan for :func:`recent_dedup`: rows arrive sorted by
-    (key, order); the state is the last ``window`` kept values of the
+    (key, order); the state is the last ``window`` accepted values of the
     current key, carried across Arrow batches."""
 
     def run(batches):
-        last_key = None
+        last_key: object = ()
         recent: deque = deque(maxlen=window)
-        for pdf in batches:
-            keys = list(zip(*[pdf[c].tolist() for c in key_cols])) if key_cols else [()] * len(pdf)
-            vals = pdf[value].tolist()
-            errs = pdf[error].tolist() if error else None
-            outcome = []
-            for i, k in enumerate(keys):
-                if k != last_key:
-                    last_key = k
+        for b in batches:
+            keys, values, bad = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_key", "_value", "_bad"))
+            outcome, at = [], 0
+            while at < len(keys):
+                if keys[at] != last_key:
+                    last_key = keys[at]
                     recent.clear()
-                if errs is not None and (errs[i] is None or pd.isna(errs[i]) or not abs(errs[i]) < max_err):
-                    outcome.append(REJECTED)
-                elif vals[i] in recent:
-                    outcome.append(DUPLICATE)
-                else:
-                    recent.append(vals[i])
-                    outcome.append(ACCEPTED)
-            res = pdf[out_cols].copy()
-            res["outcome"] = outcome
-            yield res
+                end = at
+                while end < len(keys) and keys[end] == last_key:
+                    end += 1
+                outcome += recency_walk(recent, values[at:end], bad[at:end])
+                at = end
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in out_cols] + [pa.array(outcome, pa.string())],
+                                             [*out_cols, "outcome"])
     return run
 
 
@@ -163,25 +213,22 @@ def recent_dedup(df: DataFrame, key, order, value: str, error: str | None = None
                  window: int = 5, max_err: float = 20.0, keep=None) -> DataFrame:
     """Recency-window de-duplication per key.
 
-    Walk each key's rows in ``order``: a row with ``|error| >= max_err`` is
-    'rejected'; a row whose ``value`` is among the last ``window`` accepted
-    values is a 'duplicate'; otherwise it is 'accepted' and enters the
-    window.  ``value`` should already be rounded natively (``bround``).
+    Walk each key's rows in ``order``: a row with ``|error| >= max_err`` (or a
+    missing error) is 'rejected'; a row whose ``value`` is among the last
+    ``window`` accepted values is a 'duplicate'; otherwise it is 'accepted'
+    and enters the window.  ``value`` should already be rounded natively
+    (``bround``).  NULL keys and NULL values are equal to each other.
 
-    The decision is a sequential automaton whose state never re-synchronises
-    after a difference, so it cannot be split inside a key.  Spark shuffles
-    rows by key and sorts them (an external sort, spills as needed); one
-    Arrow-batched Python scan per partition carries only ``window`` values of
-    state, so memory stays bounded however large a key is.
+    The walk is sequential inside a key.  Spark shuffles rows by key and sorts
+    them (an external sort, spills as needed); one Arrow-batched Python scan
+    per partition carries only ``window`` values of state, so memory stays
+    bounded however large a key is.
     """
-    key = as_list(key)
-    order = as_list(order)
-    keep = as_list(keep) or []
+    key, order, keep = as_list(key), as_list(order), as_list(keep) or []
     cols = list(dict.fromkeys(key + keep))
-    need = list(dict.fromkeys(cols + [c for c in order if isinstance(c, str)] + [value] + ([error] if error else [])))
-    src = df.select(*need)
-    fields = [src.schema[c] for c in cols]
-    out_schema = T.StructType(fields + [T.StructField("outcome", T.StringType(), False)])
-    parts = src.repartition(*[F.col(c) for c in key]) if key else src.repartition(1)
-    srt = parts.sortWithinPartitions(*key, *order)
-    return srt.mapInPandas(_dedup_partition(key, order, value, error, window, max_err, cols), out_schema)
+    ordering = [c for c in order if isinstance(c, str) and c not in cols]
+    src = df.select(*cols, *ordering, identity_text(df, key).alias("_key") if key else F.lit("").alias("_key"),
+                    identity_text(df, [value]).alias("_value"), rejected_flag(df, error, max_err).alias("_bad"))
+    out_schema = T.StructType([src.schema[c] for c in cols] + [T.StructField("outcome", T.StringType(), False)])
+    srt = src.repartition("_key").sortWithinPartitions("_key", *order)
+    return srt.mapInArrow(_dedup_partition(cols, window), out_schema)

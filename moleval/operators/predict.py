@@ -15,8 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moleval.operators.common import spread_small_input
-
 
 def with_predictions(df: DataFrame, predict_fn: Callable[[pd.Series], pd.Series], input_col: str,
                      model: str, out: str = "pred", keep=None) -> DataFrame:
@@ -24,7 +22,7 @@ def with_predictions(df: DataFrame, predict_fn: Callable[[pd.Series], pd.Series]
     every partition with ``mapInPandas`` and label the rows with ``model``.
     ``keep`` are the columns carried through (default: all)."""
     keep = list(keep) if keep is not None else list(df.columns)
-    src = spread_small_input(df.select(*dict.fromkeys(keep + [input_col])))
+    src = df.select(*dict.fromkeys(keep + [input_col]))
     fields = [src.schema[c] for c in keep]
     schema = T.StructType([T.StructField("model", T.StringType(), False)] + fields
                           + [T.StructField(out, T.DoubleType(), True)])
@@ -56,15 +54,26 @@ def with_model_predictions(df: DataFrame, predictors: dict, input_col, keep=None
                            out: str = "pred") -> DataFrame:
     """U1 with dispatch by model name: one long table ``(model, keep..., pred)``
     for every ``{model: predict_fn}`` entry.  ``input_col`` is a column name,
-    or a ``{model: column}`` mapping when the models read different inputs
-    (a direct prompt for one, an augmented prompt for another).  The result
-    is a single plan (a union of per-model ``mapInPandas`` stages over the
-    same scan), written or aggregated once."""
-    parts = []
-    for model, fn in predictors.items():
-        col_name = input_col[model] if isinstance(input_col, dict) else input_col
-        parts.append(with_predictions(df, fn, col_name, model, out=out, keep=keep))
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result
+    or a ``{model: column or Column}`` mapping when the models read different
+    inputs (a direct prompt for one, an augmented prompt for another).
+
+    One scan: every row is exploded into its (model, input) pairs, and one
+    ``mapInPandas`` hands each model's rows of a batch to its callable.
+    """
+    keep = list(keep) if keep is not None else list(df.columns)
+    inputs = {m: input_col[m] if isinstance(input_col, dict) else input_col for m in predictors}
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), (F.col(c) if isinstance(c, str) else c).cast("string").alias("input"))
+                                for m, c in inputs.items()]))
+    src = df.select(*keep, pairs.alias("_p")).select(F.col("_p.model").alias("model"), *keep, F.col("_p.input").alias("_input"))
+    schema = T.StructType([src.schema["model"], *[src.schema[c] for c in keep], T.StructField(out, T.DoubleType(), True)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pred = pd.Series(float("nan"), index=pdf.index, dtype="float64")
+            for model, rows in pdf.groupby("model"):
+                got = pd.Series(predictors[model](rows["_input"]), index=rows.index)
+                pred.loc[rows.index] = pd.to_numeric(got, errors="coerce").astype("float64")
+            res = pdf.drop(columns="_input")
+            res[out] = pred
+            yield res
+    return src.mapInPandas(run, schema)

@@ -18,10 +18,13 @@ given in two exact forms:
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moleval.operators.common import BROADCAST_MAX_ROWS, col, spread_small_input
+from moleval.operators.common import col
+from moleval.operators.joins import matched_values
 
 # --- fixed values ---
 NO_GROUPS = "No functional groups assigned."
@@ -96,17 +99,20 @@ def unmatched_names(left: DataFrame, right: DataFrame, left_name: str, right_nam
 
 def tokenize(df: DataFrame, row_id: str, text: str, pattern: str = r"\s+") -> DataFrame:
     """Whole text -> ``(row_id, pos, token)``, positions 0-based."""
-    df = spread_small_input(df.select(row_id, text))
     return df.select(col(row_id).alias(row_id),
                      F.posexplode(F.split(col(text), pattern)).alias("pos", "token"))
 
 
-def _small_rules(rules: DataFrame, max_rows: int):
-    """Collect the (size-checked) rule table; it is a program, not data."""
-    rows = rules.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"rule table exceeds {max_rows} rows")
-    return rows
+RULES_PER_PASS = 2_000        # patterns tested in one pass over the tokens
+
+
+def _rule_passes(rules: DataFrame) -> list[list]:
+    """The rule table in passes of ``RULES_PER_PASS`` rows.  Rules are the
+    program that runs over the data and are compiled into the plan; a larger
+    table takes more passes and gives the same matches."""
+    usable = usable_rules(rules).select("group_rank", "group", "pattern_rank", "pattern")
+    rows = sorted(usable.toLocalIterator(), key=lambda r: (r["group_rank"], r["pattern_rank"]))
+    return [rows[i:i + RULES_PER_PASS] for i in range(0, len(rows), RULES_PER_PASS)]
 
 
 def _has_top_level_bar(p: str) -> bool:
@@ -130,6 +136,12 @@ def _has_top_level_bar(p: str) -> bool:
     return False
 
 
+def can_be_joined(p: str) -> bool:
+    """False for patterns that change inside an alternation: back references
+    (their numbers move), named groups (names may clash) and inline flags."""
+    return not re.search(r"\\[1-9]|\\k<|\(\?<[A-Za-z]|\(\?[a-zA-Z-]+\)|\\Q", p)
+
+
 def any_of(patterns: list[str]) -> str:
     """One regex matching where any of ``patterns`` matches.  When all are
     anchored at the start (and have no top-level ``|``) the anchor is hoisted
@@ -139,47 +151,62 @@ def any_of(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+def matches_any(text: Column, patterns: list[str]) -> Column:
+    """True where any pattern matches: one alternation of those that can be
+    joined, the others on their own."""
+    joined = [p for p in patterns if can_be_joined(p)]
+    tests = ([text.rlike(any_of(joined))] if joined else []) + [text.rlike(p) for p in patterns if not can_be_joined(p)]
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
+
+
+def _hit(r, *more) -> Column:
+    return F.struct(F.lit(r["group_rank"]).cast("int").alias("group_rank"), F.lit(r["group"]).alias("group"),
+                    F.lit(r["pattern_rank"]).cast("int").alias("pattern_rank"), *more)
+
+
 def match_rules(tokens: DataFrame, rules: DataFrame, row_id: str, token: str = "token",
-                pos: str = "pos", max_rules: int = 10_000, flag=None,
-                flag_name: str = "is_target") -> DataFrame:
+                pos: str = "pos", flag=None, flag_name: str = "is_target") -> DataFrame:
     """Every usable rule pattern against every token.
 
     Output ``(row_id, group_rank, group, pattern_rank, match_no, pos)`` where
     ``match_no`` orders a pattern's matches inside a row (the position).
 
-    The rule table is a program: it is size-checked and turned into one
-    literal ``rlike`` per pattern (each compiled once, inside generated
-    code), preceded by one alternation of all patterns that drops tokens no
-    rule can match.  A join on ``token RLIKE pattern`` would instead
-    recompile the pattern for every (token, rule) pair.
+    Each pattern is one literal ``rlike`` (compiled once, inside generated
+    code), preceded by a test that drops tokens no rule can match.  A join on
+    ``token RLIKE pattern`` would instead recompile the pattern for every
+    (token, rule) pair.
 
     ``flag`` (a boolean Column over the token) keeps flagged tokens even
     without a rule hit (rule columns NULL) and adds it as ``flag_name``, so
     target tokens (A16) come from the same scan as the matches.
     """
-    usable = usable_rules(rules).select("group_rank", "group", "pattern_rank", "pattern")
-    rows = sorted(_small_rules(usable, max_rules), key=lambda r: (r["group_rank"], r["pattern_rank"]))
-    out_schema = (f"`{row_id}` {tokens.schema[row_id].dataType.simpleString()}, group_rank int, "
-                  "group string, pattern_rank int, match_no bigint, pos int")
-    if not rows:
-        return tokens.sparkSession.createDataFrame([], out_schema)
+    passes = _rule_passes(rules)
+    if not passes:
+        return tokens.sparkSession.createDataFrame(
+            [], f"`{row_id}` {tokens.schema[row_id].dataType.simpleString()}, group_rank int, "
+                "group string, pattern_rank int, match_no bigint, pos int")
     t = col(token)
-    combined = any_of([r["pattern"] for r in rows])
-    hits = F.array_compact(F.array(*[
-        F.when(t.rlike(r["pattern"]), F.struct(F.lit(r["group_rank"]).cast("int").alias("group_rank"),
-                                              F.lit(r["group"]).alias("group"),
-                                              F.lit(r["pattern_rank"]).cast("int").alias("pattern_rank")))
-        for r in rows]))
     out = [row_id, "_m.group_rank", "_m.group", "_m.pattern_rank",
            F.col("_pos").cast("bigint").alias("match_no"), F.col("_pos").cast("int").alias("pos")]
-    if flag is None:
-        cand = tokens.where(t.rlike(combined)).select(col(row_id).alias(row_id), col(pos).alias("_pos"),
-                                                     F.explode(hits).alias("_m"))
-        return cand.select(*out)
-    cand = tokens.where(t.rlike(combined) | flag).select(
-        col(row_id).alias(row_id), col(pos).alias("_pos"), F.coalesce(flag, F.lit(False)).alias(flag_name),
-        F.explode_outer(hits).alias("_m"))
-    return cand.select(*out, flag_name)
+    parts = []
+    for n, rows in enumerate(passes):
+        hits = F.array_compact(F.array(*[F.when(t.rlike(r["pattern"]), _hit(r)) for r in rows]))
+        possible = matches_any(t, [r["pattern"] for r in rows])
+        if flag is None:
+            parts.append(tokens.where(possible).select(col(row_id).alias(row_id), col(pos).alias("_pos"),
+                                                       F.explode(hits).alias("_m")).select(*out))
+            continue
+        flagged = F.coalesce(flag, F.lit(False)).alias(flag_name)
+        cand = (tokens.where(possible | flag) if n == 0 else tokens.where(possible)).select(
+            col(row_id).alias(row_id), col(pos).alias("_pos"), flagged, (F.explode_outer if n == 0 else F.explode)(hits).alias("_m"))
+        parts.append(cand.select(*out, flag_name))
+    result = parts[0]
+    for p in parts[1:]:
+        result = result.unionByName(p)
+    return result
 
 
 def phrase_length(pattern: str) -> int:
@@ -200,8 +227,7 @@ def phrase_length(pattern: str) -> int:
     return n
 
 
-def match_phrases(df: DataFrame, row_id: str, text: str, rules: DataFrame, split: str = r"\s+",
-                  max_rules: int = 10_000) -> DataFrame:
+def match_phrases(df: DataFrame, row_id: str, text: str, rules: DataFrame, split: str = r"\s+") -> DataFrame:
     """J6 for phrase rules: a pattern with ``k`` literal spaces is matched
     against every run of ``k + 1`` consecutive tokens joined by one space.
     All phrase lengths are built in one pass over each row.
@@ -212,18 +238,24 @@ def match_phrases(df: DataFrame, row_id: str, text: str, rules: DataFrame, split
     array functions (bounded by the row's length), exploded once, and tested
     with one literal ``rlike`` per pattern after a per-length prefilter.
     """
-    usable = usable_rules(rules).select("group_rank", "group", "pattern_rank", "pattern")
-    rows = sorted(_small_rules(usable, max_rules), key=lambda r: (r["group_rank"], r["pattern_rank"]))
-    by_len: dict[int, list] = {}
-    for r in rows:
-        by_len.setdefault(phrase_length(r["pattern"]), []).append(r)
-    if not by_len:
+    passes = _rule_passes(rules)
+    if not passes:
         return df.sparkSession.createDataFrame(
             [], f"`{row_id}` {df.schema[row_id].dataType.simpleString()}, group_rank int, group string, "
                 "pattern_rank int, match_no bigint, positions array<int>")
+    parts = [_phrase_pass(df, row_id, text, rows, split) for rows in passes]
+    result = parts[0]
+    for p in parts[1:]:
+        result = result.unionByName(p)
+    return result
+
+
+def _phrase_pass(df: DataFrame, row_id: str, text: str, rows: list, split: str) -> DataFrame:
+    by_len: dict[int, list] = {}
+    for r in rows:
+        by_len.setdefault(phrase_length(r["pattern"]), []).append(r)
     lens = sorted(by_len)
-    base = spread_small_input(df.select(row_id, text)).select(
-        col(row_id).alias(row_id), F.split(col(text), split).alias("_toks"))
+    base = df.select(col(row_id).alias(row_id), F.split(col(text), split).alias("_toks"))
     # one pass for every phrase length: per start position the joined run of each length
     grams = F.transform(
         F.sequence(F.lit(0), F.greatest(F.size("_toks") - min(lens), F.lit(-1))),
@@ -236,14 +268,9 @@ def match_phrases(df: DataFrame, row_id: str, text: str, rules: DataFrame, split
     hits = []
     for n in lens:
         g = F.col(f"_g.g{n}")
-        c = g.rlike(any_of([r["pattern"] for r in by_len[n]]))
+        c = matches_any(g, [r["pattern"] for r in by_len[n]])
         cond = c if cond is None else (cond | c)
-        hits += [F.when(g.rlike(r["pattern"]),
-                        F.struct(F.lit(r["group_rank"]).cast("int").alias("group_rank"),
-                                 F.lit(r["group"]).alias("group"),
-                                 F.lit(r["pattern_rank"]).cast("int").alias("pattern_rank"),
-                                 F.lit(n).alias("n")))
-                 for r in by_len[n]]
+        hits += [F.when(g.rlike(r["pattern"]), _hit(r, F.lit(n).alias("n"))) for r in by_len[n]]
     m = ex.where(cond).select(row_id, F.col("_g.p").alias("_p"),
                               F.explode(F.array_compact(F.array(*hits))).alias("_m"))
     return m.select(row_id, "_m.group_rank", "_m.group", "_m.pattern_rank",
@@ -377,21 +404,13 @@ def unassigned_positions(assigned: DataFrame, target_positions: str,
     return assigned.withColumn("unassigned", rest).withColumn("n_unassigned", F.size(rest))
 
 
-def additive_score(assigned: DataFrame, values: DataFrame, groups: str = "groups",
-                   name: str = "group", value: str = "tpsa_contribution",
-                   out: str = "additive_score", max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def additive_score(assigned: DataFrame, values: DataFrame, groups: str = "groups", name: str = "group",
+                   value: str = "tpsa_contribution", out: str = "additive_score") -> DataFrame:
     """Sum of the value of every assigned group occurrence (unknown
-    names and the 'no groups' sentinel add 0; NULL groups -> NULL).
-
-    The value table is a bounded lookup packed into one broadcast map, so
-    the score is a per-row higher-order expression with no shuffle.
-    """
-    n = values.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"value table exceeds {max_rows} rows")
-    vmap = values.agg(F.map_from_entries(F.collect_list(F.struct(col(name), col(value).cast("double"))))
-                      ).scalar()           # scalar subquery: the whole (checked) table as one map
-    g = col(groups)
-    score = F.aggregate(g, F.lit(0.0),
-                        lambda acc, x: acc + F.coalesce(F.try_element_at(F.col("_vm"), x), F.lit(0.0)))
-    return assigned.withColumn("_vm", vmap).withColumn(out, score).drop("_vm")
+    names and the 'no groups' sentinel add 0; NULL groups -> NULL).  A name
+    with several value rows adds all of them."""
+    v = (values.select(col(name).alias(name), col(value).cast("double").alias("v")).groupBy(name).agg(F.sum("v").alias("v")))
+    hit = matched_values(assigned, groups, v, name, ["v"])
+    score = F.aggregate(F.coalesce(F.col("_hits"), F.array()), F.lit(0.0),
+                        lambda acc, x: acc + F.coalesce(x["v"], F.lit(0.0)) * x["times"])
+    return hit.withColumn(out, F.when(col(groups).isNotNull(), score)).drop("_rid", "_hits")

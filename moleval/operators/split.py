@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moleval.operators.common import as_list, col, with_sequence_index
+from moleval.operators.common import as_list, col, null_safe_join, with_sequence_index
 
 TRAIN = "train"
 TEST = "test"
@@ -55,6 +55,7 @@ def group_assignment(df: DataFrame, key, frac: float = 0.8) -> DataFrame:
 def group_split(df: DataFrame, key, frac: float = 0.8, method: str = "greedy",
                 seed: int = 42, name: str = "split") -> DataFrame:
     """Add ``split`` ('train' / 'test') so that no key is on both sides.
+    NULL is a key like any other.
 
     ``method='greedy'``: the size-ordered first-fit rule (exact train size
     bound); ``method='hash'``: ``pmod(xxhash64(key, seed), 10000) <
@@ -67,4 +68,4 @@ def group_split(df: DataFrame, key, frac: float = 0.8, method: str = "greedy",
     if method != "greedy":
         raise ValueError("method must be 'greedy' or 'hash'")
     assign = group_assignment(df, key, frac).select(*key, F.col("split").alias(name))
-    return df.join(assign, key, "left")
+    return null_safe_join(df, assign, key, "left")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moleval.functions.scalars import first_number
+from moleval.functions.scalars import first_number, nan_to_null
 from moleval.operators import filters as FL
 from moleval.operators import joins as J
 from moleval.operators import metrics as M
@@ -27,7 +27,7 @@ def comparison_metrics(df: DataFrame, known: str = "Known_TPSA", predicted: str
     require_columns(df, [known, predicted])
 
     def num(c):
-        return first_number(c) if dict(df.dtypes)[c] == "string" else F.col(c).cast("double")
+        return first_number(c) if dict(df.dtypes)[c] == "string" else nan_to_null(F.col(c).cast("double"))
     d = df.select(num(known).alias("Calculated_TPSA"), num(predicted).alias("Predicted_TPSA"))
     d = FL.drop_extreme(FL.drop_missing(d, ["Calculated_TPSA", "Predicted_TPSA"]), "Predicted_TPSA", limit)
     m = M.error_metrics(d, [], "Calculated_TPSA", "Predicted_TPSA", median=median)

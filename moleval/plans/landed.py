@@ -21,11 +21,23 @@ REQ_SIZE = 10          # ids per property request
 PAGE_SIZE = 100        # ids per id-scan page
 
 
+def smiles_of(key):
+    """A structure-like text of a whole number: some are plain C, N and O
+    chains, some have other atoms, open branches or stray characters."""
+    return F.concat(F.lit("C"), F.translate(F.hex(F.col(key) * 40503 + 7), "0123456789ABCDEF", "CNOcno=CCNOS()-x"))
+
+
+SQL_SMILES = "('C' || translate(upper(to_hex(p_partkey * 40503 + 7)), '0123456789ABCDEF', 'CNOcno=CCNOS()-x'))"
+# plain chains only: no bracket atoms occur here, so the check needs no atom pattern
+SQL_PLAIN_CNO = ("regexp_full_match({0}, '[-CNOcno=()]+') AND length(replace({0}, '(', '')) = length(replace({0}, ')', '')) "
+                 "AND NOT regexp_matches({0}, '^[^(]*[)]')")
+
+
 def _records(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     return p.select(
         F.col("p_partkey").alias("CID"),
-        F.when(F.col("p_brand") != "Brand#1", F.col("p_type")).alias("CanonicalSMILES"),
+        F.when(F.col("p_brand") != "Brand#1", smiles_of("p_partkey")).alias("CanonicalSMILES"),
         (F.col("p_retailprice") / 100.0).alias("XLogP"),
         (F.col("p_retailprice") / 2.0).cast("string").alias("ExactMass"),
         (F.col("p_size") * 2.0).alias("TPSA"),
@@ -66,7 +78,7 @@ def q_property_records(spark, sf_dir):
 
 
 SQL_PROPERTY_RECORDS = """
-WITH rec AS (SELECT p_partkey AS CID, CASE WHEN p_brand <> 'Brand#1' THEN p_type END AS CanonicalSMILES,
+WITH rec AS (SELECT p_partkey AS CID, CASE WHEN p_brand <> 'Brand#1' THEN @smiles END AS CanonicalSMILES,
                     p_retailprice / 100.0 AS XLogP, CAST(p_retailprice / 2.0 AS VARCHAR) AS ExactMass,
                     CAST(p_size AS DOUBLE) * 2.0 AS TPSA, CAST(floor(p_size / 8) AS BIGINT) AS HBondDonorCount,
                     CAST(floor(p_size / 4) AS BIGINT) AS HBondAcceptorCount, floor(p_partkey / 10) AS chunk,
@@ -74,7 +86,7 @@ WITH rec AS (SELECT p_partkey AS CID, CASE WHEN p_brand <> 'Brand#1' THEN p_type
 bad AS (SELECT chunk FROM rec GROUP BY chunk HAVING max(p_size) = 50)
 SELECT CID, CanonicalSMILES, round(XLogP, 6) AS XLogP, ExactMass, round(TPSA, 6) AS TPSA, HBondDonorCount,
        HBondAcceptorCount
-FROM rec WHERE chunk NOT IN (SELECT chunk FROM bad)"""
+FROM rec WHERE chunk NOT IN (SELECT chunk FROM bad)""".replace("@smiles", SQL_SMILES)
 
 
 def q_failed_requests(spark, sf_dir):
@@ -107,27 +119,21 @@ def q_curated_records(spark, sf_dir):
 
 
 SQL_CURATED_RECORDS = r"""
-WITH rec AS (SELECT p_partkey AS CID, CASE WHEN p_brand <> 'Brand#1' THEN p_type END AS CanonicalSMILES,
+WITH rec AS (SELECT p_partkey AS CID, CASE WHEN p_brand <> 'Brand#1' THEN @smiles END AS CanonicalSMILES,
                     p_retailprice / 2.0 AS ExactMass, CAST(floor(p_size / 8) AS BIGINT) AS HBondDonorCount,
                     CAST(floor(p_size / 4) AS BIGINT) AS HBondAcceptorCount, floor(p_partkey / 10) AS chunk,
                     p_size FROM part),
 bad AS (SELECT chunk FROM rec GROUP BY chunk HAVING max(p_size) = 50),
-ok AS (SELECT * FROM rec WHERE chunk NOT IN (SELECT chunk FROM bad) AND CanonicalSMILES IS NOT NULL),
-tk AS (SELECT *, list_transform(regexp_extract_all(CanonicalSMILES, '\[[^\]]*\]|Br|Cl|[BCNOPSFI]|[bcnops]', 0),
-                   lambda x: CASE WHEN starts_with(x, '[') THEN regexp_extract(x, '^\[\d*([A-Z][a-z]?|[a-z]{1,2})', 1)
-                                  ELSE x END) AS raw FROM ok),
-sy AS (SELECT *, list_transform(raw, lambda x: upper(substr(x, 1, 1)) || lower(substr(x, 2))) AS syms FROM tk)
-SELECT CID, CanonicalSMILES, round(ExactMass, 6) AS ExactMass, HBondDonorCount, HBondAcceptorCount FROM sy
-WHERE len(syms) > 0 AND len(list_filter(syms, lambda x: x NOT IN ('C', 'N', 'O'))) = 0
-  AND NOT coalesce(HBondAcceptorCount > 10, false) AND NOT coalesce(HBondDonorCount > 5, false)
-  AND NOT coalesce(ExactMass > 500, false)"""
+ok AS (SELECT * FROM rec WHERE chunk NOT IN (SELECT chunk FROM bad) AND CanonicalSMILES IS NOT NULL)
+SELECT CID, CanonicalSMILES, round(ExactMass, 6) AS ExactMass, HBondDonorCount, HBondAcceptorCount FROM ok
+WHERE @plain AND NOT coalesce(HBondAcceptorCount > 10, false) AND NOT coalesce(HBondDonorCount > 5, false)
+  AND NOT coalesce(ExactMass > 500, false)""".replace("@smiles", SQL_SMILES).replace("@plain", SQL_PLAIN_CNO.format("CanonicalSMILES"))
 
 
 def q_random_probe(spark, sf_dir):
     """P18 + A12 + J2: as many seeded random ids as ``part`` has rows, drawn
     from ``[1, max(p_partkey)]``, cut into request chunks of 10 in draw order,
-    with the number of drawn ids that exist.  Rows-only check (the seeded
-    hash is Spark's)."""
+    with the number of drawn ids that exist."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"))
     stats = p.agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("mx")).first()   # two numbers
     draws = S.random_keys(spark, int(stats["n"]), int(stats["mx"]), seed=42)
@@ -137,8 +143,16 @@ def q_random_probe(spark, sf_dir):
     return O.batch_ids(draws, "key", ["draw"], k=REQ_SIZE).join(found, "chunk")
 
 
+SQL_RANDOM_PROBE = """
+WITH st AS (SELECT count(*) AS n, max(p_partkey) AS mx FROM part),
+d AS (SELECT i AS draw, ('0x' || substr(md5(i || ':42'), 1, 15))::BIGINT % st.mx + 1 AS key FROM st, range(0, st.n) t(i)),
+h AS (SELECT d.*, count(p.p_partkey) OVER (PARTITION BY draw) AS found FROM d LEFT JOIN part p ON p.p_partkey = d.key)
+SELECT CAST(draw // 10 AS BIGINT) AS chunk, count(*) AS n_ids, string_agg(CAST(key AS VARCHAR), ',' ORDER BY draw) AS id_list,
+       CAST(sum(found) AS BIGINT) AS n_found FROM h GROUP BY 1"""
+
+
 # ---------------------------------------------------------------- prompts
-PROMPT_MODELS = ["tpsa_model_abcdef", "tpsa_model_acf", "direct_model"]
+PROMPT_MODELS = ["tpsa_model_abcdef", "tpsa_model_acf", "direct_model", "tpsa_model_abcdef_no_sig"]
 
 
 def q_prompt_text(spark, sf_dir):
@@ -147,40 +161,31 @@ def q_prompt_text(spark, sf_dir):
     n = S.count_letter("p_name", "n")
     o = S.count_letter("p_name", "o")
     tbl = F.lit(PR.NO_TABLE_TEXT)
-    parts = [p.select(F.lit(m).alias("model"), "p_partkey",
-                      PR.assemble_prompt("p_name", PR.components_of(m), groups, n, o, tbl).alias("prompt"))
-             for m in PROMPT_MODELS]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
-
-
-def _sql_prompt():
-    def q(s):
-        return "'" + s.replace("'", "''") + "'"
-
-    def fill(tmpl, values):
-        import re
-        pieces = []
-        for i, piece in enumerate(re.split(r"\{(\w+)\}", tmpl)):
-            if i % 2:
-                pieces.append(f"CAST({values[piece]} AS VARCHAR)")
-            elif piece:
-                pieces.append(q(piece))
-        return " || ".join(pieces)
-
-    nn = "(length(p_name) - length(replace(replace(p_name, 'N', ''), 'n', '')))"
-    oo = "(length(p_name) - length(replace(replace(p_name, 'O', ''), 'o', '')))"
-    values = {"question": "p_name", "groups": "'[''' || p_type || ''', ''' || p_brand || ''']'",
-              "num_n": nn, "num_o": oo, "total_hits": f"({nn} + {oo})", "table": q(PR.NO_TABLE_TEXT)}
-    templates = {"b": PR.PART_B, "c": PR.PART_C, "d": PR.PART_D, "e": PR.PART_E, "f": PR.PART_F}
-    selects = []
-    for m in PROMPT_MODELS:
-        expr = " || ".join([fill(PR.PART_A, values)] +
-                           [fill(templates[c], values) for c in PR.components_of(m)[:PR.MAX_COMPONENTS]])
-        selects.append(f"SELECT {q(m)} AS model, p_partkey, {expr} AS prompt FROM part")
-    return "\nUNION ALL ".join(selects)
+    pairs = F.array(*[F.struct(F.lit(m).alias("model"), PR.model_prompt(m, "p_name", groups=groups, num_n=n, num_o=o, table=tbl).alias("prompt"))
+                      for m in PROMPT_MODELS])
+    return p.select("p_partkey", F.explode(pairs).alias("x")).select("x.model", "p_partkey", "x.prompt")
+
+
+# the expected texts, written out; @groups, @table and @from are filled in below
+SQL_PROMPT_PARTS = """
+WITH p AS (SELECT p_partkey, p_name AS q, length(p_name) - length(replace(replace(p_name, 'N', ''), 'n', '')) AS n,
+                  length(p_name) - length(replace(replace(p_name, 'O', ''), 'o', '')) AS o, @groups AS g, @table AS t, * FROM @from),
+x AS (SELECT *,
+ 'Help predict the numerical value of the topological surface area, TPSA, for a molecule described by the SMILES code, ' || q || ', ' AS a,
+ 'which can be described as comprising: ' || g || '. ' AS b,
+ 'Return a text summary in the field contributor_description and ALWAYS end with a LIST of numbers in the variable tpsa_numbers_list that shows how each group contributes to the total TPSA value for the molecule. tpsa_numbers_list must be a list even for a single value. ' AS c,
+ 'provide one value from the table for each of the ' || n || ' nitrogen atoms, and ' || o || ' oxygen atoms. ' AS d,
+ 'Determine the contributions of each of those ' || (n + o) || ' groups to the TPSA value using this table: ' || t || ' . There may be multiple occurrences of some groups which should be treated additively. Groups containing just carbon, either aliphatic or aromatic, do not increase the TPSA value. ' AS e,
+ 'Respond with a single JSON object. You MUST use this format: ' AS f,
+ 'Predict the numerical value of the topological surface area, TPSA, for a molecule described by the SMILES code, ' || q || '. ' AS direct
+ FROM p)
+"""
+SQL_PROMPT_TEXT = (SQL_PROMPT_PARTS.replace("@groups", "'[' || chr(39) || p_type || chr(39) || ', ' || chr(39) || p_brand || chr(39) || ']'")
+                   .replace("@table", "'No data required. '").replace("@from", "part") + """
+SELECT 'tpsa_model_abcdef' AS model, p_partkey, a || b || c || d || e || f AS prompt FROM x
+UNION ALL SELECT 'tpsa_model_acf', p_partkey, a || c || f FROM x
+UNION ALL SELECT 'direct_model', p_partkey, direct FROM x
+UNION ALL SELECT 'tpsa_model_abcdef_no_sig', p_partkey, a || b || c || d || e || f FROM x""")
 
 
 def q_examples(spark, sf_dir):
@@ -224,7 +229,8 @@ ORACLE_SQL = {
     "failed_requests": SQL_FAILED_REQUESTS,
     "max_id_scan": SQL_MAX_ID_SCAN,
     "curated_records": SQL_CURATED_RECORDS,
-    "prompt_text": _sql_prompt(),
+    "prompt_text": SQL_PROMPT_TEXT,
     "examples": SQL_EXAMPLES,
     "parse_answers": SQL_PARSE_ANSWERS,
+    "random_probe": SQL_RANDOM_PROBE,
 }

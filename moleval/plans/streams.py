@@ -14,9 +14,13 @@ from moleval.streaming.route import route_examples
 from moleval.streaming.runner import run_available_now, scratch_path
 
 
+FILES_PER_TRIGGER = 64         # bounds what a micro-batch sorts per key
+
+
 def _event_stream(spark, sf_dir):
     schema = TD.table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option(
+        "maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(sf_dir)
 
 
 def _dedup(spark, sf_dir):

@@ -23,7 +23,6 @@ from moleval.operators import joins as J
 from moleval.operators import metrics as M
 from moleval.operators import ordered as O
 from moleval.operators import stats as ST
-from moleval.operators.common import spread_small_input
 
 OUTLIER_T = 10000.0        # error threshold of the lineitem analogue
 R6 = 6                     # decimals kept for doubles in compared outputs
@@ -34,9 +33,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of long texts, spread over all task slots when it is stored in
-    fewer files than slots (per-row regex work over whole texts)."""
-    return spread_small_input(table(spark, sf_dir, name))
+    """A table of long texts (how it is split into tasks follows from
+    ``spark.sql.files.maxPartitionBytes``)."""
+    return table(spark, sf_dir, name)
 
 
 def r(c, d: int = R6):
@@ -324,23 +323,21 @@ FROM {CLASSIFIED_SQL} WHERE outcome = 'outlier'"""
 
 
 def q_token_alphabet(spark, sf_dir):
-    c = text_table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", S.only_tokens("text").alias("only_cno"),
-                    F.size(S.element_symbols("text")).cast("bigint").alias("n_atoms"))
+    """Chains, chains with bracket atoms (allowed or not), and texts that are no structure."""
+    k = F.col("p_partkey")
+    chain = F.concat(F.lit("CC(=O)N"), F.translate(F.hex(k * 40503 + 7), "0123456789ABCDEF", "CNOcno=CCNOS()-x"))
+    text = (F.when(k % 5 == 0, chain).when(k % 5 == 1, F.concat(chain, F.lit("[NH3+]"))).when(k % 5 == 2, F.concat(F.lit("[13CH4]"), chain))
+            .when(k % 5 == 3, F.concat(chain, F.lit("[Na+]"))).otherwise(F.concat("p_type", F.lit(" "), chain)))
+    return table(spark, sf_dir, "part").select("p_partkey", S.only_tokens(text).alias("only_cno"),
+                                               S.only_tokens("p_type").alias("type_cno"), S.only_tokens(F.nullif(text, text)).alias("null_cno"))
 
 
-SQL_TOKEN_ALPHABET = r"""
-WITH t AS (SELECT conv_id, turn,
-                  list_transform(regexp_extract_all(text, '\[[^\]]*\]|Br|Cl|[BCNOPSFI]|[bcnops]', 0),
-                    lambda x: CASE WHEN starts_with(x, '[')
-                                   THEN regexp_extract(x, '^\[\d*([A-Z][a-z]?|[a-z]{1,2})', 1) ELSE x END) AS raw
-           FROM conversations),
-s AS (SELECT conv_id, turn, list_transform(raw, lambda x: upper(substr(x, 1, 1)) || lower(substr(x, 2))) AS syms
-      FROM t)
-SELECT conv_id, turn,
-       coalesce(len(syms) > 0 AND len(list_filter(syms, lambda x: x NOT IN ('C', 'N', 'O'))) = 0, false) AS only_cno,
-       CAST(len(syms) AS BIGINT) AS n_atoms
-FROM s"""
+SQL_TOKEN_ALPHABET = """
+WITH t AS (SELECT p_partkey, p_type, 'CC(=O)N' || translate(upper(to_hex(p_partkey * 40503 + 7)), '0123456789ABCDEF', 'CNOcno=CCNOS()-x') AS s FROM part)
+SELECT p_partkey, p_partkey % 5 < 3 AND regexp_full_match(s, '[-CNOcno=()]+')
+       AND length(replace(s, '(', '')) = length(replace(s, ')', '')) AS only_cno,
+       false AS type_cno, false AS null_cno
+FROM t"""
 
 
 def q_range_exclusions(spark, sf_dir):
@@ -466,11 +463,13 @@ SELECT event_id, CAST(seq AS BIGINT) AS seq, CASE WHEN seq < floor(n * 0.3) THEN
 
 
 def q_sample_n(spark, sf_dir):
-    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
     return O.sample_n(ev, 100, "event_id", seed=42)
 
 
-# ---------------------------------------------------------------- registry
+SQL_SAMPLE_N = "SELECT event_id, user_id, value FROM events ORDER BY md5(CAST(event_id AS VARCHAR) || ':42'), event_id LIMIT 100"
+
+
 QUERIES = {
     "error_metrics": q_error_metrics,
     "error_partition": q_error_partition,
@@ -520,4 +519,5 @@ ORACLE_SQL = {
     "longest_run": SQL_LONGEST_RUN,
     "recent_dedup": SQL_RECENT_DEDUP,
     "positional_split": SQL_POSITIONAL_SPLIT,
+    "sample_n": SQL_SAMPLE_N,
 }

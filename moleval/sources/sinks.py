@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     """Path check through the Hadoop file system of the session (works for
     shared storage, not only local folders)."""
     jvm = spark.sparkContext._jvm
@@ -37,8 +37,9 @@ def append_log(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def materialize_once(spark: SparkSession, path: str, build, fmt: str = "parquet") -> DataFrame:
-    """Build and write the table only when it does not exist yet, then
-    read the stored copy (later runs skip the work)."""
-    if not _exists(spark, path):
+    """Build and write the table unless a finished copy exists, then read
+    the stored copy (later runs skip the work).  A folder without the writer's
+    ``_SUCCESS`` mark is an unfinished write and is built anew."""
+    if not exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
         write_table(build(), path, fmt=fmt)
     return spark.read.format(fmt).load(path)

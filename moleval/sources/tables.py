@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moleval.functions.scalars import nan_to_null, parse_list_literal
+from moleval.sources.sinks import exists
 
 MOLECULE_SCHEMA = T.StructType([
     T.StructField("_c0", T.LongType()),
@@ -110,11 +111,12 @@ def read_predictions(spark: SparkSession, path: str, model: str) -> DataFrame:
 
 
 def read_prediction_set(spark: SparkSession, directory: str, models) -> DataFrame:
-    """Every model's predictions as one long table (UNION of the files).
-    Missing files are skipped; see :func:`missing_models` for the report."""
-    import os
-    parts = [read_predictions(spark, os.path.join(directory, f"{m}_predictions.csv"), m)
-             for m in models if os.path.exists(os.path.join(directory, f"{m}_predictions.csv"))]
+    """Every model's predictions as one long table (UNION of the files, whose
+    headers differ by model).  Paths are checked on the file system that Spark
+    reads, so shared storage works.  Missing files are skipped; see
+    :func:`missing_models` for the report."""
+    paths = {m: f"{directory.rstrip('/')}/{m}_predictions.csv" for m in models}
+    parts = [read_predictions(spark, p, m) for m, p in paths.items() if exists(spark, p)]
     if not parts:
         raise FileNotFoundError(f"no prediction files for {list(models)} in {directory}")
     out = parts[0]
@@ -125,14 +127,15 @@ def read_prediction_set(spark: SparkSession, directory: str, models) -> DataFram
 
 def read_programs(spark: SparkSession, path: str) -> DataFrame:
     """Saved program JSON -> one row per demonstration
-    ``(program, demo_no, augmented, question, answer, instructions)``."""
+    ``(program, demo_no, augmented, question, answer, instructions, fields)``;
+    ``fields`` are the signature's (prefix, description) pairs."""
     raw = spark.read.option("multiLine", True).schema(PROGRAM_SCHEMA).json(path)
     p = F.col("`prog.predictor`")
     return raw.select(F.input_file_name().alias("program"),
-                      p["signature"]["instructions"].alias("instructions"),
+                      p["signature"]["instructions"].alias("instructions"), p["signature"]["fields"].alias("fields"),
                       F.posexplode_outer(p["demos"]).alias("demo_no", "demo")).select(
         "program", "demo_no", F.col("demo.augmented").alias("augmented"),
-        F.col("demo.question").alias("question"), F.col("demo.answer").alias("answer"), "instructions")
+        F.col("demo.question").alias("question"), F.col("demo.answer").alias("answer"), "instructions", "fields")
 
 
 def parse_property_responses(responses: DataFrame, body: str = "body", status: str = "status") -> DataFrame:

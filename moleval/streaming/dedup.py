@@ -16,39 +16,34 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from moleval.operators.common import as_list
-from moleval.operators.ordered import ACCEPTED, DUPLICATE, REJECTED
+from moleval.operators.ordered import identity_text, recency_walk, rejected_flag
 
-STATE_SCHEMA = T.StructType([T.StructField("recent", T.ArrayType(T.DoubleType()))])
+# accepted values as text: every digit of a whole number is kept, NULL is a value
+STATE_SCHEMA = T.StructType([T.StructField("recent", T.ArrayType(T.StringType()))])
 
 
 def recent_dedup_stream(stream: DataFrame, key, order, value: str, error: str | None = None,
                         window: int = 5, max_err: float = 20.0, keep=None) -> DataFrame:
     """Streaming DataFrame with an ``outcome`` column per input row
     ('accepted' / 'rejected' / 'duplicate').  ``value`` should already be
-    rounded natively; it is kept in state as a double."""
+    rounded natively; values are compared as in the batch operator.
+
+    A key's rows of one micro-batch are sorted in memory; the source's limit
+    per trigger (``maxFilesPerTrigger``) bounds them.
+    """
     key = as_list(key)
     order = as_list(order)
     keep = [c for c in (as_list(keep) or []) if c not in key]
     cols = key + keep
-    need = list(dict.fromkeys(cols + order + [value] + ([error] if error else [])))
-    src = stream.select(*need)
+    src = stream.select(*cols, *[c for c in order if c not in cols], identity_text(stream, [value]).alias("_value"),
+                        rejected_flag(stream, error, max_err).alias("_bad"))
     out_schema = T.StructType([src.schema[c] for c in cols]
                               + [T.StructField("outcome", T.StringType(), False)])
 
     def step(k, pdfs, state):
         recent = deque(state.get[0] if state.exists else [], maxlen=window)
         batch = pd.concat(list(pdfs), ignore_index=True).sort_values(order, kind="stable")
-        vals = batch[value].astype("float64").tolist()
-        errs = batch[error].tolist() if error else None
-        outcome = []
-        for i, v in enumerate(vals):
-            if errs is not None and (errs[i] is None or pd.isna(errs[i]) or not abs(errs[i]) < max_err):
-                outcome.append(REJECTED)
-            elif v in recent:
-                outcome.append(DUPLICATE)
-            else:
-                recent.append(v)
-                outcome.append(ACCEPTED)
+        outcome = recency_walk(recent, batch["_value"].tolist(), batch["_bad"].tolist())
         state.update((list(recent),))
         res = batch[cols].copy()
         res["outcome"] = outcome
