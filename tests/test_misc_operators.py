@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from moleval.functions import scalars as S
 from moleval.operators import filters as FL
 from moleval.operators import joins as J
+from moleval.operators import common as CM
 from moleval.operators import metrics as M
+from moleval.operators import ordered as O
+from moleval.operators import rules as R
 
 
 def test_log_texts(spark):
@@ -75,3 +78,45 @@ def test_with_model_predictions_dispatch(spark):
     got = sorted((r["model"], r["id"], r["pred"]) for r in long.collect())
     assert got == [("direct_model", 1, 3.0), ("direct_model", 2, 2.0),
                    ("tpsa_model_acf", 1, 150.0), ("tpsa_model_acf", 2, 140.0)]
+
+
+def test_values_of_repeated_names_add_up(spark):
+    rows = spark.createDataFrame([(1, ["a", "a", "b"]), (2, None), (3, ["zz"]), (4, [])], "id int, groups array<string>")
+    values = spark.createDataFrame([("a", 1.0, 0), ("a", 2.0, 1), ("b", 5.0, 2)], "group string, tpsa_contribution double, rank int")
+    got = {x["id"]: x["additive_score"] for x in R.additive_score(rows, values).collect()}
+    assert got == {1: 11.0, 2: None, 3: 0.0, 4: 0.0}
+    table = {x["id"]: len(x["data_table"]) for x in J.attach_value_table(rows, "groups", values).collect()}
+    assert table == {1: 3, 2: 1, 3: 0, 4: 0}         # every value row of a name once
+
+
+def test_many_rules_take_more_passes(spark, monkeypatch):
+    monkeypatch.setattr(R, "RULES_PER_PASS", 3)
+    rules = R.rules_to_long(spark.createDataFrame([(i, f"^w{i}$", f"g{i}", None, None, None) for i in range(10)],
+                                                  "rule_index int, original string, group string, new_1 string, new_2 string, new_3 string"))
+    tokens = R.tokenize(spark.createDataFrame([(1, "w0 w7 x w9 w7")], "id int, text string"), "id", "text")
+    assert sorted((x["group"], x["pos"]) for x in R.match_rules(tokens, rules, "id").collect()) == [("g0", 0), ("g7", 1), ("g7", 4), ("g9", 3)]
+    flagged = R.match_rules(tokens, rules, "id", flag=F.col("token") == "x").collect()
+    assert sorted((x["group"] or "", x["pos"], x["is_target"]) for x in flagged) == [("", 2, True), ("g0", 0, False), ("g7", 1, False), ("g7", 4, False), ("g9", 3, False)]
+
+
+def test_prefilter_keeps_back_references_and_named_groups(spark):
+    rules = R.rules_to_long(spark.createDataFrame([(1, r"^(x)y$", "a", None, None, None), (2, r"^(\d)\1$", "b", None, None, None),
+                                                   (3, r"^(?<n>p)q$", "c", None, None, None), (4, r"^(?<n>r)s$", "d", None, None, None)],
+                                                  "rule_index int, original string, group string, new_1 string, new_2 string, new_3 string"))
+    tokens = R.tokenize(spark.createDataFrame([(1, "77 xy 12 pq rs")], "id int, text string"), "id", "text")
+    assert sorted((x["group"], x["pos"]) for x in R.match_rules(tokens, rules, "id").collect()) == [("a", 1), ("b", 0), ("c", 3), ("d", 4)]
+
+
+def test_recent_values_keep_all_digits_and_nulls(spark):
+    rows = [(1, 0, 2**53), (1, 1, 2**53 + 1), (None, 2, None), (None, 3, None), (None, 4, 5)]
+    got = O.recent_dedup(spark.createDataFrame(rows, "k bigint, i int, v bigint"), "k", ["i"], "v", keep=["i"]).collect()
+    assert {x["i"]: x["outcome"] for x in got} == {0: "accepted", 1: "accepted", 2: "accepted", 3: "duplicate", 4: "accepted"}
+
+
+def test_median_of_mostly_equal_values(spark):
+    rows = [("a", 0.0)] * 500 + [("a", float(i)) for i in range(-200, 200)] + [(None, -1.5), (None, 4.0), ("n", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {x["g"]: (x["m"], x["_n"]) for x in CM.exact_median(df, ["g"], "v", "m").collect()}
+    assert got == {"a": (0.0, 900), None: (1.25, 2)}
+    plan = CM.exact_median(df, ["g"], "v", "m")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "CheckpointRDD" not in plan

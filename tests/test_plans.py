@@ -39,3 +39,31 @@ def test_lineitem_scan_is_pruned(spark, name):
     schemas = re.findall(r"ReadSchema: (struct<[^\n]*>)", text)
     li = [s for s in schemas if "l_quantity" in s]
     assert li and all("l_shipdate" not in s and "l_linestatus" not in s and "l_suppkey" not in s for s in li)
+
+
+@pytest.fixture()
+def no_static_broadcast(spark):
+    """Plans as with tables of unknown size."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("name", ["error_metrics", "comparison_metrics", "error_metrics_nullkey"])
+def test_median_neither_sorts_nor_shuffles_raw_rows(spark, no_static_broadcast, name):
+    text = plan(spark, name)
+    assert "rangepartitioning" not in text and "ExistingRDD" not in text
+
+
+
+@pytest.mark.parametrize("name", BATCH_QUERIES)
+def test_no_cartesian_without_static_broadcast(spark, no_static_broadcast, name):
+    if name.startswith("op") or name == "pipeline":
+        pytest.skip("its jobs run while the plan is made; covered by its own tests")
+    text = plan(spark, name)
+    assert "CartesianProduct" not in text
+
+
+def test_models_share_one_scan(spark):
+    assert plan(spark, "prompt_text").count("ReadSchema") == 1

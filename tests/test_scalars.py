@@ -57,6 +57,7 @@ def test_outlier_label_half_even(spark):
 @pytest.mark.parametrize("smiles,ok", [
     ("CCO", True), ("c1ccncc1", True), ("CC(=O)[O-]", True), ("CCCl", False), ("C[Si](C)C", False),
     ("CS", False), ("", False), (None, False), ("[NH4+]", True), ("[13CH4]", True),
+    ("ECONOMY", False), ("*CC", False), ("hello?!CO", False), ("CXYZ", False), ("CC(O", False), ("C)C(", False), ("C[NH3+", False), ("C%12CC", True),
 ])
 def test_only_tokens(spark, smiles, ok):
     assert one(spark, S.only_tokens(F.col("x")), smiles) is ok
@@ -66,6 +67,9 @@ def test_prompt_components(spark):
     assert PR.components_of("tpsa_model_abcdef") == "bcdef"
     assert PR.components_of("tpsa_model_acf") == "cf"
     assert PR.components_of("direct_model") == ""
+    assert PR.components_of("tpsa_model_abcdef_no_sig") == "bcdef"
+    with pytest.raises(KeyError):
+        PR.assemble_prompt("q", "bcdefz", "g", "n", "o", "t")
     df = spark.createDataFrame([("CCO", ["Alcohol"], 0, 1)], "q string, g array<string>, n int, o int")
     only_a = df.select(PR.assemble_prompt("q", "", "g", "n", "o", F.lit("t"))).first()[0]
     assert only_a == PR.PART_A.format(question="CCO")

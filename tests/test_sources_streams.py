@@ -49,8 +49,22 @@ def test_parse_and_failed(spark):
 def test_curate_plan(spark):
     got = sorted(x["CID"] for x in C.curate(responses(spark)).collect())
     assert got == [1, 7]          # 2: no SMILES, 5: chlorine, 6: acceptors > 10; bad mass kept
-    capped = C.curate(responses(spark), arrival=["CID"], target=1).collect()
-    assert [x["CID"] for x in capped] == [1]
+    tagged = C.curate(responses(spark), tagger=lambda d: d.withColumn("groups", F.when(F.col("CID") == 7, F.array(F.lit("g"))))).collect()
+    assert [x["CID"] for x in tagged] == [7]         # a record without groups was rejected by tagging
+
+
+def test_unfinished_write_is_built_anew(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(10).write.parquet(path)
+    os.remove(f"{path}/_SUCCESS")
+    assert SK.materialize_once(spark, path, lambda: spark.range(3)).count() == 3
+    assert SK.materialize_once(spark, path, lambda: spark.range(9)).count() == 3
+
+
+def test_prediction_files_by_uri(spark, tmp_path):
+    spark.createDataFrame([("CC", 1.0, 2.0)], "smiles string, calculated double, m_pred double").write.option("header", True).csv(f"{tmp_path}/m_predictions.csv")
+    got = SRC.read_prediction_set(spark, f"file:{tmp_path}", ["m", "absent"]).collect()
+    assert [(x["model"], x["pred"]) for x in got] == [("m", 2.0)]
 
 
 def test_max_id_scan(spark):
