@@ -347,6 +347,58 @@ def assign_groups(matches: DataFrame, row_id: str, rows: DataFrame | None = None
     return out.select(*cols)
 
 
+def tag_rows(df: DataFrame, row_id: str, text: str, rules: DataFrame, split: str = r"\s+", target: str | None = None,
+             keep: list | None = None) -> DataFrame:
+    """J6 + W3 + A16 inside the row: token matches and their assignment with
+    array functions, in one scan and without a shuffle.
+
+    Same result as :func:`match_rules` followed by :func:`assign_groups`: a
+    position's matches are decided among themselves, so each token is tested,
+    its matches are reduced to the first of every group, and the row's
+    assigned matches are sorted.  Work is linear in the row's tokens times the
+    rules.  ``target`` is a pattern of target tokens; rule tables of more than
+    one pass go the way of the two functions.
+    """
+    passes = _rule_passes(rules)
+    keep = keep or [row_id]
+    if len(passes) != 1:
+        tokens = tokenize(df, row_id, text, split)
+        flag = F.col("token").rlike(target) if target else None
+        m = match_rules(tokens, rules, row_id, flag=flag, flag_name="is_target")
+        tags = assign_groups(m, row_id, rows=df.select(row_id), target_flag="is_target" if target and passes else None)
+        return df.select(*keep).join(tags, row_id) if keep != [row_id] else tags
+    rows = passes[0]
+    possible = lambda t: matches_any(t, [r["pattern"] for r in rows]) | (t.rlike(target) if target else F.lit(False))
+    tokens = F.filter(F.transform(F.split(col(text), split), lambda t, i: F.struct(i.alias("p"), t.alias("t"))), lambda x: possible(x["t"]))
+
+    def decide(x):
+        hits = F.array_compact(F.array(*[F.when(x["t"].rlike(r["pattern"]), _hit(r)) for r in rows]))
+        # matches are in rule order, so a group's first match follows another group's
+        leads = let(hits, lambda h: F.filter(h, lambda y, i: (i == 0) | (F.get(h, i - 1)["group_rank"] != y["group_rank"])))
+        first = lambda h, y: y["group_rank"] == F.get(h, F.lit(0))["group_rank"]
+        return let(leads, lambda h: F.struct(
+            F.transform(F.filter(h, lambda y: first(h, y) | (y["pattern_rank"] > 0)),
+                        lambda y: F.struct(y["group_rank"], y["pattern_rank"], x["p"].alias("match_no"), y["group"])).alias("hits"),
+            F.exists(h, lambda y: ~first(h, y) & (y["pattern_rank"] == 0)).alias("failed"),
+            (x["t"].rlike(target) if target else F.lit(False)).alias("is_target")))
+
+    none = F.lit(None).cast("array<string>")
+    d = df.select(*keep, F.coalesce(F.transform(tokens, decide), F.array()).alias("_d"))
+    d = d.withColumn("_names", F.transform(F.sort_array(F.flatten(F.transform("_d", lambda x: x["hits"]))), lambda h: h["group"]))
+    failed = F.exists("_d", lambda x: x["failed"])
+    out = [*keep, F.when(failed, none).when(F.size("_names") == 0, F.array(F.lit(NO_GROUPS))).otherwise(F.col("_names")).alias("groups"),
+           F.when(~failed, F.size("_names")).cast("bigint").alias("n_assigned")]
+    if target:
+        out += [F.size(F.filter("_d", lambda x: x["is_target"])).cast("bigint").alias("n_targets"),
+                F.size(F.filter("_d", lambda x: x["is_target"] & (F.size(x["hits"]) == 0))).cast("bigint").alias("unassigned")]
+    return d.select(*out)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
 _ACC = "struct<assigned: array<struct<g: int, name: string, pos: array<int>>>, failed: boolean>"
 
 

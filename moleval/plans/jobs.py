@@ -176,8 +176,7 @@ def smiles_tagger(spark):
     rules = R.rules_to_long(spark.createDataFrame(SMILES_RULES, TT.RULE_SCHEMA))
 
     def tag(records):
-        tokens = R.tokenize(records, "CID", "CanonicalSMILES", "")
-        return records.join(R.assign_groups(R.match_rules(tokens, rules, "CID"), "CID", rows=records.select("CID")), "CID")
+        return R.tag_rows(records, "CID", "CanonicalSMILES", rules, split="", keep=records.columns)
     return tag
 
 

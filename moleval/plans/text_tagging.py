@@ -73,10 +73,7 @@ def doc_matches(spark, sf_dir):
 
 
 def doc_groups(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    m = R.match_rules(doc_tokens(spark, sf_dir), long_rules(spark), "doc_id",
-                      flag=F.col("token").rlike(TARGET_PATTERN))     # matches and targets in one scan
-    return R.assign_groups(m, "doc_id", rows=docs, target_flag="is_target")
+    return R.tag_rows(table(spark, sf_dir, "documents"), "doc_id", "text", long_rules(spark), target=TARGET_PATTERN)
 
 
 def q_rule_matches(spark, sf_dir):

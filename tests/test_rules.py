@@ -143,3 +143,17 @@ def test_phrase_matches_short_and_empty_rows(spark):
     got = sorted((r["id"], r["group"], r["positions"]) for r in
                  R.match_phrases(docs, "id", "text", R.rules_to_long(rules_df)).collect())
     assert got == [(3, "Pair", [0, 1]), (4, "Pair", [0, 1]), (4, "Triple", [0, 1, 2])]
+
+
+def test_tagging_inside_the_row_equals_match_and_assign(spark):
+    from moleval.plans import text_tagging as TT
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(
+        spark.createDataFrame([(9001, None), (9002, ""), (9003, "2020 Widget 10.0.0.1")], "doc_id bigint, text string"))
+    rules = TT.long_rules(spark)
+    m = R.match_rules(R.tokenize(docs, "doc_id", "text"), rules, "doc_id", flag=F.col("token").rlike(TT.TARGET_PATTERN))
+    want = R.assign_groups(m, "doc_id", rows=docs.select("doc_id"), target_flag="is_target")
+    got = R.tag_rows(docs, "doc_id", "text", rules, target=TT.TARGET_PATTERN)
+    key = lambda r: r["doc_id"]
+    assert [tuple(x) for x in sorted(got.collect(), key=key)] == [tuple(x) for x in sorted(want.collect(), key=key)]
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text
