@@ -108,8 +108,3 @@ def exact_median(df: DataFrame, by: list, value: str, name: str = "median", sums
     med = at.groupBy(*by).agg(((F.max(F.when(holds(first), F.col(value))) + F.max(F.when(holds(last), F.col(value)))) / 2).alias(name))
     total = counts.groupBy(*by).agg(F.sum("_c").alias("_n"), *[F.sum(n).alias(n) for n in sums or {}])
     return null_safe_join(total, med, by) if by else total.withColumn(name, med.scalar())
-
-
-def normalize_zero(c) -> Column:
-    """-0.0 -> 0.0 (so equal numbers print and hash alike)."""
-    return col(c) + F.lit(0.0)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moleval.functions.scalars import only_tokens, to_number
-from moleval.operators.filters import accept_tagged, exclude_above, until_first_failure
+from moleval.operators.filters import accept_tagged, exclude_above, require_present, until_first_failure
 from moleval.sources.tables import parse_id_scan, parse_property_responses
 
 # --- fixed values: drug-likeness limits of the curation step ---
@@ -43,7 +43,7 @@ def curate(responses: DataFrame, allowed=("C", "N", "O"), tagger=None, limits: d
     (F4).  No row cap: all records that pass are kept.
     """
     recs = parse_property_responses(responses)
-    recs = recs.where(F.col("CanonicalSMILES").isNotNull())
+    recs = require_present(recs, "CanonicalSMILES")
     recs = recs.where(only_tokens("CanonicalSMILES", allowed))
     if tagger is not None:
         recs = accept_tagged(tagger(recs))

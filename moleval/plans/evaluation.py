@@ -48,10 +48,10 @@ def significance_vs_base(long: DataFrame, base_model: str = "direct_model", key:
 
 def outlier_reports(long: DataFrame, threshold: float = 1.0, features=("num_n", "num_o"),
                     exclude=("direct_model",)) -> dict[str, DataFrame]:
-    """F3 -> A2 counts, A9 property report (Welch tests), A3/A4 summaries."""
+    """F3 -> A2 counts, A9 property report (Welch tests), A3/A4 summaries
+    of every feature (``summary_<feature>``)."""
     cls = FL.partition_by_error(long, "calculated", "pred", threshold)
     return {
         "counts": M.outcome_counts(cls, "model"),
         "report": ST.report_table(cls, "model", list(features), exclude=exclude),
-        "summary_n": M.feature_summary(cls.where(F.col("outcome") == FL.OUTLIER), "model", features[0], ddof=1),
-    }
+    } | {f"summary_{f}": M.feature_summary(cls.where(F.col("outcome") == FL.OUTLIER), "model", f, ddof=1) for f in features}
