@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from moleval.llm.chargrams import code_points, grams
+from moleval.llm.sampling import labelled_sample
 from moleval.llm.words import Words, blocks, mix
 
 BITS = 12
@@ -139,12 +139,10 @@ class Model:
         return np.clip(np.where(total > 1e-9, vote / np.maximum(total, 1e-9), self.prior), 0, 1)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", doc_id: str = "doc_id", bits: int = BITS,
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", doc_id: str = "doc_id", bits: int = BITS,
         max_references: int = MAX_REFERENCES, **options) -> Model:
-    """Model of a bounded sample of the labelled rows; their term rows are made in Spark."""
-    sample = (labelled.where(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"),
-                                                            F.xxhash64(F.col(doc_id).cast("string")).alias("h"))
-              .orderBy("h", "text", "label").limit(max_references))
+    """Model of a bounded sample of the labelled documents; their term rows are made in Spark."""
+    sample = labelled_sample(docs, labels, max_references, doc_id, text, label)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _small(batches, "text"):

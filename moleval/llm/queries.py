@@ -27,6 +27,11 @@ def _labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str) ->
     return docs.where(~F.col("held_out")).select("doc_id", "text").join(labels, "doc_id")
 
 
+def _labels(spark: SparkSession, sf_dir: str, label: str, n: int, held_out: int) -> DataFrame:
+    """Labels of the documents that a model may learn from."""
+    return _table(spark, sf_dir, "labels").where(remainder("doc_id", n) != held_out).select("doc_id", F.col(label).alias("label"))
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = url_filter.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"), keep=["page_id"])
     return d.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict", "odds")
@@ -53,7 +58,7 @@ def op4_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, 4, 2)
-    model = knn_quality.fit(_labelled(spark, sf_dir, docs, "quality"))
+    model = knn_quality.fit(docs, _labels(spark, sf_dir, "quality", 4, 2))
     return (docs.select("doc_id", "held_out", knn_quality.quality(F.col("text"), spark, model).alias("score"))
             .withColumn("predicted", (F.col("score") >= 0.7).cast("int")))
 
