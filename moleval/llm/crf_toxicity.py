@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from moleval.llm.sampling import labelled_sample
 from moleval.llm.words import Words, _tables, blocks, mix
 from moleval.session import cut_lineage
 
@@ -317,13 +318,11 @@ def _fit_document(signs: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", doc_id: str = "doc_id",
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", doc_id: str = "doc_id",
         max_labelled: int = MAX_LABELLED) -> Model:
-    """Model of a bounded sample of the labelled rows (written once to the checkpoint folder)."""
-    spark = labelled.sparkSession
-    sample = (labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-              .select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(F.col(doc_id).cast("string")).alias("h"))
-              .orderBy("h", "text", "label").limit(max_labelled).drop("h"))
+    """Model of a bounded sample of the labelled documents (written once to the checkpoint folder)."""
+    spark = docs.sparkSession
+    sample = labelled_sample(docs, labels, max_labelled, doc_id, text, label).drop("h")
     sample = cut_lineage(sample.repartition(max(1, spark.sparkContext.defaultParallelism)))
     n, ones = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not n or not 0 < ones < n:

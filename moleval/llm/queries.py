@@ -22,11 +22,6 @@ def _documents(spark: SparkSession, sf_dir: str, n: int, held_out: int) -> DataF
     return _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (remainder("doc_id", n) == held_out).alias("held_out"))
 
 
-def _labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str) -> DataFrame:
-    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label"))
-    return docs.where(~F.col("held_out")).select("doc_id", "text").join(labels, "doc_id")
-
-
 def _labels(spark: SparkSession, sf_dir: str, label: str, n: int, held_out: int) -> DataFrame:
     """Labels of the documents that a model may learn from."""
     return _table(spark, sf_dir, "labels").where(remainder("doc_id", n) != held_out).select("doc_id", F.col(label).alias("label"))
@@ -83,7 +78,7 @@ def op8_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, 3, 1)
-    model = crf_toxicity.fit(_labelled(spark, sf_dir, docs, "toxic"))
+    model = crf_toxicity.fit(docs, _labels(spark, sf_dir, "toxic", 3, 1))
     return (docs.select("doc_id", "held_out", crf_toxicity.toxicity(F.col("text"), spark, model).alias("x"))
             .select("doc_id", "held_out", "x.score", (F.col("x.score") >= 0.7).cast("int").alias("predicted"), "x.spans"))
 

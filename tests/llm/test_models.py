@@ -134,9 +134,9 @@ def test_votes_equal_a_full_sort():
 
 def test_quality_of_odd_rows_and_without_labels(spark):
     docs = odd(spark, "x", "h")
-    model = knn_quality.fit(docs.withColumn("label", F.when(F.col("doc_id") == 100003, 1)))
+    model = knn_quality.fit(docs, docs.select("doc_id", F.when(F.col("doc_id") == 100003, 1).alias("label")))
     assert [0 <= r.s <= 1 for r in docs.select(knn_quality.quality(F.col("text"), spark, model).alias("s")).collect()] == [True] * len(ODD)
-    none = knn_quality.fit(docs.withColumn("label", F.lit(None).cast("int")))
+    none = knn_quality.fit(docs, docs.select("doc_id", F.lit(None).cast("int").alias("label")))
     assert {r.s for r in docs.select(knn_quality.quality(F.col("text"), spark, none).alias("s")).collect()} == {0.5}
     assert docs.limit(0).select(knn_quality.quality(F.col("text"), spark, none)).count() == 0
 
@@ -187,7 +187,7 @@ def toxic_table(spark):
 
 
 def test_spans_mark_the_words(spark):
-    model = crf_toxicity.fit(toxic_table(spark))
+    model = crf_toxicity.fit(toxic_table(spark).drop("label"), toxic_table(spark))
     text = "Ünder the tree,\nan \"IDIOT\" sat. Nothing else"
     got = spark.createDataFrame([(text,), ("plain words stand here",), (None,), ("",)], "text string").select(
         "text", crf_toxicity.toxicity(F.col("text"), spark, model).alias("x")).collect()
@@ -198,8 +198,8 @@ def test_spans_mark_the_words(spark):
 
 def test_toxicity_of_odd_rows_and_without_labels(spark):
     docs = odd(spark, "x", "h")
-    model = crf_toxicity.fit(docs.withColumn("label", F.lit(None).cast("int")))
+    model = crf_toxicity.fit(docs, docs.select("doc_id", F.lit(None).cast("int").alias("label")))
     assert all(r.s < 0.01 for r in docs.select(crf_toxicity.toxicity(F.col("text"), spark, model)["score"].alias("s")).collect())
-    one = crf_toxicity.fit(docs.withColumn("label", F.lit(1)))
+    one = crf_toxicity.fit(docs, docs.select("doc_id", F.lit(1).alias("label")))
     assert all(r.s > 0.99 for r in docs.select(crf_toxicity.toxicity(F.col("text"), spark, one)["score"].alias("s")).collect())
     assert docs.limit(0).select(crf_toxicity.toxicity(F.col("text"), spark, one)).count() == 0
