@@ -23,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below ``TOXIC``; the field is fitted on the labelled ones among ``docs``."""
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    model = crf_toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = crf_toxicity.fit(docs, labels)
     score = crf_toxicity.toxicity(F.col("text"), spark, model)["score"]
     marked = docs.select(fields(docs.columns), score.alias("score"))
     return marked.where(F.col("score") < TOXIC).select("row.*")
