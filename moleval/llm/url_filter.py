@@ -2,9 +2,10 @@
 
 Words: host labels and path parts are cut at everything but letters, and each
 letter run is split into words by a unigram Viterbi search.  The unigram counts
-come from all documents and from all hyphenated names in the URLs; the lexicon
-keeps the ``MAX_WORDS`` most frequent words (the bound of what is broadcast),
-and an unknown run of letters costs ten times more for each letter.
+come from all documents, all hyphenated names and all top-level names in the
+URLs; the lexicon holds the most frequent words, ``MAX_WORDS`` at most (the
+bound of what is broadcast; words of the last count class go in or out
+together), and an unknown run of letters costs ten times more for each letter.
 
 Classes: hosts that contain a seed word count as ``block``, all others as
 ``allow``; multinomial naive Bayes over all pages, with words hashed to
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from moleval.llm.words import fields
+from moleval.session import cut_lineage
 
 MAX_WORDS = 50_000
 MAX_LETTERS = 20
@@ -68,11 +70,21 @@ def lexicon(pages: DataFrame, docs: DataFrame | None, url: str = "url", text: st
 
     u = pages.select(F.concat(host_of(F.col(url)), path_of(F.col(url))).alias("u"))
     names = u.select(F.explode(F.regexp_extract_all(F.lower("u"), F.lit("[a-z]+(?:[-_][a-z]+)+"), 0)).alias("u"))
-    found = names.select(words(F.col("u")).alias("w"))
+    found = names.select(words(F.col("u")).alias("w")).union(
+        pages.select(F.regexp_extract(host_of(F.col(url)), r"\.([a-z]+)$", 1).alias("w")))
     if docs is not None:
         found = found.union(docs.select(words(F.col(text)).alias("w")))
-    counts = found.where(F.length("w").between(1, MAX_LETTERS)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "w").limit(max_words).collect()
+    counts = cut_lineage(found.where(F.length("w").between(1, MAX_LETTERS)).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    # how many words have a count of a size class (8 to the octave), most frequent first: the lexicon ends with
+    # the last class that fits whole, so only its own rows come to the driver
+    size = F.floor(F.log2("n") * 8).cast("int")
+    least, held = None, 0
+    for r in sorted(counts.groupBy(size.alias("s")).count().collect(), key=lambda r: -r.s):
+        held += r["count"]
+        if held > max_words:
+            break
+        least = r.s
+    top = counts.where(size >= least).collect() if least is not None else []
     total = max(sum(r.n for r in top), 1)
     return {r.w: float(np.log10(r.n / total)) for r in top} | {"": float(np.log10(total))}
 
