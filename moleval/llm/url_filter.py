@@ -3,9 +3,10 @@
 Words: host labels and path parts are cut at everything but letters, and each
 letter run is split into words by a unigram Viterbi search.  The unigram counts
 come from all documents, all hyphenated names and all top-level names in the
-URLs; the lexicon holds the most frequent words, ``MAX_WORDS`` at most (the
-bound of what is broadcast; words of the last count class go in or out
-together), and an unknown run of letters costs ten times more for each letter.
+URLs, and every seed word counts once more; an unknown run of letters costs ten
+times more for each letter.  Every counted word of any length takes part: the
+substrings of the distinct runs are joined with the counts, and each distinct
+run is split beside its own matched words, so no lexicon is sent to tasks.
 
 Classes: hosts that contain a seed word count as ``block``, all others as
 ``allow``; multinomial naive Bayes over all pages, with words hashed to
@@ -13,8 +14,8 @@ Classes: hosts that contain a seed word count as ``block``, all others as
 without a seed can be blocked by its company.
 
 Null URLs and URLs without ``://`` have empty host and path, no words, and the
-verdict of the larger class; equal weights allow; without documents only URL
-names make up the lexicon; repeated rows are judged alike; an empty table gives
+verdict of the larger class; equal weights allow; without documents URL names
+and seeds are the known words; repeated rows are judged alike; an empty table gives
 an empty result.
 """
 
@@ -22,7 +23,6 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,6 @@ from pyspark.sql.functions import arrow_udf
 from moleval.llm.words import fields
 from moleval.session import cut_lineage
 
-MAX_WORDS = 50_000
-MAX_LETTERS = 20
 BITS = 18
 SMOOTHING = 0.1
 SEEDS = ("adult", "ads", "bets", "casino", "escort", "gambling", "pills", "poker", "porn", "sex", "spam", "viagra", "warez", "xxx")
@@ -63,8 +61,8 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def lexicon(pages: DataFrame, docs: DataFrame | None, url: str = "url", text: str = "text", max_words: int = MAX_WORDS) -> dict[str, float]:
-    """Log10 probability of the most frequent words; '' holds the log10 of all counted words."""
+def word_counts(pages: DataFrame, docs: DataFrame | None, url: str = "url", text: str = "text", seeds=SEEDS) -> DataFrame:
+    """Count ``n`` of every word ``w``, written once."""
     def words(c: Column) -> Column:
         return F.explode(F.split(F.lower(c), "[^a-z]+"))
 
@@ -74,64 +72,84 @@ def lexicon(pages: DataFrame, docs: DataFrame | None, url: str = "url", text: st
         pages.select(F.regexp_extract(host_of(F.col(url)), r"\.([a-z]+)$", 1).alias("w")))
     if docs is not None:
         found = found.union(docs.select(words(F.col(text)).alias("w")))
-    counts = cut_lineage(found.where(F.length("w").between(1, MAX_LETTERS)).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
-    # how many words have a count of a size class (8 to the octave), most frequent first: the lexicon ends with
-    # the last class that fits whole, so only its own rows come to the driver
-    size = F.floor(F.log2("n") * 8).cast("int")
-    least, held = None, 0
-    for r in sorted(counts.groupBy(size.alias("s")).count().collect(), key=lambda r: -r.s):
-        held += r["count"]
-        if held > max_words:
-            break
-        least = r.s
-    top = counts.where(size >= least).collect() if least is not None else []
-    total = max(sum(r.n for r in top), 1)
-    return {r.w: float(np.log10(r.n / total)) for r in top} | {"": float(np.log10(total))}
+    if seeds:
+        found = found.union(pages.sparkSession.createDataFrame([(w,) for w in seeds], "w string"))
+    return cut_lineage(found.where(F.length("w") > 0).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
 
 
 class Segmenter:
-    """Most likely split of a run of letters under a unigram model."""
+    """Most likely split of a run of letters under a unigram model: log10
+    probabilities of words, '' holds the log10 of all counted words."""
 
     def __init__(self, words: dict[str, float]):
         self.words, self.total = words, words.get("", 0.0)
-        self.split = lru_cache(1 << 16)(self._split)
+        self.lengths = sorted({len(w) for w in words if w})
 
-    def _cost(self, w: str) -> float:
-        known = self.words.get(w)
-        return -known if known is not None else self.total + len(w)
-
-    def _split(self, run: str) -> tuple[str, ...]:
+    def split(self, run: str) -> list[str]:
         best, back = [0.0], [0]
+        open_cost, open_at = 0.0, 0     # cheapest start of an unknown word: cost up to it less its position
         for end in range(1, len(run) + 1):
-            cost, start = min((best[s] + self._cost(run[s:end]), s) for s in range(max(0, end - MAX_LETTERS), end))
+            cost, start = open_cost + self.total + end, open_at
+            for n in self.lengths:
+                if n > end:
+                    break
+                known = self.words.get(run[end - n:end])
+                if known is not None:
+                    cost, start = min((cost, start), (best[end - n] - known, end - n))
             best.append(cost)
             back.append(start)
+            if cost - end < open_cost:
+                open_cost, open_at = cost - end, end
         out, end = [], len(run)
         while end:
             out.append(run[back[end]:end])
             end = back[end]
-        return tuple(reversed(out))
+        return out[::-1]
 
     def words_of(self, s: str) -> list[str]:
         return [w for run in "".join(c if "a" <= c <= "z" else " " for c in s.lower()).split() for w in self.split(run)]
 
 
-def segmented(host: Column, path: Column, spark, words: dict[str, float]) -> Column:
-    """struct<host: array<string>, path: array<string>> of the words of both."""
-    sent = spark.sparkContext.broadcast(words)
+def _letters(c: Column) -> Column:
+    """The letter runs of a text with one space between."""
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z]+", " "))
+
 
-    @arrow_udf("struct<host:array<string>,path:array<string>>")
+def splits(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """``run`` and its words ``split``, for distinct ``run``s (the empty run has none)."""
+    longest = runs.agg(F.max(F.length("run"))).first()[0] or 0
+    of = counts.agg(F.sum("n").alias("n"), F.collect_set(F.when(F.length("w") <= longest, F.length("w"))).alias("lengths")).first()
+    total, lengths = max(of.n or 0, 1), sorted(of.lengths)
+    # one row per place, then per length a word has: no array grows with more than the number of such lengths
+    places = runs.where("run <> ''").select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("at"))
+    parts = places.select("run", "at", F.explode(F.filter(F.lit(lengths).cast("array<int>"), lambda n: F.col("at") + n - 1 <= F.length("run"))).alias("len"))
+    known = (parts.select("run", F.col("run").substr(F.col("at"), F.col("len")).alias("w")).join(counts, "w")
+             .groupBy("run").agg(F.collect_set(F.struct("w", "n")).alias("known")))
+    log_total = float(np.log10(total))
+
+    @arrow_udf("array<string>")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        s = Segmenter(sent.value)
         for a, b in batches:
-            columns = []
-            for c in (a, b):
-                d = c.dictionary_encode()
-                each = [s.words_of(x or "") for x in d.dictionary.to_pylist()]
-                columns.append(pa.array(each, pa.list_(pa.string())).take(d.indices) if each else pa.array([[]] * len(c), pa.list_(pa.string())))
-            yield pa.StructArray.from_arrays(columns, ["host", "path"])
+            out = [Segmenter({k["w"]: float(np.log10(k["n"] / total)) for k in known or ()} | {"": log_total}).split(run)
+                   for run, known in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+            yield pa.array(out, pa.list_(pa.string()))
+
+    return runs.join(known, "run", "left").select("run", cut(F.col("run"), F.col("known")).alias("split"))
+
+
+def segmented(parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """``words``, struct<host: array<string>, path: array<string>>, of each pair
+    (``_h``, ``_q``) of host and path letters, with the number ``n`` of its pages."""
+    keys = cut_lineage(parts.groupBy("_h", "_q").agg(F.count(F.lit(1)).alias("n")))
+    each = keys.select("_h", "_q", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.split(c, " ").alias("runs")) for i, c in enumerate(("_h", "_q"))])).alias("p"))
+    each = each.select("_h", "_q", "n", "p.part", F.posexplode("p.runs").alias("at", "run"))
+    found = each.join(splits(cut_lineage(each.select("run").distinct()), counts), "run")
+
+    def words(part: int) -> Column:
+        of = F.sort_array(F.collect_list(F.when(F.col("part") == part, F.struct("at", "split"))))
+        return F.flatten(F.transform(of, lambda x: x["split"]))
 
-    return cut(host, path)
+    return cut_lineage(found.groupBy("_h", "_q").agg(F.first("n").alias("n"), F.struct(words(0).alias("host"), words(1).alias("path")).alias("words")))
 
 
 def buckets(words: Column, bits: int = BITS) -> Column:
@@ -146,14 +164,14 @@ def fit(words: DataFrame, seeds=SEEDS, bits: int = BITS, smoothing: float = SMOO
     """Weight of every bucket for ``block`` over ``allow``, and the prior's.
 
     Counts per bucket are combined before the shuffle; the result has at most
-    ``2**bits`` rows.  ``words``: column ``words`` as made by :func:`segmented`.
+    ``2**bits`` rows.  ``words``: columns ``words`` and ``n`` as made by :func:`segmented`.
     """
     blocked = F.arrays_overlap(F.col("words.host"), F.array(*[F.lit(s) for s in seeds])).cast("bigint")
-    rows = words.select(blocked.alias("y"), buckets(F.col("words"), bits).alias("b"))
+    rows = words.select((blocked * F.col("n")).alias("y"), "n", buckets(F.col("words"), bits).alias("b"))
     size = 1 << bits
     # -1 counts the pages themselves, for the prior
-    counted = (rows.select("y", F.explode(F.concat("b", F.array(F.lit(-1)))).alias("b")).groupBy("b")
-               .agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")).collect())
+    counted = (rows.select("y", "n", F.explode(F.concat("b", F.array(F.lit(-1)))).alias("b")).groupBy("b")
+               .agg(F.sum("y").alias("y"), F.sum("n").alias("n")).collect())
     c, pages = np.zeros((2, size)), np.ones(2)
     for r in counted:
         if r.b < 0:
@@ -186,12 +204,13 @@ def judge(pages: DataFrame, docs: DataFrame | None = None, keep: list | None = N
           rules=RULES, seeds=SEEDS) -> DataFrame:
     """``row`` (struct of ``keep``), ``host``, ``path``, ``words``, ``rule``, ``odds`` and ``verdict`` of every page."""
     spark = pages.sparkSession
-    lex = lexicon(pages, docs, url, text)
     p = pages.select(fields(keep or pages.columns), host_of(F.col(url)).alias("host"),
                      path_of(F.col(url)).alias("path"))
-    p = p.withColumn("words", segmented(F.col("host"), F.col("path"), spark, lex))
-    model = fit(p.select("words"), seeds)
-    p = p.withColumn("odds", weigh(buckets(F.col("words")), spark, model)).withColumn("_r", matching_rule(F.col("host"), F.col("path"), rules))
+    p = p.withColumn("_h", _letters(F.col("host"))).withColumn("_q", _letters(F.col("path")))
+    found = segmented(p, word_counts(pages, docs, url, text, seeds))
+    odds = weigh(buckets(F.col("words")), spark, fit(found, seeds))
+    p = p.join(found.select("_h", "_q", "words", odds.alias("odds")), ["_h", "_q"])
+    p = p.withColumn("_r", matching_rule(F.col("host"), F.col("path"), rules))
     learned = F.when(F.col("odds") > 0, "block").otherwise("allow")
     return p.select("row", "host", "path", "words", F.col("_r.rule").alias("rule"), "odds",
                     F.coalesce(F.col("_r.verdict"), learned).alias("verdict"))

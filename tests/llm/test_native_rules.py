@@ -1,4 +1,5 @@
 """URL rules, adaptive quality rules and systematic mixing against plain Python."""
+import itertools
 import random
 import re
 
@@ -158,3 +159,14 @@ def test_url_parts_rules_and_learned_verdict(spark):
 def test_viterbi_splits_concatenated_names():
     words = {w: n for w, n in (("cheap", -3.0), ("pills", -3.2), ("che", -5.0), ("online", -3.5), ("", 6.0))}
     assert url_filter.Segmenter(words).words_of("CheapPillsOnline.7") == ["cheap", "pills", "online"]
+
+
+def test_words_of_any_rank_and_length_split_names(spark):
+    common = " ".join("".join(p) for p in itertools.product("qjvkwzx", repeat=6)) + " " + "qj" * 14
+    docs = spark.createDataFrame([(common + " " + common,), ("free best gambling",), (None,)], "text string")
+    names = ["freepoker", "bestviagra", "gambling", "qj" * 14 + "best", "nosuchword"]
+    pages = spark.createDataFrame([(i, f"http://{n}.example.com/en/free{n}") for i, n in enumerate(names)] + [(9, None)], "page_id bigint, url string")
+    got = {r.i: r.words for r in url_filter.judge(pages, docs, keep=["page_id"]).select("words", F.col("row.page_id").alias("i")).collect()}
+    assert [got[i].host[:-2] for i in range(3)] == [["free", "poker"], ["best", "viagra"], ["gambling"]]
+    assert got[3].host[:2] == ["qj" * 14, "best"] and got[4].host[-1] == "com"
+    assert got[0].path == ["en", "free", "free", "poker"] and got[9].host == got[9].path == []
