@@ -2,10 +2,12 @@
 sorted hash arrays, memory-mapped by the workers that score.
 
 Words are lower-cased (A-Z) and a text ends with an end token; words and n-grams
-are 64-bit hashes.  Counting runs from the highest order down: packed n-grams
-are combined inside tasks, shuffled by their context's hash range, merged, and
-written as one shard per range - n-gram hashes in order with their counts,
-context hashes in order with the totals that discounts need.  Each distinct
+are 64-bit hashes.  Counting runs from the highest order down: n-grams are
+combined inside tasks, packed as sorted numbers over the words of their row,
+shuffled by their context's hash range, merged, and written as one shard per
+range - n-gram hashes in order with their counts, context hashes in order with
+the totals that discounts need.  Counts are stored in a byte each, those that
+do not fit in a list beside it.  Each distinct
 n-gram then passes one count to its suffix, which makes the continuation counts
 of the order below.  N-grams that begin a text keep their plain counts in lower
 orders.  Shards lie in the shared checkpoint folder; equal input gives equal
@@ -38,7 +40,7 @@ from pyspark.sql.functions import arrow_udf
 from moleval.llm.words import Words, blocks, mix, run_starts
 from moleval.session import checkpoint_dir
 
-ORDER = 2
+ORDER = 3
 SHARD_CHARS = 12_000_000        # characters of learning text aimed at for one shard
 FLUSH_TOKENS = 2_000_000        # tokens combined in a task before they are sent on
 
@@ -75,14 +77,36 @@ def shard_of(context: np.ndarray, shards: int) -> np.ndarray:
     return ((context >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def _pack(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
-    return b"".join(c.tobytes() for c in columns) + counts.astype(np.uint32).tobytes()
-
-
-def _unpack(kind: int, data: bytes) -> list[np.ndarray]:
-    n, k = len(data) // (8 * max(kind, 1) + 4), max(kind, 1)
-    a = np.frombuffer(data, np.uint64, n * k).reshape(k, n)
-    return [*a, np.frombuffer(data, np.uint32, n, n * k * 8).astype(np.int64)]
+def _pack(columns: list[np.ndarray], counts: np.ndarray) -> list[bytes]:
+    """Distinct n-grams as words by falling frequency, the gaps between the sorted
+    n-grams read as numbers over these words, and counts; in one piece if the numbers fit 63 bits."""
+    k, n = len(columns), len(counts)
+    words, code, times = np.unique(np.concatenate(columns), return_inverse=True, return_counts=True)
+    m = len(words)
+    if m**k >= 1 << 63:
+        return [d for part in (slice(None, n // 2), slice(n // 2, None)) for d in _pack([c[part] for c in columns], counts[part])]
+    rank = np.argsort(-times, kind="stable")
+    place = np.empty(m, np.int64)
+    place[rank] = np.arange(m)
+    number = np.zeros(n, np.int64)
+    for c in place[code].reshape(k, n):
+        number = number * m + c
+    order = np.argsort(number)
+    planes = np.stack([np.diff(number[order], prepend=0), counts[order]]).astype("<i8").view(np.uint8).reshape(2, n, 8).transpose(0, 2, 1)
+    body = words[rank].astype("<u8").tobytes() + planes.tobytes()
+    return [np.array([k, n, m], "<i8").tobytes() + pa.Codec("zstd").compress(body, asbytes=True)]
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    k, n, m = (int(v) for v in np.frombuffer(data, "<i8", 3))
+    body = pa.Codec("zstd").decompress(data[24:], 8 * m + 16 * n, asbytes=True)
+    words = np.frombuffer(body, "<u8", m)
+    gaps, counts = np.ascontiguousarray(np.frombuffer(body, np.uint8, 16 * n, 8 * m).reshape(2, 8, n).transpose(0, 2, 1)).view("<i8")[..., 0]
+    number, columns = np.cumsum(gaps), []
+    for _ in range(k):
+        number, c = np.divmod(number, m)
+        columns.append(words[c])
+    return [*columns[::-1], counts]
 
 
 def _merged(kind: int, columns: list[np.ndarray], counts: np.ndarray):
@@ -108,7 +132,7 @@ def _rows(kind: int, columns, counts, context, shards: int) -> list[tuple]:
         return []
     s = shard_of(context, shards)
     at = np.concatenate((run_starts(s), [len(s)]))
-    return [(kind, int(s[a]), _pack([c[a:b] for c in columns], counts[a:b])) for a, b in zip(at, at[1:])]
+    return [(kind, int(s[a]), d) for a, b in zip(at, at[1:]) for d in _pack([c[a:b] for c in columns], counts[a:b])]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -137,6 +161,13 @@ class Store:
             f.write(np.ascontiguousarray(array).data)
         fs.move(part, f"{path}/{name}")
 
+    def write_counts(self, name: str, counts: np.ndarray) -> None:
+        """Counts in a byte each; 255 stands for one in ``.more``, pairs (place, count)."""
+        flat = np.ascontiguousarray(counts).reshape(-1)
+        more = np.flatnonzero(flat >= 255)
+        self.write(f"{name}.more", np.stack([more, flat[more]], 1).astype("<u8"))
+        self.write(f"{name}.value", np.minimum(flat, 255).astype(np.uint8))
+
     def read(self, name: str, dtype, width: int = 1) -> np.ndarray:
         fs, path = self._place()
         path = f"{path}/{name}"
@@ -153,6 +184,17 @@ def _shard(uri: str, name: str, dtype: str, width: int) -> np.ndarray:
     return Store(uri).read(name, dtype, width)
 
 
+def _counts(uri: str, name: str, width: int, at: np.ndarray) -> np.ndarray:
+    """Stored counts at the given places (rows of ``width``)."""
+    out = _shard(uri, f"{name}.value", "u1", width)[at].astype(np.uint64)
+    large = np.nonzero(out == 255)
+    if len(large[0]):
+        more = _shard(uri, f"{name}.more", "<u8", 2)
+        place = at[large[0]] * width + (large[1] if width > 1 else 0)
+        out[large] = more[np.searchsorted(more[:, 0], place.astype(np.uint64)), 1]
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     """Where the shards are, and the sums that all of them share."""
@@ -164,9 +206,9 @@ class Model:
     tokens: int                 # learning tokens (N)
     types: int                  # distinct learning tokens (V)
 
-    def _look_up(self, kind: str, k: int, where: np.ndarray, keys: np.ndarray, width: int, dtype: str) -> np.ndarray:
+    def _look_up(self, kind: str, k: int, where: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
         """Stored values of ``keys`` (0 where absent); ``where`` gives the hash whose range names the shard."""
-        out = np.zeros((len(keys), width) if width > 1 else len(keys), dtype)
+        out = np.zeros((len(keys), width) if width > 1 else len(keys), np.uint64)
         s = shard_of(where, self.shards)
         order = np.lexsort((keys, s))
         at = np.concatenate((run_starts(s[order]), [len(s)]))
@@ -180,7 +222,7 @@ class Model:
                 q = keys[pick]
                 i = np.minimum(np.searchsorted(names, q), len(names) - 1)
                 hit = names[i] == q
-                out[pick[hit]] = _shard(self.uri, f"{kind}{k}-{number}.value", f"<{dtype}", width)[i[hit]]
+                out[pick[hit]] = _counts(self.uri, f"{kind}{k}-{number}", width, i[hit])
         return out
 
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
@@ -189,10 +231,10 @@ class Model:
         real = np.flatnonzero(position > 0)
         words, place = x[real], position[real]
         distinct, inverse = np.unique(words, return_inverse=True)
-        raw = self._look_up("raw", 0, distinct, distinct, 1, "u4").astype(np.float64)[inverse]
+        raw = self._look_up("raw", 0, distinct, distinct, 1).astype(np.float64)[inverse]
         base = np.log10((raw + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
         total, n1, n2, n3, types = self.unigram
-        a = self._look_up("gram", 1, distinct, distinct, 1, "u4").astype(np.float64)[inverse]
+        a = self._look_up("gram", 1, distinct, distinct, 1).astype(np.float64)[inverse]
         uniform = 1.0 / (types + 1)
         if total:
             d = (0.0, *self.discounts[0])
@@ -206,10 +248,10 @@ class Model:
                 break
             columns = [x[real[at] - j] for j in range(k - 1, 0, -1)]
             c = context_hash(columns, len(at))
-            stats = self._look_up("context", k, c, c, 4, "u8").astype(np.float64)
+            stats = self._look_up("context", k, c, c, 4).astype(np.float64)
             seen = stats[:, 0] > 0
             at, c, stats = at[seen], c[seen], stats[seen]
-            a = self._look_up("gram", k, c, gram_hash(c, words[at]), 1, "u4").astype(np.float64)
+            a = self._look_up("gram", k, c, gram_hash(c, words[at]), 1).astype(np.float64)
             d = np.array((0.0, *self.discounts[k - 1]))
             left = stats[:, 1:] @ d[1:]
             p[at] = (np.maximum(a - d[np.minimum(a, 3).astype(int)], 0) + left * p[at]) / stats[:, 0]
@@ -273,7 +315,7 @@ def _reduce(order: int, now: int, shards: int, uri: str):
         if kind < 0:
             yield _batch([(kind, shard, d) for d in data])
             return
-        parts = [_unpack(kind, d) for d in data]
+        parts = [_unpack(d) for d in data]
         columns, counts, c, g = _merged(kind, [np.concatenate(p) for p in list(zip(*parts, strict=True))[:-1]],
                                         np.concatenate([p[-1] for p in parts]))
         del parts, data
@@ -285,11 +327,11 @@ def _reduce(order: int, now: int, shards: int, uri: str):
         out = [(-1, shard, np.array([kind, *few], np.int64).tobytes())]
         by = np.argsort(g) if kind > 1 else slice(None)
         name = f"{'raw' if kind == 0 else 'gram'}{kind}-{shard}"
-        store.write(f"{name}.value", np.minimum(counts[by], 2**32 - 1).astype("<u4"))
+        store.write_counts(name, counts[by])
         if kind > 1:
             at = run_starts(c)
             stats = np.stack([np.add.reduceat(v.astype(np.int64), at) for v in (counts, counts == 1, counts == 2, counts >= 3)], 1)
-            store.write(f"context{kind}-{shard}.value", stats.astype("<u8"))
+            store.write_counts(f"context{kind}-{shard}", stats)
             store.write(f"context{kind}-{shard}.key", c[at].astype("<u8"))
             cols, n, c, _ = _merged(kind - 1, columns[1:], np.ones(len(counts), np.int64))
             out += _rows(kind - 1, cols, n, c, shards)

@@ -203,3 +203,28 @@ def test_toxicity_of_odd_rows_and_without_labels(spark):
     one = crf_toxicity.fit(docs, docs.select("doc_id", F.lit(1).alias("label")))
     assert all(r.s > 0.99 for r in docs.select(crf_toxicity.toxicity(F.col("text"), spark, one)["score"].alias("s")).collect())
     assert docs.limit(0).select(crf_toxicity.toxicity(F.col("text"), spark, one)).count() == 0
+
+
+def test_registered_language_model_looks_at_two_words(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c", "d b e", "a b c", "d b e"] * 20)], "doc_id bigint, text string").withColumn("lang", F.lit("en"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op2_kn_lm(spark, str(tmp_path)).collect()}
+    learn = [r.text for r in docs.join(spark.createDataFrame([(i,) for i, r in got.items() if not r.held_out], "doc_id bigint"), "doc_id").collect()]
+    plain = PlainModel(learn, 3)
+    assert got[0].score == pytest.approx(plain.row("a b c")[3], rel=1e-9)
+    assert plain.p(("a", "b", "c")) > 2 * plain.p(("d", "b", "c"))
+
+
+def test_packed_grams_and_counts_come_back(tmp_path):
+    rng = np.random.default_rng(3)
+    for k, n in ((1, 50), (3, 4000), (5, 20_000)):
+        columns = [rng.integers(0, 2**64, n, np.uint64) for _ in range(k)]
+        counts = rng.integers(1, 2**40, n)
+        parts = [kn_lm._unpack(d) for d in kn_lm._pack(columns, counts)]
+        assert sorted(zip(*[np.concatenate(c).tolist() for c in zip(*parts, strict=True)], strict=True)) == sorted(zip(*[c.tolist() for c in columns], counts.tolist(), strict=True))
+    stats = rng.integers(0, 2**40, (30, 4)) >> rng.integers(0, 40, (30, 4))
+    kn_lm.Store(str(tmp_path)).write_counts("x", stats)
+    at = np.array([29, 0, 7, 7])
+    assert (kn_lm._counts(str(tmp_path), "x", 4, at) == stats[at]).all()
+    kn_lm.Store(str(tmp_path)).write_counts("y", stats[:, 0])
+    assert (kn_lm._counts(str(tmp_path), "y", 1, at) == stats[at, 0]).all()
