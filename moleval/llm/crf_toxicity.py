@@ -7,8 +7,9 @@ to 7 characters, its last 3 characters and its neighbours' identities.
 Labelled tokens come from document labels on a sample of ``MAX_LABELLED`` rows
 at most (smallest hash of the id first): a word or prefix whose documents are
 toxic in at least ``PRECISION`` of the cases, with ``MIN_TOXIC`` toxic ones,
-marks tokens of toxic documents as toxic.  The field learns from windows round
-such tokens and from windows of other documents, at most ``WINDOWS`` from each.
+marks tokens of toxic documents as toxic.  The field learns from every line of
+the sample, whole and with all its tokens, in minibatches that the driver reads
+in turn from the checkpoint folder: its memory does not grow with the texts.
 Forward-backward marginals of the tokens give the document's score (a logistic
 function of the highest marginal and the expected number of toxic tokens,
 fitted on the same sample) and its offending spans.
@@ -21,7 +22,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,8 +43,9 @@ FEATURES = 2 + len(PREFIXES)    # identity, prefixes, suffix; two neighbours' id
 MAX_LABELLED = 8192
 MIN_TOXIC = 5
 PRECISION = 0.8
-WINDOWS = 4
-SPAN = 8                        # tokens on each side of a window's middle
+BATCH_TOKENS = 1 << 15          # of whole lines, for one step of the fit
+CHUNK_BYTES = 32 << 20          # training lines held by the driver at a time
+UNIT = 16                       # tokens that weigh as one example against the decay
 BLOCK = 1 << 20
 
 _PUNCT = np.zeros(256, bool)
@@ -217,68 +219,75 @@ def toxic_marks(sample: DataFrame, min_toxic: int = MIN_TOXIC, precision: float
     return np.sort(np.array([r.h for r in counts.select("h").collect()], np.int64).view(np.uint64))
 
 
-def _training_windows(sample: DataFrame, marks) -> DataFrame:
-    """(x, y): feature numbers (tokens x features) and gold labels of short windows."""
+def _training_lines(sample: DataFrame, marks) -> DataFrame:
+    """(x, y): feature numbers (tokens x features) and gold labels of every line, in order of a hash."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = marks.value
         for b, t in _token_blocks(batches):
             if not len(t):
                 continue
             label = np.asarray(b.column(1).to_numpy(zero_copy_only=False))
-            toxic = np.isin(t.hashes()[:-1], known).any(0) & (label[t.words.doc] == 1)
-            x = t.features()
-            rows = []
-            for d in range(b.num_rows):
-                lo, hi = t.words.first[d], t.words.first[d + 1]
-                if lo == hi:
-                    continue
-                if label[d] == 1:
-                    middles = lo + np.flatnonzero(toxic[lo:hi])
-                else:
-                    middles = np.linspace(lo, hi - 1, WINDOWS).astype(int)
-                if len(middles) > WINDOWS:
-                    middles = middles[np.linspace(0, len(middles) - 1, WINDOWS).astype(int)]
-                for m in middles:
-                    a, z = max(lo, m - SPAN), min(hi, m + SPAN + 1)
-                    rows.append((np.ascontiguousarray(x[:, a:z].T).tobytes(), toxic[a:z].astype(np.int8).tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, "binary") for c in zip(*rows, strict=True)], ["x", "y"])
-
-    return sample.mapInArrow(cut, "x binary, y binary")
-
-
-def train_field(windows: list[tuple[bytes, bytes]], rounds: int = 12, rate: float = 0.2, decay: float = 1e-5) -> Model:
-    """Maximum likelihood by adaptive gradient steps on batches of windows."""
+            toxic = (np.isin(t.hashes()[:-1], known).any(0) & (label[t.words.doc] == 1)).astype(np.int8)
+            x = np.ascontiguousarray(t.features().T)
+            ends = np.append(t.chain[1:], len(t))
+            rows = [(x[a:z].tobytes(), toxic[a:z].tobytes()) for a, z in zip(t.chain, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, "binary") for c in zip(*rows, strict=True)], ["x", "y"])
+
+    lines = cut_lineage(sample.mapInArrow(cut, "x binary, y binary").withColumn("k", F.xxhash64("x", "y")))
+    size = lines.agg(F.sum(F.length("x"))).first()[0] or 0
+    return cut_lineage(lines.repartitionByRange(1 + size // CHUNK_BYTES, "k").sortWithinPartitions("k", "x", "y").select("x", "y"))
+
+
+def _batches(lines: Iterator[tuple[bytes, bytes]], rng: np.random.Generator) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """Lines as arrays, mixed within a chunk, ``BATCH_TOKENS`` or one longer line at a time."""
+    def mixed(chunk):
+        batch, tokens = [], 0
+        for i in rng.permutation(len(chunk)):
+            x, y = chunk[i]
+            if batch and tokens + len(y) > BATCH_TOKENS:
+                yield batch
+                batch, tokens = [], 0
+            batch.append((np.frombuffer(x, np.int32).reshape(-1, FEATURES + 2), np.frombuffer(y, np.int8).astype(np.float64)))
+            tokens += len(y)
+        if batch:
+            yield batch
+
+    chunk, size = [], 0
+    for x, y in lines:
+        chunk.append((bytes(x), bytes(y)))
+        size += len(x)
+        if size >= CHUNK_BYTES:
+            yield from mixed(chunk)
+            chunk, size = [], 0
+    yield from mixed(chunk)
+
+
+def train_field(lines: Callable[[], Iterator[tuple[bytes, bytes]]], rounds: int = 12, rate: float = 0.2, decay: float = 1e-5) -> Model:
+    """Maximum likelihood by adaptive gradient steps on batches of whole lines;
+    ``lines()`` gives all of them, in the same order, for each round."""
     model = Model()
-    windows = sorted(windows)
-    if not windows:
-        return model
     w, t = model.weights, model.steps
     sw, st = np.full(len(w), 1e-3), np.full((2, 2), 1e-3)
     rng = np.random.default_rng(0)
-    xs = [np.frombuffer(a, np.int32).reshape(-1, FEATURES + 2) for a, _ in windows]
-    ys = [np.frombuffer(b, np.int8).astype(np.float64) for _, b in windows]
-    size = 256
     for _ in range(rounds):
-        order = rng.permutation(len(xs))
-        for at in range(0, len(order), size):
-            pick = order[at:at + size]
-            x, y = np.concatenate([xs[i] for i in pick]), np.concatenate([ys[i] for i in pick])
-            lengths = np.array([len(ys[i]) for i in pick])
+        for pick in _batches(lines(), rng):
+            x, y = np.concatenate([a for a, _ in pick]), np.concatenate([b for _, b in pick])
+            lengths = np.array([len(b) for _, b in pick])
             chain = np.cumsum(lengths) - lengths
             e = w[x].sum(1)
-            p = sigmoid(marginals(e, chain, t))
-            gw = np.bincount(x.ravel(), np.repeat(p - y, x.shape[1]), len(w)) / len(pick) + decay * w
+            odds = marginals(e, chain, t)
+            p = sigmoid(odds)
+            gw = np.bincount(x.ravel(), np.repeat(p - y, x.shape[1]), len(w)) * (UNIT / len(y)) + decay * w
             gw[0] = 0
             inner = np.ones(len(y), bool)
             inner[chain] = False
             b = np.flatnonzero(inner)
             gt = np.zeros((2, 2))
             if len(b):
-                pair = pair_marginals(e, chain, t, b)
+                pair = pair_marginals(e, chain, t, b, odds)
                 for i in (0, 1):
                     for j in (0, 1):
-                        gt[i, j] = (pair[i][j] - ((y[b - 1] == i) & (y[b] == j))).sum() / len(pick)
+                        gt[i, j] = (pair[i][j] - ((y[b - 1] == i) & (y[b] == j))).sum() * (UNIT / len(y))
             sw += gw * gw
             st += gt * gt
             w -= rate * gw / np.sqrt(sw)
@@ -286,15 +295,16 @@ def train_field(windows: list[tuple[bytes, bytes]], rounds: int = 12, rate: floa
     return model
 
 
-def pair_marginals(e: np.ndarray, chain: np.ndarray, t: np.ndarray, b: np.ndarray) -> list[list[np.ndarray]]:
+def pair_marginals(e: np.ndarray, chain: np.ndarray, t: np.ndarray, b: np.ndarray, odds: np.ndarray | None = None) -> list[list[np.ndarray]]:
     """P(label of b - 1 is i, label of b is j) for tokens b that do not begin a chain."""
-    odds = marginals(e, chain, t)
+    odds = marginals(e, chain, t) if odds is None else odds
     # one direction's message from its odds: backward[b - 1] is known from e[b] + backward[b]
     length = np.diff(np.concatenate((chain, [len(e)])))
+    order = np.argsort(-length, kind="stable")
+    begin, length = chain[order], length[order]
     back = np.zeros(len(e))
-    step = np.arange(len(e)) - np.repeat(chain, length)
-    for k in range(int(length.max()) - 1, 0, -1):
-        at = np.flatnonzero(step == k)
+    for k in range(int(length[0]) - 1, 0, -1):
+        at = begin[:np.searchsorted(-length, -k)] + k
         r = e[at] + back[at]
         back[at - 1] = np.logaddexp(t[1, 0], t[1, 1] + r) - np.logaddexp(t[0, 0], t[0, 1] + r)
     left, right = (odds - back)[b - 1], (e + back)[b]
@@ -330,7 +340,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
         odds = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return Model(document=np.array([0.0, 0.0, odds]))
     marks = spark.sparkContext.broadcast(toxic_marks(sample))
-    model = train_field([(bytes(r.x), bytes(r.y)) for r in _training_windows(sample, marks).collect()])
+    lines = _training_lines(sample, marks)
+    model = train_field(lines.toLocalIterator)
     sent = spark.sparkContext.broadcast(model)
 
     def sign_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -228,3 +228,25 @@ def test_packed_grams_and_counts_come_back(tmp_path):
     assert (kn_lm._counts(str(tmp_path), "x", 4, at) == stats[at]).all()
     kn_lm.Store(str(tmp_path)).write_counts("y", stats[:, 0])
     assert (kn_lm._counts(str(tmp_path), "y", 1, at) == stats[at, 0]).all()
+
+
+def test_field_learns_from_every_token_of_the_sample(spark):
+    texts = [("calm " * 500 + "Idiot\nthe end " * 30, 1), ("a plain line\n" * 200 + "last", 0), ("nothing marked here", 1), ("", 0)]
+    sample = spark.createDataFrame(texts, "text string, label int")
+    t = crf_toxicity.Tokens(pa.array(["idiot"]))
+    marks = spark.sparkContext.broadcast(np.sort(t.hashes()[:1, 0]))
+    rows = crf_toxicity._training_lines(sample, marks).collect()
+    lines = [x.split() for text, _ in texts for x in text.split("\n") if x.split()]
+    assert sorted(len(r.y) for r in rows) == sorted(map(len, lines))
+    assert sum(sum(r.y) for r in rows) == 30
+    assert all(len(r.x) == 4 * (crf_toxicity.FEATURES + 2) * len(r.y) for r in rows)
+
+
+def test_every_line_is_in_one_batch(monkeypatch):
+    monkeypatch.setattr(crf_toxicity, "BATCH_TOKENS", 10)
+    monkeypatch.setattr(crf_toxicity, "CHUNK_BYTES", 900)
+    width = crf_toxicity.FEATURES + 2
+    lines = [(np.full(n * width, i, np.int32).tobytes(), bytes(n)) for i, n in enumerate([3, 9, 25, 1, 4, 4, 2, 30, 8])]
+    got = [[(int(x[0, 0]), len(y)) for x, y in batch] for batch in crf_toxicity._batches(iter(lines), np.random.default_rng(0))]
+    assert sorted(g for b in got for g in b) == [(i, len(y)) for i, (_, y) in enumerate(lines)]
+    assert all(len(b) == 1 or sum(n for _, n in b) <= 10 for b in got)
