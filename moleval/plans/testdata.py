@@ -340,6 +340,29 @@ SELECT p_partkey, p_partkey % 5 < 3 AND regexp_full_match(s, '[-CNOcno=()]+')
 FROM t"""
 
 
+def q_token_alphabet_texts(spark, sf_dir):
+    """The alphabet check and the atoms of whole texts."""
+    c = text_table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", S.only_tokens("text").alias("only_cno"),
+                    F.size(S.element_symbols("text")).cast("bigint").alias("n_atoms"))
+
+
+SQL_TOKEN_ALPHABET_TEXTS = r"""
+WITH t AS (SELECT conv_id, turn, text,
+                  list_transform(regexp_extract_all(text, '\[[^\]]*\]|Br|Cl|[BCNOPSFI]|[bcnops]', 0),
+                    lambda x: CASE WHEN starts_with(x, '[')
+                                   THEN regexp_extract(x, '^\[\d*([A-Z][a-z]?|[a-z]{1,2})', 1) ELSE x END) AS raw
+           FROM conversations),
+s AS (SELECT *, list_transform(raw, lambda x: upper(substr(x, 1, 1)) || lower(substr(x, 2))) AS syms FROM t)
+SELECT conv_id, turn,
+       coalesce(len(syms) > 0 AND len(list_filter(syms, lambda x: x NOT IN ('C', 'N', 'O'))) = 0
+                AND regexp_full_match(text, '(\[\d*([A-Z][a-z]?|[a-z]{1,2})[^\[\]]*\]|Br|Cl|[BCNOPSFI]|[bcnops]|[-=#$:/\\~.()]|\d|%\d\d)+')
+                AND length(replace(text, '(', '')) = length(replace(text, ')', ''))
+                AND NOT regexp_matches(text, '^[^(]*\)'), false) AS only_cno,
+       CAST(len(syms) AS BIGINT) AS n_atoms
+FROM s"""
+
+
 def q_range_exclusions(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     d = p.select("p_partkey",
@@ -486,6 +509,7 @@ QUERIES = {
     "letter_counts": q_letter_counts,
     "outlier_labels": q_outlier_labels,
     "token_alphabet": q_token_alphabet,
+    "token_alphabet_texts": q_token_alphabet_texts,
     "range_exclusions": q_range_exclusions,
     "semi_split": q_semi_split,
     "first_lookup": q_first_lookup,
@@ -512,6 +536,7 @@ ORACLE_SQL = {
     "letter_counts": SQL_LETTER_COUNTS,
     "outlier_labels": SQL_OUTLIER_LABELS,
     "token_alphabet": SQL_TOKEN_ALPHABET,
+    "token_alphabet_texts": SQL_TOKEN_ALPHABET_TEXTS,
     "range_exclusions": SQL_RANGE_EXCLUSIONS,
     "semi_split": SQL_SEMI_SPLIT,
     "first_lookup": SQL_FIRST_LOOKUP,

@@ -41,3 +41,14 @@ def test_query_runs_on_smallest_scale(spark, name):
         sql = E.oracle_sql()[name]
         assert sorted(c[0] for c in con.execute(f"DESCRIBE ({sql})").fetchall()) == sorted(df.columns)
         assert con.execute(f"SELECT count(*) FROM ({sql})").fetchone()[0] == n
+
+
+def test_alphabet_check_of_whole_texts(spark, tmp_path):
+    texts = ["CC(=O)[NH3+]", "CC(=O)S", "C)C(", "[13CH4] and " + "N" * 5000, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "conv_id int, text string").selectExpr("conv_id", "0 AS turn", "text").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in E.queries()["token_alphabet_texts"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert got == sorted(con.execute(E.oracle_sql()["token_alphabet_texts"]).fetchall())
+    assert [r[2] for r in got] == [True, False, False, False, False, False]
+    assert got[0][3] == 4 and got[3][3] > 5000 and got[4][3] == 0 and got[5][3] is None
