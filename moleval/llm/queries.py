@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moleval.llm import adaptive_rules, crf_toxicity, edit_decontam, kn_lm, knn_quality, langid_nb, mix_systematic, recompress, simhash_trie, url_filter
+from moleval.llm import adaptive_rules, crf_toxicity, edit_decontam, kn_lm, knn_quality, langid_nb, mix_systematic, recompress, simhash_trie, token_files, url_filter
 from moleval.llm.words import SPACES, remainder
 
 
@@ -89,6 +89,15 @@ def op10_edit_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("end").alias("match_end"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = token_files.fresh_folder(spark)
+    token_files.write(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    d = token_files.fetch(token_files.directory(spark, folder), folder)
+    return d.select("doc_id", "start", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_kn_lm": op2_kn_lm,
@@ -100,6 +109,7 @@ QUERIES = {
     "op8_recompress": op8_recompress,
     "op9_crf_toxicity": op9_crf_toxicity,
     "op10_edit_decontam": op10_edit_decontam,
+    "op13_token_files": op13_token_files,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
