@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moleval.llm import adaptive_rules, crf_toxicity, edit_decontam, kn_lm, knn_quality, langid_nb, mix_systematic, recompress, simhash_trie, token_files, url_filter
+from moleval.llm import adaptive_rules, crf_toxicity, edit_decontam, kn_lm, knn_quality, langid_nb, mix_systematic, recompress, simhash_trie, token_files, url_filter, whitening
 from moleval.llm.words import SPACES, remainder
 
 
@@ -89,6 +89,11 @@ def op10_edit_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("end").alias("match_end"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = whitening.long_form(whitening.whiten(_table(spark, sf_dir, "embeddings"), keep=["vec_id"]))
+    return d.select(F.col("row.vec_id").alias("vec_id"), *[c for c in d.columns if c != "row"])
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -109,6 +114,7 @@ QUERIES = {
     "op8_recompress": op8_recompress,
     "op9_crf_toxicity": op9_crf_toxicity,
     "op10_edit_decontam": op10_edit_decontam,
+    "op11_whitening": op11_whitening,
     "op13_token_files": op13_token_files,
 }
 
