@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moleval.llm import adaptive_rules, crf_toxicity, edit_decontam, kn_lm, knn_quality, langid_nb, mix_systematic, recompress, simhash_trie, token_files, url_filter, whitening
+from moleval.llm import adaptive_rules, crf_toxicity, edit_decontam, kn_lm, knn_quality, langid_nb, mix_systematic, phrases, recompress, simhash_trie, token_files, url_filter, whitening
 from moleval.llm.words import SPACES, remainder
 
 
@@ -94,6 +94,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("row.vec_id").alias("vec_id"), *[c for c in d.columns if c != "row"])
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frequent = phrases.frequent_phrases(_table(spark, sf_dir, "documents").select("lang", "text"))
+    return phrases.top_phrases(phrases.collocations(frequent)).select(F.col("g").alias("lang"), "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -115,6 +120,7 @@ QUERIES = {
     "op9_crf_toxicity": op9_crf_toxicity,
     "op10_edit_decontam": op10_edit_decontam,
     "op11_whitening": op11_whitening,
+    "op12_phrase_mining": op12_phrase_mining,
     "op13_token_files": op13_token_files,
 }
 
@@ -179,7 +185,33 @@ SELECT doc_id, size, words AS source_size, target,
 FROM c
 """
 
+_OP12 = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+                       unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+g AS (SELECT lang, k, array_to_string(w[p:p + k - 1], ' ') AS phrase
+      FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS p FROM w, (VALUES (1), (2), (3)) AS ks(k))),
+f AS (SELECT lang, phrase, k, count(*) AS f FROM g GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT c.lang, c.phrase, c.k, c.f AS a, cut, l.f AS l, r.f AS r,
+                ((1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f))::BIGINT AS score
+         FROM (SELECT *, unnest(range(1, k)) AS cut FROM cand) c
+         JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:cut], ' ')
+         JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (SELECT lang, phrase, max(f) AS f FROM (
+             SELECT lang, f, array_to_string(w[1:2], ' ') AS phrase FROM cand WHERE k = 3
+             UNION ALL SELECT lang, f, array_to_string(w[2:3], ' ') FROM cand WHERE k = 3) GROUP BY 1, 2),
+kept AS (SELECT b.* FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.phrase = b.phrase AND b.k = 2
+         WHERE o.f IS NULL OR 100 * o.f < 50 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE_SQL = {
+    "op12_phrase_mining": _OP12,
     "op4_adaptive_rules": _OP4,
     "op7_systematic_mix": _OP7,
 }
