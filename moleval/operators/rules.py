@@ -18,13 +18,20 @@ given in two exact forms:
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
-from moleval.operators.common import col
+from moleval.operators.common import col, null_safe_join
 from moleval.operators.joins import matched_values
+from moleval.operators.ordered import identity_text
+from moleval.operators.patterns import HEAD, is_piece, key_kind, pattern_keys, text_keys, witness
+from moleval.session import cut_lineage
 
 # --- fixed values ---
 NO_GROUPS = "No functional groups assigned."
@@ -103,68 +110,67 @@ def tokenize(df: DataFrame, row_id: str, text: str, pattern: str = r"\s+") -> Da
                      F.posexplode(F.split(col(text), pattern)).alias("pos", "token"))
 
 
-RULES_PER_PASS = 2_000        # patterns tested in one pass over the tokens
+MAX_BEGINS = 1_000              # first characters that a run of tokens is tested for
+INDEX_BYTES = 64 << 20         # a rule index up to this size is broadcast; a larger one is joined by its keys
 
 
-def _rule_passes(rules: DataFrame) -> list[list]:
-    """The rule table in passes of ``RULES_PER_PASS`` rows.  Rules are the
-    program that runs over the data and are compiled into the plan; a larger
-    table takes more passes and gives the same matches."""
-    usable = usable_rules(rules).select("group_rank", "group", "pattern_rank", "pattern")
-    rows = sorted(usable.toLocalIterator(), key=lambda r: (r["group_rank"], r["pattern_rank"]))
-    return [rows[i:i + RULES_PER_PASS] for i in range(0, len(rows), RULES_PER_PASS)]
+@dataclass(frozen=True)
+class RuleIndex:
+    """The usable rules by key: ``rows`` (_key, _n, group_rank, group, pattern_rank, pattern), written once.
 
-
-def _has_top_level_bar(p: str) -> bool:
-    """True when ``p`` has an alternation bar outside groups and classes."""
-    depth, in_class, esc = 0, False, False
-    for ch in p:
-        if esc:
-            esc = False
-        elif ch == "\\":
-            esc = True
-        elif in_class:
-            in_class = ch != "]"
-        elif ch == "[":
-            in_class = True
-        elif ch == "(":
-            depth += 1
-        elif ch == ")":
-            depth -= 1
-        elif ch == "|" and depth == 0:
-            return True
-    return False
-
-
-def can_be_joined(p: str) -> bool:
-    """False for patterns that change inside an alternation: back references
-    (their numbers move), named groups (names may clash) and inline flags."""
-    return not re.search(r"\\[1-9]|\\k<|\(\?<[A-Za-z]|\(\?[a-zA-Z-]+\)|\\Q", p)
-
-
-def any_of(patterns: list[str]) -> str:
-    """One regex matching where any of ``patterns`` matches.  When all are
-    anchored at the start (and have no top-level ``|``) the anchor is hoisted
-    (``^(?:a|b)``), so a search fails after one check at every later offset."""
-    if all(p.startswith("^") and not _has_top_level_bar(p) for p in patterns):
-        return "^(?:" + "|".join(f"(?:{p[1:]})" for p in patterns) + ")"
-    return "|".join(f"(?:{p})" for p in patterns)
-
-
-def matches_any(text: Column, patterns: list[str]) -> Column:
-    """True where any pattern matches: one alternation of those that can be
-    joined, the others on their own."""
-    joined = [p for p in patterns if can_be_joined(p)]
-    tests = ([text.rlike(any_of(joined))] if joined else []) + [text.rlike(p) for p in patterns if not can_be_joined(p)]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return out
-
-
-def _hit(r, *more) -> Column:
-    return F.struct(F.lit(r["group_rank"]).cast("int").alias("group_rank"), F.lit(r["group"]).alias("group"),
-                    F.lit(r["pattern_rank"]).cast("int").alias("pattern_rank"), *more)
+    A rule stands under keys of which every matching text has one (see
+    :mod:`moleval.operators.patterns`), and ``_n`` tokens are matched together.
+    ``kinds`` and ``lengths`` are the few kinds of keys and numbers of tokens in use,
+    ``witnesses`` characters of which every literal piece has one (None: too many).
+    """
+    rows: DataFrame
+    size: int
+    kinds: list[str]
+    lengths: list[int]
+    witnesses: list[str] | None
+
+    def joined(self) -> DataFrame:
+        return F.broadcast(self.rows) if self.size <= INDEX_BYTES else self.rows
+
+
+def rule_index(rules: DataFrame, phrases: bool = False) -> RuleIndex:
+    """Index of the usable rules.  A rule with a required literal stands under that piece of it
+    that the fewest rules have; ``phrases`` takes a rule's literal spaces as breaks between tokens."""
+    @arrow_udf("struct<keys: array<string>, n: int>")
+    def read(patterns: pa.Array) -> pa.Array:
+        keys = pa.array([pattern_keys(p) for p in patterns.to_pylist()], pa.list_(pa.string()))
+        n = pa.array([phrase_length(p) if phrases else 1 for p in patterns.to_pylist()], pa.int32())
+        return pa.StructArray.from_arrays([keys, n], ["keys", "n"])
+
+    rule = ["group_rank", "pattern_rank"]
+    keyed = (usable_rules(rules).select(*[F.col(c).cast("int").alias(c) for c in rule], "group", "pattern", read("pattern").alias("k"))
+             .select(*rule, "group", "pattern", F.col("k.n").alias("_n"), F.explode("k.keys").alias("_key")))
+    keyed = cut_lineage(keyed)
+    literal = is_piece(F.col("_key"))
+    often = keyed.where(literal).groupBy("_key").agg(F.count(F.lit(1)).alias("_often"))
+    rarest = keyed.where(literal).join(often, "_key").groupBy(*rule, "group", "pattern", "_n").agg(F.min(F.struct("_often", "_key"))["_key"].alias("_key"))
+    cols = ["_key", "_n", "group_rank", "group", "pattern_rank", "pattern"]
+    rows = cut_lineage(keyed.where(~literal).select(*cols).unionByName(rarest.select(*cols)))
+    one = rows.agg(F.sum(F.length("pattern") + F.length("group") + 80), F.sort_array(F.collect_set(key_kind(F.col("_key")))), F.sort_array(F.collect_set("_n")),
+                   F.slice(F.sort_array(F.collect_set(F.when(literal, witness(F.col("_key"))))), 1, MAX_BEGINS + 1)).first()
+    return RuleIndex(rows, one[0] or 0, one[1], one[2], one[3] if len(one[3]) <= MAX_BEGINS else None)
+
+
+def _matches(texts: DataFrame, index: RuleIndex, keep_null: Column | None = None) -> DataFrame:
+    """Rows of ``texts`` (``_text``, ``_n`` and others) with every rule that matches them.
+
+    A text meets only the rules under one of its keys, and is then tested against each.  Rows
+    with ``keep_null`` also come once without a rule.
+    """
+    none = F.array().cast("array<string>")
+    keys = text_keys(F.col("_text"), index.kinds, index.witnesses)
+    if keep_null is not None:
+        keys = F.concat(keys, F.when(keep_null, F.array(F.lit(None).cast("string"))).otherwise(none))
+    met = texts.select("*", F.explode(F.coalesce(keys, none) if keep_null is None else F.when(F.col("_text").isNull(), F.array(F.lit(None).cast("string"))).otherwise(keys)).alias("_key"))
+    hit = F.rlike(F.col("_text"), F.col("pattern"))
+    if keep_null is None:
+        return met.join(index.joined(), ["_key", "_n"]).where(hit).drop("_key", "pattern")
+    return met.join(index.joined(), ["_key", "_n"], "left").where(F.col("_key").isNull() | hit).drop("_key", "pattern")
 
 
 def match_rules(tokens: DataFrame, rules: DataFrame, row_id: str, token: str = "token",
@@ -174,39 +180,20 @@ def match_rules(tokens: DataFrame, rules: DataFrame, row_id: str, token: str = "
     Output ``(row_id, group_rank, group, pattern_rank, match_no, pos)`` where
     ``match_no`` orders a pattern's matches inside a row (the position).
 
-    Each pattern is one literal ``rlike`` (compiled once, inside generated
-    code), preceded by a test that drops tokens no rule can match.  A join on
-    ``token RLIKE pattern`` would instead recompile the pattern for every
-    (token, rule) pair.
+    The rules are data: a token meets those that an index gives for its keys
+    (:func:`rule_index`) in one equi-join, broadcast while the index is small and
+    shuffled beyond that, so work follows the rules that can match and not their
+    number.
 
-    ``flag`` (a boolean Column over the token) keeps flagged tokens even
-    without a rule hit (rule columns NULL) and adds it as ``flag_name``, so
-    target tokens (A16) come from the same scan as the matches.
+    ``flag`` (a boolean Column over the token) adds a row without a rule for
+    every flagged token and the flag as ``flag_name``, so target tokens (A16)
+    come from the same scan as the matches.
     """
-    passes = _rule_passes(rules)
-    if not passes:
-        return tokens.sparkSession.createDataFrame(
-            [], f"`{row_id}` {tokens.schema[row_id].dataType.simpleString()}, group_rank int, "
-                "group string, pattern_rank int, match_no bigint, pos int")
-    t = col(token)
-    out = [row_id, "_m.group_rank", "_m.group", "_m.pattern_rank",
-           F.col("_pos").cast("bigint").alias("match_no"), F.col("_pos").cast("int").alias("pos")]
-    parts = []
-    for n, rows in enumerate(passes):
-        hits = F.array_compact(F.array(*[F.when(t.rlike(r["pattern"]), _hit(r)) for r in rows]))
-        possible = matches_any(t, [r["pattern"] for r in rows])
-        if flag is None:
-            parts.append(tokens.where(possible).select(col(row_id).alias(row_id), col(pos).alias("_pos"),
-                                                       F.explode(hits).alias("_m")).select(*out))
-            continue
-        flagged = F.coalesce(flag, F.lit(False)).alias(flag_name)
-        cand = (tokens.where(possible | flag) if n == 0 else tokens.where(possible)).select(
-            col(row_id).alias(row_id), col(pos).alias("_pos"), flagged, (F.explode_outer if n == 0 else F.explode)(hits).alias("_m"))
-        parts.append(cand.select(*out, flag_name))
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result
+    flagged = [] if flag is None else [F.coalesce(flag, F.lit(False)).alias(flag_name)]
+    t = tokens.select(col(row_id).alias(row_id), col(pos).alias("_pos"), col(token).alias("_text"), F.lit(1).alias("_n"), *flagged)
+    m = _matches(t, rule_index(rules), None if flag is None else F.col(flag_name))
+    return m.select(row_id, "group_rank", "group", "pattern_rank", F.col("_pos").cast("bigint").alias("match_no"),
+                    F.col("_pos").cast("int").alias("pos"), *([flag_name] if flagged else []))
 
 
 def phrase_length(pattern: str) -> int:
@@ -230,57 +217,36 @@ def phrase_length(pattern: str) -> int:
 def match_phrases(df: DataFrame, row_id: str, text: str, rules: DataFrame, split: str = r"\s+") -> DataFrame:
     """J6 for phrase rules: a pattern with ``k`` literal spaces is matched
     against every run of ``k + 1`` consecutive tokens joined by one space.
-    All phrase lengths are built in one pass over each row.
 
     Output ``(row_id, group_rank, group, pattern_rank, match_no, positions)``
     with ``positions`` the token positions covered (input of
-    :func:`assign_groups_fold`).  The runs are built inside each row with
-    array functions (bounded by the row's length), exploded once, and tested
-    with one literal ``rlike`` per pattern after a per-length prefilter.
+    :func:`assign_groups_fold`).  A run is built only where its first token begins
+    like a rule of that length can (unless a rule may begin with anything), and
+    meets the rules that the index gives for its keys.
     """
-    passes = _rule_passes(rules)
-    if not passes:
-        return df.sparkSession.createDataFrame(
-            [], f"`{row_id}` {df.schema[row_id].dataType.simpleString()}, group_rank int, group string, "
-                "pattern_rank int, match_no bigint, positions array<int>")
-    parts = [_phrase_pass(df, row_id, text, rows, split) for rows in passes]
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result
-
+    index = rule_index(rules, phrases=True)
+    begins = {r["_n"]: r["c"] for r in index.rows.groupBy("_n").agg(
+        F.when(F.bool_and(F.col("_key").startswith(HEAD)), F.sort_array(F.slice(F.collect_set(F.substring("_key", len(HEAD) + 1, 1)), 1, MAX_BEGINS + 1))).alias("c")).collect()}
+    none = F.array().cast("array<struct<p: int, n: int, t: string>>")
+
+    def runs(n: int) -> Column:
+        at = F.sequence(F.lit(0), F.size("_toks") - n)
+        if begins.get(n) and len(begins[n]) <= MAX_BEGINS:
+            # the run begins with the space behind an empty first token
+            at = F.filter(at, lambda i: F.substring(F.concat(F.get("_toks", i), F.lit(" " if n > 1 else "")), 1, 1).isin(begins[n]))
+        run = F.transform(at, lambda i: F.struct(i.alias("p"), F.lit(n).alias("n"), F.array_join(F.slice("_toks", i + 1, F.lit(n)), " ").alias("t")))
+        return F.when(F.size("_toks") >= n, run).otherwise(none)
 
-def _phrase_pass(df: DataFrame, row_id: str, text: str, rows: list, split: str) -> DataFrame:
-    by_len: dict[int, list] = {}
-    for r in rows:
-        by_len.setdefault(phrase_length(r["pattern"]), []).append(r)
-    lens = sorted(by_len)
     base = df.select(col(row_id).alias(row_id), F.split(col(text), split).alias("_toks"))
-    # one pass for every phrase length: per start position the joined run of each length
-    grams = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("_toks") - min(lens), F.lit(-1))),
-        lambda i: F.struct(i.alias("p"), *[
-            F.when(i + n <= F.size("_toks"),
-                   F.concat_ws(" ", *[F.get("_toks", i + k) for k in range(n)])).alias(f"g{n}")
-            for n in lens]))
-    ex = base.where(F.size("_toks") >= min(lens)).select(row_id, F.explode(grams).alias("_g"))
-    cond = None
-    hits = []
-    for n in lens:
-        g = F.col(f"_g.g{n}")
-        c = matches_any(g, [r["pattern"] for r in by_len[n]])
-        cond = c if cond is None else (cond | c)
-        hits += [F.when(g.rlike(r["pattern"]), _hit(r, F.lit(n).alias("n"))) for r in by_len[n]]
-    m = ex.where(cond).select(row_id, F.col("_g.p").alias("_p"),
-                              F.explode(F.array_compact(F.array(*hits))).alias("_m"))
-    return m.select(row_id, "_m.group_rank", "_m.group", "_m.pattern_rank",
-                    F.col("_p").cast("bigint").alias("match_no"),
-                    F.sequence(F.col("_p"), F.col("_p") + F.col("_m.n") - 1).cast("array<int>").alias("positions"))
+    ex = base.select(row_id, F.explode(F.concat(none, *[runs(n) for n in index.lengths])).alias("_g"))
+    m = _matches(ex.select(row_id, F.col("_g.p").alias("_p"), F.col("_g.n").alias("_n"), F.col("_g.t").alias("_text")), index)
+    return m.select(row_id, "group_rank", "group", "pattern_rank", F.col("_p").cast("bigint").alias("match_no"),
+                    F.sequence(F.col("_p"), F.col("_p") + F.col("_n") - 1).cast("array<int>").alias("positions"))
 
 
 def assign_groups(matches: DataFrame, row_id: str, rows: DataFrame | None = None,
                   targets: DataFrame | None = None, pos: str = "pos",
-                  target_flag: str | None = None) -> DataFrame:
+                  target_flag: str | None = None, carry: str | None = None) -> DataFrame:
     """W3 (+A16) for single-position matches.
 
     For a position, the first match (rule order) is assigned.  A later group
@@ -295,11 +261,11 @@ def assign_groups(matches: DataFrame, row_id: str, rows: DataFrame | None = None
     ``unassigned`` (target positions not covered, A16).
     ``rows`` adds rows without any match.  Instead of ``targets``,
     ``target_flag`` names a boolean column of ``matches`` (see the ``flag``
-    of :func:`match_rules`); rows with NULL rule columns are then target
-    tokens without a match.
+    of :func:`match_rules`); rows with NULL rule columns are no matches.
+    ``carry`` names a column that one row of every ``row_id`` has: it is kept.
     """
-    is_match = F.col("group_rank").isNotNull() if target_flag else F.lit(True)
-    extra = [F.col(target_flag).alias("_is_target")] if target_flag else []
+    is_match = F.col("group_rank").isNotNull()
+    extra = ([F.col(target_flag).alias("_is_target")] if target_flag else []) + ([F.col(carry).alias("_carry")] if carry else [])
     m = matches.select(col(row_id).alias("_r"), col(pos).alias("_p"), "group_rank", "group",
                        "pattern_rank", "match_no", is_match.alias("_is_match"), *extra)
     parts = [m]
@@ -334,11 +300,13 @@ def assign_groups(matches: DataFrame, row_id: str, rows: DataFrame | None = None
     elif target_flag:        # a target token may sit on several match rows: count positions
         agg += [F.size(F.collect_set(F.when(tgt, F.col("_p")))).alias("n_targets"),
                 F.size(F.collect_set(F.when(uncovered, F.col("_p")))).alias("unassigned")]
+    if carry:
+        agg.append(F.first("_carry", ignorenulls=True).alias("_carry"))
     out = d.groupBy("_r").agg(*agg)
     names = F.transform(F.col("_hits"), lambda h: h["group"])
     groups = (F.when(F.coalesce(F.col("_failed"), F.lit(0)) == 1, F.lit(None))
                .when(F.size(names) == 0, F.array(F.lit(NO_GROUPS))).otherwise(names))
-    cols = [F.col("_r").alias(row_id), groups.alias("groups"),
+    cols = [F.col("_r").alias(row_id), *(["_carry"] if carry else []), groups.alias("groups"),
             F.when(F.coalesce(F.col("_failed"), F.lit(0)) == 1, F.lit(None))
              .otherwise(F.size(names)).cast("bigint").alias("n_assigned")]
     if targets is not None or target_flag:
@@ -349,57 +317,78 @@ def assign_groups(matches: DataFrame, row_id: str, rows: DataFrame | None = None
 
 def tag_rows(df: DataFrame, row_id: str, text: str, rules: DataFrame, split: str = r"\s+", target: str | None = None,
              keep: list | None = None) -> DataFrame:
-    """J6 + W3 + A16 inside the row: token matches and their assignment with
-    array functions, in one scan and without a shuffle.
-
-    Same result as :func:`match_rules` followed by :func:`assign_groups`: a
-    position's matches are decided among themselves, so each token is tested,
-    its matches are reduced to the first of every group, and the row's
-    assigned matches are sorted.  Work is linear in the row's tokens times the
-    rules.  ``target`` is a pattern of target tokens; rule tables of more than
-    one pass go the way of the two functions.
+    """J6 + W3 + A16 from one scan of ``df``: the ``keep`` columns (the id, else) with
+    ``groups`` and ``n_assigned``, and with ``target`` (a pattern of target tokens)
+    ``n_targets`` and ``unassigned``.
+
+    Rows are told apart by a number of their own, so rows with a NULL or
+    repeated id are tagged each by itself; one extra token of every row, without text,
+    takes its columns through the shuffle of the matches.  The columns are the same
+    whatever the rule table holds.
     """
-    passes = _rule_passes(rules)
     keep = keep or [row_id]
-    if len(passes) != 1:
-        tokens = tokenize(df, row_id, text, split)
-        flag = F.col("token").rlike(target) if target else None
-        m = match_rules(tokens, rules, row_id, flag=flag, flag_name="is_target")
-        tags = assign_groups(m, row_id, rows=df.select(row_id), target_flag="is_target" if target and passes else None)
-        return df.select(*keep).join(tags, row_id) if keep != [row_id] else tags
-    rows = passes[0]
-    possible = lambda t: matches_any(t, [r["pattern"] for r in rows]) | (t.rlike(target) if target else F.lit(False))
-    tokens = F.filter(F.transform(F.split(col(text), split), lambda t, i: F.struct(i.alias("p"), t.alias("t"))), lambda x: possible(x["t"]))
-
-    def decide(x):
-        hits = F.array_compact(F.array(*[F.when(x["t"].rlike(r["pattern"]), _hit(r)) for r in rows]))
-        # matches are in rule order, so a group's first match follows another group's
-        leads = let(hits, lambda h: F.filter(h, lambda y, i: (i == 0) | (F.get(h, i - 1)["group_rank"] != y["group_rank"])))
-        first = lambda h, y: y["group_rank"] == F.get(h, F.lit(0))["group_rank"]
-        return let(leads, lambda h: F.struct(
-            F.transform(F.filter(h, lambda y: first(h, y) | (y["pattern_rank"] > 0)),
-                        lambda y: F.struct(y["group_rank"], y["pattern_rank"], x["p"].alias("match_no"), y["group"])).alias("hits"),
-            F.exists(h, lambda y: ~first(h, y) & (y["pattern_rank"] == 0)).alias("failed"),
-            (x["t"].rlike(target) if target else F.lit(False)).alias("is_target")))
-
-    none = F.lit(None).cast("array<string>")
-    d = df.select(*keep, F.coalesce(F.transform(tokens, decide), F.array()).alias("_d"))
-    d = d.withColumn("_names", F.transform(F.sort_array(F.flatten(F.transform("_d", lambda x: x["hits"]))), lambda h: h["group"]))
-    failed = F.exists("_d", lambda x: x["failed"])
-    out = [*keep, F.when(failed, none).when(F.size("_names") == 0, F.array(F.lit(NO_GROUPS))).otherwise(F.col("_names")).alias("groups"),
-           F.when(~failed, F.size("_names")).cast("bigint").alias("n_assigned")]
-    if target:
-        out += [F.size(F.filter("_d", lambda x: x["is_target"])).cast("bigint").alias("n_targets"),
-                F.size(F.filter("_d", lambda x: x["is_target"] & (F.size(x["hits"]) == 0))).cast("bigint").alias("unassigned")]
-    return d.select(*out)
-
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value evaluated once."""
-    return F.transform(F.array(value), body)[0]
-
-
-_ACC = "struct<assigned: array<struct<g: int, name: string, pos: array<int>>>, failed: boolean>"
+    src = df.select(F.struct(*keep).alias("_carry"), F.split(col(text), split).alias("_toks"), F.monotonically_increasing_id().alias("_rid"))
+    kind = src.schema["_carry"].dataType
+    no_carry = F.lit(None).cast(kind)
+    word = lambda p, t, c: F.struct(p.cast("int").alias("p"), t.cast("string").alias("t"), c.alias("c"))
+    words = F.coalesce(F.transform("_toks", lambda t, i: word(i, t, no_carry)), F.array().cast(f"array<struct<p: int, t: string, c: {kind.simpleString()}>>"))
+    tokens = src.select("_rid", F.explode(F.concat(F.array(word(F.lit(-1), F.lit(None), F.col("_carry"))), words)).alias("_w"))
+    is_target = F.coalesce(F.rlike(F.col("_w.t"), F.lit(target)), F.lit(False)) if target else F.lit(False)
+    tokens = tokens.select("_rid", F.col("_w.p").alias("pos"), F.col("_w.t").alias("_text"), F.lit(1).alias("_n"), F.col("_w.c").alias("_carry"), is_target.alias("is_target"))
+    m = _matches(tokens, rule_index(rules), F.col("is_target") | F.col("_text").isNull())
+    m = m.withColumn("match_no", F.col("pos").cast("bigint"))
+    tags = assign_groups(m, "_rid", target_flag="is_target" if target else None, carry="_carry")
+    return tags.select("_carry.*", *[c for c in tags.columns if c not in ("_rid", "_carry")])
+
+
+_MATCH_ORDER = ["group_rank", "pattern_rank", "match_no"]
+
+
+class _Fold:
+    """W3 over one row's matches in order; a position knows the groups that hold it, so a match costs its own positions."""
+
+    def __init__(self):
+        self.held: dict[int, set[int]] = {}
+        self.names: list[str] = []
+        self.failed = False
+
+    def take(self, rank: int, name: str, pattern_rank: int, positions: list[int]) -> None:
+        if self.failed:
+            return
+        holders = [self.held[p] for p in positions if p in self.held]
+        if holders and any(rank in h for h in holders):
+            return
+        if holders and pattern_rank == 0:
+            self.failed = True
+            return
+        self.names.append(name)
+        for p in positions:
+            self.held.setdefault(p, set()).add(rank)
+
+    def result(self) -> tuple[list[str] | None, list[int]]:
+        return None if self.failed else self.names or [NO_GROUPS], sorted(self.held)
+
+
+def _fold_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows arrive sorted by (row, match order): one result per row."""
+    last, fold, row = None, None, None
+
+    def out():
+        groups, positions = fold.result()
+        return pa.RecordBatch.from_arrays([row, pa.array([groups], pa.list_(pa.string())), pa.array([positions], pa.list_(pa.int32()))],
+                                          ["_row", "groups", "assigned_positions"])
+
+    for b in batches:
+        ids = b.column(b.schema.get_field_index("_row"))
+        cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_key", "group_rank", "group", "pattern_rank", "positions")]
+        for i, (key, rank, name, pattern_rank, positions) in enumerate(zip(*cols, strict=True)):
+            if fold is None or key != last:
+                if fold is not None:
+                    yield out()
+                last, fold, row = key, _Fold(), ids.slice(i, 1)
+            fold.take(rank, name, pattern_rank, positions or [])
+    if fold is not None:
+        yield out()
 
 
 def assign_groups_fold(matches: DataFrame, row_id: str, rows: DataFrame | None = None) -> DataFrame:
@@ -410,43 +399,25 @@ def assign_groups_fold(matches: DataFrame, row_id: str, rows: DataFrame | None =
     (group_rank, pattern_rank, match_no) order.  A match without overlap is
     assigned; an overlap including its own group is skipped; an overlap with
     other groups only fails the row for an original pattern and is assigned
-    for an additional one.  Per-row state is bounded by the row's matches
-    (the fold is quadratic in them: use :func:`assign_groups` for token
-    matches).  ``rows`` adds rows without any match (no-groups sentinel).
+    for an additional one.
+
+    Matches are shuffled by row and sorted (an external sort); the walk keeps
+    the groups of every held position, so its time is linear in the row's
+    matched positions and its memory is that of the held ones.  ``rows`` adds
+    rows without any match (no-groups sentinel); NULL is an id like any other.
     """
-    per_row = matches.groupBy(col(row_id).alias(row_id)).agg(F.sort_array(F.collect_list(
-        F.struct(F.col("group_rank").cast("int").alias("group_rank"),
-                 F.col("pattern_rank").cast("int").alias("pattern_rank"),
-                 F.col("match_no").cast("bigint").alias("match_no"),
-                 F.col("group").alias("group"),
-                 F.col("positions").cast("array<int>").alias("positions")))).alias("_m"))
-    zero = F.expr(f"CAST(named_struct('assigned', array(), 'failed', false) AS {_ACC})")
-
-    def step(acc, m):
-        over = F.filter(acc["assigned"], lambda e: F.arrays_overlap(e["pos"], m["positions"]))
-        has = F.size(over) > 0
-        own = F.exists(over, lambda e: e["g"] == m["group_rank"])
-        entry = F.struct(m["group_rank"].alias("g"), m["group"].alias("name"), m["positions"].alias("pos"))
-        added = F.struct(F.concat(acc["assigned"], F.array(entry)).alias("assigned"),
-                         F.lit(False).alias("failed")).cast(_ACC)
-        failed = F.struct(acc["assigned"].alias("assigned"), F.lit(True).alias("failed")).cast(_ACC)
-        return (F.when(acc["failed"], acc)
-                 .when(~has, added)
-                 .when(own, acc)
-                 .when(m["pattern_rank"] == 0, failed)
-                 .otherwise(added))
-
-    res = per_row.select(row_id, F.aggregate("_m", zero, step).alias("_acc"))
-    if rows is not None:
-        res = rows.select(col(row_id).alias(row_id)).join(res, row_id, "left").withColumn(
-            "_acc", F.coalesce(F.col("_acc"), zero))
-    names = F.transform(F.col("_acc.assigned"), lambda e: e["name"])
-    groups = (F.when(F.col("_acc.failed"), F.lit(None))
-               .when(F.size(names) == 0, F.array(F.lit(NO_GROUPS))).otherwise(names))
-    out = res.select(row_id, groups.alias("groups"),
-                     F.flatten(F.transform(F.col("_acc.assigned"), lambda e: e["pos"])).alias("_pos"))
-    out = out.withColumn("assigned_positions", F.array_sort(F.array_distinct("_pos"))).drop("_pos")
-    return out
+    m = matches.select(col(row_id).alias("_row"), identity_text(matches.select(col(row_id).alias(row_id)), [row_id]).alias("_key"),
+                       F.col("group_rank").cast("int").alias("group_rank"), F.col("pattern_rank").cast("int").alias("pattern_rank"),
+                       F.col("match_no").cast("bigint").alias("match_no"), "group", F.col("positions").cast("array<int>").alias("positions"))
+    srt = m.repartition("_key").sortWithinPartitions("_key", *_MATCH_ORDER, "group", "positions")
+    schema = T.StructType([T.StructField("_row", m.schema["_row"].dataType), T.StructField("groups", T.ArrayType(T.StringType())),
+                           T.StructField("assigned_positions", T.ArrayType(T.IntegerType()))])
+    res = srt.mapInArrow(_fold_partition, schema).withColumnRenamed("_row", row_id)
+    if rows is None:
+        return res
+    res = null_safe_join(rows.select(col(row_id).alias(row_id)), res.withColumn("_met", F.lit(True)), [row_id], "left")
+    return res.select(row_id, F.when(F.col("_met").isNull(), F.array(F.lit(NO_GROUPS))).otherwise(F.col("groups")).alias("groups"),
+                      F.coalesce("assigned_positions", F.array().cast("array<int>")).alias("assigned_positions"))
 
 
 def unassigned_positions(assigned: DataFrame, target_positions: str,

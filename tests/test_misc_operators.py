@@ -89,8 +89,9 @@ def test_values_of_repeated_names_add_up(spark):
     assert table == {1: 3, 2: 1, 3: 0, 4: 0}         # every value row of a name once
 
 
-def test_many_rules_take_more_passes(spark, monkeypatch):
-    monkeypatch.setattr(R, "RULES_PER_PASS", 3)
+@pytest.mark.parametrize("broadcast_up_to", [64 << 20, 0])
+def test_rules_with_and_without_broadcast(spark, monkeypatch, broadcast_up_to):
+    monkeypatch.setattr(R, "INDEX_BYTES", broadcast_up_to)
     rules = R.rules_to_long(spark.createDataFrame([(i, f"^w{i}$", f"g{i}", None, None, None) for i in range(10)],
                                                   "rule_index int, original string, group string, new_1 string, new_2 string, new_3 string"))
     tokens = R.tokenize(spark.createDataFrame([(1, "w0 w7 x w9 w7")], "id int, text string"), "id", "text")
@@ -99,7 +100,7 @@ def test_many_rules_take_more_passes(spark, monkeypatch):
     assert sorted((x["group"] or "", x["pos"], x["is_target"]) for x in flagged) == [("", 2, True), ("g0", 0, False), ("g7", 1, False), ("g7", 4, False), ("g9", 3, False)]
 
 
-def test_prefilter_keeps_back_references_and_named_groups(spark):
+def test_back_references_and_named_groups(spark):
     rules = R.rules_to_long(spark.createDataFrame([(1, r"^(x)y$", "a", None, None, None), (2, r"^(\d)\1$", "b", None, None, None),
                                                    (3, r"^(?<n>p)q$", "c", None, None, None), (4, r"^(?<n>r)s$", "d", None, None, None)],
                                                   "rule_index int, original string, group string, new_1 string, new_2 string, new_3 string"))

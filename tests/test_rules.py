@@ -92,13 +92,6 @@ def test_study_rule_table_loads(spark):
     assert lr.where("pattern_rank = 0").count() == names
 
 
-def test_any_of_hoists_anchor_only_when_safe():
-    assert R.any_of(["^a$", "^(1|2)b$"]) == "^(?:(?:a$)|(?:(1|2)b$))"
-    assert R.any_of(["^a|b", "^c"]) == "(?:^a|b)|(?:^c)"
-    assert R.any_of(["a", "^c"]) == "(?:a)|(?:^c)"
-    assert not R._has_top_level_bar(r"^[|]\|x")
-
-
 def test_target_flag_equals_target_table(spark):
     rules = spark.createDataFrame([(1, r"^\d+$", "Number", r"^\d+\.\d+$", None, None),
                                    (2, r"^[A-Z]\w*$", "Word", None, None, None)],
@@ -155,4 +148,5 @@ def test_tagging_inside_the_row_equals_match_and_assign(spark):
     key = lambda r: r["doc_id"]
     assert [tuple(x) for x in sorted(got.collect(), key=key)] == [tuple(x) for x in sorted(want.collect(), key=key)]
     text = got._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in text
+    final = text.split("Initial Plan")[0]
+    assert final.count("FileScan") == 1 and final.count("RLIKE") <= 4     # one scan; tests of the target and of the rules
