@@ -26,6 +26,7 @@ import struct
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ from moleval.llm.words import _offsets, blocks
 from moleval.session import checkpoint_dir
 
 FRAME_IDS = 1 << 22             # ids of one frame at most
-CACHED = 1 << 18                # chunks of text whose ids a worker remembers
-CACHED_BYTES = 64               # longest such chunk
+CACHED = 1 << 19                # chunks of text whose ids a worker remembers, and those of one block
+ENCODED = 1 << 13               # chunks encoded by one call
 OUT_BYTES = 4 << 20             # ids of one Arrow batch when files are read
 # --- fixed values of the zstandard seekable format ---
 SKIPPABLE_DOCUMENTS = 0x184D2A50
@@ -58,14 +59,20 @@ DIRECTORY_SCHEMA = "doc_id bigint, name string, start bigint, n_ids bigint, offs
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
 _VISIBLE[0xC3:0xE0] = True
+_LETTER, _DIGIT = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_DIGIT[48:58] = True
+_OTHER = _VISIBLE & ~_LETTER & ~_DIGIT
+_OTHER[0x7F:] = False
 
 
 class Encoder:
     """Ids of texts by a file of the tokenizers library, every distinct chunk encoded once.
 
     A byte-level pre-tokenizer starts a token at every space that a visible
-    character follows (the rest of a run of white space is a token before it), so
-    a text may be cut there and its chunks encoded alone.  Texts that hold an
+    character follows (the rest of a run of white space is a token before it), and
+    between a letter and a digit or other sign, and a digit and a letter or other
+    sign.  A text may be cut there and its chunks encoded alone.  Texts that hold an
     added token's string, and tokenizers of another kind, are encoded uncut.
     """
 
@@ -79,7 +86,21 @@ class Encoder:
         pre = made["pre_tokenizer"] or {}
         self.cuts = (made["normalizer"] is None and made["post_processor"] is None and made["truncation"] is None and made["padding"] is None
                      and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"))
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}                         # chunk -> its place in the lists below
+        self.first, self.flat, self.again = np.zeros(1, np.int64), np.zeros(0, "<u4"), np.zeros(0, bool)
+
+    def _make_room(self) -> None:
+        """Keep the chunks that were met in several blocks."""
+        keep = np.flatnonzero(self.again)
+        if 2 * len(keep) > CACHED:
+            return self._forget()
+        chunks, size = list(self.known), np.diff(self.first)[keep]
+        self.known = {chunks[i]: n for n, i in enumerate(keep.tolist())}
+        self.flat = self.flat[_ranges(self.first[keep], size)]
+        self.first, self.again = np.concatenate(([0], np.cumsum(size))), np.zeros(len(keep), bool)
 
     def _begins(self, texts: pa.Array, off: np.ndarray, buf: np.ndarray) -> np.ndarray:
         """First bytes of the chunks; a text begins one."""
@@ -87,22 +108,37 @@ class Encoder:
         if self.cuts and len(buf) > 1:
             cut[:len(buf) - 1] = (buf[:-1] == 32) & _VISIBLE[buf[1:]]
             cut[off[1:] - 1] = False                            # a text's last character is followed by nothing
+            letter, digit, other = _LETTER[buf], _DIGIT[buf], _OTHER[buf]
+            letter[1:] |= (buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)     # U+00C0 to U+00FF but for two signs
+            cut[1:-1] |= (letter[:-1] & (digit[1:] | other[1:])) | (digit[:-1] & (_LETTER[buf[1:]] | other[1:]))
             for content in self.added:
                 for i in np.flatnonzero(pc.match_substring(texts, content).fill_null(False).to_numpy(zero_copy_only=False)):
                     cut[off[i]:off[i + 1]] = False
         cut[off] = True
         return np.flatnonzero(cut[:-1])
 
-    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        out = [self.known.get(c) for c in chunks]
-        new = [i for i, x in enumerate(out) if x is None]
-        if len(self.known) + len(new) > CACHED:
-            self.known.clear()
-        for i, e in zip(new, self.tokenizer.encode_batch_fast([chunks[i] for i in new], add_special_tokens=False), strict=True):
-            out[i] = np.asarray(e.ids, "<u4").tobytes()
-            if len(chunks[i]) <= CACHED_BYTES:
-                self.known[chunks[i]] = out[i]
-        return out
+    def _places(self, chunks: list[str]) -> np.ndarray:
+        """Place of every chunk in ``first``/``flat``; unknown ones are encoded, as one list, and added."""
+        at = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(at < 0)
+        if len(self.known) > CACHED:
+            self._make_room()
+            return self._places(chunks)
+        self.again[at[at >= 0]] = True
+        if not len(new):
+            return at
+        at[new] = len(self.first) - 1 + np.arange(len(new))
+        self.again = np.concatenate((self.again, np.zeros(len(new), bool)))
+        lists = [[chunks[i] for i in new[a:a + ENCODED]] for a in range(0, len(new), ENCODED)]
+        parts, sizes = [self.flat], []
+        for part in lists:
+            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            parts.append(np.array(e.ids, "<u4"))
+            sizes.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
+            self.known.update(zip(part, range(len(self.known), len(self.known) + len(part))))
+        self.flat = np.concatenate(parts)
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))))
+        return at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(first, ids): the ids of text i are ``ids[first[i]:first[i + 1]]``."""
@@ -112,16 +148,21 @@ class Encoder:
             return np.zeros(len(off), np.int64), np.zeros(0, "<u4")
         bounds = np.append(begin, len(buf)).astype(np.int64)
         chunks = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
-        codes = chunks.indices.to_numpy()
-        each = self._chunk_ids(chunks.dictionary.to_pylist())
-        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        flat, at = np.frombuffer(b"".join(each), "<u4"), np.cumsum(size) - size
-        many = size[codes]
+        place = self._places(chunks.dictionary.to_pylist())[chunks.indices.to_numpy()]
+        begin_ids = self.first[place]
+        many = self.first[place + 1] - begin_ids
         upto = np.concatenate(([0], np.cumsum(many)))
-        ids = flat[np.repeat(at[codes] - upto[:-1], many) + np.arange(upto[-1])]
+        ids = self.flat[_ranges(begin_ids, many)]
         return upto[np.searchsorted(begin, off)], ids
 
 
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers ``begin[i]`` to ``begin[i] + size[i]`` of every i, one after the other."""
+    upto = np.concatenate(([0], np.cumsum(size)))
+    short = np.int32 if max(upto[-1], begin.max(initial=0)) < 1 << 30 else np.int64
+    return np.repeat((begin - upto[:-1]).astype(short), size) + np.arange(upto[-1], dtype=short)
+
+
 @lru_cache(1)
 def _encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -144,7 +185,7 @@ class FrameWriter:
         fs, path = _place(folder)
         fs.create_dir(path, recursive=True)
         self.out = fs.open_output_stream(f"{path}/{name}", compression=None)
-        self.frame_ids, self.packer = frame_ids, zstandard.ZstdCompressor(level=3)
+        self.frame_ids, self.packer = frame_ids, zstandard.ZstdCompressor(level=1)
         self.frames: list[tuple[int, int, int]] = []
         self.docs: list[tuple[int, bool, int]] = []
 

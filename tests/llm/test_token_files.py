@@ -40,6 +40,16 @@ def test_cut_texts_encode_like_whole_ones_everywhere(texts):
     assert encoded(texts) == [plain(t) for t in texts]
 
 
+def test_memory_of_chunks_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED", 40)
+    rng, e = random.Random(4), token_files.Encoder(PATH)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["the", "of", f"w{rng.randint(0, 500)}x"]) for _ in range(20)) for _ in range(3)]
+        first, ids = e.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [plain(t) for t in texts]
+        assert len(e.known) <= 40 + 140
+
+
 def written(spark, rows, tmp_path, **kw):
     folder = f"file://{tmp_path}/t"
     token_files.write(spark.createDataFrame(rows, "doc_id bigint, text string, ids string, name string"), folder, PATH, end_id=2, **kw)
