@@ -42,8 +42,8 @@ MIN_COUNT = 10
 COVERED_PERCENT = 50
 TOP = 2000
 NO_GROUP = "und"
-BLOCK = 8 << 20                 # bytes of text whose suffixes are added up and routed together
-BUCKET = 2 << 20                # suffixes of one bucket, about
+BLOCK = 4 << 20                 # bytes of text whose suffixes are added up and routed together
+BUCKET = 1 << 20                # suffixes of one bucket, about
 LEADS = 1 << 16
 SMALL = 1 << 13                 # pointers that are sorted by all remaining words at once
 SCORE = 1_000_000
@@ -170,8 +170,9 @@ def _pack(names: list[str], words: pa.Array, key: np.ndarray, many: np.ndarray,
     groups, group = np.unique(key[0], return_inverse=True)
     used, code = np.unique(key[1:], return_inverse=True)
     none = int(len(used) > 0 and used[0] == -1)                 # number 0 stands for no word
-    text = " ".join(words.take(pa.array(used[none:])).to_pylist())
-    head = pa.array([text, *(names[g] for g in groups)], pa.large_string())
+    own = words.take(pa.array(used[none:]))
+    text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(own)], pa.int64()), own), pa.scalar(" ", pa.large_string())).cast(pa.large_string())
+    head = pa.concat_arrays([text, pa.array([names[g] for g in groups], pa.large_string())])
     body = np.concatenate((group[None], code.reshape(key[1:].shape) + (1 - none))).astype("<i4")
     parts = [pa.record_batch([head], ["t"]).serialize().to_pybytes(), body.tobytes(), many.astype("<i8").tobytes(), level.tobytes()]
     plain = np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(parts)
@@ -181,12 +182,12 @@ def _pack(names: list[str], words: pa.Array, key: np.ndarray, many: np.ndarray,
 _HEAD = pa.schema([("t", pa.large_string())])
 
 
-def _unpack(data: bytes, max_words: int) -> tuple[list[str], list[str], np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(data: bytes, max_words: int) -> tuple[list[str], pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     plain = zstandard.ZstdDecompressor().decompress(data)
     a, b, c, _ = np.frombuffer(plain, "<i8", 4)
-    text, *names = pa.ipc.read_record_batch(pa.py_buffer(plain[32:32 + a]), _HEAD).column(0).to_pylist()
+    head = pa.ipc.read_record_batch(pa.py_buffer(plain[32:32 + a]), _HEAD).column(0)
     rest = plain[32 + a:]
-    return (names, text.split(" ") if text else [], np.frombuffer(rest, "<i4", b // 4).reshape(max_words + 1, -1),
+    return (head[1:].to_pylist(), pc.split_pattern(head[:1], " ").flatten(), np.frombuffer(rest, "<i4", b // 4).reshape(max_words + 1, -1),
             np.frombuffer(rest, "<i8", c // 8, b), np.frombuffer(rest, "u1", -1, b + c))
 
 
@@ -263,16 +264,16 @@ def equal_partitions(keys: list[np.ndarray], many: np.ndarray, level: np.ndarray
 def _bucket_counts(min_count: int, max_words: int):
     def count(table: pa.Table) -> pa.Table:
         names, lists, keys, many, level = zip(*(_unpack(d.as_py(), max_words) for d in table.column("data")), strict=True)
-        coded = pa.chunked_array([pa.array([w for part in lists for w in part], pa.large_string())]).combine_chunks().dictionary_encode()
+        coded = pa.concat_arrays(lists).cast(pa.large_string()).dictionary_encode()
         words, code = coded.dictionary, coded.indices.to_numpy()
         group = {g: i for i, g in enumerate(sorted({g for part in names for g in part}))}
         columns, at = [], 0
         for part, own, k in zip(names, lists, keys, strict=True):
-            word = np.concatenate(([-1], code[at:at + len(own)]))
-            columns.append(np.concatenate((np.array([group[g] for g in part])[k[:1]], word[k[1:]])))
+            word = np.concatenate((np.array([-1], np.int32), code[at:at + len(own)]))
+            columns.append(np.concatenate((np.array([group[g] for g in part], np.int32)[k[:1]], word[k[1:]])))
             at += len(own)
         key = np.concatenate(columns, axis=1)
-        many, level = np.concatenate(many), np.concatenate(level)
+        many, level, columns, lists, coded = np.concatenate(many), np.concatenate(level), None, None, None
         lead = key[0] * np.int64(len(words)) + key[1]
         found = equal_partitions([lead, *key[2:]], many, level, min_count)
         name = pa.array(list(group), pa.large_string())
