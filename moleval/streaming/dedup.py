@@ -1,9 +1,7 @@
 """ST1: stateful recency de-dup on a stream (the stream form of W2).
 
-State per key: the last ``window`` accepted values.  Inside a micro-batch a
-key's rows are sorted by the order columns before the walk; across batches
-the order is arrival order, so the result equals the batch operator when
-input files arrive in order.
+State per key, in a RocksDB store: the last ``window`` accepted values, and with an
+event time the rows that wait for the watermark, by time bucket.
 """
 
 from __future__ import annotations
@@ -11,43 +9,131 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from moleval.operators.common import as_list
 from moleval.operators.ordered import identity_text, recency_walk, rejected_flag
 
-# accepted values as text: every digit of a whole number is kept, NULL is a value
-STATE_SCHEMA = T.StructType([T.StructField("recent", T.ArrayType(T.StringType()))])
+PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BUCKET_MS = 3_600_000
+
+
+class RecencyProcessor(StatefulProcessor):
+    """Walks a key's rows in order against its last accepted values.
+
+    With ``bucket_ms``, rows wait in the store, a bucket of event time at a time, until the
+    watermark has passed the bucket's end; a bucket's rows of one key are all that is held in memory.
+    Without, a micro-batch's rows of the key are sorted and walked at once.
+    """
+
+    def __init__(self, names: list, window: int, order: list, cols: list, bucket_ms: int | None, idle_ms: int | None):
+        self.names, self.window, self.order, self.cols, self.bucket_ms, self.idle_ms = names, window, order, cols, bucket_ms, idle_ms
+
+    def _named(self, rows):
+        """Spark hands computed columns over under other names, in the same order."""
+        return (batch.set_axis(self.names, axis=1) for batch in rows if len(batch))
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        # accepted values as text: every digit of a whole number is kept, NULL is a value
+        self.recent = handle.getValueState("recent", "accepted array<string>")
+        if self.bucket_ms:
+            self.parts = handle.getMapState("parts", "bucket bigint", "n int")
+            self.rows = handle.getMapState("rows", "bucket bigint, part int", "data binary")
+            self.idle = handle.getValueState("idle", "until bigint")
+
+    def _walk(self, batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values(self.order, kind="stable")
+        state = deque(self.recent.get()[0] if self.recent.exists() else [], maxlen=self.window)
+        outcome = recency_walk(state, batch["_value"].tolist(), batch["_bad"].tolist())
+        self.recent.update((list(state),))
+        out = batch[self.cols].copy()
+        out["outcome"] = outcome
+        return out
+
+    def handleInputRows(self, key, rows, timerValues):
+        if not self.bucket_ms:
+            batches = list(self._named(rows))
+            if batches:
+                yield self._walk(pd.concat(batches, ignore_index=True))
+            return
+        for batch in self._named(rows):
+            for bucket, part in batch.groupby(batch["_ms"] // self.bucket_ms, sort=False):
+                n = self.parts.getValue((int(bucket),))[0] if self.parts.containsKey((int(bucket),)) else 0
+                self.rows.updateValue((int(bucket), n), (_packed(part),))
+                self.parts.updateValue((int(bucket),), (n + 1,))
+                if n == 0:
+                    self.handle.registerTimer((int(bucket) + 1) * self.bucket_ms)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        for bucket in sorted(k[0] for k in self.parts.keys()):
+            if (bucket + 1) * self.bucket_ms > now:
+                break
+            n = self.parts.getValue((bucket,))[0]
+            batch = pd.concat([_unpacked(self.rows.getValue((bucket, i))[0]) for i in range(n)], ignore_index=True)
+            for i in range(n):
+                self.rows.removeKey((bucket, i))
+            self.parts.removeKey((bucket,))
+            if self.idle_ms:
+                self.idle.update(((bucket + 1) * self.bucket_ms + self.idle_ms,))
+                self.handle.registerTimer((bucket + 1) * self.bucket_ms + self.idle_ms)
+            yield self._walk(batch)
+        if self.idle_ms and self.idle.exists() and self.idle.get()[0] <= now:
+            self.recent.clear()
+            self.idle.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_all().to_pandas()
 
 
 def recent_dedup_stream(stream: DataFrame, key, order, value: str, error: str | None = None,
-                        window: int = 5, max_err: float = 20.0, keep=None) -> DataFrame:
+                        window: int = 5, max_err: float = 20.0, keep=None, event_time: str | None = None,
+                        delay: str = "0 seconds", bucket_ms: int = BUCKET_MS, idle_ms: int | None = None) -> DataFrame:
     """Streaming DataFrame with an ``outcome`` column per input row
     ('accepted' / 'rejected' / 'duplicate').  ``value`` should already be
     rounded natively; values are compared as in the batch operator.
 
-    A key's rows of one micro-batch are sorted in memory; the source's limit
-    per trigger (``maxFilesPerTrigger``) bounds them.
+    ``event_time`` (a timestamp, the first of ``order``): a key's rows are walked in
+    order of time whatever order files come in, as far as the watermark (``delay``
+    behind the latest time seen) has come; rows that come later than that are
+    dropped by Spark, rows ahead of it wait in the store.  ``idle_ms`` forgets a
+    key's accepted values when it has had no row for so long.
+
+    Without ``event_time``, a key's rows of one micro-batch are sorted in memory and
+    walked; across batches the order is that of arrival, so the result equals the
+    batch operator when files come in order, and the source's limit per trigger
+    (``maxFilesPerTrigger``) bounds what is sorted.
     """
-    key = as_list(key)
-    order = as_list(order)
+    stream.sparkSession.conf.set(PROVIDER_CONF, ROCKSDB)
+    key, order = as_list(key), as_list(order)
     keep = [c for c in (as_list(keep) or []) if c not in key]
     cols = key + keep
-    src = stream.select(*cols, *[c for c in order if c not in cols], identity_text(stream, [value]).alias("_value"),
-                        rejected_flag(stream, error, max_err).alias("_bad"))
-    out_schema = T.StructType([src.schema[c] for c in cols]
-                              + [T.StructField("outcome", T.StringType(), False)])
-
-    def step(k, pdfs, state):
-        recent = deque(state.get[0] if state.exists else [], maxlen=window)
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(order, kind="stable")
-        outcome = recency_walk(recent, batch["_value"].tolist(), batch["_bad"].tolist())
-        state.update((list(recent),))
-        res = batch[cols].copy()
-        res["outcome"] = outcome
-        yield res
-
-    return src.groupBy(*key).applyInPandasWithState(
-        step, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    extra = [F.col(c) for c in order if c not in cols] + [identity_text(stream, [value]).alias("_value"), rejected_flag(stream, error, max_err).alias("_bad")]
+    if event_time:
+        extra.append((F.unix_micros(event_time) / 1000).cast("bigint").alias("_ms"))
+        if event_time not in order + cols:
+            extra.append(F.col(event_time))
+        stream = stream.withWatermark(event_time, delay)
+    src = stream.select(*cols, *extra)
+    out_schema = T.StructType([src.schema[c] for c in cols] + [T.StructField("outcome", T.StringType(), False)])
+    processor = RecencyProcessor(src.columns, window, order, cols, bucket_ms if event_time else None, idle_ms)
+    return src.groupBy(*key).transformWithStateInPandas(processor, out_schema, "append", "eventTime" if event_time else "none")
