@@ -2,19 +2,27 @@
 
 The studied code calls a remote model per row; here the user's callable
 gets whole Arrow batches (a pandas Series of inputs) inside executors, so
-batching, rate limiting and retries live in the callable, and Spark only
-partitions the work.  No network access happens in this library.
+batching and rate limiting live in the callable, and Spark partitions the work.
+:func:`resume_predictions` keeps what was answered when a run ends early.  No
+network access happens in this library.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from moleval.operators.common import as_list
+from moleval.operators.ordered import identity_text
+from moleval.session import cut_lineage
+from moleval.sources.commits import append_batch, read_batches
+
 
 def with_predictions(df: DataFrame, predict_fn: Callable[[pd.Series], pd.Series], input_col: str,
                      model: str, out: str = "pred", keep=None) -> DataFrame:
@@ -77,3 +85,55 @@ def with_model_predictions(df: DataFrame, predictors: dict, input_col, keep=None
             res[out] = pred
             yield res
     return src.mapInPandas(run, schema)
+
+
+ANSWERS = "model string, key string, pred double, tries int, error string"
+
+
+def _asked(predict_fn, inputs: pd.Series, max_tries: int) -> list[tuple]:
+    """(pred, tries, error) per input.  A batch that fails is asked again, ``max_tries`` times in all; one
+    that fails to the end is asked in halves, down to the rows that fail by themselves."""
+    error = ""
+    for tries in range(1, max_tries + 1):
+        try:
+            got = pd.to_numeric(pd.Series(predict_fn(inputs), index=inputs.index), errors="coerce").astype("float64")
+            return [(None if p != p else p, tries, None) for p in got.tolist()]
+        except Exception as e:  # noqa: BLE001   whatever the user's callable raises is a row of the report
+            error = f"{type(e).__name__}: {e}"
+    if len(inputs) == 1:
+        return [(None, max_tries, error)]
+    half = len(inputs) // 2
+    return _asked(predict_fn, inputs.iloc[:half], max_tries) + _asked(predict_fn, inputs.iloc[half:], max_tries)
+
+
+def resume_predictions(df: DataFrame, predict_fn: Callable[[pd.Series], pd.Series], input_col: str, model: str, path: str, key,
+                       steps: int = 16, max_tries: int = 2) -> tuple[DataFrame, DataFrame]:
+    """U1 over several runs: ``df`` with ``pred``, and the rows that failed with ``tries`` and ``error``.
+
+    Answers land under ``path`` in committed batches, a ``steps``-th of the keys at a
+    time, so a run that ends early loses one batch at most.  A later run asks only
+    for keys without an answer (anti-join).  A NULL answer is an answer; an error is
+    not, and is asked for again by the next run.  Rows of one key are asked once.
+    """
+    spark, key = df.sparkSession, as_list(key)
+    keyed = df.withColumn("_key", identity_text(df, key))
+    answered = read_batches(spark, path, ANSWERS).where((F.col("model") == model) & F.col("error").isNull()).select(F.col("key").alias("_key")).distinct()
+    todo = keyed.groupBy("_key").agg(F.min(input_col).alias("_input")).join(answered, "_key", "left_anti")
+    todo = cut_lineage(todo.withColumn("_step", F.pmod(F.xxhash64("_key"), F.lit(steps))))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                pred, tries, error = zip(*_asked(predict_fn, pdf["_input"], max_tries), strict=True)
+                yield pd.DataFrame({"model": model, "key": pdf["_key"].tolist(), "pred": pd.Series(pred, dtype="float64"),
+                                    "tries": pd.Series(tries, dtype="int32"), "error": pd.Series(error, dtype="object")})
+
+    run = uuid.uuid4().hex
+    counts = {r["_step"] for r in todo.groupBy("_step").count().collect()}          # ``steps`` rows at most
+    for step in sorted(counts):
+        append_batch(todo.where(F.col("_step") == step).mapInPandas(ask, ANSWERS), path, f"{run}-{step}")
+    log = read_batches(spark, path, ANSWERS).where(F.col("model") == model)
+    best = log.groupBy(F.col("key").alias("_key")).agg(F.max(F.col("error").isNull()).alias("_ok"), F.max(F.when(F.col("error").isNull(), F.nanvl("pred", F.lit(None)))).alias("pred"),
+                                                       F.sum("tries").alias("tries"), F.max("error").alias("error"))
+    joined = keyed.join(best, "_key")
+    return joined.where("_ok").select(*df.columns, "pred"), joined.where(~F.col("_ok")).select(*df.columns, "tries", "error")

@@ -1,10 +1,12 @@
-"""Sinks (S7-S10)."""
+"""Sinks (S7-S10); appends that are no second copy when repeated are in :mod:`moleval.sources.commits`."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from moleval.sources.commits import append_batch, materialize_once, read_batches, source_fingerprint  # noqa: F401
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Path check through the Hadoop file system of the session (works for
@@ -32,14 +34,6 @@ def ensure_table(spark: SparkSession, path: str, schema: T.StructType | str, fmt
 
 
 def append_log(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append records to a log table (no read-modify-write)."""
+    """Append records to a log table (no read-modify-write).  A repeated call appends again;
+    :func:`append_batch` does not."""
     df.write.mode("append").format(fmt).save(path)
-
-
-def materialize_once(spark: SparkSession, path: str, build, fmt: str = "parquet") -> DataFrame:
-    """Build and write the table unless a finished copy exists, then read
-    the stored copy (later runs skip the work).  A folder without the writer's
-    ``_SUCCESS`` mark is an unfinished write and is built anew."""
-    if not exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
-        write_table(build(), path, fmt=fmt)
-    return spark.read.format(fmt).load(path)

@@ -74,6 +74,27 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return _nan_free(r.csv(path))
 
 
+CORRUPT = "_corrupt_record"
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
+    """S1 with a report: (rows, remainder).  A line that does not fit ``schema`` (a cell of another type, too
+    few or too many cells) is no row but stands in the remainder as (file, text).
+
+    Lines are read as text, so a record is one line, and the header line of every file is left out.
+    A reader that parses while it prunes columns would not look at all cells.
+    """
+    want = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    header = ",".join(want.fieldNames())
+    full = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*want.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = lines.where((F.trim("value") != "") & (F.col("value") != header)).select(
+        "file", F.col("value").alias("text"), F.from_csv("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
+    bad = F.col(f"r.{CORRUPT}").isNotNull()
+    rows = parsed.where(~bad).select(*[F.col(f"r.`{n}`").alias(n) for n in want.fieldNames()])
+    return _nan_free(rows), parsed.where(bad).select("file", "text")
+
+
 def read_molecules(spark: SparkSession, path: str) -> DataFrame:
     """S1 + S3: molecule table; the saved index column (``Unnamed: 0``/_c0) is dropped."""
     df = read_csv(spark, path, MOLECULE_SCHEMA)
@@ -147,6 +168,19 @@ def parse_property_responses(responses: DataFrame, body: str = "body", status: s
                   .where(F.col("p").isNotNull()).select("p.*"))
 
 
+def parse_property_responses_checked(responses: DataFrame, ids: str = "cid_list", body: str = "body", status: str = "status") -> tuple[DataFrame, DataFrame]:
+    """S5 with a report: (records, remainder).  The remainder has the bodies of successful requests that
+    are no JSON, hold a value of another type, or have no property table, as (ids, reason, text)."""
+    schema = T.StructType([*PROPERTY_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = responses.where(F.col(status) == 200).select(F.col(ids).alias("ids"), F.col(body).alias("text"),
+                                                          F.from_json(F.col(body), schema, {"columnNameOfCorruptRecord": CORRUPT}).alias("j"))
+    table = F.col("j.PropertyTable.Properties")
+    reason = F.when(F.col("text").isNull() | F.col(f"j.{CORRUPT}").isNotNull(), F.lit("unreadable")).when(table.isNull(), F.lit("no property table"))
+    judged = parsed.withColumn("reason", reason)
+    records = judged.where("reason IS NULL").select(F.explode(table).alias("p")).where(F.col("p").isNotNull()).select("p.*")
+    return records, judged.where("reason IS NOT NULL").select(F.col("ids").alias(ids), "reason", "text")
+
+
 def failed_requests(responses: DataFrame, ids: str = "cid_list", status: str = "status") -> DataFrame:
     """Requests whose status is not 200, with their id list."""
     return responses.where(~F.coalesce(F.col(status) == 200, F.lit(False))).select(ids, status)
