@@ -23,6 +23,7 @@ from moleval.operators import predict as P
 from moleval.operators import rank as RK
 from moleval.operators import rules as R
 from moleval.operators import split as SP
+from moleval.plans import evaluation as EV
 from moleval.plans import landed as LD
 from moleval.plans import testdata as TD
 from moleval.plans import text_tagging as TT
@@ -83,11 +84,15 @@ def q_histogram_by(spark, sf_dir):
     return M.histogram(e, "value", bins=10, by="kind").select("kind", "bin", r("bin_lo").alias("bin_lo"), r("bin_hi").alias("bin_hi"), "count")
 
 
-@query("""SELECT CAST(0 AS BIGINT) AS n_bins""")
+@query("""
+WITH e AS (SELECT event_type AS kind, CASE WHEN event_type <> 'view' THEN value END AS x FROM events),
+g AS (SELECT kind, min(x) AS lo, max(x) AS hi, count(x) AS n FROM e GROUP BY 1)
+SELECT kind, CAST(10 AS BIGINT) AS n_bins, n AS n_values, round(lo, 6) AS lo, round(hi, 6) AS hi FROM g WHERE n > 0""")
 def q_histogram_all_null(spark, sf_dir):
-    """a column without values has no bins."""
-    h = M.histogram(table(spark, sf_dir, "events").select(F.nullif("value", "value").alias("v")), "v", bins=10)
-    return h.agg(F.count(F.lit(1)).alias("n_bins"))
+    """a group without values has no bins, the others have all of theirs."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.when(F.col("event_type") != "view", F.col("value")).alias("v"))
+    h = M.histogram(e, "v", bins=10, by="kind")
+    return h.groupBy("kind").agg(F.count(F.lit(1)).alias("n_bins"), F.sum("count").alias("n_values"), F.round(F.min("bin_lo"), 6).alias("lo"), F.round(F.max("bin_hi"), 6).alias("hi"))
 
 
 _NULL_CUST = "CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END"
@@ -298,26 +303,38 @@ def q_prediction_set(spark, sf_dir):
     return _prediction_set(spark, sf_dir).select("model", "smiles", "calculated", "pred", F.array_join("group_descriptions", "|").alias("groups_text"))
 
 
-@query("SELECT 'gamma' AS model")
+@query("""
+SELECT DISTINCT p_brand AS model FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 48 AND p_type = 'ECONOMY')
+UNION ALL SELECT 'Brand#none'""")
 def q_missing_models(spark, sf_dir):
-    """Models without a file."""
-    return SRC.missing_models(_prediction_set(spark, sf_dir), MODELS)
+    """Expected models (one per brand, and one more) without any row among the predictions read back."""
+    folder = scratch_path(spark, "some-predictions")
+    p = table(spark, sf_dir, "part")
+    some = p.where("p_size > 48 AND p_type = 'ECONOMY'").select(F.col("p_brand").alias("model"), F.col("p_size").cast("double").alias("pred"))
+    SK.write_table(some, folder, "csv")
+    expected = [x["p_brand"] for x in p.select("p_brand").distinct().collect()] + ["Brand#none"]      # names of models
+    return SRC.missing_models(SRC.read_csv(spark, folder, "model string, pred double"), expected)
 
 
-@query("""
-SELECT CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INTEGER) AS demo_no, true AS augmented, p_name AS question,
+PROGRAM_BLOCK = 100             # consecutive part numbers of one program
+
+
+@query(f"""
+SELECT CAST(row_number() OVER (PARTITION BY p_brand, p_partkey // {PROGRAM_BLOCK} ORDER BY p_partkey) - 1 AS INTEGER) AS demo_no, true AS augmented, p_name AS question,
        CAST(p_size AS VARCHAR) AS answer, 'Use ' || p_brand AS instructions, 'Question:' AS first_prefix FROM part""")
 def q_program_json(spark, sf_dir):
-    """Saved programs (one JSON file each) give their demonstrations and signature."""
+    """Saved programs give their demonstrations and signature.  A program holds the parts of one
+    brand and one block of numbers, so programs grow in number and not in size."""
     path = scratch_path(spark, "programs")
     demos = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_size"))), lambda x: F.struct(
         F.lit(True).alias("augmented"), x["p_name"].alias("question"), x["p_size"].cast("string").alias("answer")))
-    g = table(spark, sf_dir, "part").groupBy("p_brand").agg(demos.alias("demos"))
+    g = table(spark, sf_dir, "part").groupBy("p_brand", F.floor(F.col("p_partkey") / PROGRAM_BLOCK).alias("block")).agg(demos.alias("demos"))
     fields = F.array(F.struct(F.lit("Question:").alias("prefix"), F.lit("the question").alias("description")))
     signature = F.struct(F.concat(F.lit("Use "), F.col("p_brand")).alias("instructions"), fields.alias("fields"))
     body = F.to_json(F.struct(F.struct("demos", signature.alias("signature")).alias("prog.predictor")))
-    g.select("p_brand", body.alias("value")).write.partitionBy("p_brand").text(path)
-    back = SRC.read_programs(spark, path)
+    # a record of JSON per line and many lines a file: a program is one line
+    g.select(body.alias("value")).write.text(path)
+    back = SRC.read_programs(spark, path, multi_line=False)
     return back.select(F.col("demo_no").cast("int").alias("demo_no"), "augmented", "question", "answer", "instructions",
                        F.get("fields", F.lit(0))["prefix"].alias("first_prefix"))
 
@@ -360,6 +377,85 @@ def q_append_batches(spark, sf_dir):
     return spark.read.schema("event_type string, part int").json(path).groupBy("event_type", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""
+SELECT p_brand, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS total FROM part GROUP BY 1""")
+def q_append_once(spark, sf_dir):
+    """Batches by key, each handed over twice and once more with other rows, count once."""
+    path = scratch_path(spark, "batches-once")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    for _ in range(2):
+        for k in range(3):
+            SK.append_batch(p.where(F.pmod("p_partkey", F.lit(3)) == k), path, f"batch {k}")
+    SK.append_batch(p, path, "batch 1")
+    return SK.read_batches(spark, path, "p_partkey bigint, p_brand string, p_size int").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("total"))
+
+
+@query("""
+SELECT CASE WHEN p_partkey % 10 = 3 THEN 'bad number' WHEN p_partkey % 10 = 6 THEN 'too few' WHEN p_partkey % 10 = 8 THEN 'too many' ELSE 'fits' END AS kind,
+       count(*) AS n, CAST(sum(CASE WHEN p_partkey % 10 NOT IN (3, 6, 8) THEN p_size ELSE 0 END) AS BIGINT) AS total FROM part GROUP BY 1""")
+def q_csv_bad_records(spark, sf_dir):
+    """Damaged lines made from ``part`` are reported with their text, the others are rows."""
+    path = scratch_path(spark, "damaged-csv")
+    k = F.col("p_partkey") % 10
+    size = F.when(k == 3, F.concat(F.lit("x"), F.col("p_size"))).otherwise(F.col("p_size").cast("string"))
+    line = F.concat(F.col("p_partkey"), F.lit(","), F.col("p_brand"), F.when(k == 6, F.lit("")).otherwise(F.concat(F.lit(","), size)), F.when(k == 8, F.lit(",extra")).otherwise(F.lit("")))
+    table(spark, sf_dir, "part").select(line.alias("value")).write.text(path)
+    good, bad = SRC.read_csv_checked(spark, path, "p_partkey bigint, p_brand string, p_size int")
+    commas = F.length("text") - F.length(F.replace("text", F.lit(","), F.lit("")))
+    kinds = bad.select(F.when(commas < 2, "too few").when(commas > 2, "too many").otherwise("bad number").alias("kind"), F.lit(0).alias("p_size"))
+    return (good.select(F.lit("fits").alias("kind"), "p_size").unionByName(kinds).groupBy("kind")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").cast("bigint").alias("total")))
+
+
+@query("""
+WITH g AS (SELECT floor(p_partkey / 10) AS chunk, max(p_size) AS mx, min(p_size) AS mn, count(*) AS n FROM part GROUP BY 1),
+k AS (SELECT *, CASE WHEN mx = 50 THEN NULL WHEN mn = 1 THEN 'unreadable' WHEN mn = 2 THEN 'no property table' ELSE 'fits' END AS reason FROM g)
+SELECT reason, CAST(sum(CASE WHEN reason = 'fits' THEN n ELSE 1 END) AS BIGINT) AS n FROM k WHERE reason IS NOT NULL GROUP BY 1""")
+def q_property_bad_records(spark, sf_dir):
+    """Records of the bodies that can be read, and the others by reason."""
+    sizes = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 10).cast("bigint").alias("_chunk")).agg(F.min("p_size").alias("_mn"))
+    r = LD.property_responses(spark, sf_dir)
+    first = F.split("cid_list", ",")[0].cast("bigint")
+    r = r.withColumn("_chunk", F.floor(first / 10).cast("bigint")).join(sizes, "_chunk")
+    r = r.withColumn("body", F.when(F.col("_mn") == 1, F.substring("body", 1, 40)).when(F.col("_mn") == 2, F.lit('{"Fault": 1}')).otherwise(F.col("body")))
+    good, bad = SRC.parse_property_responses_checked(r)
+    return good.select(F.lit("fits").alias("reason")).unionByName(bad.select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _fussy(s: pd.Series) -> pd.Series:
+    """Answers with the length, and refuses a batch with a text that ends in 7."""
+    if s.str.endswith("7").any():
+        raise ValueError("refused")
+    return s.str.len()
+
+
+@query("""
+SELECT CASE WHEN o_orderkey % 10 = 7 THEN 'failed' ELSE 'answered' END AS outcome, count(*) AS n,
+       CAST(sum(CASE WHEN o_orderkey % 10 = 7 THEN 0 ELSE length(CAST(o_orderkey AS VARCHAR)) END) AS DOUBLE) AS total FROM orders GROUP BY 1""")
+def q_predict_resume(spark, sf_dir):
+    """U1 in two runs: the first answers half of the orders, the second the rest; refused rows are reported."""
+    path = scratch_path(spark, "answers")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("text"))
+    P.resume_predictions(o.where("o_orderkey % 2 = 0"), _fussy, "text", "length", path, "o_orderkey", steps=2)
+    ok, failed = P.resume_predictions(o, _fussy, "text", "length", path, "o_orderkey", steps=2, max_tries=1)
+    return (ok.select(F.lit("answered").alias("outcome"), "pred").unionByName(failed.select(F.lit("failed").alias("outcome"), F.lit(0.0).alias("pred")))
+            .groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("pred").alias("total")))
+
+
+@query("""
+WITH c AS (SELECT 'alpha' AS model, abs(p_retailprice - p_size * 30.0) AS e FROM part UNION ALL SELECT 'beta', abs(p_retailprice - p_size * 60.0) FROM part)
+SELECT model, CAST(count_if(e <= 500) AS BIGINT) AS good, CAST(count_if(e > 500) AS BIGINT) AS outliers, count(*) AS total FROM c GROUP BY 1""")
+def q_outlier_job(spark, sf_dir):
+    """The report job from prediction files on: read (S1), partition (F3), count (A2)."""
+    folder = scratch_path(spark, "prediction-files")
+    p = table(spark, sf_dir, "part")
+    for k, m in enumerate(MODELS[:2], 1):
+        SK.write_table(p.select(F.col("p_name").alias("smiles"), F.col("p_retailprice").alias("calculated"), (F.col("p_size") * (30.0 * k)).alias(f"{m}_pred"),
+                                F.col("p_size").alias("num_n"), F.lit(0).alias("num_o")), f"{folder}/{m}_predictions.csv", "csv")
+    c = EV.outlier_reports(SRC.read_prediction_set(spark, folder, MODELS), threshold=500.0)["counts"]
+    return c.select("model", F.col("n_good").alias("good"), F.col("n_outlier").alias("outliers"), F.col("n_total").alias("total"))
+
+
 # ---------------------------------------------------------------- small operators
 @query("SELECT event_id, event_type FROM events WHERE NOT (event_type IN ('view', 'error'))")
 def q_exclude_values(spark, sf_dir):

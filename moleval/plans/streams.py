@@ -36,6 +36,24 @@ def q_stream_dedup(spark, sf_dir):
     return spark.read.parquet(sink).select("user_id", "event_id", "outcome")
 
 
+def q_stream_dedup_shuffled(spark, sf_dir):
+    """ST1 by event time: events landed in files without any order, one file per micro-batch, and last a
+    row far ahead that lets the watermark pass them all."""
+    landing = scratch_path(spark, "shuffled-events")
+    events = TD.table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
+    events.repartition(4, F.xxhash64("event_id")).write.parquet(f"{landing}/events")
+    ahead = events.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("bigint").alias("user_id"), F.lit(None).cast("bigint").alias("event_id"),
+                                                       (F.col("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts"), F.lit(None).cast("double").alias("value"))
+    ahead.write.parquet(f"{landing}/mark")
+    s = (spark.readStream.schema(events.schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+         .option("maxFilesPerTrigger", 1).parquet(landing))
+    ev = s.select("user_id", "event_id", "ts", F.floor("value").cast("bigint").alias("k"), (F.col("value") - 50.0).alias("err"))
+    d = recent_dedup_stream(ev, "user_id", ["ts", "event_id"], "k", error="err", window=5, max_err=20.0, keep=["event_id"],
+                            event_time="ts", delay="60 days", bucket_ms=10 * 86_400_000)
+    sink = run_available_now(d, scratch_path(spark, "stream-shuffled"))
+    return spark.read.parquet(sink).where("event_id IS NOT NULL").select("user_id", "event_id", "outcome")
+
+
 def q_stream_route(spark, sf_dir):
     acc, rej = scratch_path(spark, "accepted"), scratch_path(spark, "rejected")
     q = route_examples(_dedup(spark, sf_dir), acc, rej, scratch_path(spark, "ckpt"))
@@ -61,12 +79,14 @@ def q_stream_curate(spark, sf_dir):
 
 QUERIES = {
     "stream_dedup": q_stream_dedup,
+    "stream_dedup_shuffled": q_stream_dedup_shuffled,
     "stream_route": q_stream_route,
     "stream_curate": q_stream_curate,
 }
 
 ORACLE_SQL = {
     "stream_dedup": TD.SQL_RECENT_DEDUP,
+    "stream_dedup_shuffled": TD.SQL_RECENT_DEDUP,
     "stream_route": SQL_STREAM_ROUTE,
     "stream_curate": LD.SQL_CURATED_RECORDS,
 }

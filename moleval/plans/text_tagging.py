@@ -137,6 +137,25 @@ def q_phrase_groups(spark, sf_dir):
                     F.size("assigned_positions").cast("bigint").alias("n_positions"))
 
 
+def q_rule_reports(spark, sf_dir):
+    """V1: invalid patterns and dropped groups of a rule table made from the types and brands of ``part``;
+    every pattern of a third brand is broken."""
+    p = table(spark, sf_dir, "part")
+    broken = F.substring("p_brand", -1, 1).isin("3")
+    rules = p.groupBy("p_brand", "p_type").agg(F.min("p_partkey").cast("int").alias("rule_index")).select(
+        "rule_index", F.col("p_brand").alias("group"), F.when(broken, F.concat(F.lit("["), F.col("p_type"))).otherwise(F.concat(F.lit("^"), F.col("p_type"))).alias("original"),
+        F.when(F.col("p_type") == "ECONOMY", F.lit("(open")).alias("new_1"), F.lit(None).cast("string").alias("new_2"), F.lit(" ").alias("new_3"))
+    lr = R.rules_to_long(rules)
+    bad = R.invalid_report(lr).select(F.explode("invalid").alias("x")).groupBy(F.col("x.group").alias("group")).agg(F.count(F.lit(1)).alias("n_invalid"))
+    return bad.join(R.dropped_groups(lr).withColumn("dropped", F.lit(True)), "group", "left").select("group", "n_invalid", F.coalesce("dropped", F.lit(False)).alias("dropped"))
+
+
+SQL_RULE_REPORTS = """
+WITH r AS (SELECT p_brand, p_type, p_brand LIKE '%3' AS broken FROM part GROUP BY 1, 2),
+n AS (SELECT p_brand, count(*) FILTER (WHERE broken) + count(*) FILTER (WHERE p_type = 'ECONOMY') AS n_invalid, bool_and(broken) AS dropped FROM r GROUP BY 1)
+SELECT p_brand AS "group", CAST(n_invalid AS BIGINT) AS n_invalid, dropped FROM n WHERE n_invalid > 0"""
+
+
 # ---------------------------------------------------------------- oracle SQL
 def _lit(v):
     if v is None:
@@ -286,6 +305,7 @@ QUERIES = {
     "unmatched_names": q_unmatched_names,
     "phrase_matches": q_phrase_matches,
     "phrase_groups": q_phrase_groups,
+    "rule_reports": q_rule_reports,
 }
 
 ORACLE_SQL = {
@@ -297,4 +317,5 @@ ORACLE_SQL = {
     "value_table_join": SQL_VALUE_TABLE_JOIN,
     "unmatched_names": SQL_UNMATCHED_NAMES,
     "phrase_matches": SQL_PHRASE_MATCHES,
+    "rule_reports": SQL_RULE_REPORTS,
 }

@@ -146,11 +146,12 @@ def read_prediction_set(spark: SparkSession, directory: str, models) -> DataFram
     return out
 
 
-def read_programs(spark: SparkSession, path: str) -> DataFrame:
+def read_programs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Saved program JSON -> one row per demonstration
     ``(program, demo_no, augmented, question, answer, instructions, fields)``;
-    ``fields`` are the signature's (prefix, description) pairs."""
-    raw = spark.read.option("multiLine", True).schema(PROGRAM_SCHEMA).json(path)
+    ``fields`` are the signature's (prefix, description) pairs.  ``multi_line=False``
+    reads files with one program per line."""
+    raw = spark.read.option("multiLine", multi_line).schema(PROGRAM_SCHEMA).json(path)
     p = F.col("`prog.predictor`")
     return raw.select(F.input_file_name().alias("program"),
                       p["signature"]["instructions"].alias("instructions"), p["signature"]["fields"].alias("fields"),

@@ -125,6 +125,8 @@ def recent_dedup_stream(stream: DataFrame, key, order, value: str, error: str |
     """
     stream.sparkSession.conf.set(PROVIDER_CONF, ROCKSDB)
     key, order = as_list(key), as_list(order)
+    if event_time and isinstance(stream.schema[event_time].dataType, T.TimestampNTZType):
+        stream = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))     # a watermark asks for it
     keep = [c for c in (as_list(keep) or []) if c not in key]
     cols = key + keep
     extra = [F.col(c) for c in order if c not in cols] + [identity_text(stream, [value]).alias("_value"), rejected_flag(stream, error, max_err).alias("_bad")]
