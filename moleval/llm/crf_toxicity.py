@@ -8,8 +8,9 @@ Labelled tokens come from document labels on a sample of ``MAX_LABELLED`` rows
 at most (smallest hash of the id first): a word or prefix whose documents are
 toxic in at least ``PRECISION`` of the cases, with ``MIN_TOXIC`` toxic ones,
 marks tokens of toxic documents as toxic.  The field learns from every line of
-the sample, whole and with all its tokens, in minibatches that the driver reads
-in turn from the checkpoint folder: its memory does not grow with the texts.
+the sample, whole and with all its tokens: lines stay in the checkpoint folder,
+each round's tasks take gradient steps over their lines, and only weights, summed
+in Spark, come to the driver.
 Forward-backward marginals of the tokens give the document's score (a logistic
 function of the highest marginal and the expected number of toxic tokens,
 fitted on the same sample) and its offending spans.
@@ -22,12 +23,13 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -43,8 +45,10 @@ FEATURES = 2 + len(PREFIXES)    # identity, prefixes, suffix; two neighbours' id
 MAX_LABELLED = 8192
 MIN_TOXIC = 5
 PRECISION = 0.8
-BATCH_TOKENS = 1 << 15          # of whole lines, for one step of the fit
-CHUNK_BYTES = 32 << 20          # training lines held by the driver at a time
+BATCH_TOKENS = 1 << 13          # of whole lines, for one step of the fit
+ROUNDS = 12                     # over all lines
+RANGE = 1 << 14                 # weights added up together
+CHUNK_BYTES = 32 << 20          # of training lines in a partition, and held by a task at a time
 UNIT = 16                       # tokens that weigh as one example against the decay
 BLOCK = 1 << 20
 
@@ -235,7 +239,9 @@ def _training_lines(sample: DataFrame, marks) -> DataFrame:
 
     lines = cut_lineage(sample.mapInArrow(cut, "x binary, y binary").withColumn("k", F.xxhash64("x", "y")))
     size = lines.agg(F.sum(F.length("x"))).first()[0] or 0
-    return cut_lineage(lines.repartitionByRange(1 + size // CHUNK_BYTES, "k").sortWithinPartitions("k", "x", "y").select("x", "y"))
+    parts = 1 + size // CHUNK_BYTES
+    # every partition sends a set of weights a round, so there are as few as their size asks for
+    return cut_lineage(lines.repartitionByRange(parts, "k").sortWithinPartitions("k", "x", "y").select("x", "y")).coalesce(parts)
 
 
 def _batches(lines: Iterator[tuple[bytes, bytes]], rng: np.random.Generator) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
@@ -262,16 +268,33 @@ def _batches(lines: Iterator[tuple[bytes, bytes]], rng: np.random.Generator) ->
     yield from mixed(chunk)
 
 
-def train_field(lines: Callable[[], Iterator[tuple[bytes, bytes]]], rounds: int = 12, rate: float = 0.2, decay: float = 1e-5) -> Model:
-    """Maximum likelihood by adaptive gradient steps on batches of whole lines;
-    ``lines()`` gives all of them, in the same order, for each round."""
-    model = Model()
-    w, t = model.weights, model.steps
-    sw, st = np.full(len(w), 1e-3), np.full((2, 2), 1e-3)
-    rng = np.random.default_rng(0)
-    for _ in range(rounds):
-        for pick in _batches(lines(), rng):
+@dataclass
+class Training:
+    """Weights and label steps with the sums of their squared gradients."""
+    w: np.ndarray
+    sw: np.ndarray
+    t: np.ndarray
+    st: np.ndarray
+
+    @classmethod
+    def begin(cls) -> Training:
+        model = Model()
+        return cls(model.weights, np.full(len(model.weights), 1e-3), model.steps, np.full((2, 2), 1e-3))
+
+    @classmethod
+    def unpack(cls, v: np.ndarray) -> Training:
+        n = (len(v) - 8) // 2
+        return cls(v[:n].copy(), v[n:2 * n].copy(), v[2 * n:2 * n + 4].reshape(2, 2).copy(), v[2 * n + 4:].reshape(2, 2).copy())
+
+    def pack(self) -> np.ndarray:
+        return np.concatenate((self.w, self.sw, self.t.ravel(), self.st.ravel()))
+
+    def learn(self, batches: Iterator[list[tuple[np.ndarray, np.ndarray]]], rate: float, decay: float) -> int:
+        """Adaptive gradient steps on batches of whole lines; the number of tokens."""
+        w, sw, t, st, tokens = self.w, self.sw, self.t, self.st, 0
+        for pick in batches:
             x, y = np.concatenate([a for a, _ in pick]), np.concatenate([b for _, b in pick])
+            tokens += len(y)
             lengths = np.array([len(b) for _, b in pick])
             chain = np.cumsum(lengths) - lengths
             e = w[x].sum(1)
@@ -292,7 +315,44 @@ def train_field(lines: Callable[[], Iterator[tuple[bytes, bytes]]], rounds: int
             st += gt * gt
             w -= rate * gw / np.sqrt(sw)
             t -= rate * 0.25 * gt / np.sqrt(st)
-    return model
+        return tokens
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    """Rows of one range of values -> their sum weighted by tokens, in order of the partitions."""
+    order = np.argsort(table.column("part").to_numpy())
+    data, n = table.column("data").to_pylist(), table.column("n").to_pylist()
+    total = np.sum([np.frombuffer(data[i], "<f4").astype(np.float64) * n[i] for i in order], axis=0)
+    return pa.table({"block": table.column("block")[:1], "n": pa.array([sum(n)]), "data": pa.array([total.tobytes()], pa.binary())})
+
+
+def train_field(lines: DataFrame, rounds: int = ROUNDS, rate: float = 0.2, decay: float = 1e-5) -> Model:
+    """Maximum likelihood over (x, y) lines.  In each round every partition takes adaptive gradient
+    steps over all its lines from the same broadcast weights; the results, weighted by tokens, are
+    added up by ranges of weights in Spark.  The driver holds one set of weights and no line."""
+    sc = lines.sparkSession.sparkContext
+    state = Training.begin()
+    for turn in range(rounds):
+        sent = sc.broadcast(state.pack())
+
+        def steps(batches: Iterator[pa.RecordBatch], turn=turn, sent=sent) -> Iterator[pa.RecordBatch]:
+            part = TaskContext.get().partitionId()
+            own = Training.unpack(sent.value)
+            rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            n = own.learn(_batches(rows, np.random.default_rng((turn, part))), rate, decay)
+            if n:
+                v = own.pack()
+                cut = [v[i:i + RANGE].astype("<f4").tobytes() for i in range(0, len(v), RANGE)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([part] * len(cut), pa.int32()), pa.array([n] * len(cut), pa.int64()), pa.array(cut, pa.binary())],
+                                                 ["block", "part", "n", "data"])
+
+        summed = lines.mapInArrow(steps, "block int, part int, n bigint, data binary").groupBy("block").applyInArrow(_add_up, "block int, n bigint, data binary")
+        got = sorted(summed.collect(), key=lambda r: r.block)
+        sent.unpersist()
+        if not got:
+            break
+        state = Training.unpack(np.concatenate([np.frombuffer(r.data, "<f8") for r in got]) / got[0].n)
+    return Model(weights=state.w, steps=state.t)
 
 
 def pair_marginals(e: np.ndarray, chain: np.ndarray, t: np.ndarray, b: np.ndarray, odds: np.ndarray | None = None) -> list[list[np.ndarray]]:
@@ -341,7 +401,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
         return Model(document=np.array([0.0, 0.0, odds]))
     marks = spark.sparkContext.broadcast(toxic_marks(sample))
     lines = _training_lines(sample, marks)
-    model = train_field(lines.toLocalIterator)
+    model = train_field(lines)
     sent = spark.sparkContext.broadcast(model)
 
     def sign_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
