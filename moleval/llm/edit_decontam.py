@@ -11,7 +11,10 @@ Letters A-Z are folded and every white space character counts as a space, both
 one to one, so offsets are those of the original text.
 
 The items are the query set: their text is measured first and sent in slices of
-``SLICE_CHARS`` characters at most, one pass over the documents for each.
+``SLICE_CHARS`` characters, about (an item stays whole), with one pass over the
+documents for each slice, so a worker holds one slice's pieces whatever the items'
+number (about 55 bytes a character).  Of overlapping places of one item the one with
+the least distance counts, then the one that ends first.
 
 Null and empty texts hold nothing; null and empty items are in nothing; an item
 shorter than ``1 / RATE`` must occur unchanged; equal items give one match each;
@@ -24,6 +27,7 @@ import math
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -34,9 +38,10 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 
 from moleval.llm.words import fields
+from moleval.session import cut_lineage
 
 RATE = 0.08
-SLICE_CHARS = 16_000_000
+SLICE_CHARS = 4_000_000
 NAMES = ("item_id", "distance", "start", "end")
 
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b"     ")
@@ -166,14 +171,13 @@ def _matcher(key: str, items: list[tuple], rate: float) -> Matcher:
     return _loaded[key]
 
 
-def match_columns(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                  rate: float = RATE, slice_chars: int = SLICE_CHARS) -> list[Column]:
-    """A column for each slice of the items: array<struct<item_id, distance, start, end>>
+def finders(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", rate: float = RATE, slice_chars: int = SLICE_CHARS) -> list:
+    """A function of a text column for each slice of the items: array<struct<item_id, distance, start, end>>
     of the items that a document's text holds (``end`` exclusive, in characters)."""
     kind = T.ArrayType(T.StructType([T.StructField("item_id", items.schema[item_id].dataType), T.StructField("distance", T.IntegerType()),
                                      T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     context = docs.sparkSession.sparkContext
-    return [_finder(context.broadcast(some), rate, kind)(F.col(text)) for some in _slices(items, item_id, item_text, slice_chars)]
+    return [_finder(context.broadcast(some), rate, kind) for some in _slices(items, item_id, item_text, slice_chars)]
 
 
 def _finder(sent, rate: float, kind: T.DataType):
@@ -188,15 +192,15 @@ def _finder(sent, rate: float, kind: T.DataType):
     return find
 
 
-def matches(docs: DataFrame, items: DataFrame, keep: list | None = None, **options) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, keep: list | None = None, text: str = "text", **options) -> DataFrame:
     """One row per item found in a document: ``row`` (struct of ``keep``), ``item_id``, ``distance``, ``start``, ``end``."""
-    found = F.flatten(F.array(*match_columns(docs, items, **options)))
-    d = docs.select(fields(keep or docs.columns), found.alias("found"))
-    return d.select("row", F.explode("found").alias("m")).select("row", "m.*")
+    passes = [docs.select(fields(keep or docs.columns), F.explode(find(F.col(text))).alias("m")) for find in finders(docs, items, **options)]
+    return reduce(DataFrame.union, passes).select("row", "m.*")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that hold no item."""
-    found = F.flatten(F.array(*match_columns(docs, items, **options)))
-    d = docs.select(fields(docs.columns), F.size(found).alias("n"))
-    return d.where("n = 0").select("row.*")
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents that hold no item.  Between slices what is left is written, so a task has one slice."""
+    for n, find in enumerate(finders(docs, items, **options)):
+        left = cut_lineage(docs) if n else docs
+        docs = left.select(fields(left.columns), F.size(find(F.col(text))).alias("n")).where("n = 0").select("row.*")
+    return docs

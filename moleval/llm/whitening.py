@@ -22,6 +22,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
@@ -111,22 +112,30 @@ def whiten(df: DataFrame, vector: str = "embedding", keep: list[str] | None = No
     off = all_rows.withColumn("y", F.zip_with("x", total, lambda a, s: a * F.lit(n).cast("bigint") - s))
     per = rows_per_block or max(256, min(BLOCK_BYTES // (8 * dim), -(-n // (4 * sc.defaultParallelism))))
     n_blocks = -(-n // per)
-    centred = blocks_of(off.select("index", F.transform("y", lambda v: v.cast("double") / F.lit(float(n))).alias("v")), n, dim, per)
+    # both matrices are read twice; a lost copy is made again from the written rows
+    centred = blocks_of(off.select("index", F.transform("y", lambda v: v.cast("double") / F.lit(float(n))).alias("v")), n, dim, per).persist(StorageLevel.MEMORY_AND_DISK)
     v = scatter(centred, n_blocks) / n
     value, vec = np.linalg.eigh((v + v.T) / 2)
     order = [i for i in np.argsort(-value, kind="stable")[:components] if value[i] > LEAST * value.max()]
     if not order:
+        _free(centred)
         return _none(all_rows, n, dim)
-    projected = product(centred, local_block(sc, vec[:, order] / np.sqrt(value[order])))
+    projected = product(centred, local_block(sc, vec[:, order] / np.sqrt(value[order]))).persist(StorageLevel.MEMORY_AND_DISK)
     error = float(np.abs(scatter(projected, n_blocks) / n - np.eye(len(order))).max())
     back = callMLlibFunc("getIndexedRows", projected.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
     back = cut_lineage(back.select("index", vector_to_array("vector").alias("whitened")))
+    _free(centred)
+    _free(projected)
     square = lambda y: y.cast("decimal(18,0)") * y.cast("decimal(18,0)")
     deviation = F.aggregate("y", F.lit(0).cast("decimal(38,0)"), lambda s, y: (s + square(y)).cast("decimal(38,0)"))
     rows = off.select("index", "row", "x", deviation.alias("deviation")).join(back, "index").drop("index")
     return Whitened(rows, n, (value[order] / np.trace(v)).tolist(), vec[:, order], error)
 
 
+def _free(m: BlockMatrix) -> None:
+    m._java_matrix_wrapper.call("blocks").unpersist(False)
+
+
 def _none(rows: DataFrame, n: int, dim: int) -> Whitened:
     empty = rows.where(F.lit(False)).select("row", "x", F.lit(0).cast("decimal(38,0)").alias("deviation"), F.array().cast("array<double>").alias("whitened"))
     return Whitened(empty, n, [], np.zeros((dim, 0)), 0.0)

@@ -211,7 +211,9 @@ def test_decontamination_equals_brute_force(spark):
             if k:
                 assert edit_distance(fold(by[k]), stretch) == dist == edit_distance(stretch, fold(by[k])) or dist >= 0
     bad = {i for i, _, _ in want}
-    assert {r.doc_id for r in edit_decontam.decontaminate(d, b).collect()} == {r[0] for r in docs} - bad
+    for chars in (edit_decontam.SLICE_CHARS, 300):
+        left = edit_decontam.decontaminate(d, b, slice_chars=chars)
+        assert left.columns == d.columns and {r.doc_id for r in left.collect()} == {r[0] for r in docs} - bad
     assert edit_decontam.decontaminate(d, b.limit(0)).count() == len(docs)
     assert edit_decontam.matches(d.limit(0), b).count() == 0
 
