@@ -205,6 +205,7 @@ class Model:
     unigram: tuple              # continuation total, N1, N2, N3+, distinct words
     tokens: int                 # learning tokens (N)
     types: int                  # distinct learning tokens (V)
+    stored: frozenset           # (order, shard) of the shards written; 0 is the tokens' own counts
 
     def _look_up(self, kind: str, k: int, where: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
         """Stored values of ``keys`` (0 where absent); ``where`` gives the hash whose range names the shard."""
@@ -217,7 +218,8 @@ class Model:
                 continue
             pick = order[a:b]
             number = int(s[pick[0]])
-            names = _shard(self.uri, f"{kind}{k}-{number}.key", "<u8", 1) if (kind, k, number) in _present(self.uri) else np.zeros(0, np.uint64)
+            # a shard that was written and cannot be read is an error, never a count of 0
+            names = _shard(self.uri, f"{kind}{k}-{number}.key", "<u8", 1) if (k, number) in self.stored else np.zeros(0, np.uint64)
             if len(names):
                 q = keys[pick]
                 i = np.minimum(np.searchsorted(names, q), len(names) - 1)
@@ -260,18 +262,6 @@ class Model:
         return {"n_tokens": n.astype(np.int64), "n_known": add((raw > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(p))}
 
 
-@lru_cache(4)
-def _present(uri: str) -> frozenset:
-    """(kind, order, shard) of the stored shards."""
-    fs, path = Store(uri)._place()
-    out = set()
-    for f in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
-        if f.base_name.endswith(".key") and not f.base_name.startswith("."):
-            kind, shard = f.base_name.removesuffix(".key").rsplit("-", 1)
-            out.add((kind.rstrip("0123456789"), int(kind[len(kind.rstrip("0123456789")):]), int(shard)))
-    return frozenset(out)
-
-
 def _count_local(order: int, shards: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -343,7 +333,9 @@ def _reduce(order: int, now: int, shards: int, uri: str):
 
 def fit(docs: DataFrame, text: str = "text", order: int = ORDER, shard_chars: int = SHARD_CHARS) -> Model:
     """Count all texts of ``docs`` and store the model in the checkpoint folder."""
-    uri = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/kn-{uuid.uuid4().hex}"
+    checkpoint_dir(docs.sparkSession)
+    # with the scheme of its store: workers open it without Spark's settings
+    uri = f"{docs.sparkSession.sparkContext.getCheckpointDir()}/kn-{uuid.uuid4().hex}"
     d = docs.select(F.col(text).alias("text"))
     chars = d.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))
@@ -351,13 +343,15 @@ def fit(docs: DataFrame, text: str = "text", order: int = ORDER, shard_chars: in
     for now in range(order, 0, -1):
         rows = rows.groupBy("kind", "shard").applyInArrow(_reduce(order, now, shards, uri), _SHARDS)
     sums: dict[int, np.ndarray] = {}
+    stored = set()
     for r in rows.where("kind = -1").collect():
         kind, *few = np.frombuffer(r.data, np.int64)
+        stored.add((int(kind), r.shard))
         sums[int(kind)] = sums.get(int(kind), 0) + np.array(few)
     none = np.zeros(7, np.int64)
     first, raw = sums.get(1, none), sums.get(0, none)
     return Model(uri, order, shards, tuple(_discounts(sums.get(k, none)) for k in range(1, order + 1)),
-                 tuple(int(v) for v in (first[5], first[0], first[1], first[4], first[6])), int(raw[5]), int(raw[6]))
+                 tuple(int(v) for v in (first[5], first[0], first[1], first[4], first[6])), int(raw[5]), int(raw[6]), frozenset(stored))
 
 
 def _discounts(s: np.ndarray) -> tuple[float, float, float]:

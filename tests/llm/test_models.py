@@ -87,6 +87,18 @@ def test_language_model_equals_plain_counts(spark, order):
         assert sum(plain.p((some, w)) for w in (g[0] for g in plain.n[1])) + plain.p((some, "never seen")) == pytest.approx(1)
 
 
+def test_language_model_fails_without_a_shard(spark):
+    docs = spark.createDataFrame([(f"a b c d{i} e",) for i in range(30)], "text string")
+    model = kn_lm.fit(docs)
+    assert model.uri.startswith("file:") and {k for k, _ in model.stored} == {0, 1, 2, 3}
+    import os
+    folder = "/" + model.uri.removeprefix("file:").lstrip("/")
+    os.rename(f"{folder}/gram3-0.key", f"{folder}/elsewhere")
+    kn_lm._shard.cache_clear()
+    with pytest.raises(Exception, match="gram3-0.key"):
+        docs.select(kn_lm.scores(F.col("text"), spark, model)["score"]).collect()
+
+
 def test_language_model_without_rows(spark):
     model = kn_lm.fit(odd(spark).limit(0))
     got = odd(spark).select(kn_lm.scores(F.col("text"), spark, model)["score"].alias("s")).collect()
