@@ -10,7 +10,9 @@ agree over all documents without a table.  How a symbol came about depends on
 its own words and a few neighbours - its context, kept as a word range.  Every
 occurrence of a window parses alike wherever a context lies inside the window.
 So a window with an inner symbol whose name occurs once in the corpus cannot
-repeat; the others are verified by their words' hashes (96 bits).
+repeat.  Of the others each is found by its anchor, the first symbol of the highest
+level inside it: windows with anchors of one name are candidates, and extending the
+anchors left and right over the window's other words verifies them (96 bits).
 
 Spark does it in three looks at chunks of documents (``CHUNK_CHARS``, by hash
 of the id): chunks send their distinct names, packed, to a task per hash range,
@@ -27,6 +29,8 @@ in one struct, so their names cannot clash.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moleval.llm.words import Words, fields, mix
+from moleval.llm.words import Words, _tables, fields, mix
 
 WINDOW = 20
 ROUNDS = 3
@@ -46,10 +50,22 @@ _POLY = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93))
 _ANSWER = "chunk bigint, kind int, shard int, data binary"
 
 
-def recompress(h: np.ndarray, doc: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names after ``rounds`` rounds, and the word range [lo, hi) that each depends
-    on.  A range that needs to know where the document ends reaches beyond it."""
+@dataclass
+class Level:
+    """Symbols after a round, in order: ``name``, own words [a, b), and the word range [lo, hi) that they depend on.
+    A range that needs to know where the document ends reaches beyond it."""
+    name: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+
+
+def recompress(h: np.ndarray, doc: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> list[Level]:
+    """The words, and the symbols after each of ``rounds`` rounds."""
     sym, lo, hi, d = h, np.arange(len(h)), np.arange(1, len(h) + 1), doc
+    own, end = lo, hi
+    levels = [Level(sym, own, end, lo, hi)]
     for r in range(rounds):
         if not len(sym):
             break
@@ -57,6 +73,7 @@ def recompress(h: np.ndarray, doc: np.ndarray, first: np.ndarray, rounds: int =
         new[1:] = (sym[1:] != sym[:-1]) | (d[1:] != d[:-1])
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, len(sym)))
+        own, end = own[at], end[at + size - 1]
         dd = d[at]
         same = dd[1:] == dd[:-1]
         nlo, nhi = first[dd] - 1, first[dd + 1] + 1
@@ -78,29 +95,39 @@ def recompress(h: np.ndarray, doc: np.ndarray, first: np.ndarray, rounds: int =
         alone = ~paired & ~left[at]
         nlo = np.where(alone, np.where((at > 0) & same[before], lo[before], first[d[at]] - 1), nlo)
         sym = np.where(paired, mix(sym[at] * _PAIR + sym[after]), sym[at])
+        own, end = own[at], np.where(paired, end[after], end[at])
         lo, hi, d = nlo, nhi, d[at]
-    return sym, lo, hi
-
-
-def window_sums(h: np.ndarray, window: int, step: np.uint64) -> np.ndarray:
-    """Polynomial hash of every run of ``window`` values, by doubling."""
-    def power(n: int) -> np.uint64:
-        return np.uint64(pow(int(step), n, 1 << 64))
-
-    part, size, out, done = h, 1, None, 0
-    while True:
-        if window & size:
-            if out is None:
-                out, done = part, size
-            else:           # the part covers the first ``size`` values, what is done so far the rest
-                m = min(len(part), len(out) - size)
-                out = part[:m] * power(done) + out[size:size + m] if m > 0 else out[:0]
-                done += size
-        size *= 2
-        if size > window:
-            return out
-        half = size // 2
-        part = part[:-half] * power(half) + part[half:] if len(part) > half else part[:0]
+        levels.append(Level(sym, own, end, lo, hi))
+    return levels
+
+
+def anchors(levels: list[Level], start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, a, b) of the symbol that stands for each window: the first of the highest level whose context lies inside.
+
+    What lies inside is the window's own business, so equal windows have the same one at the same place.
+    """
+    name, a, b = (np.zeros(len(start), t) for t in (np.uint64, np.int64, np.int64))
+    left = np.arange(len(start))
+    for level in levels[::-1]:                                  # the last level, the words, has one for every window
+        if not len(left):
+            break
+        i = np.searchsorted(level.lo, start[left])              # contexts begin and end in order
+        held = np.minimum(i, max(len(level.lo) - 1, 0))
+        inside = (i < len(level.lo)) & (level.hi[held] <= start[left] + window) if len(level.lo) else np.zeros(len(left), bool)
+        to, held = left[inside], held[inside]
+        name[to], a[to], b[to] = level.name[held], level.a[held], level.b[held]
+        left = left[~inside]
+    return name, a, b
+
+
+def extended(h: np.ndarray, start: np.ndarray, window: int, anchor: tuple[np.ndarray, np.ndarray, np.ndarray], salt: np.uint64) -> np.ndarray:
+    """Hash of each window: its anchor's name, and the words left and right of the anchor."""
+    name, a, b = anchor
+    up, down = _tables(len(h) + 1)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[:len(h)], out=sums[1:])
+    left, right = (sums[a] - sums[start]) * down[start], (sums[start + window] - sums[b]) * down[b]
+    return mix(mix(left * salt + name) * salt + right + (a - start).astype(np.uint64))
 
 
 class Chunk:
@@ -119,7 +146,8 @@ class Chunk:
         self.seq = np.where(null, (np.int64(chunk + 1) << 32) + row, self.seq)
         self.words = w = Words(self.table.column("text").combine_chunks())
         self.hash = w.hashes()
-        name, lo, hi = recompress(self.hash, w.doc, w.first, rounds)
+        self.levels = recompress(self.hash, w.doc, w.first, rounds)
+        name, lo, hi = self.levels[-1].name, self.levels[-1].lo, self.levels[-1].hi
         # symbols that some window holds with their context
         d = w.doc[np.clip(lo, 0, max(len(w) - 1, 0))] if len(w) else lo
         inner = (hi - lo <= window) & (lo >= w.first[d]) & (hi <= w.first[d + 1]) if len(w) else np.zeros(0, bool)
@@ -144,8 +172,9 @@ class Chunk:
         held = np.cumsum(np.bincount(a, minlength=n + 1)[:n + 1] - np.bincount(b, minlength=n + 1)[:n + 1])[:n]
         fits = np.arange(n) + self.window <= w.first[w.doc + 1] if n else np.zeros(0, bool)
         self.start = np.flatnonzero(fits & (held == 0))
-        h1 = mix(window_sums(self.hash, self.window, _POLY[0])[self.start]) if len(self.start) else np.zeros(0, np.uint64)
-        h2 = mix(window_sums(mix(self.hash + np.uint64(7)), self.window, _POLY[1])[self.start]) if len(self.start) else h1
+        anchor = anchors(self.levels, self.start, self.window)
+        h1 = extended(self.hash, self.start, self.window, anchor, _POLY[0])
+        h2 = extended(mix(self.hash + np.uint64(7)), self.start, self.window, (mix(anchor[0] + np.uint64(7)), *anchor[1:]), _POLY[1])
         h2 = h2 >> np.uint64(32)
         order = np.lexsort((h2, h1))                    # stable: equal windows stay in order of their start
         new = np.ones(len(order), bool)

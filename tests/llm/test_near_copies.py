@@ -158,9 +158,34 @@ def test_repeated_windows_parse_alike():
     words = rng.integers(1, 6, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     words[100:140] = words[300:340]
     doc, first = np.zeros(400, np.int64), np.array([0, 400])
-    name, lo, hi = recompress.recompress(words, doc, first)
-    inside = lambda a: {(int(x - a), int(y - a), int(n)) for n, x, y in zip(name, lo, hi, strict=True) if x >= a and y <= a + 40}
-    assert inside(100) == inside(300) and inside(100)
+    for level in recompress.recompress(words, doc, first):
+        inside = lambda at: {(int(x - at), int(y - at), int(n)) for n, x, y in zip(level.name, level.lo, level.hi, strict=True) if x >= at and y <= at + 40}  # noqa: B023, E731
+        assert inside(100) == inside(300) and inside(100)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_equal_windows_have_equal_anchors_and_others_differ(seed):
+    """Windows in documents of few words, with runs and copies: anchors follow the window alone, and symbols tell windows apart."""
+    rng = np.random.default_rng(seed)
+    source = rng.integers(1, 4 + seed, 60).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    docs = [np.concatenate([rng.integers(1, 4 + seed, rng.integers(0, 30)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15),
+                            np.repeat(source[rng.integers(0, 60)], rng.integers(0, 25)), source[rng.integers(0, 30):][: rng.integers(0, 60)]]) for _ in range(40)]
+    words, first = np.concatenate(docs), np.concatenate(([0], np.cumsum([len(d) for d in docs])))
+    doc = np.repeat(np.arange(40), [len(d) for d in docs])
+    levels = recompress.recompress(words, doc, first)
+    assert all((np.diff(x.lo) >= 0).all() and (np.diff(x.hi) >= 0).all() for x in levels)
+    window = 12
+    start = np.flatnonzero(np.arange(len(words)) + window <= first[doc + 1])
+    name, a, b = recompress.anchors(levels, start, window)
+    assert ((a >= start) & (b <= start + window) & (b > a)).all() and ((b - a) > 1).mean() > 0.3
+    h = recompress.extended(words, start, window, (name, a, b), recompress._POLY[0])
+    by = {}
+    for s, n, x, y, v in zip(start, name, a, b, h, strict=True):
+        by.setdefault(words[s:s + window].tobytes(), set()).add((int(n), int(x - s), int(y - s), int(v)))
+    assert all(len(v) == 1 for v in by.values()) and len({x[3] for v in by.values() for x in v}) == len(by)
+    # without the symbols' names, windows that differ inside their anchors fall together
+    bare = recompress.extended(words, start, window, (name * np.uint64(0), a, b), recompress._POLY[0])
+    assert len(set(bare.tolist())) < len(by)
 
 
 def edit_distance(p, t):
