@@ -63,8 +63,8 @@ class Level:
 
 def recompress(h: np.ndarray, doc: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> list[Level]:
     """The words, and the symbols after each of ``rounds`` rounds."""
-    sym, lo, hi, d = h, np.arange(len(h)), np.arange(1, len(h) + 1), doc
-    own, end = lo, hi
+    sym, lo, hi, d, first = h, np.arange(len(h), dtype=np.int32), np.arange(1, len(h) + 1, dtype=np.int32), doc, first.astype(np.int32)
+    own, end = lo, hi                                               # a chunk has far fewer than 2^31 words
     levels = [Level(sym, own, end, lo, hi)]
     for r in range(rounds):
         if not len(sym):
@@ -106,8 +106,9 @@ def anchors(levels: list[Level], start: np.ndarray, window: int) -> tuple[np.nda
 
     What lies inside is the window's own business, so equal windows have the same one at the same place.
     """
-    name, a, b = (np.zeros(len(start), t) for t in (np.uint64, np.int64, np.int64))
-    left = np.arange(len(start))
+    name, a, b = (np.zeros(len(start), t) for t in (np.uint64, np.int32, np.int32))
+    start = start.astype(np.int32)
+    left = np.arange(len(start), dtype=np.int32)
     for level in levels[::-1]:                                  # the last level, the words, has one for every window
         if not len(left):
             break
@@ -127,6 +128,7 @@ def extended(h: np.ndarray, start: np.ndarray, window: int, anchor: tuple[np.nda
     sums = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * up[:len(h)], out=sums[1:])
     left, right = (sums[a] - sums[start]) * down[start], (sums[start + window] - sums[b]) * down[b]
+    del sums
     return mix(mix(left * salt + name) * salt + right + (a - start).astype(np.uint64))
 
 
@@ -173,6 +175,7 @@ class Chunk:
         fits = np.arange(n) + self.window <= w.first[w.doc + 1] if n else np.zeros(0, bool)
         self.start = np.flatnonzero(fits & (held == 0))
         anchor = anchors(self.levels, self.start, self.window)
+        self.levels = None
         h1 = extended(self.hash, self.start, self.window, anchor, _POLY[0])
         h2 = extended(mix(self.hash + np.uint64(7)), self.start, self.window, (mix(anchor[0] + np.uint64(7)), *anchor[1:]), _POLY[1])
         h2 = h2 >> np.uint64(32)
@@ -298,6 +301,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def send_names(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         number, c = parse(table)
+        c.levels = None
         return _answer([(number, 0, s, x) for s, x in c.names()])
 
     def answers(table: pa.Table, kind: int) -> dict[int, bytes]:
