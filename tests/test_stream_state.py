@@ -87,3 +87,17 @@ def test_idle_keys_are_forgotten(spark):
         got[idle] = {e: o for e, o in outcomes(spark.read.parquet(sink))}
     assert got[None] == {1: "accepted", 2: "duplicate", 3: "duplicate", 4: "accepted", 5: "accepted"}
     assert got[5 * DAY] == {1: "accepted", 2: "duplicate", 3: "accepted", 4: "accepted", 5: "accepted"}
+
+
+def test_store_grows_with_slots_and_not_with_keys(spark, events):
+    """900 keys in 4 slots: the outcomes are those of the batch operator and the store is written per slot, not per key."""
+    many = events.withColumn("user_id", F.when(F.col("event_id") % 50 != 0, F.col("event_id") % 900).cast("bigint"))     # NULL is a key
+    want = outcomes(O.recent_dedup(many, "user_id", ["ts", "event_id"], "k", error="err", keep=["event_id"]))
+    folder, sink = scratch_path(spark, "slots"), scratch_path(spark, "slots-out")
+    land(spark, many, folder, 2, seed=4)
+    close(spark, folder)
+    q = (dedup(stream(spark, folder), bucket_ms=3650 * DAY, slots=4).writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", scratch_path(spark, "slots-ckpt")).trigger(availableNow=True).start(sink))
+    q.awaitTermination()
+    assert outcomes(spark.read.parquet(sink)) == want
+    assert sum(s.numRowsUpdated for p in q.recentProgress for s in p.stateOperators) < 200
