@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,20 +91,40 @@ def with_model_predictions(df: DataFrame, predictors: dict, input_col, keep=None
 ANSWERS = "model string, key string, pred double, tries int, error string"
 
 
+def _numbers(got, inputs: pd.Series) -> list:
+    """The answers to ``inputs`` as floats, None where there is no number."""
+    if not isinstance(got, (pd.Series, np.ndarray, list)):
+        got = pd.Series(got, index=inputs.index)                # one answer for all, or answers by label
+    elif isinstance(got, pd.Series) and got.index is not inputs.index and not got.index.equals(inputs.index):
+        got = got.reindex(inputs.index)
+    values = got if isinstance(got, list) else got.tolist()
+    if len(values) != len(inputs):
+        raise ValueError(f"{len(values)} answers to {len(inputs)} inputs")
+    if not all(type(v) is float or type(v) is int for v in values):
+        values = pd.to_numeric(pd.Series(values), errors="coerce").astype("float64").tolist()
+    return [None if v != v else float(v) for v in values]
+
+
 def _asked(predict_fn, inputs: pd.Series, max_tries: int) -> list[tuple]:
     """(pred, tries, error) per input.  A batch that fails is asked again, ``max_tries`` times in all; one
     that fails to the end is asked in halves, down to the rows that fail by themselves."""
-    error = ""
-    for tries in range(1, max_tries + 1):
-        try:
-            got = pd.to_numeric(pd.Series(predict_fn(inputs), index=inputs.index), errors="coerce").astype("float64")
-            return [(None if p != p else p, tries, None) for p in got.tolist()]
-        except Exception as e:  # noqa: BLE001   whatever the user's callable raises is a row of the report
-            error = f"{type(e).__name__}: {e}"
-    if len(inputs) == 1:
-        return [(None, max_tries, error)]
-    half = len(inputs) // 2
-    return _asked(predict_fn, inputs.iloc[:half], max_tries) + _asked(predict_fn, inputs.iloc[half:], max_tries)
+    error, out, left = "", [], [(0, len(inputs))]
+    while left:
+        a, z = left.pop()
+        part = inputs.iloc[a:z]
+        for tries in range(1, max_tries + 1):
+            try:
+                out += [(p, tries, None) for p in _numbers(predict_fn(part), part)]
+                break
+            except Exception as e:  # noqa: BLE001   whatever the user's callable raises is a row of the report
+                error = f"{type(e).__name__}: {e}"
+        else:
+            if z - a == 1:
+                out.append((None, max_tries, error))
+            else:
+                half = (a + z) // 2
+                left += [(half, z), (a, half)]
+    return out
 
 
 def resume_predictions(df: DataFrame, predict_fn: Callable[[pd.Series], pd.Series], input_col: str, model: str, path: str, key,
@@ -119,7 +140,9 @@ def resume_predictions(df: DataFrame, predict_fn: Callable[[pd.Series], pd.Serie
     keyed = df.withColumn("_key", identity_text(df, key))
     answered = read_batches(spark, path, ANSWERS).where((F.col("model") == model) & F.col("error").isNull()).select(F.col("key").alias("_key")).distinct()
     todo = keyed.groupBy("_key").agg(F.min(input_col).alias("_input")).join(answered, "_key", "left_anti")
-    todo = cut_lineage(todo.withColumn("_step", F.pmod(F.xxhash64("_key"), F.lit(steps))))
+    # asking costs by the row and not by the byte: as many tasks as the session shuffles to, however small the rows
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    todo = cut_lineage(todo.withColumn("_step", F.pmod(F.xxhash64("_key"), F.lit(steps))).repartition(tasks, "_key"))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

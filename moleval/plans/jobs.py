@@ -9,6 +9,8 @@ for part of the rows.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -424,9 +426,10 @@ def q_property_bad_records(spark, sf_dir):
 
 def _fussy(s: pd.Series) -> pd.Series:
     """Answers with the length, and refuses a batch with a text that ends in 7."""
-    if s.str.endswith("7").any():
+    texts = s.tolist()
+    if any(t is not None and t.endswith("7") for t in texts):
         raise ValueError("refused")
-    return s.str.len()
+    return pd.Series([math.nan if t is None else float(len(t)) for t in texts], index=s.index)
 
 
 @query("""

@@ -136,6 +136,43 @@ def test_rows_that_fail_are_reported_and_the_others_answered(spark):
     assert P.resume_predictions(df, lambda s: s.str.len(), "t", "other", path, "id")[0].count() == 60
 
 
+def test_asking_is_spread_over_tasks(spark, tmp_path):
+    """Small rows can be dear to ask: they are not put into one task for their few bytes."""
+    log = str(tmp_path)
+
+    def predict(s):
+        from pyspark import TaskContext
+        open(f"{log}/{TaskContext.get().partitionId()}", "w").close()
+        return s.str.len()
+
+    df = spark.range(400).select("id", F.col("id").cast("string").alias("t"))
+    ok, failed = P.resume_predictions(df, predict, "t", "m", scratch_path(spark, "answers"), "id", steps=1)
+    assert ok.count() == 400 and failed.count() == 0
+    assert len(os.listdir(log)) >= 4
+
+
+def test_answers_of_any_shape():
+    """Lists, arrays, one answer for all, texts of numbers and missing ones; halves are asked with their own labels."""
+    s = pd.Series(["a", "bb", "ccc", "bad", None])
+
+    def refuse(give):
+        def f(part):
+            if (part == "bad").any():
+                raise ValueError("no")
+            return give(part)
+        return P._asked(f, s, 1)
+
+    bad = (None, 1, "ValueError: no")
+    n = [1.0, 2.0, 3.0, None, None]
+    want = [bad if i == 3 else (n[i], 1, None) for i in range(5)]
+    assert refuse(lambda p: p.str.len()) == want
+    assert refuse(lambda p: [None if t is None else len(t) for t in p]) == want
+    assert refuse(lambda p: p.str.len().to_numpy()) == want
+    assert refuse(lambda p: p.str.len().map(str)) == want
+    assert refuse(lambda p: 7) == [bad if i == 3 else (7.0, 1, None) for i in range(5)]
+    assert all(r[0] is None and r[2] for r in P._asked(lambda p: [1.0] * 9, s, 1))
+
+
 def test_lines_that_do_not_fit_are_reported(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,x,t\n1,2.5,ab\n2,zz,cd\n3\n\n4,1,"e,f"\n5,1,a,b\n6,,\n')
     (tmp_path / "b.csv").write_text("id,x,t\nseven,1,x\n8,NaN,y\n")
