@@ -1,17 +1,21 @@
 """Interpolated modified Kneser-Ney language model: counted in Spark, stored as
-sorted hash arrays, memory-mapped by the workers that score.
-
-Words are lower-cased (A-Z) and a text ends with an end token; words and n-grams
-are 64-bit hashes.  Counting runs from the highest order down: n-grams are
-combined inside tasks, packed as sorted numbers over the words of their row,
-shuffled by their context's hash range, merged, and written as one shard per
-range - n-gram hashes in order with their counts, context hashes in order with
-the totals that discounts need.  Counts are stored in a byte each, those that
-do not fit in a list beside it.  Each distinct
-n-gram then passes one count to its suffix, which makes the continuation counts
-of the order below.  N-grams that begin a text keep their plain counts in lower
-orders.  Shards lie in the shared checkpoint folder; equal input gives equal
-files, so a repeated task replaces a shard with itself.
+sorted arrays of word numbers, memory-mapped by the workers that score.
+
+Words are lower-cased (A-Z) and a text ends with an end token; words are 64-bit
+hashes.  A first pass counts them and gives each a number, frequent words small
+ones.  N-grams are numbers from then on.  Counting runs from the highest order
+down: n-grams are combined inside tasks, packed as sorted numbers, shuffled by
+their context's key range, merged, and written as one shard per range: n-grams in
+order of (context key, last word), of the key only the bytes that a directory
+does not give, of the word the bytes that the vocabulary needs.  A context's key
+is its numbers scattered one to one over their bits (a 64-bit hash where they
+need more than 64).  Counts are stored in a byte each, those that do not fit in
+a list beside it; the totals that discounts need are added up from the counts of
+a context, those of contexts with many n-grams are stored.  Each distinct n-gram
+then passes one count to its suffix, which makes the continuation counts of the
+order below.  N-grams that begin a text keep their plain counts in lower orders.
+Shards lie in the shared checkpoint folder; equal input gives equal files, so a
+repeated task replaces a shard with itself.
 
 A ``file:`` folder is mapped in place; from another store a worker reads the
 shards it needs.  The model grows with the corpus and nothing of it passes the
@@ -43,6 +47,7 @@ from moleval.session import checkpoint_dir
 ORDER = 3
 SHARD_CHARS = 12_000_000        # characters of learning text aimed at for one shard
 FLUSH_TOKENS = 2_000_000        # tokens combined in a task before they are sent on
+WIDE = 64                       # n-grams of a context beyond which its totals are stored
 
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0xE6546B64A5A5A5A5)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -61,78 +66,121 @@ def token_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, np.arange(len(out)) - np.repeat(first, n + 1), n
 
 
-def context_hash(columns: list[np.ndarray], n: int) -> np.ndarray:
-    h = np.full(n, len(columns) + 1, np.uint64)
+def _joined(columns: list[np.ndarray], bits: int) -> np.ndarray:
+    """Numbers of ``bits`` bits side by side in one."""
+    out = columns[0]
+    for c in columns[1:]:
+        out = out << np.uint64(bits) | c
+    return out
+
+
+def _scatter(x: np.ndarray, width: int) -> np.ndarray:
+    """One-to-one map of numbers of ``width`` bits that spreads them over the range."""
+    mask, half = np.uint64((1 << width) - 1), np.uint64(max(1, width // 2))
+    for odd in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15):
+        x = (x ^ (x >> half)) * np.uint64(odd) & mask
+    return x ^ (x >> half)
+
+
+def key_width(n: int, bits: int) -> int:
+    """Bits of the key of a context of ``n`` words."""
+    return min(n * bits, 64)
+
+
+def context_key(columns: list[np.ndarray], bits: int) -> np.ndarray:
+    """Key of a context of word numbers: its own up to 64 bits, a hash beyond."""
+    if len(columns) * bits <= 64:
+        return _scatter(_joined(columns, bits), len(columns) * bits)
+    h = np.full(len(columns[0]), len(columns) + 1, np.uint64)
     for c in columns:
         h = mix(h * _STEP + c)
     return h
 
 
-def gram_hash(context: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return mix(context * _STEP + last + np.uint64(1))
+def shard_of(key: np.ndarray, width: int, shards: int) -> np.ndarray:
+    """Number of the range of a key of ``width`` bits; ranges follow the order of the keys."""
+    top = min(width, 32)
+    return ((key >> np.uint64(width - top)) * np.uint64(shards) >> np.uint64(top)).astype(np.int64)
 
 
-def shard_of(context: np.ndarray, shards: int) -> np.ndarray:
-    """Hash range number; ranges follow the order of the hashes."""
-    return ((context >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+def _planes(values: np.ndarray) -> bytes:
+    """Eight-byte values, first bytes together, then the second and so on."""
+    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(body: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8, 8 * n, at).reshape(8, n).T).view("<i8").reshape(-1)
 
 
 def _pack(columns: list[np.ndarray], counts: np.ndarray) -> list[bytes]:
-    """Distinct n-grams as words by falling frequency, the gaps between the sorted
-    n-grams read as numbers over these words, and counts; in one piece if the numbers fit 63 bits."""
+    """Distinct n-grams as their words in order, the gaps between the sorted n-grams
+    read as numbers over these words, and counts; in one piece if the numbers fit 63 bits."""
     k, n = len(columns), len(counts)
-    words, code, times = np.unique(np.concatenate(columns), return_inverse=True, return_counts=True)
+    words = np.unique(np.concatenate(columns))
     m = len(words)
     if m**k >= 1 << 63:
         return [d for part in (slice(None, n // 2), slice(n // 2, None)) for d in _pack([c[part] for c in columns], counts[part])]
-    rank = np.argsort(-times, kind="stable")
-    place = np.empty(m, np.int64)
-    place[rank] = np.arange(m)
     number = np.zeros(n, np.int64)
-    for c in place[code].reshape(k, n):
-        number = number * m + c
-    order = np.argsort(number)
-    planes = np.stack([np.diff(number[order], prepend=0), counts[order]]).astype("<i8").view(np.uint8).reshape(2, n, 8).transpose(0, 2, 1)
-    body = words[rank].astype("<u8").tobytes() + planes.tobytes()
+    for c in columns:
+        number = number * m + np.searchsorted(words, c)
+    if (number[1:] < number[:-1]).any():
+        order = np.argsort(number)
+        number, counts = number[order], counts[order]
+    body = _planes(np.diff(words, prepend=np.uint64(0))) + _planes(np.diff(number, prepend=0)) + _planes(counts)
     return [np.array([k, n, m], "<i8").tobytes() + pa.Codec("zstd").compress(body, asbytes=True)]
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
     k, n, m = (int(v) for v in np.frombuffer(data, "<i8", 3))
     body = pa.Codec("zstd").decompress(data[24:], 8 * m + 16 * n, asbytes=True)
-    words = np.frombuffer(body, "<u8", m)
-    gaps, counts = np.ascontiguousarray(np.frombuffer(body, np.uint8, 16 * n, 8 * m).reshape(2, 8, n).transpose(0, 2, 1)).view("<i8")[..., 0]
-    number, columns = np.cumsum(gaps), []
+    words = np.cumsum(_from_planes(body, m, 0)).view(np.uint64)
+    number, counts, columns = np.cumsum(_from_planes(body, n, 8 * m)), _from_planes(body, n, 8 * (m + n)), []
     for _ in range(k):
         number, c = np.divmod(number, m)
         columns.append(words[c])
     return [*columns[::-1], counts]
 
 
-def _merged(kind: int, columns: list[np.ndarray], counts: np.ndarray):
-    """Distinct n-grams in order of (context hash, n-gram hash) with their summed
-    counts: columns, counts, context hashes, n-gram hashes.  Kind 0 and 1 are
-    single words, in order of their hash."""
-    n = len(counts)
-    if kind < 2:
-        c = g = columns[0]
-        order = np.argsort(g, kind="stable")
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Columns and counts of all packed n-grams, one piece after the other."""
+    parts = [_unpack(d) for b in batches for d in b.column(b.schema.get_field_index("data")).to_pylist()]
+    *columns, counts = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return columns, counts
+
+
+def _distinct(keys: list[np.ndarray], widths: list[int], counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of distinct rows of the keys (of so many bits) in their order, and the rows' summed counts (1 each if None)."""
+    n = len(keys[0])
+    if len({*widths}) == 1 and widths[0] * len(keys) <= 64:
+        order = np.argsort(_joined(keys, widths[0]))
+    elif len(keys) == 2 and sum(widths) <= 64:
+        order = np.argsort(keys[0] << np.uint64(widths[1]) | keys[1])
     else:
-        c = context_hash(columns[:-1], n)
-        g = gram_hash(c, columns[-1])
-        order = np.lexsort((g, c))
-    c, g = c[order], g[order]
-    at = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])))) if n else np.zeros(0, np.int64)
-    total = np.add.reduceat(counts[order], at) if n else counts
-    return [x[order][at] for x in columns], total, c[at], g[at]
+        order = np.lexsort(keys[::-1])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for key in keys:
+        key = key[order]
+        new[1:] |= key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    total = np.diff(at, append=n) if counts is None else np.add.reduceat(counts[order], at) if n else counts
+    return order[at], total
+
 
+def _rows(kind: int, columns: list[np.ndarray], counts: np.ndarray | None, bits: int, shards: int) -> list[tuple]:
+    """Distinct n-grams with their summed counts, packed by shard: that of a word is in its number, others go by their context."""
+    at, counts = _distinct(columns, [bits] * kind, counts)
+    columns = [c[at] for c in columns]
+    s = ((columns[0] - np.uint64(1)) % np.uint64(shards)).astype(np.int64) if kind == 1 else shard_of(context_key(columns[:-1], bits), key_width(kind - 1, bits), shards)
+    return [(kind, shard, d) for shard, pick in _by_shard(s) for d in _pack([c[pick] for c in columns], counts[pick])]
 
-def _rows(kind: int, columns, counts, context, shards: int) -> list[tuple]:
-    if not len(counts):
-        return []
-    s = shard_of(context, shards)
-    at = np.concatenate((run_starts(s), [len(s)]))
-    return [(kind, int(s[a]), d) for a, b in zip(at, at[1:]) for d in _pack([c[a:b] for c in columns], counts[a:b])]
+
+def _by_shard(s: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Shard numbers, each with the places that have it, in their order."""
+    order = np.argsort(s.astype(np.uint16) if len(s) and s.max() < 1 << 16 else s, kind="stable")
+    at = np.concatenate((run_starts(s[order]), [len(s)])).astype(np.int64)
+    for a, b in zip(at, at[1:]):
+        yield int(s[order[a]]), order[a:b]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -195,65 +243,171 @@ def _counts(uri: str, name: str, width: int, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bytes(values: np.ndarray, n: int) -> np.ndarray:
+    """The last ``n`` bytes of 64-bit numbers, highest first."""
+    return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - n:]
+
+
+def _first_from(rows: np.ndarray, columns: slice, low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """First place between ``low`` and ``high`` (else ``high``) whose bytes, rising there, are not below ``least``."""
+    low, high = low.copy(), high.copy()
+    open_ = np.flatnonzero(low < high)
+    while len(open_):
+        middle = (low[open_] + high[open_]) >> 1
+        value = np.zeros(len(open_), np.uint64)
+        for c in range(*columns.indices(rows.shape[1])):
+            value = value << np.uint64(8) | rows[middle, c]
+        below = value < least[open_]
+        low[open_[below]] = middle[below] + 1
+        high[open_[~below]] = middle[~below]
+        open_ = open_[low[open_] < high[open_]]
+    return low
+
+
+def _write_shard(store: Store, name: str, key: np.ndarray, word: np.ndarray, counts: np.ndarray, bits: int) -> None:
+    """N-grams in order of (context key, last word).  ``.directory``: how many
+    bytes of the key rows have, the first of the numbers that its other bytes
+    make, and where the rows of each number begin; ``.key``: these bytes and the word's."""
+    for low in range(8):
+        head = key >> np.uint64(8 * low)
+        if int(head[-1]) - int(head[0]) < len(key) // 8 + 1:
+            break
+    starts = np.searchsorted(head, head[0] + np.arange(int(head[-1]) - int(head[0]) + 2, dtype=np.uint64))
+    store.write(f"{name}.directory", np.concatenate(([low, head[0]], starts), dtype="<u8", casting="unsafe"))
+    at = run_starts(key)
+    size = np.diff(at, append=len(key))
+    wide = size > WIDE
+    totals = [np.add.reduceat(v, at)[wide] for v in (counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64))]
+    store.write(f"{name}.wide", np.stack([at[wide], *totals], 1).astype("<u8"))
+    store.write_counts(name, counts)
+    store.write(f"{name}.key", np.concatenate((_bytes(key, low), _bytes(word, -(-bits // 8))), 1))
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """Numbers of the learning tokens: 1 + shard + shards * rank by falling count in the shard.  0 is the begin mark."""
+    uri: str
+    shards: int
+    tokens: int                 # learning tokens (N)
+    types: int                  # distinct learning tokens (V)
+    limit: int                  # above all numbers; stands for unknown words
+    stored: frozenset           # shards written
+
+    @property
+    def bits(self) -> int:
+        return self.limit.bit_length()
+
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of word hashes."""
+        number, count = np.full(len(hashes), self.limit, np.uint64), np.zeros(len(hashes), np.uint64)
+        for s, pick in _by_shard(shard_of(hashes, 64, self.shards)):
+            # a shard that was written and cannot be read is an error, never a count of 0
+            if s in self.stored:
+                names = _shard(self.uri, f"raw0-{s}.key", "<u8", 1)
+                i = np.minimum(np.searchsorted(names, hashes[pick]), len(names) - 1)
+                hit = names[i] == hashes[pick]
+                rank = _shard(self.uri, f"raw0-{s}.rank", "<u4", 1)[i[hit]]
+                number[pick[hit]] = rank.astype(np.uint64) * np.uint64(self.shards) + np.uint64(1 + s)
+                count[pick[hit]] = _counts(self.uri, f"raw0-{s}", 1, i[hit])
+        return number, count
+
+
 @dataclass(frozen=True)
 class Model:
     """Where the shards are, and the sums that all of them share."""
-    uri: str
+    vocabulary: Vocabulary
     order: int
-    shards: int
     discounts: tuple            # per order from 1: D1, D2, D3+
     unigram: tuple              # continuation total, N1, N2, N3+, distinct words
-    tokens: int                 # learning tokens (N)
-    types: int                  # distinct learning tokens (V)
     stored: frozenset           # (order, shard) of the shards written; 0 is the tokens' own counts
 
-    def _look_up(self, kind: str, k: int, where: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
-        """Stored values of ``keys`` (0 where absent); ``where`` gives the hash whose range names the shard."""
-        out = np.zeros((len(keys), width) if width > 1 else len(keys), np.uint64)
-        s = shard_of(where, self.shards)
-        order = np.lexsort((keys, s))
-        at = np.concatenate((run_starts(s[order]), [len(s)]))
-        for a, b in zip(at, at[1:]):
-            if a == b:
-                continue
-            pick = order[a:b]
-            number = int(s[pick[0]])
-            # a shard that was written and cannot be read is an error, never a count of 0
-            names = _shard(self.uri, f"{kind}{k}-{number}.key", "<u8", 1) if (k, number) in self.stored else np.zeros(0, np.uint64)
-            if len(names):
-                q = keys[pick]
-                i = np.minimum(np.searchsorted(names, q), len(names) - 1)
-                hit = names[i] == q
-                out[pick[hit]] = _counts(self.uri, f"{kind}{k}-{number}", width, i[hit])
+    @property
+    def uri(self) -> str:
+        return self.vocabulary.uri
+
+    @property
+    def tokens(self) -> int:
+        return self.vocabulary.tokens
+
+    def _continuations(self, number: np.ndarray) -> np.ndarray:
+        """Counts of order 1 of word numbers."""
+        out = np.zeros(len(number), np.uint64)
+        known = np.flatnonzero(number < self.vocabulary.limit)
+        rank, shard = np.divmod(number[known] - np.uint64(1), np.uint64(self.vocabulary.shards))
+        for s, pick in _by_shard(shard.astype(np.int64)):
+            if (1, s) in self.stored:
+                out[known[pick]] = _counts(self.uri, f"gram1-{s}", 1, rank[pick].astype(np.int64))
         return out
 
+    def _look_up(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of n-grams, and their contexts' total and numbers of n-grams counted 1, 2, 3 and more times (0 where absent)."""
+        k, bits = len(columns), self.vocabulary.bits
+        key, place = np.unique(context_key(columns[:-1], bits), return_inverse=True)
+        stats, count = np.zeros((len(key), 4), np.int64), np.zeros(len(place), np.uint64)
+        asked = np.argsort(place, kind="stable")
+        first = np.searchsorted(place[asked], np.arange(len(key) + 1))
+        for s, pick in _by_shard(shard_of(key, key_width(k - 1, bits), self.vocabulary.shards)):
+            if (k, s) not in self.stored:
+                continue
+            name = f"gram{k}-{s}"
+            directory = _shard(self.uri, f"{name}.directory", "<u8", 1)
+            low, starts = int(directory[0]), directory[2:]
+            rows = _shard(self.uri, f"{name}.key", "u1", low - (-bits // 8))
+            head = key[pick] >> np.uint64(8 * low)
+            inside = (head >= directory[1]) & (head - directory[1] < np.uint64(len(starts) - 1))
+            head = np.where(inside, head - directory[1], 0).astype(np.int64)
+            a, b = starts[head].astype(np.int64), np.where(inside, starts[head + 1], starts[head]).astype(np.int64)
+            tail = key[pick] & np.uint64((1 << 8 * low) - 1)
+            if low:
+                a = _first_from(rows, slice(0, low), a, b, tail)
+                b = _first_from(rows, slice(0, low), a, b, tail + np.uint64(1))
+            size = b - a
+            few = np.flatnonzero((size > 0) & (size <= WIDE))
+            begin = np.cumsum(size[few]) - size[few]
+            if len(few):
+                v = _counts(self.uri, name, 1, np.arange(size[few].sum()) + np.repeat(a[few] - begin, size[few])).astype(np.int64)
+                stats[pick[few], :3] = np.stack([np.add.reduceat(x, begin, dtype=np.int64) for x in (v, v == 1, v == 2)], 1)
+            many = np.flatnonzero(size > WIDE)
+            if len(many):
+                wide = _shard(self.uri, f"{name}.wide", "<u8", 4)
+                stats[pick[many], :3] = wide[np.searchsorted(wide[:, 0], a[many].astype(np.uint64)), 1:]
+            stats[pick, 3] = size - stats[pick, 1] - stats[pick, 2]
+            # the n-grams asked for under the contexts of this shard, which follow each other in the order of the keys
+            mine = asked[first[pick[0]]:first[pick[-1] + 1]]
+            a, b = a[place[mine] - pick[0]], b[place[mine] - pick[0]]
+            word = columns[-1][mine]
+            at = _first_from(rows, slice(low, None), a, b, word)
+            open_ = np.flatnonzero(at < b)
+            found = rows[at[open_], low:]
+            hit = open_[(found == _bytes(word[open_], found.shape[1])).all(1)]
+            count[mine[hit]] = _counts(self.uri, name, 1, at[hit])
+        return count, stats[place]
+
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """Per text: n_tokens, n_known, base_score and score (log10 probabilities)."""
         x, position, n = token_rows(texts)
         real = np.flatnonzero(position > 0)
-        words, place = x[real], position[real]
-        distinct, inverse = np.unique(words, return_inverse=True)
-        raw = self._look_up("raw", 0, distinct, distinct, 1).astype(np.float64)[inverse]
-        base = np.log10((raw + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
+        distinct, inverse = np.unique(x, return_inverse=True)
+        number, raw = self.vocabulary.look_up(distinct)
+        place, raw = position[real], raw.astype(np.float64)[inverse[real]]
+        base = np.log10((raw + 0.5) / (self.tokens + 0.5 * (self.vocabulary.types + 1)))
         total, n1, n2, n3, types = self.unigram
-        a = self._look_up("gram", 1, distinct, distinct, 1).astype(np.float64)[inverse]
+        a = self._continuations(number).astype(np.float64)[inverse[real]]
+        x = np.where(position > 0, number[inverse], np.uint64(0))
         uniform = 1.0 / (types + 1)
         if total:
             d = (0.0, *self.discounts[0])
             left = (d[1] * n1 + d[2] * n2 + d[3] * n3) / total
             p = np.maximum(a - np.take(d, np.minimum(a, 3).astype(int)), 0) / total + left * uniform
         else:
-            p = np.full(len(words), uniform)
+            p = np.full(len(real), uniform)
         for k in range(2, self.order + 1):
             at = np.flatnonzero(place >= k - 1)
             if not len(at):
                 break
-            columns = [x[real[at] - j] for j in range(k - 1, 0, -1)]
-            c = context_hash(columns, len(at))
-            stats = self._look_up("context", k, c, c, 4).astype(np.float64)
+            a, stats = self._look_up([x[real[at] - j] for j in range(k - 1, -1, -1)])
             seen = stats[:, 0] > 0
-            at, c, stats = at[seen], c[seen], stats[seen]
-            a = self._look_up("gram", k, c, gram_hash(c, words[at]), 1).astype(np.float64)
+            at, a, stats = at[seen], a[seen].astype(np.float64), stats[seen].astype(np.float64)
             d = np.array((0.0, *self.discounts[k - 1]))
             left = stats[:, 1:] @ d[1:]
             p[at] = (np.maximum(a - d[np.minimum(a, 3).astype(int)], 0) + left * p[at]) / stats[:, 0]
@@ -262,8 +416,9 @@ class Model:
         return {"n_tokens": n.astype(np.int64), "n_known": add((raw > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(p))}
 
 
-def _count_local(order: int, shards: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _in_task(rows):
+    """The task that makes ``rows`` of the hashes and positions of every ``FLUSH_TOKENS`` tokens."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for b in blocks(batches, "text"):
@@ -271,87 +426,119 @@ def _count_local(order: int, shards: int):
             held.append((x, position))
             size += len(x)
             if size >= FLUSH_TOKENS:
-                yield _batch(_count_rows(held, order, shards))
+                yield _batch(rows(*(np.concatenate(h) for h in zip(*held, strict=True))))
                 held, size = [], 0
         if held:
-            yield _batch(_count_rows(held, order, shards))
+            yield _batch(rows(*(np.concatenate(h) for h in zip(*held, strict=True))))
+
+    return run
+
+
+def _word_rows(shards: int):
+    def rows(x: np.ndarray, position: np.ndarray) -> list[tuple]:
+        words, counts = np.unique(x[position > 0], return_counts=True)
+        return [(0, s, d) for s, pick in _by_shard(shard_of(words, 64, shards)) for d in _pack([words[pick]], counts[pick])]
+
+    return rows
 
-    return count
 
+def _number_words(shards: int, uri: str):
+    """Write a shard of the vocabulary; its sums are a kind -1 row."""
+    def number(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = key[1].as_py()
+        (words,), counts = _unpacked(batches)
+        at, counts = _distinct([words], [64], counts)
+        rank = np.empty(len(at), "<u4")
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(at))
+        store = Store(uri)
+        store.write(f"raw0-{shard}.rank", rank)
+        store.write_counts(f"raw0-{shard}", counts)
+        store.write(f"raw0-{shard}.key", words[at].astype("<u8"))
+        yield _batch([(-1, shard, np.array([counts.sum(), len(at), 1 + shard + shards * (len(at) - 1)], np.int64).tobytes())])
+
+    return number
 
-def _count_rows(held, order: int, shards: int) -> list[tuple]:
-    x, position = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-    rows = []
 
-    def add(kind: int, columns: list[np.ndarray]) -> None:
-        cols, counts, c, _ = _merged(kind, columns, np.ones(len(columns[-1]), np.int64))
-        rows.extend(_rows(kind, cols, counts, c, shards))
+def _count_rows(vocabulary: Vocabulary, order: int):
+    def rows(x: np.ndarray, position: np.ndarray) -> list[tuple]:
+        distinct, inverse = np.unique(x, return_inverse=True)
+        x = np.where(position > 0, vocabulary.look_up(distinct)[0][inverse], np.uint64(0))
+        out = []
+
+        def add(kind: int, at: np.ndarray) -> None:
+            if len(at):
+                out.extend(_rows(kind, [x[at - j] for j in range(kind - 1, -1, -1)], None, vocabulary.bits, vocabulary.shards))
+
+        add(order, np.flatnonzero(position >= max(order - 1, 1)))
+        for k in range(2, order):   # n-grams that begin a text, below the highest order
+            add(k, np.flatnonzero(position == k - 1))
+        return out
 
-    add(0, [x[position > 0]])
-    at = np.flatnonzero(position >= order - 1) if order > 1 else np.flatnonzero(position > 0)
-    add(order, [x[at - j] for j in range(order - 1, -1, -1)])
-    for k in range(2, order):   # n-grams that begin a text, below the highest order
-        at = np.flatnonzero(position == k - 1)
-        add(k, [x[at - j] for j in range(k - 1, -1, -1)])
     return rows
 
 
-def _reduce(order: int, now: int, shards: int, uri: str):
-    """Merge a shard: kind ``now`` (and 0 in the first round) is written and
-    summed up as a kind -1 row; its suffixes and lower kinds are sent on."""
+def _reduce(now: int, vocabulary: Vocabulary):
+    """Merge a shard: kind ``now`` is written and summed up as a kind -1 row;
+    its suffixes and lower kinds are sent on."""
+    bits, shards = vocabulary.bits, vocabulary.shards
+
     def reduce(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, shard = key[0].as_py(), key[1].as_py()
-        data = [d for b in batches for d in b.column(b.schema.get_field_index("data")).to_pylist()]
         if kind < 0:
-            yield _batch([(kind, shard, d) for d in data])
+            yield _batch([(kind, shard, d) for b in batches for d in b.column(b.schema.get_field_index("data")).to_pylist()])
             return
-        parts = [_unpack(d) for d in data]
-        columns, counts, c, g = _merged(kind, [np.concatenate(p) for p in list(zip(*parts, strict=True))[:-1]],
-                                        np.concatenate([p[-1] for p in parts]))
-        del parts, data
-        if 0 < kind < now:
-            yield _batch(_rows(kind, columns, counts, c, shards))
+        columns, counts = _unpacked(batches)
+        if kind < now:
+            yield _batch(_rows(kind, columns, counts, bits, shards))
             return
-        store = Store(uri)
+        context = context_key(columns[:-1], bits) if kind > 1 else None
+        at, counts = _distinct([context, columns[-1]] if kind > 1 else columns, [key_width(kind - 1, bits), bits] if kind > 1 else [bits], counts)
+        columns = [c[at] for c in columns]
+        store, name = Store(vocabulary.uri), f"gram{kind}-{shard}"
         few = [int((counts == i).sum()) for i in (1, 2, 3, 4)] + [int((counts >= 3).sum()), int(counts.sum()), len(counts)]
         out = [(-1, shard, np.array([kind, *few], np.int64).tobytes())]
-        by = np.argsort(g) if kind > 1 else slice(None)
-        name = f"{'raw' if kind == 0 else 'gram'}{kind}-{shard}"
-        store.write_counts(name, counts[by])
         if kind > 1:
-            at = run_starts(c)
-            stats = np.stack([np.add.reduceat(v.astype(np.int64), at) for v in (counts, counts == 1, counts == 2, counts >= 3)], 1)
-            store.write_counts(f"context{kind}-{shard}", stats)
-            store.write(f"context{kind}-{shard}.key", c[at].astype("<u8"))
-            cols, n, c, _ = _merged(kind - 1, columns[1:], np.ones(len(counts), np.int64))
-            out += _rows(kind - 1, cols, n, c, shards)
-        store.write(f"{name}.key", g[by].astype("<u8"))
+            _write_shard(store, name, context[at], columns[-1], counts, bits)
+            out += _rows(kind - 1, columns[1:], None, bits, shards)
+        else:               # by rank
+            rank = ((columns[0] - np.uint64(1)) // np.uint64(shards)).astype(np.int64)
+            by_rank = np.zeros(rank[-1] + 1, np.int64)
+            by_rank[rank] = counts
+            store.write_counts(name, by_rank)
         yield _batch(out)
 
     return reduce
 
 
+def number_words(d: DataFrame, shard_chars: int, uri: str) -> Vocabulary:
+    """Count the tokens of column ``text`` and store their numbers."""
+    chars = d.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = max(1, -(-chars // shard_chars))
+    rows = d.mapInArrow(_in_task(_word_rows(shards)), _SHARDS).groupBy("kind", "shard").applyInArrow(_number_words(shards, uri), _SHARDS)
+    sums = {r.shard: [int(v) for v in np.frombuffer(r.data, np.int64)] for r in rows.collect()}
+    return Vocabulary(uri, shards, sum(v[0] for v in sums.values()), sum(v[1] for v in sums.values()), 1 + max((v[2] for v in sums.values()), default=0), frozenset(sums))
+
+
 def fit(docs: DataFrame, text: str = "text", order: int = ORDER, shard_chars: int = SHARD_CHARS) -> Model:
     """Count all texts of ``docs`` and store the model in the checkpoint folder."""
     checkpoint_dir(docs.sparkSession)
     # with the scheme of its store: workers open it without Spark's settings
     uri = f"{docs.sparkSession.sparkContext.getCheckpointDir()}/kn-{uuid.uuid4().hex}"
     d = docs.select(F.col(text).alias("text"))
-    chars = d.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-chars // shard_chars))
-    rows = d.mapInArrow(_count_local(order, shards), _SHARDS)
+    vocabulary = number_words(d, shard_chars, uri)
+    rows = d.mapInArrow(_in_task(_count_rows(vocabulary, order)), _SHARDS)
     for now in range(order, 0, -1):
-        rows = rows.groupBy("kind", "shard").applyInArrow(_reduce(order, now, shards, uri), _SHARDS)
+        rows = rows.groupBy("kind", "shard").applyInArrow(_reduce(now, vocabulary), _SHARDS)
     sums: dict[int, np.ndarray] = {}
-    stored = set()
+    stored = {(0, s) for s in vocabulary.stored}
     for r in rows.where("kind = -1").collect():
         kind, *few = np.frombuffer(r.data, np.int64)
         stored.add((int(kind), r.shard))
         sums[int(kind)] = sums.get(int(kind), 0) + np.array(few)
     none = np.zeros(7, np.int64)
-    first, raw = sums.get(1, none), sums.get(0, none)
-    return Model(uri, order, shards, tuple(_discounts(sums.get(k, none)) for k in range(1, order + 1)),
-                 tuple(int(v) for v in (first[5], first[0], first[1], first[4], first[6])), int(raw[5]), int(raw[6]), frozenset(stored))
+    first = sums.get(1, none)
+    return Model(vocabulary, order, tuple(_discounts(sums.get(k, none)) for k in range(1, order + 1)),
+                 tuple(int(v) for v in (first[5], first[0], first[1], first[4], first[6])), frozenset(stored))
 
 
 def _discounts(s: np.ndarray) -> tuple[float, float, float]:

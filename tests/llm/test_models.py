@@ -262,3 +262,61 @@ def test_every_line_is_in_one_batch(monkeypatch):
     got = [[(int(x[0, 0]), len(y)) for x, y in batch] for batch in crf_toxicity._batches(iter(lines), np.random.default_rng(0))]
     assert sorted(g for b in got for g in b) == [(i, len(y)) for i, (_, y) in enumerate(lines)]
     assert all(len(b) == 1 or sum(n for _, n in b) <= 10 for b in got)
+
+
+def test_language_model_takes_little_room(spark):
+    """Less than 8 bytes a triple, its context's share included; hash keys alone take more."""
+    rng = np.random.default_rng(5)
+    texts = [(" ".join(f"w{i}" for i in row),) for row in np.minimum(rng.zipf(1.2, (400, 100)), 30_000)]
+    model = kn_lm.fit(spark.createDataFrame(texts, "text string"))
+    folder = "/" + model.uri.removeprefix("file:").lstrip("/")
+    grams = len({tuple(x[i - 2:i + 1]) for t, in texts for x in [["<s>", *t.split(), "</s>"]] for i in range(2, len(x))})
+    import os
+    room = sum(os.path.getsize(f"{folder}/{f}") for f in os.listdir(folder) if f.startswith(("gram3", "context3")))
+    assert room < 8 * grams
+
+
+def test_language_model_of_contexts_with_many_words(spark):
+    texts = [f"a b w{i}" for i in range(300)] + [f"x{i % 7} b w{i % 90}" for i in range(200)] + ["b w1 w2", "a b", "A B w3"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    model, plain = kn_lm.fit(docs, shard_chars=1000), PlainModel(texts, 3)
+    asked = [*texts[::20], "a b none", "x1 b w3", "none b w3", "a none w1 w2"]
+    got = spark.createDataFrame([(t,) for t in asked], "text string").select("text", kn_lm.scores(F.col("text"), spark, model)["score"].alias("s")).collect()
+    assert model.vocabulary.shards > 3
+    for r in got:
+        assert r.s == pytest.approx(plain.row(r.text)[3], rel=1e-9)
+
+
+@pytest.mark.parametrize("bits", [5, 21, 40])
+def test_shards_answer_for_their_ngrams(tmp_path, bits):
+    """Counts and totals of contexts, also where the context's key is a hash and where it has more than 64 n-grams."""
+    rng = np.random.default_rng(bits)
+    some = rng.integers(1, min(1 << bits, 1 << 39) - 1, 200, np.uint64)
+    columns = [some[rng.integers(0, m, 4000)] for m in (6, 40, 200)]
+    rows = collections.Counter(zip(*[c.tolist() for c in columns], strict=True))
+    at, counts = kn_lm._distinct(columns, [bits] * 3, None)
+    columns = [c[at] for c in columns]
+    assert dict(zip(zip(*[c.tolist() for c in columns], strict=True), counts.tolist(), strict=True)) == rows
+    counts = counts + 250 * (counts > 2)
+    times = dict(zip(zip(*[c.tolist() for c in columns], strict=True), counts.tolist(), strict=True))
+    key = kn_lm.context_key(columns[:-1], bits)
+    s = kn_lm.shard_of(key, kn_lm.key_width(2, bits), 3)
+    for i, pick in kn_lm._by_shard(s):
+        pick = pick[np.lexsort((columns[2][pick], key[pick]))]
+        kn_lm._write_shard(kn_lm.Store(str(tmp_path)), f"gram3-{i}", key[pick], columns[2][pick], counts[pick], bits)
+    vocabulary = kn_lm.Vocabulary(str(tmp_path), 3, 1, 1, (1 << bits) - 1, frozenset())
+    model = kn_lm.Model(vocabulary, 3, (), (), frozenset((3, int(i)) for i in np.unique(s)))
+    ask = [np.concatenate((c, rng.permutation(c))) for c in columns]
+    count, stats = model._look_up(ask)
+    want = collections.defaultdict(lambda: [0, 0, 0, 0])
+    for g, v in times.items():
+        want[g[:2]][0] += v
+        want[g[:2]][min(v, 3)] += 1
+    for g, v, four in zip(zip(*[c.tolist() for c in ask], strict=True), count.tolist(), stats.tolist(), strict=True):
+        assert v == times.get(g, 0) and four == want[g[:2]]
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 10, 13])
+def test_scattered_numbers_are_distinct(width):
+    x = kn_lm._scatter(np.arange(1 << width, dtype=np.uint64), width)
+    assert sorted(x.tolist()) == list(range(1 << width))
