@@ -6,7 +6,7 @@ hashes.  A first pass counts them and gives each a number, frequent words small
 ones.  N-grams are numbers from then on.  Counting runs from the highest order
 down: n-grams are combined inside tasks, packed as sorted numbers, shuffled by
 their context's key range, merged, and written as one shard per range: n-grams in
-order of (context key, last word), of the key only the bytes that a directory
+order of (context key, last word), of the key only the bits that a directory
 does not give, of the word the bytes that the vocabulary needs.  A context's key
 is its numbers scattered one to one over their bits (a 64-bit hash where they
 need more than 64).  Counts are stored in a byte each, those that do not fit in
@@ -47,6 +47,7 @@ from moleval.session import checkpoint_dir
 ORDER = 3
 SHARD_CHARS = 12_000_000        # characters of learning text aimed at for one shard
 FLUSH_TOKENS = 2_000_000        # tokens combined in a task before they are sent on
+BUCKET = 4                      # n-grams of a shard for one entry of its directory, at least
 WIDE = 64                       # n-grams of a context beyond which its totals are stored
 
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0xE6546B64A5A5A5A5)
@@ -116,7 +117,8 @@ def _pack(columns: list[np.ndarray], counts: np.ndarray) -> list[bytes]:
     """Distinct n-grams as their words in order, the gaps between the sorted n-grams
     read as numbers over these words, and counts; in one piece if the numbers fit 63 bits."""
     k, n = len(columns), len(counts)
-    words = np.unique(np.concatenate(columns))
+    words = np.sort(np.concatenate(columns))
+    words = words[run_starts(words)]
     m = len(words)
     if m**k >= 1 << 63:
         return [d for part in (slice(None, n // 2), slice(n // 2, None)) for d in _pack([c[part] for c in columns], counts[part])]
@@ -220,7 +222,7 @@ class Store:
         fs, path = self._place()
         path = f"{path}/{name}"
         if isinstance(fs, pafs.LocalFileSystem):
-            a = np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+            a = np.asarray(np.memmap(path, dtype, "r")) if os.path.getsize(path) else np.zeros(0, dtype)
         else:
             with fs.open_input_file(path) as f:
                 a = np.frombuffer(f.read(), dtype)
@@ -243,44 +245,80 @@ def _counts(uri: str, name: str, width: int, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bytes(values: np.ndarray, n: int) -> np.ndarray:
-    """The last ``n`` bytes of 64-bit numbers, highest first."""
-    return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - n:]
+def _ones(bits: int) -> np.uint64:
+    return np.uint64((1 << bits) - 1)
 
 
-def _first_from(rows: np.ndarray, columns: slice, low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """First place between ``low`` and ``high`` (else ``high``) whose bytes, rising there, are not below ``least``."""
+def _sizes(width: int) -> list[int]:
+    """The sizes of the aligned numbers that ``width`` bytes are stored in."""
+    return [size for size in (8, 4, 2, 1) if width & size]
+
+
+def _file_of(columns: list[np.ndarray], widths: list[int]) -> np.ndarray:
+    """Columns of numbers of so many bytes, in parts of 8, 4, 2 and 1 bytes, the larger parts first."""
+    parts = [(size, (c >> np.uint64(8 * (w & -2 * size))).astype(f"<u{size}")) for c, w in zip(columns, widths, strict=True) for size in _sizes(w)]
+    return np.concatenate([part.view(np.uint8) for _, part in sorted(parts, key=lambda x: -x[0])])
+
+
+def _columns_of(file: np.ndarray, widths: list[int]) -> list[list[np.ndarray]]:
+    """The parts of each column of such a file."""
+    n, at = len(file) // sum(widths), 0
+    out: list[list[np.ndarray]] = [[] for _ in widths]
+    for size, c in sorted(((size, c) for c, w in enumerate(widths) for size in _sizes(w)), key=lambda x: -x[0]):
+        out[c].append(file[at:at + n * size].view(f"<u{size}"))
+        at += n * size
+    return out
+
+
+def _take(column: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    out, shift = np.zeros(len(at), np.uint64), 0
+    for part in column:
+        out |= part.take(at).astype(np.uint64) << np.uint64(shift)
+        shift += 8 * part.itemsize
+    return out
+
+
+def _first_from(column: list[np.ndarray], low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """First place between ``low`` and ``high`` (else ``high``) whose value, rising there, is not below ``least``."""
     low, high = low.copy(), high.copy()
     open_ = np.flatnonzero(low < high)
     while len(open_):
-        middle = (low[open_] + high[open_]) >> 1
-        value = np.zeros(len(open_), np.uint64)
-        for c in range(*columns.indices(rows.shape[1])):
-            value = value << np.uint64(8) | rows[middle, c]
-        below = value < least[open_]
-        low[open_[below]] = middle[below] + 1
-        high[open_[~below]] = middle[~below]
-        open_ = open_[low[open_] < high[open_]]
+        a, b = low[open_], high[open_]
+        middle = (a + b) >> 1
+        below = _take(column, middle) < least[open_]
+        a, b = np.where(below, middle + 1, a), np.where(below, b, middle)
+        low[open_], high[open_] = a, b
+        open_ = open_[a < b]
+    return low
+
+
+def _first_of_bucket(column: list[np.ndarray], low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The same where all ranges are short: all are halved at once."""
+    for _ in range(int((high - low).max(initial=0)).bit_length()):
+        middle = (low + high) >> 1
+        below = _take(column, np.minimum(middle, len(column[0]) - 1)) < least
+        below &= low < high
+        low, high = np.where(below, middle + 1, low), np.where(below, high, middle)
     return low
 
 
 def _write_shard(store: Store, name: str, key: np.ndarray, word: np.ndarray, counts: np.ndarray, bits: int) -> None:
-    """N-grams in order of (context key, last word).  ``.directory``: how many
-    bytes of the key rows have, the first of the numbers that its other bytes
-    make, and where the rows of each number begin; ``.key``: these bytes and the word's."""
-    for low in range(8):
-        head = key >> np.uint64(8 * low)
-        if int(head[-1]) - int(head[0]) < len(key) // 8 + 1:
-            break
+    """N-grams in order of (context key, last word).  ``.head``: how many low bits
+    of the key rows have, and the first of the numbers that its other bits make;
+    ``.directory``: where the rows of each number begin; ``.key``: the bytes of these bits and the word's."""
+    span = (int(key[-1]) ^ int(key[0])).bit_length()
+    low = next(low for low in range(span + 1) if (int(key[-1]) >> low) - (int(key[0]) >> low) <= len(key) // BUCKET)
+    head = key >> np.uint64(low) if low < 64 else np.zeros(len(key), np.uint64)
     starts = np.searchsorted(head, head[0] + np.arange(int(head[-1]) - int(head[0]) + 2, dtype=np.uint64))
-    store.write(f"{name}.directory", np.concatenate(([low, head[0]], starts), dtype="<u8", casting="unsafe"))
+    store.write(f"{name}.head", np.array([low, head[0]], "<u8"))
+    store.write(f"{name}.directory", starts.astype("<u4" if len(key) < 1 << 32 else "<u8"))
     at = run_starts(key)
     size = np.diff(at, append=len(key))
     wide = size > WIDE
     totals = [np.add.reduceat(v, at)[wide] for v in (counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64))]
     store.write(f"{name}.wide", np.stack([at[wide], *totals], 1).astype("<u8"))
     store.write_counts(name, counts)
-    store.write(f"{name}.key", np.concatenate((_bytes(key, low), _bytes(word, -(-bits // 8))), 1))
+    store.write(f"{name}.key", _file_of([key & _ones(low), word], [-(-low // 8), -(-bits // 8)]))
 
 
 @dataclass(frozen=True)
@@ -342,46 +380,58 @@ class Model:
     def _look_up(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Counts of n-grams, and their contexts' total and numbers of n-grams counted 1, 2, 3 and more times (0 where absent)."""
         k, bits = len(columns), self.vocabulary.bits
-        key, place = np.unique(context_key(columns[:-1], bits), return_inverse=True)
-        stats, count = np.zeros((len(key), 4), np.int64), np.zeros(len(place), np.uint64)
-        asked = np.argsort(place, kind="stable")
-        first = np.searchsorted(place[asked], np.arange(len(key) + 1))
+        key = context_key(columns[:-1], bits)
+        order = np.argsort(key)
+        key, word = key[order], columns[-1][order]
+        first = run_starts(key)
+        key, last = key[first], np.append(first[1:], len(word))
+        stats, count = np.zeros((len(key), 4), np.int64), np.zeros(len(word), np.uint64)
         for s, pick in _by_shard(shard_of(key, key_width(k - 1, bits), self.vocabulary.shards)):
             if (k, s) not in self.stored:
                 continue
             name = f"gram{k}-{s}"
-            directory = _shard(self.uri, f"{name}.directory", "<u8", 1)
-            low, starts = int(directory[0]), directory[2:]
-            rows = _shard(self.uri, f"{name}.key", "u1", low - (-bits // 8))
-            head = key[pick] >> np.uint64(8 * low)
-            inside = (head >= directory[1]) & (head - directory[1] < np.uint64(len(starts) - 1))
-            head = np.where(inside, head - directory[1], 0).astype(np.int64)
-            a, b = starts[head].astype(np.int64), np.where(inside, starts[head + 1], starts[head]).astype(np.int64)
-            tail = key[pick] & np.uint64((1 << 8 * low) - 1)
+            low, least = (int(v) for v in _shard(self.uri, f"{name}.head", "<u8", 1))
+            contexts, words = _columns_of(_shard(self.uri, f"{name}.key", "u1", 1), [-(-low // 8), -(-bits // 8)])
+            starts = _shard(self.uri, f"{name}.directory", "<u4" if len(words[0]) < 1 << 32 else "<u8", 1)
+            head, tail = (key[pick] >> np.uint64(low) if low < 64 else np.zeros(len(pick), np.uint64)) - np.uint64(least), key[pick] & _ones(low)
+            inside = np.flatnonzero(head < np.uint64(len(starts) - 1))      # below the first one the difference is huge
+            pick, head, tail = pick[inside], head[inside].astype(np.int64), tail[inside]
+            a, b = starts[head].astype(np.int64), starts[head + 1].astype(np.int64)
+            if low:
+                a = _first_of_bucket(contexts, a, b, tail)
+            seen = np.flatnonzero(a < b)
+            if low:
+                seen = seen[_take(contexts, a[seen]) == tail[seen]]
+            pick, tail, a, b = pick[seen], tail[seen], a[seen], b[seen]
+            if not len(pick):
+                continue
             if low:
-                a = _first_from(rows, slice(0, low), a, b, tail)
-                b = _first_from(rows, slice(0, low), a, b, tail + np.uint64(1))
+                high, b = b, a + 1
+                more = np.flatnonzero(b < high)
+                more = more[_take(contexts, b[more]) == tail[more]]
+                b[more] = _first_from(contexts, b[more] + 1, high[more], tail[more] + np.uint64(1))
             size = b - a
-            few = np.flatnonzero((size > 0) & (size <= WIDE))
-            begin = np.cumsum(size[few]) - size[few]
+            few, many = np.flatnonzero(size <= WIDE), np.flatnonzero(size > WIDE)
             if len(few):
-                v = _counts(self.uri, name, 1, np.arange(size[few].sum()) + np.repeat(a[few] - begin, size[few])).astype(np.int64)
-                stats[pick[few], :3] = np.stack([np.add.reduceat(x, begin, dtype=np.int64) for x in (v, v == 1, v == 2)], 1)
-            many = np.flatnonzero(size > WIDE)
+                begin = np.cumsum(size[few]) - size[few]
+                v = _counts(self.uri, name, 1, np.arange(size[few].sum()) + np.repeat(a[few] - begin, size[few]))
+                for i, x in enumerate((v, v == 1, v == 2)):
+                    stats[pick[few], i] = np.add.reduceat(x, begin, dtype=np.int64)
             if len(many):
                 wide = _shard(self.uri, f"{name}.wide", "<u8", 4)
                 stats[pick[many], :3] = wide[np.searchsorted(wide[:, 0], a[many].astype(np.uint64)), 1:]
             stats[pick, 3] = size - stats[pick, 1] - stats[pick, 2]
-            # the n-grams asked for under the contexts of this shard, which follow each other in the order of the keys
-            mine = asked[first[pick[0]]:first[pick[-1] + 1]]
-            a, b = a[place[mine] - pick[0]], b[place[mine] - pick[0]]
-            word = columns[-1][mine]
-            at = _first_from(rows, slice(low, None), a, b, word)
-            open_ = np.flatnonzero(at < b)
-            found = rows[at[open_], low:]
-            hit = open_[(found == _bytes(word[open_], found.shape[1])).all(1)]
+            # the last words asked for after each of these contexts
+            asked = last[pick] - first[pick]
+            mine = np.arange(asked.sum()) + np.repeat(first[pick] - (np.cumsum(asked) - asked), asked)
+            b = np.repeat(b, asked)
+            at = _first_from(words, np.repeat(a, asked), b, word[mine])
+            hit = np.flatnonzero(at < b)
+            hit = hit[_take(words, at[hit]) == word[mine[hit]]]
             count[mine[hit]] = _counts(self.uri, name, 1, at[hit])
-        return count, stats[place]
+        out, place = np.empty_like(count), np.empty(len(order), np.int64)
+        out[order], place[order] = count, np.repeat(np.arange(len(key)), last - first)
+        return out, stats[place]
 
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """Per text: n_tokens, n_known, base_score and score (log10 probabilities)."""
@@ -409,7 +459,7 @@ class Model:
             seen = stats[:, 0] > 0
             at, a, stats = at[seen], a[seen].astype(np.float64), stats[seen].astype(np.float64)
             d = np.array((0.0, *self.discounts[k - 1]))
-            left = stats[:, 1:] @ d[1:]
+            left = stats[:, 1] * d[1] + stats[:, 2] * d[2] + stats[:, 3] * d[3]
             p[at] = (np.maximum(a - d[np.minimum(a, 3).astype(int)], 0) + left * p[at]) / stats[:, 0]
         first = np.cumsum(n) - n
         add = lambda v: np.add.reduceat(v, first) if len(first) else np.zeros(0)
