@@ -9,14 +9,19 @@ their context's key range, merged, and written as one shard per range: n-grams i
 order of (context key, last word), of the key only the bits that a directory
 does not give, of the word the bytes that the vocabulary needs.  A context's key
 is its numbers scattered one to one over their bits (a 64-bit hash where they
-need more than 64).  Counts are stored in a byte each, those that do not fit in
-a list beside it; the totals that discounts need are added up from the counts of
-a context, those of contexts with many n-grams are stored.  Each distinct n-gram
+need more than 64).  A count is stored beside the key's bits in one number, those
+that do not fit in a list beside it; the totals that discounts need are added up
+from the counts of a context, those of contexts with many n-grams are stored.
+Each distinct n-gram
 then passes one count to its suffix, which makes the continuation counts of the
 order below.  N-grams that begin a text keep their plain counts in lower orders.
 Shards lie in the shared checkpoint folder; equal input gives equal files, so a
 repeated task replaces a shard with itself.
 
+Texts are scored by many at once: their n-grams are made distinct, put in the
+order of the keys and looked up shard by shard, so a shard costs the same calls
+for all of them.  Every shard stays open in a worker.
+
 A ``file:`` folder is mapped in place; from another store a worker reads the
 shards it needs.  The model grows with the corpus and nothing of it passes the
 driver but one row of sums per shard.
@@ -30,7 +35,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -46,9 +51,14 @@ from moleval.session import checkpoint_dir
 
 ORDER = 3
 SHARD_CHARS = 12_000_000        # characters of learning text aimed at for one shard
-FLUSH_TOKENS = 2_000_000        # tokens combined in a task before they are sent on
+FLUSH_TOKENS = 1_500_000        # tokens combined in a task before they are sent on
+SCORE_TOKENS = 800_000          # tokens looked up at once
+ASKED = 32                      # words asked for after a context beyond which its words are searched as one array
 BUCKET = 4                      # n-grams of a shard for one entry of its directory, at least
 WIDE = 64                       # n-grams of a context beyond which its totals are stored
+STEPS = 4                       # n-grams of a context that are walked along
+MOST_LOW = 56                   # bits of a key that fit a stored number beside a count, at most
+TEXT_BYTES = 1 << 18            # text made into tokens at once: what a processor's cache holds
 
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0xE6546B64A5A5A5A5)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -88,6 +98,21 @@ def key_width(n: int, bits: int) -> int:
     return min(n * bits, 64)
 
 
+def _unscatter(x: np.ndarray, width: int) -> np.ndarray:
+    """The numbers that ``_scatter`` was given."""
+    mask, half = np.uint64((1 << width) - 1), max(1, width // 2)
+
+    def unfold(x: np.ndarray) -> np.ndarray:
+        out = x
+        for _ in range(-(-width // half)):
+            out = x ^ (out >> np.uint64(half))
+        return out
+
+    for odd in (0x9E3779B97F4A7C15, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9):
+        x = unfold(x) * np.uint64(pow(odd, -1, 1 << 64)) & mask
+    return unfold(x)
+
+
 def context_key(columns: list[np.ndarray], bits: int) -> np.ndarray:
     """Key of a context of word numbers: its own up to 64 bits, a hash beyond."""
     if len(columns) * bits <= 64:
@@ -98,83 +123,156 @@ def context_key(columns: list[np.ndarray], bits: int) -> np.ndarray:
     return h
 
 
+def _of_key(key: np.ndarray, n: int, bits: int) -> list[np.ndarray]:
+    """The ``n`` word numbers of keys that are not hashes."""
+    x = _unscatter(key, n * bits)
+    return [x >> np.uint64(bits * i) & _ones(bits) for i in range(n - 1, -1, -1)]
+
+
 def shard_of(key: np.ndarray, width: int, shards: int) -> np.ndarray:
     """Number of the range of a key of ``width`` bits; ranges follow the order of the keys."""
     top = min(width, 32)
     return ((key >> np.uint64(width - top)) * np.uint64(shards) >> np.uint64(top)).astype(np.int64)
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Eight-byte values, first bytes together, then the second and so on."""
-    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _from_planes(body: bytes, n: int, at: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(body, np.uint8, 8 * n, at).reshape(8, n).T).view("<i8").reshape(-1)
+def _planes(values: np.ndarray) -> tuple[int, bytes]:
+    """Numbers in as many bytes as the largest needs, first bytes together, then the second and so on."""
+    width = -(-int(values.max(initial=0)).bit_length() // 8)
+    return width, np.ascontiguousarray(values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def _pack(columns: list[np.ndarray], counts: np.ndarray) -> list[bytes]:
-    """Distinct n-grams as their words in order, the gaps between the sorted n-grams
-    read as numbers over these words, and counts; in one piece if the numbers fit 63 bits."""
-    k, n = len(columns), len(counts)
-    words = np.sort(np.concatenate(columns))
-    words = words[run_starts(words)]
-    m = len(words)
-    if m**k >= 1 << 63:
-        return [d for part in (slice(None, n // 2), slice(n // 2, None)) for d in _pack([c[part] for c in columns], counts[part])]
-    number = np.zeros(n, np.int64)
-    for c in columns:
-        number = number * m + np.searchsorted(words, c)
-    if (number[1:] < number[:-1]).any():
-        order = np.argsort(number)
-        number, counts = number[order], counts[order]
-    body = _planes(np.diff(words, prepend=np.uint64(0))) + _planes(np.diff(number, prepend=0)) + _planes(counts)
-    return [np.array([k, n, m], "<i8").tobytes() + pa.Codec("zstd").compress(body, asbytes=True)]
+    """Rows of numbers with counts: the first column's first value and gaps, the other columns, and counts less 1."""
+    first = columns[0][0]
+    gaps = np.diff(columns[0], prepend=first)           # modulo 2^64, so the rows may be in any order
+    widths, planes = zip(*[_planes(c) for c in (gaps, *columns[1:], counts.astype(np.uint64) - np.uint64(1))], strict=True)
+    return [np.array([len(widths), len(counts), first, *widths], "<u8").tobytes() + pa.Codec("zstd", 1).compress(b"".join(planes), asbytes=True)]
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
-    k, n, m = (int(v) for v in np.frombuffer(data, "<i8", 3))
-    body = pa.Codec("zstd").decompress(data[24:], 8 * m + 16 * n, asbytes=True)
-    words = np.cumsum(_from_planes(body, m, 0)).view(np.uint64)
-    number, counts, columns = np.cumsum(_from_planes(body, n, 8 * m)), _from_planes(body, n, 8 * (m + n)), []
-    for _ in range(k):
-        number, c = np.divmod(number, m)
-        columns.append(words[c])
-    return [*columns[::-1], counts]
+    k, n, first = (int(v) for v in np.frombuffer(data, "<u8", 3))
+    widths = [int(v) for v in np.frombuffer(data, "<u8", k, 24)]
+    body = np.frombuffer(pa.Codec("zstd").decompress(data[24 + 8 * k:], n * sum(widths)), np.uint8) if any(widths) else np.zeros(0, np.uint8)
+    out, at = [], 0
+    for width in widths:
+        full = np.zeros((n, 8), np.uint8)
+        full[:, :width] = body[at:at + n * width].reshape(width, n).T
+        out.append(full.view("<u8").reshape(-1))
+        at += n * width
+    return [np.cumsum(out[0], dtype=np.uint64) + np.uint64(first), *out[1:-1], (out[-1] + np.uint64(1)).astype(np.int64)]
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Columns and counts of all packed n-grams, one piece after the other."""
+    """Columns and counts of all packed rows, one piece after the other."""
     parts = [_unpack(d) for b in batches for d in b.column(b.schema.get_field_index("data")).to_pylist()]
     *columns, counts = (np.concatenate(p) for p in zip(*parts, strict=True))
     return columns, counts
 
 
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of the keys, equal ones in their own order, and the keys in it.
+    A key's place is sorted with its leading bits, in one number: that is several times
+    as fast as to sort places.  What the other bits change is little work for a merge sort."""
+    if not len(key):
+        return np.zeros(0, np.int64), key
+    low, bits = key.min(), len(key).bit_length()
+    shift = np.uint64(max(0, int(key.max() - low).bit_length() + bits - 64))
+    order = (np.sort((key - low) >> shift << np.uint64(bits) | np.arange(len(key), dtype=np.uint64)) & _ones(bits)).astype(np.int64)
+    key = key[order]
+    if shift and (key[1:] < key[:-1]).any():
+        more = np.argsort(key, kind="stable")
+        order, key = order[more], key[more]
+    return order, key
+
+
+def _starts(sorted_values: np.ndarray) -> np.ndarray:
+    """Where a new value begins in a sorted array, as marks."""
+    new = np.ones(len(sorted_values), bool)
+    np.not_equal(sorted_values[1:], sorted_values[:-1], out=new[1:])
+    return new
+
+
+def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the place in them of each."""
+    order, key = _numbered(key)
+    new = _starts(key)
+    rank = np.empty(len(key), np.uint64)
+    rank[order] = np.cumsum(new, dtype=np.uint64) - np.uint64(1)
+    return key[new], rank
+
+
+def _unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of hashes that occur often."""
+    d = pa.array(x).dictionary_encode()
+    values, rank = _ranks(d.dictionary.to_numpy())
+    return values, rank[d.indices.to_numpy()]
+
+
+def _one_key(keys: list[np.ndarray], widths: list[int], free: int) -> np.ndarray:
+    """Numbers that order rows as the keys (of so many bits) do, with ``free`` bits left if ranks in place of keys make room."""
+    out, width = keys[0], widths[0]
+    for key, more in zip(keys[1:], widths[1:], strict=True):
+        if width + more + free > 64:
+            values, out = _ranks(out)
+            width = len(values).bit_length()
+        if width + more + free > 64:
+            values, key = _ranks(key)
+            more = len(values).bit_length()
+        out, width = out << np.uint64(more) | key, width + more
+    return out
+
+
 def _distinct(keys: list[np.ndarray], widths: list[int], counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Places of distinct rows of the keys (of so many bits) in their order, and the rows' summed counts (1 each if None)."""
     n = len(keys[0])
-    if len({*widths}) == 1 and widths[0] * len(keys) <= 64:
-        order = np.argsort(_joined(keys, widths[0]))
-    elif len(keys) == 2 and sum(widths) <= 64:
-        order = np.argsort(keys[0] << np.uint64(widths[1]) | keys[1])
-    else:
-        order = np.lexsort(keys[::-1])
-    new = np.zeros(n, bool)
-    new[:1] = True
-    for key in keys:
-        key = key[order]
-        new[1:] |= key[1:] != key[:-1]
-    at = np.flatnonzero(new)
+    order, key = _numbered(_one_key(keys, widths, n.bit_length()))
+    at = np.flatnonzero(_starts(key))
     total = np.diff(at, append=n) if counts is None else np.add.reduceat(counts[order], at) if n else counts
     return order[at], total
 
 
-def _rows(kind: int, columns: list[np.ndarray], counts: np.ndarray | None, bits: int, shards: int) -> list[tuple]:
-    """Distinct n-grams with their summed counts, packed by shard: that of a word is in its number, others go by their context."""
-    at, counts = _distinct(columns, [bits] * kind, counts)
-    columns = [c[at] for c in columns]
-    s = ((columns[0] - np.uint64(1)) % np.uint64(shards)).astype(np.int64) if kind == 1 else shard_of(context_key(columns[:-1], bits), key_width(kind - 1, bits), shards)
-    return [(kind, shard, d) for shard, pick in _by_shard(s) for d in _pack([c[pick] for c in columns], counts[pick])]
+def _grams(columns: list[np.ndarray], bits: int, counts: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct n-grams in order, and their summed counts."""
+    k = len(columns)
+    if counts is None and k * bits <= 64:       # sorted without their places
+        x = np.sort(_joined(columns, bits))
+        at = np.flatnonzero(_starts(x))
+        x = x[at]
+        return [x >> np.uint64(bits * i) & _ones(bits) for i in range(k - 1, -1, -1)], np.diff(at, append=len(columns[0]))
+    at, counts = _distinct(columns, [bits] * k, counts)
+    return [c[at] for c in columns], counts
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of spans, one span after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _rows(kind: int, columns: list[np.ndarray], counts: np.ndarray | None, bits: int, shards: int, number: np.ndarray | None = None) -> list[tuple]:
+    """Distinct n-grams with their summed counts, packed by shard: that of a word is in
+    its number, others go by their context's key, which stands for the context where it
+    is no hash.  ``number``: the words' numbers, rising, where columns have places in it."""
+    columns, counts = _grams(columns, bits if number is None else len(number).bit_length(), counts)
+    if kind == 1:
+        (word,) = columns if number is None else [number[columns[0]]]
+        order, s = _numbered((word - np.uint64(1)) % np.uint64(shards))
+        columns, counts, s = [word[order]], counts[order], s.astype(np.int64)
+    else:
+        new = np.zeros(len(counts), bool)
+        new[:1] = True
+        for c in columns[:-1]:
+            new[1:] |= c[1:] != c[:-1]
+        first = np.flatnonzero(new)
+        key = context_key([c[first] if number is None else number[c[first]] for c in columns[:-1]], bits)
+        size = np.diff(first, append=len(counts))
+        order, key = _numbered(key)
+        size = size[order]
+        at = _spans(first[order], size)
+        s = np.repeat(shard_of(key, key_width(kind - 1, bits), shards), size)
+        sent = columns[-1:] if (kind - 1) * bits <= 64 else columns
+        columns, counts = [np.repeat(key, size), *[c[at] if number is None else number[c[at]] for c in sent]], counts[at]
+    edge = np.append(np.flatnonzero(_starts(s)), len(s))
+    return [(kind, int(s[a]), d) for a, b in zip(edge.tolist(), edge[1:].tolist()) for d in _pack([c[a:b] for c in columns], counts[a:b])]
 
 
 def _by_shard(s: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -222,14 +320,15 @@ class Store:
         fs, path = self._place()
         path = f"{path}/{name}"
         if isinstance(fs, pafs.LocalFileSystem):
-            a = np.asarray(np.memmap(path, dtype, "r")) if os.path.getsize(path) else np.zeros(0, dtype)
+            # a process may hold 65,530 maps, and a model has more small files than that
+            a = np.asarray(np.memmap(path, dtype, "r")) if os.path.getsize(path) > 1 << 16 else np.fromfile(path, dtype)
         else:
             with fs.open_input_file(path) as f:
                 a = np.frombuffer(f.read(), dtype)
         return a.reshape(-1, width) if width > 1 else a
 
 
-@lru_cache(4096)
+@lru_cache(1 << 16)             # all files of a model: each batch of texts asks for all of them in turn
 def _shard(uri: str, name: str, dtype: str, width: int) -> np.ndarray:
     return Store(uri).read(name, dtype, width)
 
@@ -273,42 +372,54 @@ def _columns_of(file: np.ndarray, widths: list[int]) -> list[list[np.ndarray]]:
 def _take(column: list[np.ndarray], at: np.ndarray) -> np.ndarray:
     out, shift = np.zeros(len(at), np.uint64), 0
     for part in column:
-        out |= part.take(at).astype(np.uint64) << np.uint64(shift)
+        out |= part.take(at, mode="clip").astype(np.uint64) << np.uint64(shift)
         shift += 8 * part.itemsize
     return out
 
 
-def _first_from(column: list[np.ndarray], low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
+def _first_from(value: Callable[[np.ndarray], np.ndarray], low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
     """First place between ``low`` and ``high`` (else ``high``) whose value, rising there, is not below ``least``."""
-    low, high = low.copy(), high.copy()
+    for _ in range(3):      # most spans are short: all are halved, then those left
+        middle = (low + high) >> 1
+        below = value(middle) < least
+        below &= low < high
+        low, high = np.where(below, middle + 1, low), np.where(below, high, middle)
     open_ = np.flatnonzero(low < high)
     while len(open_):
         a, b = low[open_], high[open_]
         middle = (a + b) >> 1
-        below = _take(column, middle) < least[open_]
+        below = value(middle) < least[open_]
         a, b = np.where(below, middle + 1, a), np.where(below, b, middle)
         low[open_], high[open_] = a, b
         open_ = open_[a < b]
     return low
 
 
-def _first_of_bucket(column: list[np.ndarray], low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """The same where all ranges are short: all are halved at once."""
-    for _ in range(int((high - low).max(initial=0)).bit_length()):
-        middle = (low + high) >> 1
-        below = _take(column, np.minimum(middle, len(column[0]) - 1)) < least
-        below &= low < high
-        low, high = np.where(below, middle + 1, low), np.where(below, high, middle)
-    return low
+def _words_from(column: list[np.ndarray], low: np.ndarray, high: np.ndarray, asked: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """First places from ``low`` to ``high`` whose value is not below ``least``, for spans
+    of which so many are ``asked`` each; a span of which many are is read whole."""
+    out, end = np.empty(len(least), np.int64), np.cumsum(asked)
+    many = (asked > ASKED) & (high - low > ASKED) & (high - low < 256 * asked)
+    for i in np.flatnonzero(many).tolist():
+        a, b, to = low[i], high[i], end[i]
+        whole, shift = column[0][a:b].astype(np.uint64), 8 * column[0].itemsize
+        for part in column[1:]:
+            whole |= part[a:b].astype(np.uint64) << np.uint64(shift)
+            shift += 8 * part.itemsize
+        out[to - asked[i]:to] = a + np.searchsorted(whole, least[to - asked[i]:to])
+    few = np.flatnonzero(np.repeat(~many, asked))
+    out[few] = _first_from(lambda at: _take(column, at), np.repeat(low, asked)[few], np.repeat(high, asked)[few], least[few])
+    return out
 
 
 def _write_shard(store: Store, name: str, key: np.ndarray, word: np.ndarray, counts: np.ndarray, bits: int) -> None:
     """N-grams in order of (context key, last word).  ``.head``: how many low bits
     of the key rows have, and the first of the numbers that its other bits make;
-    ``.directory``: where the rows of each number begin; ``.key``: the bytes of these bits and the word's."""
+    ``.directory``: where the rows of each number begin; ``.key``: these low bits with
+    the count in one number, then the words; ``.more``: counts that do not fit there."""
     span = (int(key[-1]) ^ int(key[0])).bit_length()
-    low = next(low for low in range(span + 1) if (int(key[-1]) >> low) - (int(key[0]) >> low) <= len(key) // BUCKET)
-    head = key >> np.uint64(low) if low < 64 else np.zeros(len(key), np.uint64)
+    low = next(low for low in range(span + 1) if low == MOST_LOW or (int(key[-1]) >> low) - (int(key[0]) >> low) <= len(key) // BUCKET)
+    head = key >> np.uint64(low)
     starts = np.searchsorted(head, head[0] + np.arange(int(head[-1]) - int(head[0]) + 2, dtype=np.uint64))
     store.write(f"{name}.head", np.array([low, head[0]], "<u8"))
     store.write(f"{name}.directory", starts.astype("<u4" if len(key) < 1 << 32 else "<u8"))
@@ -317,8 +428,116 @@ def _write_shard(store: Store, name: str, key: np.ndarray, word: np.ndarray, cou
     wide = size > WIDE
     totals = [np.add.reduceat(v, at)[wide] for v in (counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64))]
     store.write(f"{name}.wide", np.stack([at[wide], *totals], 1).astype("<u8"))
-    store.write_counts(name, counts)
-    store.write(f"{name}.key", _file_of([key & _ones(low), word], [-(-low // 8), -(-bits // 8)]))
+    entry = _entry_bytes(low)
+    most = (1 << 8 * entry - low) - 1
+    more = np.flatnonzero(counts >= most)
+    store.write(f"{name}.more", np.stack([more, counts[more]], 1).astype("<u8"))
+    entries = (key & _ones(low)) << np.uint64(8 * entry - low) | np.minimum(counts, most).astype(np.uint64)
+    store.write(f"{name}.key", _file_of([entries, word], [entry, -(-bits // 8)]))
+
+
+def _entry_bytes(low: int) -> int:
+    """Bytes of the number that has so many bits of a key and a count of 8 bits at least."""
+    return next(size for size in (1, 2, 4, 8) if 8 * size >= low + 8)
+
+
+@lru_cache(1 << 14)
+def _gram_shard(uri: str, name: str, bits: int) -> "Grams":
+    low, least = (int(v) for v in _shard(uri, f"{name}.head", "<u8", 1))
+    entry = _entry_bytes(low)
+    (entries,), words = _columns_of(_shard(uri, f"{name}.key", "u1", 1), [entry, -(-bits // 8)])
+    starts = _shard(uri, f"{name}.directory", "<u4" if len(entries) < 1 << 32 else "<u8", 1)
+    return Grams(low, least, starts, entries, 8 * entry - low, words, _shard(uri, f"{name}.wide", "<u8", 4), _shard(uri, f"{name}.more", "<u8", 2))
+
+
+@dataclass(frozen=True)
+class Grams:
+    """A shard of n-grams as ``_write_shard`` stores them."""
+    low: int
+    least: int
+    starts: np.ndarray
+    entries: np.ndarray         # low bits of the key, then the count
+    count_bits: int
+    words: list[np.ndarray]
+    wide: np.ndarray
+    more: np.ndarray
+
+    def counts(self, at: np.ndarray) -> np.ndarray:
+        most = (1 << self.count_bits) - 1
+        out = (self.entries.take(at) & self.entries.dtype.type(most)).astype(np.int64)
+        large = np.flatnonzero(out == most)
+        out[large] = self.more[np.searchsorted(self.more[:, 0], at[large].astype(np.uint64)), 1]
+        return out
+
+    def tails(self, at: np.ndarray) -> np.ndarray:
+        return self.entries.take(at, mode="clip") >> self.count_bits
+
+    def find(self, key: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of n-grams, and four rows of their contexts' stats, for rising keys of contexts and the last words."""
+        count, stats = np.zeros(len(key), np.int64), np.zeros((4, len(key)), np.int64)
+        head = (key >> np.uint64(self.low)) - np.uint64(self.least)
+        at = np.flatnonzero(head < np.uint64(len(self.starts) - 1))      # below the first one the difference is huge
+        head = head[at].astype(np.int64)
+        a, b = self.starts[head].astype(np.int64), self.starts[head + 1].astype(np.int64)
+        if not self.low:
+            seen = np.flatnonzero(a < b)
+            self._find_in_runs(at[seen], a[seen], b[seen], word, count, stats)
+            return count, stats
+        tail = (key[at] & _ones(self.low)).astype(self.entries.dtype)
+        a = _first_from(self.tails, a, b, tail)
+        seen = np.flatnonzero((a < b) & (self.tails(a) == tail))
+        a, b, tail, at = a[seen], b[seen], tail[seen], at[seen]
+        # contexts of few n-grams, which most are, are walked along
+        most, left = (1 << self.count_bits) - 1, np.arange(len(at))
+        hit, sums, long = np.zeros(len(at), np.int64), np.zeros((4, len(at)), np.int64), []
+        for step in range(STEPS + 1):
+            place = a[left] + step
+            entry = self.entries.take(place, mode="clip")
+            if step:
+                same = np.flatnonzero((entry >> self.count_bits == tail[left]) & (place < b[left]))
+                left, place, entry = left[same], place[same], entry[same]
+            c = (entry & entry.dtype.type(most)).astype(np.int64)
+            far = (c == most) | (step == STEPS)
+            if far.any():
+                long.append(left[far])
+                left, place, c = left[~far], place[~far], c[~far]
+            if not len(left):
+                break
+            for total, v in zip(sums, (c, c == 1, c == 2, c > 2), strict=True):
+                total[left] += v
+            mine = np.flatnonzero(_take(self.words, place) == word[at[left]])
+            hit[left[mine]] = c[mine]
+        count[at], stats[:, at] = hit, sums
+        if long and len(long := np.sort(np.concatenate(long))):
+            self._find_in_runs(at[long], a[long], b[long], word, count, stats, tail[long])
+        return count, stats
+
+    def _find_in_runs(self, at: np.ndarray, a: np.ndarray, b: np.ndarray, word: np.ndarray, count: np.ndarray, stats: np.ndarray, tail: np.ndarray | None = None) -> None:
+        """Set count and stats at ``at``, whose contexts begin at ``a`` and end at ``b`` or, where there is a ``tail``, before."""
+        if not len(at):
+            return
+        first = run_starts(a)
+        asked = np.diff(first, append=len(a))
+        a, b = a[first], b[first]
+        if tail is not None:
+            tail = tail[first].astype(np.uint64)
+            b = _first_from(lambda x: self.tails(x).astype(np.uint64), a + 1, b, tail + np.uint64(1))
+        size, sums = b - a, np.zeros((4, len(a)), np.int64)
+        few, many = np.flatnonzero(size <= WIDE), np.flatnonzero(size > WIDE)
+        if len(few):
+            begin = np.cumsum(size[few]) - size[few]
+            v = self.counts(_spans(a[few], size[few]))
+            for i, x in enumerate((v, v == 1, v == 2)):
+                sums[i, few] = np.add.reduceat(x, begin, dtype=np.int64)
+        if len(many):
+            sums[:3, many] = self.wide[np.searchsorted(self.wide[:, 0], a[many].astype(np.uint64)), 1:].T
+        sums[3] = size - sums[1] - sums[2]
+        stats[:, at] = np.repeat(sums, asked, axis=1)
+        word = word[at]
+        place = _words_from(self.words, a, b, asked, word)
+        hit = np.flatnonzero((place < np.repeat(b, asked)) & (_take(self.words, place) == word))
+        count[at] = 0
+        count[at[hit]] = self.counts(place[hit])
 
 
 @dataclass(frozen=True)
@@ -338,15 +557,19 @@ class Vocabulary:
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and counts of word hashes."""
         number, count = np.full(len(hashes), self.limit, np.uint64), np.zeros(len(hashes), np.uint64)
-        for s, pick in _by_shard(shard_of(hashes, 64, self.shards)):
+        order, hashes = (None, hashes) if (hashes[1:] >= hashes[:-1]).all() else _numbered(hashes)
+        shard = shard_of(hashes, 64, self.shards)
+        edge = np.append(run_starts(shard), len(hashes))
+        for lo, hi in zip(edge.tolist(), edge[1:].tolist()):
+            s = int(shard[lo])
             # a shard that was written and cannot be read is an error, never a count of 0
             if s in self.stored:
                 names = _shard(self.uri, f"raw0-{s}.key", "<u8", 1)
-                i = np.minimum(np.searchsorted(names, hashes[pick]), len(names) - 1)
-                hit = names[i] == hashes[pick]
-                rank = _shard(self.uri, f"raw0-{s}.rank", "<u4", 1)[i[hit]]
-                number[pick[hit]] = rank.astype(np.uint64) * np.uint64(self.shards) + np.uint64(1 + s)
-                count[pick[hit]] = _counts(self.uri, f"raw0-{s}", 1, i[hit])
+                i = np.minimum(np.searchsorted(names, hashes[lo:hi]), len(names) - 1)
+                hit = np.flatnonzero(names[i] == hashes[lo:hi])
+                i, hit = i[hit], lo + hit if order is None else order[lo + hit]
+                number[hit] = _shard(self.uri, f"raw0-{s}.rank", "<u4", 1)[i].astype(np.uint64) * np.uint64(self.shards) + np.uint64(1 + s)
+                count[hit] = _counts(self.uri, f"raw0-{s}", 1, i)
         return number, count
 
 
@@ -377,117 +600,110 @@ class Model:
                 out[known[pick]] = _counts(self.uri, f"gram1-{s}", 1, rank[pick].astype(np.int64))
         return out
 
-    def _look_up(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of n-grams, and their contexts' total and numbers of n-grams counted 1, 2, 3 and more times (0 where absent)."""
+    def _find(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of n-grams in the order of their contexts' keys; in this order, their counts
+        and, in rows, their contexts' total and numbers of n-grams counted 1, 2, 3 and more times (0 where absent)."""
         k, bits = len(columns), self.vocabulary.bits
-        key = context_key(columns[:-1], bits)
-        order = np.argsort(key)
-        key, word = key[order], columns[-1][order]
-        first = run_starts(key)
-        key, last = key[first], np.append(first[1:], len(word))
-        stats, count = np.zeros((len(key), 4), np.int64), np.zeros(len(word), np.uint64)
-        for s, pick in _by_shard(shard_of(key, key_width(k - 1, bits), self.vocabulary.shards)):
-            if (k, s) not in self.stored:
-                continue
-            name = f"gram{k}-{s}"
-            low, least = (int(v) for v in _shard(self.uri, f"{name}.head", "<u8", 1))
-            contexts, words = _columns_of(_shard(self.uri, f"{name}.key", "u1", 1), [-(-low // 8), -(-bits // 8)])
-            starts = _shard(self.uri, f"{name}.directory", "<u4" if len(words[0]) < 1 << 32 else "<u8", 1)
-            head, tail = (key[pick] >> np.uint64(low) if low < 64 else np.zeros(len(pick), np.uint64)) - np.uint64(least), key[pick] & _ones(low)
-            inside = np.flatnonzero(head < np.uint64(len(starts) - 1))      # below the first one the difference is huge
-            pick, head, tail = pick[inside], head[inside].astype(np.int64), tail[inside]
-            a, b = starts[head].astype(np.int64), starts[head + 1].astype(np.int64)
-            if low:
-                a = _first_of_bucket(contexts, a, b, tail)
-            seen = np.flatnonzero(a < b)
-            if low:
-                seen = seen[_take(contexts, a[seen]) == tail[seen]]
-            pick, tail, a, b = pick[seen], tail[seen], a[seen], b[seen]
-            if not len(pick):
-                continue
-            if low:
-                high, b = b, a + 1
-                more = np.flatnonzero(b < high)
-                more = more[_take(contexts, b[more]) == tail[more]]
-                b[more] = _first_from(contexts, b[more] + 1, high[more], tail[more] + np.uint64(1))
-            size = b - a
-            few, many = np.flatnonzero(size <= WIDE), np.flatnonzero(size > WIDE)
-            if len(few):
-                begin = np.cumsum(size[few]) - size[few]
-                v = _counts(self.uri, name, 1, np.arange(size[few].sum()) + np.repeat(a[few] - begin, size[few]))
-                for i, x in enumerate((v, v == 1, v == 2)):
-                    stats[pick[few], i] = np.add.reduceat(x, begin, dtype=np.int64)
-            if len(many):
-                wide = _shard(self.uri, f"{name}.wide", "<u8", 4)
-                stats[pick[many], :3] = wide[np.searchsorted(wide[:, 0], a[many].astype(np.uint64)), 1:]
-            stats[pick, 3] = size - stats[pick, 1] - stats[pick, 2]
-            # the last words asked for after each of these contexts
-            asked = last[pick] - first[pick]
-            mine = np.arange(asked.sum()) + np.repeat(first[pick] - (np.cumsum(asked) - asked), asked)
-            b = np.repeat(b, asked)
-            at = _first_from(words, np.repeat(a, asked), b, word[mine])
-            hit = np.flatnonzero(at < b)
-            hit = hit[_take(words, at[hit]) == word[mine[hit]]]
-            count[mine[hit]] = _counts(self.uri, name, 1, at[hit])
-        out, place = np.empty_like(count), np.empty(len(order), np.int64)
-        out[order], place[order] = count, np.repeat(np.arange(len(key)), last - first)
-        return out, stats[place]
-
-    def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
-        """Per text: n_tokens, n_known, base_score and score (log10 probabilities)."""
-        x, position, n = token_rows(texts)
+        order, key = _numbered(context_key(columns[:-1], bits))
+        word = columns[-1][order]
+        count, stats = np.zeros(len(key), np.int64), np.zeros((4, len(key)), np.int64)
+        shard = shard_of(key, key_width(k - 1, bits), self.vocabulary.shards)
+        edge = np.append(run_starts(shard), len(key))
+        for lo, hi in zip(edge.tolist(), edge[1:].tolist()):
+            s = int(shard[lo])
+            if (k, s) in self.stored:
+                count[lo:hi], stats[:, lo:hi] = _gram_shard(self.uri, f"gram{k}-{s}", bits).find(key[lo:hi], word[lo:hi])
+        return order, count, stats
+
+    def _look_up(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The same in the n-grams' own order, with a row of stats for each."""
+        order, count, stats = self._find(columns)
+        own = np.argsort(order)
+        return count[own], stats.T[own]
+
+    def score(self, x: np.ndarray, position: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+        """Per text of the given tokens: n_tokens, n_known, base_score and score (log10 probabilities)."""
         real = np.flatnonzero(position > 0)
-        distinct, inverse = np.unique(x, return_inverse=True)
+        distinct, inverse = _unique(x)
         number, raw = self.vocabulary.look_up(distinct)
-        place, raw = position[real], raw.astype(np.float64)[inverse[real]]
-        base = np.log10((raw + 0.5) / (self.tokens + 0.5 * (self.vocabulary.types + 1)))
+        place, word = position[real], inverse[real].astype(np.int64)
+        first = np.cumsum(n) - n
+        add = lambda v: np.add.reduceat(v, first) if len(first) else np.zeros(0)
+        out = {"n_tokens": n.astype(np.int64), "n_known": add((raw > 0).astype(np.int64)[word]),
+               "base_score": add(np.log10((raw + 0.5) / (self.tokens + 0.5 * (self.vocabulary.types + 1)))[word])}
         total, n1, n2, n3, types = self.unigram
-        a = self._continuations(number).astype(np.float64)[inverse[real]]
-        x = np.where(position > 0, number[inverse], np.uint64(0))
+        a = self._continuations(number)
+        numbers, x = _local(number, inverse, position)
         uniform = 1.0 / (types + 1)
         if total:
             d = (0.0, *self.discounts[0])
             left = (d[1] * n1 + d[2] * n2 + d[3] * n3) / total
-            p = np.maximum(a - np.take(d, np.minimum(a, 3).astype(int)), 0) / total + left * uniform
+            p = (np.maximum(a - np.take(d, np.minimum(a, 3).astype(int)), 0) / total + left * uniform)[word]
         else:
             p = np.full(len(real), uniform)
+        del inverse, word
+        # a context is the number of an n-gram of the order below, the columns have the n-grams' words
+        context, columns, bits = x, [numbers], np.uint64(len(numbers).bit_length())
         for k in range(2, self.order + 1):
             at = np.flatnonzero(place >= k - 1)
             if not len(at):
                 break
-            a, stats = self._look_up([x[real[at] - j] for j in range(k - 1, -1, -1)])
-            seen = stats[:, 0] > 0
-            at, a, stats = at[seen], a[seen].astype(np.float64), stats[seen].astype(np.float64)
+            order, grams = _numbered(context[real[at] - 1] << bits | x[real[at]])
+            at, new = at[order], _starts(grams)
+            grams = grams[new]
+            before = (grams >> bits).astype(np.int64)
+            columns = [*[c[before] for c in columns], numbers[grams & _ones(int(bits))]]
+            del grams, before
+            order, a, stats = self._find(columns)
             d = np.array((0.0, *self.discounts[k - 1]))
-            left = stats[:, 1] * d[1] + stats[:, 2] * d[2] + stats[:, 3] * d[3]
-            p[at] = (np.maximum(a - d[np.minimum(a, 3).astype(int)], 0) + left * p[at]) / stats[:, 0]
-        first = np.cumsum(n) - n
-        add = lambda v: np.add.reduceat(v, first) if len(first) else np.zeros(0)
-        return {"n_tokens": n.astype(np.int64), "n_known": add((raw > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(p))}
+            left = stats[1] * d[1] + stats[2] * d[2] + stats[3] * d[3]
+            left[stats[0] == 0], total = 1, np.maximum(stats[0], 1)    # a context that was not seen leaves p as it is
+            a, left = np.maximum(a - d[np.minimum(a, 3)], 0) / total, left / total
+            own = np.empty(len(order), np.int64)
+            own[order] = np.arange(len(order))
+            gram = own[np.cumsum(new) - 1]
+            p[at] = a[gram] + left[gram] * p[at]
+            if k < self.order:
+                context, columns = np.zeros(len(x), np.uint64), [c[order] for c in columns]
+                context[real[at]] = gram
+        return out | {"score": add(np.log10(p))}
+
+
+def _local(number: np.ndarray, inverse: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct of the given word numbers, after that of the begin mark, and the place in them of each token's."""
+    numbers, rank = _ranks(number)
+    return np.append(np.uint64(0), numbers), np.where(position > 0, (rank + np.uint64(1))[inverse], np.uint64(0))
+
+
+def _together(texts: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``token_rows`` of batches of one column, put together until they have so many tokens."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for b in texts:
+        held.append(token_rows(b.column(0)))
+        size += len(held[-1][0])
+        if size >= tokens:
+            yield tuple(np.concatenate(h) for h in zip(*held, strict=True))
+            held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(h) for h in zip(*held, strict=True))
 
 
 def _in_task(rows):
     """The task that makes ``rows`` of the hashes and positions of every ``FLUSH_TOKENS`` tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for b in blocks(batches, "text"):
-            x, position, _ = token_rows(b.column(0))
-            held.append((x, position))
-            size += len(x)
-            if size >= FLUSH_TOKENS:
-                yield _batch(rows(*(np.concatenate(h) for h in zip(*held, strict=True))))
-                held, size = [], 0
-        if held:
-            yield _batch(rows(*(np.concatenate(h) for h in zip(*held, strict=True))))
+        for x, position, _ in _together(blocks(batches, "text", TEXT_BYTES), FLUSH_TOKENS):
+            yield _batch(rows(x, position))
 
     return run
 
 
 def _word_rows(shards: int):
     def rows(x: np.ndarray, position: np.ndarray) -> list[tuple]:
-        words, counts = np.unique(x[position > 0], return_counts=True)
-        return [(0, s, d) for s, pick in _by_shard(shard_of(words, 64, shards)) for d in _pack([words[pick]], counts[pick])]
+        (words,), counts = _grams([x[position > 0]], 64, None)
+        s = shard_of(words, 64, shards)
+        edge = np.append(run_starts(s), len(s))
+        return [(0, int(s[a]), d) for a, b in zip(edge.tolist(), edge[1:].tolist()) for d in _pack([words[a:b]], counts[a:b])]
 
     return rows
 
@@ -511,13 +727,13 @@ def _number_words(shards: int, uri: str):
 
 def _count_rows(vocabulary: Vocabulary, order: int):
     def rows(x: np.ndarray, position: np.ndarray) -> list[tuple]:
-        distinct, inverse = np.unique(x, return_inverse=True)
-        x = np.where(position > 0, vocabulary.look_up(distinct)[0][inverse], np.uint64(0))
+        distinct, inverse = _unique(x)
+        numbers, x = _local(vocabulary.look_up(distinct)[0], inverse, position)
         out = []
 
         def add(kind: int, at: np.ndarray) -> None:
             if len(at):
-                out.extend(_rows(kind, [x[at - j] for j in range(kind - 1, -1, -1)], None, vocabulary.bits, vocabulary.shards))
+                out.extend(_rows(kind, [x[at - j] for j in range(kind - 1, -1, -1)], None, vocabulary.bits, vocabulary.shards, numbers))
 
         add(order, np.flatnonzero(position >= max(order - 1, 1)))
         for k in range(2, order):   # n-grams that begin a text, below the highest order
@@ -538,17 +754,23 @@ def _reduce(now: int, vocabulary: Vocabulary):
             yield _batch([(kind, shard, d) for b in batches for d in b.column(b.schema.get_field_index("data")).to_pylist()])
             return
         columns, counts = _unpacked(batches)
+        if kind > 1:
+            least = columns[0].min()
+            at, counts = _distinct([columns[0] - least, columns[-1]], [int(columns[0].max() - least).bit_length(), bits], counts)
+        else:
+            at, counts = _distinct(columns, [bits], counts)
+        columns = [c[at] for c in columns]
+        if kind > 1:    # a key that is no hash came in its context's place
+            context = columns[0]
+            columns = [*_of_key(context, kind - 1, bits), columns[-1]] if (kind - 1) * bits <= 64 else columns[1:]
         if kind < now:
             yield _batch(_rows(kind, columns, counts, bits, shards))
             return
-        context = context_key(columns[:-1], bits) if kind > 1 else None
-        at, counts = _distinct([context, columns[-1]] if kind > 1 else columns, [key_width(kind - 1, bits), bits] if kind > 1 else [bits], counts)
-        columns = [c[at] for c in columns]
         store, name = Store(vocabulary.uri), f"gram{kind}-{shard}"
         few = [int((counts == i).sum()) for i in (1, 2, 3, 4)] + [int((counts >= 3).sum()), int(counts.sum()), len(counts)]
         out = [(-1, shard, np.array([kind, *few], np.int64).tobytes())]
         if kind > 1:
-            _write_shard(store, name, context[at], columns[-1], counts, bits)
+            _write_shard(store, name, context, columns[-1], counts, bits)
             out += _rows(kind - 1, columns[1:], None, bits, shards)
         else:               # by rank
             rank = ((columns[0] - np.uint64(1)) // np.uint64(shards)).astype(np.int64)
@@ -606,11 +828,9 @@ def scores(text: Column, spark, model: Model) -> Column:
     @arrow_udf("struct<n_tokens:bigint,n_known:bigint,base_score:double,score:double>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = ("n_tokens", "n_known", "base_score", "score")
-        for a in batches:
-            parts = [model.score(b.column(0)) for b in blocks([pa.RecordBatch.from_arrays([a], ["t"])], "t")]
-            kinds = (np.int64, np.int64, np.float64, np.float64)
-            cols = [np.concatenate([p[k] for p in parts]).astype(t) if parts else np.zeros(0, t) for k, t in zip(names, kinds, strict=True)]
-            yield pa.StructArray.from_arrays([pa.array(c) for c in cols], names)
+        for rows in _together(blocks((pa.RecordBatch.from_arrays([a], ["t"]) for a in batches), "t", TEXT_BYTES), SCORE_TOKENS):
+            got = model.score(*rows)
+            yield pa.StructArray.from_arrays([pa.array(got[n]) for n in names], names)
 
     return score(text)
 

@@ -320,3 +320,39 @@ def test_shards_answer_for_their_ngrams(tmp_path, bits):
 def test_scattered_numbers_are_distinct(width):
     x = kn_lm._scatter(np.arange(1 << width, dtype=np.uint64), width)
     assert sorted(x.tolist()) == list(range(1 << width))
+
+
+def test_scattered_numbers_come_back():
+    rng = np.random.default_rng(2)
+    for width in (1, 2, 3, 13, 44, 64):
+        x = rng.integers(0, 2**width, 1000, np.uint64)
+        assert (kn_lm._unscatter(kn_lm._scatter(x, width), width) == x).all()
+
+
+def test_a_model_of_many_shards_is_opened_once(tmp_path, monkeypatch):
+    """Also where it has more files than one batch of texts could keep open before."""
+    shards, bits, rng = 1200, 20, np.random.default_rng(9)
+    columns = [np.repeat(rng.integers(1, 1 << bits, 20_000, np.uint64), 2), np.repeat(rng.integers(1, 1 << bits, 20_000, np.uint64), 2), np.tile(np.array([3, 5], np.uint64), 20_000)]
+    key = kn_lm.context_key(columns[:-1], bits)
+    s = kn_lm.shard_of(key, 2 * bits, shards)
+    for i, pick in kn_lm._by_shard(s):
+        pick = pick[np.lexsort((columns[2][pick], key[pick]))]
+        kn_lm._write_shard(kn_lm.Store(str(tmp_path)), f"gram3-{i}", key[pick], columns[2][pick], np.full(len(pick), 2), bits)
+    model = kn_lm.Model(kn_lm.Vocabulary(str(tmp_path), shards, 1, 1, (1 << bits) - 1, frozenset()), 3, (), (), frozenset((3, int(i)) for i in np.unique(s)))
+    opened, read = [], kn_lm.Store.read
+    monkeypatch.setattr(kn_lm.Store, "read", lambda self, name, *a: opened.append(name) or read(self, name, *a))
+    kn_lm._shard.cache_clear()
+    for _ in range(2):
+        count, stats = model._look_up(columns)
+        assert (count == 2).all() and (stats == [4, 0, 2, 0]).all()
+    assert len(opened) == len({*opened}) > 4096
+
+
+def test_texts_scored_together_have_their_own_scores(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40).select("text")
+    model = kn_lm.fit(docs, shard_chars=20_000)
+    texts = [r.text for r in docs.collect()] + [None, "", "not seen before", "x"]
+    whole = model.score(*kn_lm.token_rows(pa.array(texts)))
+    alone = [model.score(*kn_lm.token_rows(pa.array([t], "string"))) for t in texts]
+    for name, v in whole.items():
+        assert v.tolist() == pytest.approx([a[name][0] for a in alone], rel=1e-12)
