@@ -19,8 +19,8 @@ Shards lie in the shared checkpoint folder; equal input gives equal files, so a
 repeated task replaces a shard with itself.
 
 Texts are scored by many at once: their n-grams are made distinct, put in the
-order of the keys and looked up shard by shard, so a shard costs the same calls
-for all of them.  Every shard stays open in a worker.
+order of the keys and looked up in several shards together, whose arrays alone are
+read one by one.  Every shard stays open in a worker.
 
 A ``file:`` folder is mapped in place; from another store a worker reads the
 shards it needs.  The model grows with the corpus and nothing of it passes the
@@ -58,6 +58,7 @@ BUCKET = 4                      # n-grams of a shard for one entry of its direct
 WIDE = 64                       # n-grams of a context beyond which its totals are stored
 STEPS = 4                       # n-grams of a context that are walked along
 MOST_LOW = 56                   # bits of a key that fit a stored number beside a count, at most
+GROUP = 1 << 16                 # n-grams looked up together, at least, where shards are asked for fewer each
 TEXT_BYTES = 1 << 18            # text made into tokens at once: what a processor's cache holds
 
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0xE6546B64A5A5A5A5)
@@ -369,49 +370,25 @@ def _columns_of(file: np.ndarray, widths: list[int]) -> list[list[np.ndarray]]:
     return out
 
 
-def _take(column: list[np.ndarray], at: np.ndarray) -> np.ndarray:
-    out, shift = np.zeros(len(at), np.uint64), 0
-    for part in column:
-        out |= part.take(at, mode="clip").astype(np.uint64) << np.uint64(shift)
-        shift += 8 * part.itemsize
-    return out
-
-
-def _first_from(value: Callable[[np.ndarray], np.ndarray], low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """First place between ``low`` and ``high`` (else ``high``) whose value, rising there, is not below ``least``."""
+def _first_from(value: Callable, low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """First place between ``low`` and ``high`` (else ``high``) whose value, rising there, is
+    not below ``least``.  ``value``: of a place for each, or for each of the given ones."""
     for _ in range(3):      # most spans are short: all are halved, then those left
         middle = (low + high) >> 1
-        below = value(middle) < least
+        below = value(middle, None) < least
         below &= low < high
         low, high = np.where(below, middle + 1, low), np.where(below, high, middle)
     open_ = np.flatnonzero(low < high)
     while len(open_):
         a, b = low[open_], high[open_]
         middle = (a + b) >> 1
-        below = value(middle) < least[open_]
+        below = value(middle, open_) < least[open_]
         a, b = np.where(below, middle + 1, a), np.where(below, b, middle)
         low[open_], high[open_] = a, b
         open_ = open_[a < b]
     return low
 
 
-def _words_from(column: list[np.ndarray], low: np.ndarray, high: np.ndarray, asked: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """First places from ``low`` to ``high`` whose value is not below ``least``, for spans
-    of which so many are ``asked`` each; a span of which many are is read whole."""
-    out, end = np.empty(len(least), np.int64), np.cumsum(asked)
-    many = (asked > ASKED) & (high - low > ASKED) & (high - low < 256 * asked)
-    for i in np.flatnonzero(many).tolist():
-        a, b, to = low[i], high[i], end[i]
-        whole, shift = column[0][a:b].astype(np.uint64), 8 * column[0].itemsize
-        for part in column[1:]:
-            whole |= part[a:b].astype(np.uint64) << np.uint64(shift)
-            shift += 8 * part.itemsize
-        out[to - asked[i]:to] = a + np.searchsorted(whole, least[to - asked[i]:to])
-    few = np.flatnonzero(np.repeat(~many, asked))
-    out[few] = _first_from(lambda at: _take(column, at), np.repeat(low, asked)[few], np.repeat(high, asked)[few], least[few])
-    return out
-
-
 def _write_shard(store: Store, name: str, key: np.ndarray, word: np.ndarray, counts: np.ndarray, bits: int) -> None:
     """N-grams in order of (context key, last word).  ``.head``: how many low bits
     of the key rows have, and the first of the numbers that its other bits make;
@@ -469,75 +446,142 @@ class Grams:
         out[large] = self.more[np.searchsorted(self.more[:, 0], at[large].astype(np.uint64)), 1]
         return out
 
-    def tails(self, at: np.ndarray) -> np.ndarray:
-        return self.entries.take(at, mode="clip") >> self.count_bits
 
-    def find(self, key: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _gather(arrays: list[np.ndarray], edges: np.ndarray, at: np.ndarray, dtype=np.uint64) -> np.ndarray:
+    """Values at places of several arrays: those from an edge to the next are of one array."""
+    out, edges = np.empty(len(at), dtype), edges.tolist()
+    for array, lo, hi in zip(arrays, edges, edges[1:]):
+        if lo < hi:
+            out[lo:hi] = array.take(at[lo:hi], mode="clip")
+    return out
+
+
+class Shards:
+    """Shards asked together, so that many small ones cost little more than one.  Whatever
+    is asked is in their order; ``edges`` tell where each shard's begins."""
+
+    def __init__(self, shards: list[Grams]):
+        self.shards = shards
+        self.starts, self.entries = [g.starts for g in shards], [g.entries for g in shards]
+        self.words = list(zip(*[g.words for g in shards], strict=True))
+        self.count_bits = np.array([g.count_bits for g in shards], np.uint64)
+
+    def counts(self, edges: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out, edges = np.empty(len(at), np.int64), edges.tolist()
+        for g, lo, hi in zip(self.shards, edges, edges[1:]):
+            if lo < hi:
+                out[lo:hi] = g.counts(at[lo:hi])
+        return out
+
+    def word(self, edges: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out, shift = np.zeros(len(at), np.uint64), 0
+        for parts in self.words:
+            out |= _gather(parts, edges, at) << np.uint64(shift)
+            shift += 8 * parts[0].itemsize
+        return out
+
+    def _tails(self, edges: np.ndarray, shift: np.ndarray) -> Callable:
+        def tails(at: np.ndarray, some: np.ndarray | None) -> np.ndarray:
+            if some is None:
+                return _gather(self.entries, edges, at) >> shift
+            return _gather(self.entries, np.searchsorted(some, edges), at) >> shift[some]
+
+        return tails
+
+    def find(self, edges: np.ndarray, key: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of n-grams, and four rows of their contexts' stats, for rising keys of contexts and the last words."""
         count, stats = np.zeros(len(key), np.int64), np.zeros((4, len(key)), np.int64)
-        head = (key >> np.uint64(self.low)) - np.uint64(self.least)
-        at = np.flatnonzero(head < np.uint64(len(self.starts) - 1))      # below the first one the difference is huge
-        head = head[at].astype(np.int64)
-        a, b = self.starts[head].astype(np.int64), self.starts[head + 1].astype(np.int64)
-        if not self.low:
+        each = np.diff(edges)
+        low, least, heads = (np.repeat(np.array(v, np.uint64), each) for v in zip(*[(g.low, g.least, len(g.starts) - 1) for g in self.shards], strict=True))
+        head = (key >> low) - least
+        at = np.flatnonzero(head < heads)       # below the first one the difference is huge
+        edges, head = np.searchsorted(at, edges), head[at].astype(np.int64)
+        a, b = _gather(self.starts, edges, head, np.int64), _gather(self.starts, edges, head + 1, np.int64)
+        if not low.any():
             seen = np.flatnonzero(a < b)
-            self._find_in_runs(at[seen], a[seen], b[seen], word, count, stats)
+            self._find_in_runs(np.searchsorted(seen, edges), at[seen], a[seen], b[seen], word, count, stats)
             return count, stats
-        tail = (key[at] & _ones(self.low)).astype(self.entries.dtype)
-        a = _first_from(self.tails, a, b, tail)
-        seen = np.flatnonzero((a < b) & (self.tails(a) == tail))
-        a, b, tail, at = a[seen], b[seen], tail[seen], at[seen]
+        shift = np.repeat(self.count_bits, np.diff(edges))
+        tail = key[at] & ((np.uint64(1) << low[at]) - np.uint64(1))
+        tails = self._tails(edges, shift)
+        a = _first_from(tails, a, b, tail)
+        seen = np.flatnonzero((a < b) & (tails(a, None) == tail))
+        edges, at, a, b, tail, shift = np.searchsorted(seen, edges), at[seen], a[seen], b[seen], tail[seen], shift[seen]
         # contexts of few n-grams, which most are, are walked along
-        most, left = (1 << self.count_bits) - 1, np.arange(len(at))
+        most, left = (np.uint64(1) << shift) - np.uint64(1), np.arange(len(at))
         hit, sums, long = np.zeros(len(at), np.int64), np.zeros((4, len(at)), np.int64), []
         for step in range(STEPS + 1):
             place = a[left] + step
-            entry = self.entries.take(place, mode="clip")
+            entry = _gather(self.entries, np.searchsorted(left, edges), place)
             if step:
-                same = np.flatnonzero((entry >> self.count_bits == tail[left]) & (place < b[left]))
+                same = np.flatnonzero((entry >> shift[left] == tail[left]) & (place < b[left]))
                 left, place, entry = left[same], place[same], entry[same]
-            c = (entry & entry.dtype.type(most)).astype(np.int64)
-            far = (c == most) | (step == STEPS)
+            c = entry & most[left]
+            far = (c == most[left]) | (step == STEPS)
             if far.any():
                 long.append(left[far])
                 left, place, c = left[~far], place[~far], c[~far]
             if not len(left):
                 break
+            c = c.astype(np.int64)
             for total, v in zip(sums, (c, c == 1, c == 2, c > 2), strict=True):
                 total[left] += v
-            mine = np.flatnonzero(_take(self.words, place) == word[at[left]])
+            mine = np.flatnonzero(self.word(np.searchsorted(left, edges), place) == word[at[left]])
             hit[left[mine]] = c[mine]
         count[at], stats[:, at] = hit, sums
         if long and len(long := np.sort(np.concatenate(long))):
-            self._find_in_runs(at[long], a[long], b[long], word, count, stats, tail[long])
+            self._find_in_runs(np.searchsorted(long, edges), at[long], a[long], b[long], word, count, stats, tail[long], shift[long])
         return count, stats
 
-    def _find_in_runs(self, at: np.ndarray, a: np.ndarray, b: np.ndarray, word: np.ndarray, count: np.ndarray, stats: np.ndarray, tail: np.ndarray | None = None) -> None:
+    def _find_in_runs(self, edges: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, word: np.ndarray, count: np.ndarray, stats: np.ndarray,
+                      tail: np.ndarray | None = None, shift: np.ndarray | None = None) -> None:
         """Set count and stats at ``at``, whose contexts begin at ``a`` and end at ``b`` or, where there is a ``tail``, before."""
         if not len(at):
             return
-        first = run_starts(a)
+        before = np.cumsum([0, *map(len, self.entries[:-1])])
+        first = run_starts(a + np.repeat(before, np.diff(edges)))
         asked = np.diff(first, append=len(a))
-        a, b = a[first], b[first]
+        contexts, a, b = np.searchsorted(first, edges), a[first], b[first]
         if tail is not None:
-            tail = tail[first].astype(np.uint64)
-            b = _first_from(lambda x: self.tails(x).astype(np.uint64), a + 1, b, tail + np.uint64(1))
+            b = _first_from(self._tails(contexts, shift[first]), a + 1, b, tail[first] + np.uint64(1))
         size, sums = b - a, np.zeros((4, len(a)), np.int64)
         few, many = np.flatnonzero(size <= WIDE), np.flatnonzero(size > WIDE)
         if len(few):
             begin = np.cumsum(size[few]) - size[few]
-            v = self.counts(_spans(a[few], size[few]))
+            v = self.counts(np.append(begin, size[few].sum())[np.searchsorted(few, contexts)], _spans(a[few], size[few]))
             for i, x in enumerate((v, v == 1, v == 2)):
                 sums[i, few] = np.add.reduceat(x, begin, dtype=np.int64)
-        if len(many):
-            sums[:3, many] = self.wide[np.searchsorted(self.wide[:, 0], a[many].astype(np.uint64)), 1:].T
+        edge = np.searchsorted(many, contexts).tolist()
+        for g, lo, hi in zip(self.shards, edge, edge[1:]):
+            if lo < hi:
+                pick = many[lo:hi]
+                sums[:3, pick] = g.wide[np.searchsorted(g.wide[:, 0], a[pick].astype(np.uint64)), 1:].T
         sums[3] = size - sums[1] - sums[2]
         stats[:, at] = np.repeat(sums, asked, axis=1)
         word = word[at]
-        place = _words_from(self.words, a, b, asked, word)
-        hit = np.flatnonzero((place < np.repeat(b, asked)) & (_take(self.words, place) == word))
+        place = self._words_from(edges, contexts, a, b, asked, word)
+        hit = np.flatnonzero((place < np.repeat(b, asked)) & (self.word(edges, place) == word))
         count[at] = 0
-        count[at[hit]] = self.counts(place[hit])
+        count[at[hit]] = self.counts(np.searchsorted(hit, edges), place[hit])
+
+    def _words_from(self, edges: np.ndarray, contexts: np.ndarray, low: np.ndarray, high: np.ndarray, asked: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """First places from ``low`` to ``high`` whose word is not below ``least``, for contexts (``contexts``:
+        their edges) after which so many are ``asked`` each; a context after which many are is read whole."""
+        out, end = np.empty(len(least), np.int64), np.cumsum(asked)
+        many = (asked > ASKED) & (high - low > ASKED) & (high - low < 256 * asked)
+        at = np.flatnonzero(many)
+        for i, s in zip(at.tolist(), (np.searchsorted(contexts, at, "right") - 1).tolist()):
+            a, b, to, shift = low[i], high[i], end[i], 0
+            whole = np.zeros(b - a, np.uint64)
+            for parts in self.words:
+                whole |= parts[s][a:b].astype(np.uint64) << np.uint64(shift)
+                shift += 8 * parts[s].itemsize
+            out[to - asked[i]:to] = a + np.searchsorted(whole, least[to - asked[i]:to])
+        few = np.flatnonzero(np.repeat(~many, asked))
+        edges = np.searchsorted(few, edges)
+        words = lambda at, some: self.word(edges if some is None else np.searchsorted(some, edges), at)
+        out[few] = _first_from(words, np.repeat(low, asked)[few], np.repeat(high, asked)[few], least[few])
+        return out
 
 
 @dataclass(frozen=True)
@@ -609,10 +653,13 @@ class Model:
         count, stats = np.zeros(len(key), np.int64), np.zeros((4, len(key)), np.int64)
         shard = shard_of(key, key_width(k - 1, bits), self.vocabulary.shards)
         edge = np.append(run_starts(shard), len(key))
-        for lo, hi in zip(edge.tolist(), edge[1:].tolist()):
-            s = int(shard[lo])
-            if (k, s) in self.stored:
-                count[lo:hi], stats[:, lo:hi] = _gram_shard(self.uri, f"gram{k}-{s}", bits).find(key[lo:hi], word[lo:hi])
+        stored = [(s, lo, hi) for s, lo, hi in zip(shard[edge[:-1]].tolist(), edge.tolist(), edge[1:].tolist()) if (k, s) in self.stored]
+        while stored:       # shards that follow one another, until enough is asked of them
+            n = next((i for i in range(1, len(stored)) if stored[i][1] > stored[i - 1][2] or stored[i][1] - stored[0][1] >= GROUP), len(stored))
+            (_, lo, _), (_, _, hi) = stored[0], stored[n - 1]
+            shards = Shards([_gram_shard(self.uri, f"gram{k}-{s}", bits) for s, _, _ in stored[:n]])
+            count[lo:hi], stats[:, lo:hi] = shards.find(np.array([*[v[1] for v in stored[:n]], hi]) - lo, key[lo:hi], word[lo:hi])
+            stored = stored[n:]
         return order, count, stats
 
     def _look_up(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
